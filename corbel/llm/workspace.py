@@ -1,0 +1,46 @@
+"""Where operators keep the tables that cut lineage: Parquet folders below ``spark.checkpoint.dir``.
+
+A table written there outlives any executor, so nothing is recomputed after a loss and nothing is
+kept in an executor's own folder.  The setting is read from the session; only where it is unset
+(tests on one machine) a temporary folder of the driver is used.
+"""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_root(spark: SparkSession) -> str:
+    """The folder all executors share; one is made only when the session names none."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        root = "file://" + tempfile.mkdtemp(prefix="corbel-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return root.rstrip("/")
+
+
+class Workspace:
+    """Named intermediate tables of one run of an operator."""
+
+    def __init__(self, spark: SparkSession, label: str):
+        self.spark = spark
+        self.root = f"{shared_root(spark)}/corbel/{label}-{uuid.uuid4().hex[:12]}"
+
+    def path(self, name: str) -> str:
+        return f"{self.root}/{name}"
+
+    def save(self, df: DataFrame, name: str) -> DataFrame:
+        """Write ``df`` once and return it as read back, with no lineage before the file."""
+        df.write.mode("overwrite").parquet(self.path(name))
+        return self.spark.read.schema(df.schema).parquet(self.path(name))
+
+    def drop(self, *names: str) -> None:
+        """Delete tables that no later plan reads."""
+        jvm = self.spark._jvm
+        conf = self.spark._jsc.hadoopConfiguration()
+        for name in names:
+            path = jvm.org.apache.hadoop.fs.Path(self.path(name))
+            path.getFileSystem(conf).delete(path, True)
