@@ -36,10 +36,10 @@ WITH RECURSIVE w AS (
 ), n AS (
     SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
 ), common AS (
-    SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both
+    SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared
     FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2
 ), link AS (
-    SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * both >= 75 * (x.n + y.n - both)
+    SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 75 * (x.n + y.n - shared)
 ), edge AS (
     SELECT a, b FROM link UNION SELECT b, a FROM link
 ), reach AS (
