@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from corbel.llm.jaccard import jaccard_components
+from corbel.llm.leaks import scan_leaks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -50,3 +51,33 @@ WITH RECURSIVE w AS (
 SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.component_id
 FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY 1) c USING (doc_id)
 """
+
+
+@query
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
+
+
+SQL["op7_decontamination"] = r"""
+WITH norm AS (
+    SELECT 0 AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark
+), w AS (
+    SELECT kind, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+    FROM norm
+), item AS (
+    SELECT DISTINCT id AS item_id, least(len(ws), 10) AS k, array_to_string(ws[i:i + least(len(ws), 10) - 1], ' ') AS g
+    FROM w, unnest(range(1, greatest(len(ws) - 8, 2))) AS t(i) WHERE kind = 1 AND len(ws) > 0
+), doc AS (
+    SELECT id AS doc_id, k.k, i, array_to_string(ws[i:i + k.k - 1], ' ') AS g
+    FROM w, (SELECT DISTINCT k FROM item) k, unnest(range(1, len(ws) - k.k + 2)) AS t(i) WHERE kind = 0
+), hit AS (
+    SELECT doc_id, doc.k, i, item_id FROM doc JOIN item ON doc.g = item.g AND doc.k = item.k
+), n AS (
+    SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT DISTINCT doc_id, k, i FROM hit) h, unnest(range(i, i + k)) AS t(p) GROUP BY 1
+), its AS (
+    SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS names FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM hit) GROUP BY 1
+)
+SELECT w.id AS doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM w LEFT JOIN n ON n.doc_id = w.id LEFT JOIN its ON its.doc_id = w.id WHERE kind = 0
+"""

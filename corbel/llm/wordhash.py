@@ -146,14 +146,19 @@ def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
     return mix(h)
 
 
-def words_by_row(column: pa.Array, letters: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For every row: its number, the folded bytes of its block, and starts, ends and hashes of its words."""
+def words_by_block(column: pa.Array, letters: np.ndarray) -> Iterator[tuple]:
+    """Blocks of rows: first row, end row, folded bytes, first word of every row and the end, starts, ends, hashes."""
     buf, offsets = lowered(column)
     for lo, hi in row_blocks(offsets):
         base = offsets[lo]
         part, cuts = buf[base : offsets[hi]], offsets[lo : hi + 1] - base
         starts, ends, hashes = hash_words(part, cuts, letters)
-        split = np.searchsorted(starts, cuts)
+        yield lo, hi, part, cuts, np.searchsorted(starts, cuts), starts, ends, hashes
+
+
+def words_by_row(column: pa.Array, letters: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For every row: its number, the folded bytes of its block, and starts, ends and hashes of its words."""
+    for lo, hi, part, _, split, starts, ends, hashes in words_by_block(column, letters):
         for i in range(hi - lo):
             a, b = split[i], split[i + 1]
             yield lo + i, part, starts[a:b], ends[a:b], hashes[a:b]
