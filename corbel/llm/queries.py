@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from corbel.llm.jaccard import jaccard_components
 from corbel.llm.leaks import scan_leaks
+from corbel.llm.packing import pack_documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -81,3 +82,10 @@ SELECT w.id AS doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit,
        sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM w LEFT JOIN n ON n.doc_id = w.id LEFT JOIN its ON its.doc_id = w.id WHERE kind = 0
 """
+
+
+@query
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
