@@ -9,12 +9,11 @@ The plan, all of it over every document:
 2. Of each class, the rarest ``n - ceil(t n) + 1`` 5-grams are dealt by 5-gram.  A streaming pass over the
    sorted partitions (constant memory whatever a group's size) drops those that only one class has, ranks
    the others' holders, and names the first as hub.
-3. Round one verifies (hub, holder) pairs: as many as there are postings, however large the group.
-   Later rounds take further hubs, four times as many each, but only pairs whose ends are in different
-   components so far, until no 5-gram joins two components or every such pair was tried.  So copies are
-   never expanded into all pairs, yet each pair of classes is tried or already connected.
-4. A pair goes through the length and positional filters before it is dealt, through the suffix filter
-   before its sets are intersected, and is verified once.
+3. The star round verifies (hub, holder) pairs: as many as there are postings, however large the group.
+4. 5-grams whose holders are still in several components go to the block round.  Classes of one hub are dealt to
+   blocks of bounded size; a class is sent to a block that it shares such a 5-gram with, and there compared with all
+   of the block at once.  So each pair of classes is tried or already connected, but no row is made for a pair.
+5. Length and positional filters act before sets are sent, the suffix filter before a hub's set is intersected.
 """
 
 from __future__ import annotations
@@ -37,8 +36,11 @@ SKETCH = 1 << 20
 GATHER = 4_000_000
 #: At most so many representatives (16 bytes each) are broadcast; more are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
-#: All remaining pairs are taken in one round when they are at most so many times the postings.
-FINAL_FACTOR = 4
+#: 5-grams of a block, and members that one task compares with a block.
+BLOCK_GRAMS = 40_000
+BLOCK_MEMBERS = 5_000
+#: Bytes of each hash that are sent for verification.
+SENT_BYTES = 6
 #: A 5-gram whose counter exceeds this is dealt over several salted groups, each with its own hub.
 HOT = 50_000
 
@@ -185,37 +187,106 @@ def _suffix_apart(a: np.ndarray, b: np.ndarray, depth: int) -> int:
     return _suffix_apart(a[:i], b[:j], depth - 1) + _suffix_apart(a[i:], b[j:], depth - 1)
 
 
-def _verify(percent: int):
+def _pack(grams: np.ndarray) -> bytes:
+    return (grams >> np.uint64(64 - 8 * SENT_BYTES)).view(np.uint8).reshape(-1, 8)[:, :SENT_BYTES].tobytes()
+
+
+def _unpack(packed: bytes) -> np.ndarray:
+    wide = np.zeros((len(packed) // SENT_BYTES, 8), np.uint8)
+    wide[:, :SENT_BYTES] = np.frombuffer(packed, np.uint8).reshape(-1, SENT_BYTES)
+    return wide.view(np.uint64).ravel()
+
+
+class _Block:
+    """The sets of some classes, ready to be compared with others."""
+
+    def __init__(self, rows: list[tuple[int, int, np.ndarray]]):
+        self.cls = np.array([r[0] for r in rows], np.int64)
+        self.root = np.array([r[1] for r in rows], np.int64)
+        self.size = np.array([len(r[2]) for r in rows], np.int64)
+        grams = np.concatenate([r[2] for r in rows])
+        order = np.argsort(grams, kind="stable")
+        self.grams, self.owner = grams[order], np.repeat(np.arange(len(rows)), self.size)[order]
+
+    def links(self, cls: int, root: int, grams: np.ndarray, percent: int) -> list[int]:
+        """Classes of other components that link to the given one, one of each component."""
+        total = self.size + len(grams)
+        alpha = -(-percent * total // (100 + percent))
+        open_ = (self.root != root) & (100 * np.minimum(self.size, len(grams)) >= percent * np.maximum(self.size, len(grams)))
+        if not open_.any():
+            return []
+        if len(self.cls) == 1 and _suffix_apart(self.grams, grams, 3) > total[0] - 2 * alpha[0]:
+            return []
+        lo, hi = np.searchsorted(self.grams, grams, "left"), np.searchsorted(self.grams, grams, "right")
+        count = hi - lo
+        at = np.repeat(lo - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum())
+        shared = np.bincount(self.owner[at], minlength=len(self.cls))
+        good = np.flatnonzero(open_ & (100 * shared >= percent * (total - shared)))
+        return self.cls[good[np.unique(self.root[good], return_index=True)[1]]].tolist()
+
+
+def _match(percent: int):
+    """Rows sorted by (group, salt, member): first a group's hubs, then its members; links as (a, b)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, hubs, block = None, [], None
         for batch in batches:
-            ok = np.zeros(batch.num_rows, bool)
-            left, right = batch.column("set_a"), batch.column("set_b")
-            for i in range(batch.num_rows):
-                a, b = (np.frombuffer(x[i].as_buffer(), np.uint64) for x in (left, right))
-                total = len(a) + len(b)
-                alpha = -(-percent * total // (100 + percent))
-                if _suffix_apart(a, b, 3) > total - 2 * alpha:
-                    continue
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                ok[i] = 100 * both >= percent * (total - both)
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(ok)), batch.column("b").filter(pa.array(ok))], names=["a", "b"])
+            a, b = [], []
+            cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("grp", "salt", "member", "cls", "root")]
+            sets = batch.column("grams")
+            for i, (grp, salt, member, cls, root) in enumerate(zip(*cols, strict=True)):
+                if key != (grp, salt):
+                    key, hubs, block = (grp, salt), [], None
+                grams = _unpack(sets[i].as_py())
+                if not member:
+                    hubs.append((cls, root, grams))
+                elif hubs:
+                    block = block or _Block(hubs)
+                    found = block.links(cls, root, grams, percent)
+                    a += [cls] * len(found)
+                    b += found
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return run
 
 
-def _sets(width: int):
+def _send(width: int):
+    """A text's packed set, once for each group it is sent to."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cls, packed = [], []
-            for _, _, _, _, words in words_by_row(batch.column("text"), BLANK_WORDS):
-                if len(grams := shingles(words, width)):
-                    cls.append(set_key(grams))
-                    packed.append(grams.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(packed, pa.binary())], names=["cls", "grams"])
+            cls, to = batch.column("cls").to_pylist(), batch.column("sent").to_pylist()
+            out: list[tuple] = []
+            for i, _, _, _, words in words_by_row(batch.column("text"), BLANK_WORDS):
+                grams = shingles(words, width)
+                if len(grams) and set_key(grams) == cls[i]:
+                    packed = _pack(grams)
+                    out += [(x["grp"], x["salt"], x["member"], cls[i], x["root"], packed) for x in to[i]]
+            cols = list(zip(*out, strict=True)) or [[]] * 6
+            types = (pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["grp", "salt", "member", "cls", "root", "grams"])
 
     return run
 
 
+def _verified(docs: DataFrame, classes: DataFrame, hubs: DataFrame, members: DataFrame, width: int, percent: int, ws: Workspace, name: str) -> DataFrame:
+    """Links between ``hubs(grp, cls, root)`` and ``members(grp, cls, root)`` of the same group."""
+    members = ws.save(members.select("grp", "cls", "root").distinct(), f"{name}-members")
+    parts = members.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK_MEMBERS).cast("int").alias("parts"))
+    hubs = hubs.select("grp", "cls", "root").distinct().join(parts, "grp").withColumn("salt", F.explode(F.expr("sequence(0, parts - 1)")))
+    salted = members.join(parts, "grp").withColumn("salt", F.expr("cast(pmod(xxhash64(cls), parts) as int)"))
+    sent = hubs.withColumn("member", F.lit(False)).unionByName(salted.withColumn("member", F.lit(True)))
+    by_class = sent.groupBy("cls").agg(F.collect_list(F.struct("grp", "salt", "member", "root")).alias("sent"))
+    wanted = ws.save(by_class.join(classes, "cls").select("cls", "least_id", "sent"), f"{name}-wanted")
+    small = wanted.agg(F.count("*").alias("n"), F.sum(F.size("sent")).alias("m")).first()
+    few = small.n + (small.m or 0) <= BROADCAST_ROWS
+    # a class all of whose doc_ids are null has a null least_id: the null-safe comparison finds its text
+    texts = docs.join(F.broadcast(wanted) if few else wanted, docs["doc_id"].eqNullSafe(wanted["least_id"])).select("cls", "sent", "text")
+    rows = texts.mapInArrow(_send(width), "grp long, salt int, member boolean, cls long, root long, grams binary")
+    dealt = rows.repartition("grp", "salt").sortWithinPartitions("grp", "salt", "member")
+    return ws.save(dealt.mapInArrow(_match(percent), "a long, b long"), name)
+
+
 def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75, ws: Workspace | None = None) -> DataFrame:
     """``docs(doc_id, text, ...)`` -> ``(doc_id, n_shingles, component_id)``, one row for each row of ``docs``.
 
@@ -251,44 +322,25 @@ def _links(spark: SparkSession, docs: DataFrame, told: DataFrame, classes: DataF
     postings = docs.mapInArrow(_prefixes(width, percent, order), _POSTING)
     dealt = postings.repartition("gram", "salt").sortWithinPartitions("gram", "salt", "cls")
     held = ws.save(dealt.mapInArrow(_holders, _POSTING + ", rank long, hub long, hub_n int, hub_pos int"), "held")
-    sets = _needed_sets(docs, held, classes, width, ws)
-
-    def verified(pairs: DataFrame, name: str) -> DataFrame:
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        both = pairs.join(sets.select(F.col("cls").alias("a"), F.col("grams").alias("set_a")), "a").join(sets.select(F.col("cls").alias("b"), F.col("grams").alias("set_b")), "b")
-        return ws.save(both.mapInArrow(_verify(percent), "a long, b long"), name)
-
-    star = held.filter("rank > 0").filter(_passes(percent, "n", "pos", "hub_n", "hub_pos")).select(F.col("hub").alias("a"), F.col("cls").alias("b"))
-    links, k, lo, hi = verified(star, "links-0"), 0, 0, 4
-    size = held.agg(F.count("*").alias("n"), F.max("rank").alias("rank")).first()
-    while size.n and lo <= size.rank:
-        k += 1
-        comp = connected_components(links, ws, f"round{k}")
-        named = held.join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-        counts = named.groupBy("gram", "root").agg(F.count("*").alias("c"))
-        open_ = counts.groupBy("gram").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("m2")).filter("m * m > m2")
-        active = ws.save(named.join(open_.select("gram"), "gram", "left_semi").select("gram", "salt", "cls", "n", "pos", "rank", "root"), f"active-{k}")
-        left = open_.agg(F.sum((F.col("m") * F.col("m") - F.col("m2")) / 2)).first()[0]
-        if not left:
-            break
-        last = left <= FINAL_FACTOR * size.n
-        hubs = active.filter(f"rank >= {lo}" if last else f"rank >= {lo} and rank < {hi}")
-        a, b = hubs.alias("a"), active.alias("b")
-        cross = a.join(b, (F.col("a.gram") == F.col("b.gram")) & F.expr("(a.rank < b.rank or a.rank = b.rank and a.salt < b.salt) and a.root <> b.root and not (a.rank = 0 and a.salt = b.salt)") & F.expr(_passes(percent, "a.n", "a.pos", "b.n", "b.pos")))
-        more = verified(cross.select(F.col("a.cls").alias("a"), F.col("b.cls").alias("b")), f"links-{k}")
-        links = links.unionByName(more)
-        if last:
-            break
-        lo, hi = hi, hi * 4
-    return links
-
-
-def _needed_sets(docs: DataFrame, held: DataFrame, classes: DataFrame, width: int, ws: Workspace) -> DataFrame:
-    """The sets of the classes that share a prefix 5-gram with another, from one document each."""
-    wanted = held.select("cls").distinct()
-    ids = ws.save(classes.join(wanted, "cls", "left_semi").select(F.col("least_id").alias("doc_id")), "wanted")
-    small = ids.count() <= BROADCAST_ROWS
-    # a class all of whose doc_ids are null has a null least_id: the null-safe comparison finds its text
-    texts = docs.join(F.broadcast(ids.distinct()) if small else ids.distinct(), docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
-    found = texts.select("text").mapInArrow(_sets(width), "cls long, grams binary").groupBy("cls").agg(F.first("grams").alias("grams"))
-    return ws.save(found, "sets")
+
+    star = held.filter("rank > 0").filter(_passes(percent, "n", "pos", "hub_n", "hub_pos"))
+    members = star.select(F.col("hub").alias("grp"), "cls", F.col("cls").alias("root"))
+    links = _verified(docs, classes, star.select(F.col("hub").alias("grp"), F.col("hub").alias("cls"), F.col("hub").alias("root")), members, width, percent, ws, "star")
+
+    comp = connected_components(links, ws, "stars")
+    named = held.join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    spread = named.groupBy("gram").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y")
+    open_ = ws.save(named.join(spread.select("gram"), "gram", "left_semi").select("gram", "cls", "n", "pos", "root", "hub"), "open")
+    # a class's home: the block of its least hub that its key picks
+    home = open_.groupBy("cls").agg(F.min("hub").alias("home"), F.first("n").alias("n"))
+    blocks = home.groupBy("home").agg(F.ceil(F.sum("n") / BLOCK_GRAMS).alias("parts"))
+    home = ws.save(home.join(blocks, "home").select("cls", F.expr("xxhash64(home, pmod(xxhash64(cls, 1), parts))").alias("grp")), "home")
+    placed = ws.save(open_.join(home, "cls"), "placed")
+    held_by = placed.groupBy("gram", "grp").agg(F.min("n").alias("n_min"), F.max("n").alias("n_max"), F.max(F.col("n") - F.col("pos")).alias("rest"), F.min("root").alias("x"), F.max("root").alias("y"))
+    one = placed.withColumnRenamed("grp", "own").join(held_by, "gram").filter("own >= grp and not (x = y and x = root)")
+    # the length and positional filters, true for a member when they are for any hub of the block
+    near = one.filter(f"100 * n >= {percent} * n_min and 100 * n_max >= {percent} * n and least(n - pos, rest) >= ceil({percent} * (n + greatest(n_min, n * {percent} / 100D)) / {100 + percent}D - 1e-9)")
+    members = near.select("grp", "cls", "root")
+    hubs = placed.select("grp", "cls", "root").join(members.select("grp").distinct(), "grp", "left_semi")
+    more = _verified(docs, classes, hubs, members, width, percent, ws, "block")
+    return links.unionByName(more)

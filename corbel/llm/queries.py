@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from corbel.llm.jaccard import jaccard_components
 from corbel.llm.leaks import scan_leaks
 from corbel.llm.packing import pack_documents
+from corbel.llm.pii import find_pii
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -89,3 +90,8 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(table(spark, sf_dir, "documents"))
