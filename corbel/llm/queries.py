@@ -10,6 +10,7 @@ from corbel.llm.jaccard import jaccard_components
 from corbel.llm.leaks import scan_leaks
 from corbel.llm.packing import pack_documents
 from corbel.llm.pii import find_pii
+from corbel.llm.vectors import near_vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -95,3 +96,29 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+SQL["op10_embedding_neardup"] = r"""
+WITH RECURSIVE v AS (
+    SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+), ok AS (
+    SELECT vec_id, e FROM v WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0
+), link AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.vec_id < b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.9
+), edge AS (
+    SELECT a, b FROM link UNION SELECT b, a FROM link
+), reach AS (
+    SELECT vec_id, vec_id AS other FROM v
+    UNION
+    SELECT r.vec_id, e.b FROM reach r JOIN edge e ON e.a = r.other
+), c AS (
+    SELECT vec_id, min(other) AS component_id FROM reach GROUP BY 1
+)
+SELECT v.vec_id, (SELECT count(*) FROM edge WHERE edge.a = v.vec_id) AS n_links, c.component_id, v.vec_id = c.component_id AS kept
+FROM v JOIN c USING (vec_id)
+"""
