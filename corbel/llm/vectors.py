@@ -24,7 +24,7 @@ from corbel.llm.components import connected_components
 from corbel.llm.workspace import Workspace
 
 #: Vectors of a tile, on average; two tiles are what a task holds at a time.
-TILE = 512
+TILE = 1024
 #: Coordinates of a block that make its cells.
 CELL_DIMS = 2
 _SLACK = 1e-5
@@ -100,22 +100,30 @@ def _compare(dims: int, width: int, cosine: float):
     edges = np.arange(0, dims, width)
     budget = (2 - 2 * cosine) * (np.minimum(edges + width, dims) - edges) / dims
 
-    def tile(row: dict) -> tuple:
-        raw = np.frombuffer(b"".join(row["vec"]), np.float64).reshape(-1, dims)
+    def tile(column: pa.StructArray, r: int) -> tuple:
+        lists = column.field("vec")
+        a, b = lists.offsets[r].as_py(), lists.offsets[r + 1].as_py()
+        packed = lists.values.slice(a, b - a)
+        start = np.frombuffer(packed.buffers()[1], np.int32)[packed.offset]
+        raw = np.frombuffer(packed.buffers()[2], np.uint8)[start : start + (b - a) * dims * 8].view(np.float64).reshape(-1, dims)
         unit = _unit(raw)
-        return row["key"], unit, unit @ turn, np.array(row["copies"], np.int64)
+        return column.field("key")[r].as_py(), unit, unit @ turn, np.array(column.field("copies")[r].as_py(), np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, counts, others = [], [], []
             for r in range(batch.num_rows):
                 block, same = batch.column("block")[r].as_py(), batch.column("same")[r].as_py()
-                left = tile(batch.column("left")[r].as_py())
-                right = left if same else tile(batch.column("right")[r].as_py())
+                left = tile(batch.column("left"), r)
+                right = left if same else tile(batch.column("right"), r)
                 lo, hi = edges[block], min(dims, edges[block] + width)
-                p, q = left[2][:, lo:hi], right[2][:, lo:hi]
-                near = (p * p).sum(1)[:, None] + (q * q).sum(1)[None, :] - 2 * p @ q.T <= budget[block] + _SLACK
-                i, j = np.nonzero(np.triu(near, 1) if same else near)
+                # |p - q|^2 <= budget as one product: p.q - |p|^2/2 - |q|^2/2 >= -budget/2
+                p, q = (x[2][:, lo:hi].astype(np.float32) for x in (left, right))
+                half_p, half_q = (p * p).sum(1, keepdims=True) / -2, (q * q).sum(1, keepdims=True) / -2
+                near = np.hstack([p, half_p, np.ones_like(half_p)]) @ np.hstack([q, np.ones_like(half_q), half_q]).T >= np.float32(-budget[block] / 2 - _SLACK)
+                i, j = np.divmod(np.flatnonzero(near), len(q))
+                if same:
+                    i, j = i[i < j], j[i < j]
                 for at in range(0, len(i), 50_000):
                     a, b = i[at : at + 50_000], j[at : at + 50_000]
                     # distances by block, in the order of their coordinates: every tile gets the same verdict on a pair
