@@ -10,6 +10,7 @@ from corbel.llm.jaccard import jaccard_components
 from corbel.llm.leaks import scan_leaks
 from corbel.llm.packing import pack_documents
 from corbel.llm.pii import find_pii
+from corbel.llm.quality import score_quality
 from corbel.llm.vectors import near_vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -122,3 +123,8 @@ WITH RECURSIVE v AS (
 SELECT v.vec_id, (SELECT count(*) FROM edge WHERE edge.a = v.vec_id) AS n_links, c.component_id, v.vec_id = c.component_id AS kept
 FROM v JOIN c USING (vec_id)
 """
+
+
+@query
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"))
