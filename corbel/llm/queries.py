@@ -5,13 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from corbel.llm.jaccard import jaccard_components
 from corbel.llm.leaks import scan_leaks
 from corbel.llm.packing import pack_documents
 from corbel.llm.pii import find_pii
+from corbel.llm.preferences import degraded, format_preferences, siblings
 from corbel.llm.quality import score_quality
+from corbel.llm.rollups import TokenRollup, corpus_changes
 from corbel.llm.vectors import near_vectors
+from corbel.llm.workspace import Workspace
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -128,3 +132,76 @@ FROM v JOIN c USING (vec_id)
 @query
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rollup = TokenRollup(spark, Workspace(spark, "rollup").root)
+    changes = corpus_changes(table(spark, sf_dir, "documents"))
+    for batch, rows in [*changes.items(), ("load", changes["load"])]:  # the replay commits nothing
+        rollup.apply(batch, rows)
+    return rollup.totals()
+
+
+SQL["op3_token_counts"] = r"""
+WITH d AS (
+    SELECT doc_id, source, lang, coalesce(text, '') AS text FROM documents
+), c AS (
+    SELECT *, doc_id > min(doc_id) OVER (PARTITION BY text) AS copy,
+           len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS blank1,
+           len(regexp_extract_all(text, '[^\x20\x09-\x0D]*[A-Za-z0-9\x{80}-\x{10FFFF}][^\x20\x09-\x0D]*')) AS blank2,
+           len(regexp_extract_all(text, '[A-Za-z0-9\x{80}-\x{10FFFF}]+')) AS runs
+    FROM d
+), k AS (
+    SELECT source, lang, 'blank-1' AS tokenizer, blank2 AS n FROM c WHERE NOT copy UNION ALL SELECT source, lang, 'runs-1', runs FROM c WHERE NOT copy
+)
+SELECT source, lang, tokenizer, count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_tokens FROM k GROUP BY 1, 2, 3
+"""
+
+
+@query
+def op8_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    both, pairs = degraded(turns)
+    out = format_preferences(both, pairs.unionByName(siblings(turns)))
+    spans = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["start"].cast("string"), x["end"].cast("string"))), ",")
+    return out.withColumns({"chosen_mask": spans("chosen_mask"), "rejected_mask": spans("rejected_mask")})
+
+
+SQL["op8_preferences"] = r"""
+WITH ends AS (
+    SELECT conv_id, max(turn) AS last, min(turn) AS first, arg_min(text, turn) AS first_text FROM conversations WHERE role = 'assistant' GROUP BY 1
+), turns AS (
+    SELECT conv_id, turn, role, text FROM conversations
+    UNION ALL
+    SELECT -conv_id - 1, turn, role, CASE WHEN turn = last AND role = 'assistant' THEN CASE WHEN first < last THEN first_text ELSE 'I cannot help with that.' END ELSE text END
+    FROM conversations JOIN ends USING (conv_id)
+), opening AS (
+    SELECT conv_id, arg_min(role || chr(10) || text, turn) AS o FROM conversations GROUP BY 1
+), pairs AS (
+    SELECT conv_id AS chosen_id, -conv_id - 1 AS rejected_id FROM ends
+    UNION ALL
+    SELECT m, conv_id FROM (SELECT conv_id, min(conv_id) OVER (PARTITION BY o) AS m FROM opening) WHERE conv_id > m
+), t AS (
+    SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS i, role, text, '<|' || role || '|>' || chr(10) || text || chr(10) || '<|end|>' || chr(10) AS line FROM turns
+), pairwise AS (
+    SELECT chosen_id, rejected_id, i, c.role = r.role AND c.text = r.text AS same
+    FROM pairs JOIN t c ON c.conv_id = chosen_id LEFT JOIN t r ON r.conv_id = rejected_id AND r.i = c.i
+), n AS (
+    SELECT chosen_id, rejected_id, count(*) FILTER (WHERE ok) AS n
+    FROM (SELECT *, bool_and(coalesce(same, false)) OVER (PARTITION BY chosen_id, rejected_id ORDER BY i) AS ok FROM pairwise) GROUP BY 1, 2
+), side AS (
+    SELECT chosen_id, rejected_id, n, true AS chosen, t.* FROM n JOIN t ON conv_id = chosen_id
+    UNION ALL
+    SELECT chosen_id, rejected_id, n, false, t.* FROM n JOIN t ON conv_id = rejected_id
+), placed AS (
+    SELECT *, sum(CASE WHEN i > n THEN length(line) ELSE 0 END) OVER (PARTITION BY chosen_id, rejected_id, chosen ORDER BY i) AS done FROM side
+)
+SELECT chosen_id, rejected_id, CAST(any_value(n) AS INTEGER) AS n_prompt_turns,
+       coalesce(string_agg(line, '' ORDER BY i) FILTER (WHERE chosen AND i <= n), '') AS prompt,
+       coalesce(string_agg(line, '' ORDER BY i) FILTER (WHERE chosen AND i > n), '') AS chosen,
+       coalesce(string_agg(line, '' ORDER BY i) FILTER (WHERE NOT chosen AND i > n), '') AS rejected,
+       coalesce(string_agg(CAST(done - length(text) - 9 AS BIGINT) || ':' || CAST(done AS BIGINT), ',' ORDER BY i) FILTER (WHERE chosen AND i > n AND role = 'assistant'), '') AS chosen_mask,
+       coalesce(string_agg(CAST(done - length(text) - 9 AS BIGINT) || ':' || CAST(done AS BIGINT), ',' ORDER BY i) FILTER (WHERE NOT chosen AND i > n AND role = 'assistant'), '') AS rejected_mask
+FROM placed GROUP BY 1, 2
+"""
