@@ -185,7 +185,7 @@ WITH ends AS (
 ), t AS (
     SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS i, role, text, '<|' || role || '|>' || chr(10) || text || chr(10) || '<|end|>' || chr(10) AS line FROM turns
 ), pairwise AS (
-    SELECT chosen_id, rejected_id, i, c.role = r.role AND c.text = r.text AS same
+    SELECT chosen_id, rejected_id, c.i, c.role = r.role AND c.text = r.text AS same
     FROM pairs JOIN t c ON c.conv_id = chosen_id LEFT JOIN t r ON r.conv_id = rejected_id AND r.i = c.i
 ), n AS (
     SELECT chosen_id, rejected_id, count(*) FILTER (WHERE ok) AS n
