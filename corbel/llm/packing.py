@@ -32,6 +32,8 @@ POPULATION = 4
 CHILDREN = 12
 #: Word forms a worker keeps with their ids (about 40 bytes each).
 CACHE_WORDS = 1_500_000
+#: Pieces of words it keeps besides (about 150 bytes each).
+CACHE_PIECES = 400_000
 
 
 # --- token ids ---------------------------------------------------------------------------------------------------
@@ -60,47 +62,58 @@ class WordIds:
 
     def _clear(self) -> None:
         self.keys, self.at, self.count, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.known: dict[str, np.ndarray] = {}
+
+    def _split(self, word: bytes) -> list[str]:
+        text = word.decode() if word.isascii() else unicodedata.normalize("NFC", word.decode())
+        if text.isalpha():
+            return [text]
+        if text[-1] in ".," and text[:-1].isalpha():
+            return [text[:-1], text[-1]]
+        return self.pieces.findall(text)
 
     def _encode(self, words: list[bytes]) -> list[np.ndarray]:
-        parts = [self.pieces.findall(unicodedata.normalize("NFC", w.decode())) for w in words]
-        known = {p: i for i, p in enumerate(dict.fromkeys(p for w in parts for p in w))}
-        names, ids = list(known), []
+        parts = [self._split(w) for w in words]
+        if len(self.known) > CACHE_PIECES:
+            self.known = {}
+        known = self.known
+        names = list(dict.fromkeys(p for w in parts for p in w if p not in known))
         for lo in range(0, len(names), 256):
             some = names[lo : lo + 256]
             e = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
             owner = np.array(e.word_ids, np.int64)
             if len(owner) and owner[-1] == len(some) - 1 and len(np.unique(owner)) == len(some):
-                ids += np.split(np.array(e.ids, np.uint32), np.flatnonzero(np.diff(owner)) + 1)
+                ids = np.split(np.array(e.ids, np.uint32), np.flatnonzero(np.diff(owner)) + 1)
             else:  # a piece that folding or composing splits further
-                ids += [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
-        return [ids[known[w[0]]] if len(w) == 1 else np.concatenate([np.zeros(0, np.uint32), *(ids[known[p]] for p in w)]) for w in parts]
+                ids = [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+            known.update(zip(some, ids, strict=True))
+        return [known[w[0]] if len(w) == 1 else np.concatenate([np.zeros(0, np.uint32), *(known[p] for p in w)]) for w in parts]
 
-    def _learn(self, part: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> None:
-        new, first = np.unique(hashes, return_index=True)
+    def _learn(self, part: np.ndarray, starts: np.ndarray, ends: np.ndarray, new: np.ndarray, first: np.ndarray) -> None:
+        """Ids for those of the distinct words ``new``, first seen at ``first``, that are not kept yet."""
+        slot = np.searchsorted(self.keys, new)
         if len(self.keys):
-            slot = np.minimum(np.searchsorted(self.keys, new), len(self.keys) - 1)
-            fresh = self.keys[slot] != new
-            new, first = new[fresh], first[fresh]
+            fresh = self.keys[np.minimum(slot, len(self.keys) - 1)] != new
+            if len(self.keys) + fresh.sum() > CACHE_WORDS:
+                self._clear()
+                slot = np.zeros(len(new), np.int64)
+            else:
+                new, first, slot = new[fresh], first[fresh], slot[fresh]
         if not len(new):
             return
-        if len(self.keys) + len(new) > CACHE_WORDS:
-            self._clear()
-            new, first = np.unique(hashes, return_index=True)
         found = self._encode([part[starts[i] : ends[i]].tobytes() for i in first])
         count = np.array([len(x) for x in found], np.int64)
         at = len(self.flat) + np.r_[0, np.cumsum(count)[:-1]]
-        keys = np.concatenate([self.keys, new])
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.at, self.count = keys[order], np.concatenate([self.at, at])[order], np.concatenate([self.count, count])[order]
+        self.keys, self.at, self.count = np.insert(self.keys, slot, new), np.insert(self.at, slot, at), np.insert(self.count, slot, count)
         self.flat = np.concatenate([self.flat, *found])
 
     def ids(self, part: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the words in a row, and each word's first place among them (with the end)."""
-        self._learn(part, starts, ends, hashes)
-        slot = np.searchsorted(self.keys, hashes)
-        count, at = self.count[slot], self.at[slot]
-        ends_ = np.cumsum(count)
-        begin = np.r_[0, ends_]
+        new, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+        self._learn(part, starts, ends, new, first)
+        slot = np.searchsorted(self.keys, new)
+        count, at = self.count[slot][which], self.at[slot][which]
+        begin = np.r_[0, np.cumsum(count)]
         take = np.repeat(at - begin[:-1], count) + np.arange(begin[-1])
         return self.flat[take], begin
 
@@ -266,6 +279,7 @@ def _bound(limit: int):
 def _pack(shards: DataFrame, limit: int, ws: Workspace, name: str) -> DataFrame:
     """``shards(shard, lengths)`` -> (shard, n_bins, numbers): a bin for every place of ``lengths``."""
     shards = ws.save(shards.withColumn("bound", _bound(limit)("lengths")), f"{name}-shards")
+    tasks = min(4096, ISLANDS * shards.count())  # a number given keeps small partitions apart
     islands = shards.withColumn("island", F.explode(F.array(*[F.lit(i) for i in range(ISLANDS)])))
     best = None
     for epoch in range(EPOCHS):
@@ -275,7 +289,7 @@ def _pack(shards: DataFrame, limit: int, ws: Workspace, name: str) -> DataFrame:
             migrants = best.groupBy("shard").agg(F.collect_list(F.struct("island", "numbers")).alias("all"), F.min("n_bins").alias("least"))
             # an island starts from its own best solution and that of its neighbour
             open_ = islands.join(migrants, "shard").filter("least > bound").withColumn("elites", F.expr(f"transform(filter(all, x -> x.island = island or x.island = (island + {ISLANDS - 1}) % {ISLANDS}), x -> x.numbers)")).drop("all", "least")
-        done = ws.save(open_.repartition("shard", "island").mapInArrow(_island(limit, epoch), "shard long, island int, n_bins int, numbers array<int>"), f"{name}-epoch{epoch}")
+        done = ws.save(open_.repartition(tasks, "shard", "island").mapInArrow(_island(limit, epoch), "shard long, island int, n_bins int, numbers array<int>"), f"{name}-epoch{epoch}")
         if best is not None:
             done = best.unionByName(done)
         best = done
