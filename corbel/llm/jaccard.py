@@ -312,6 +312,20 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75, ws: W
     return info.join(by_class, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce(F.when(F.col("cls").isNotNull(), F.col("component_id")), "doc_id").alias("component_id"))
 
 
+def keep_representatives(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
+    """The rows of ``docs`` whose ``doc_id`` is the least of its group of linked documents, unchanged.
+
+    Of rows that repeat such an id one stays; rows without an id stay.
+    """
+    ws = Workspace(docs.sparkSession, "representatives")
+    found = ws.save(jaccard_components(docs, width, percent, ws).filter("doc_id = component_id").select("doc_id"), "kept")
+    n, ids = found.count(), found.distinct()
+    kept = docs.join(F.broadcast(ids) if n <= BROADCAST_ROWS else ids, "doc_id", "left_semi")
+    if ids.count() < n:
+        kept = kept.dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.filter("doc_id is null")).select(docs.columns)
+
+
 def _links(spark: SparkSession, docs: DataFrame, told: DataFrame, classes: DataFrame, width: int, percent: int, ws: Workspace) -> DataFrame:
     """Verified pairs of classes that connect all classes that links connect."""
     counters = np.zeros(SKETCH, np.int64)

@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 
 from corbel.llm.jaccard import jaccard_components
 from corbel.llm.leaks import scan_leaks
+from corbel.llm.licences import scan_licences
 from corbel.llm.packing import pack_documents
 from corbel.llm.pii import find_pii
 from corbel.llm.preferences import degraded, format_preferences, siblings
 from corbel.llm.quality import score_quality
 from corbel.llm.rollups import TokenRollup, corpus_changes
+from corbel.llm.secrets import scan_secrets
 from corbel.llm.vectors import near_vectors
 from corbel.llm.workspace import Workspace
 
@@ -205,3 +207,19 @@ SELECT chosen_id, rejected_id, CAST(any_value(n) AS INTEGER) AS n_prompt_turns,
        coalesce(string_agg(CAST(done - length(text) - 9 AS BIGINT) || ':' || CAST(done AS BIGINT), ',' ORDER BY i) FILTER (WHERE NOT chosen AND i > n AND role = 'assistant'), '') AS rejected_mask
 FROM placed GROUP BY 1, 2
 """
+
+
+def placed(docs: DataFrame) -> DataFrame:
+    """Documents as files: source/language/shelf of 64 ids; the first id of a shelf is the shelf's NOTICE."""
+    name = F.when(F.col("doc_id") % 64 == 0, F.lit("NOTICE")).otherwise(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    return docs.withColumn("path", F.concat_ws("/", "source", "lang", F.concat(F.lit("b"), F.floor(F.col("doc_id") / 64).cast("string")), name))
+
+
+@query
+def op1_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licences(placed(table(spark, sf_dir, "documents")).select("doc_id", "path", "text"))
+
+
+@query
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(placed(table(spark, sf_dir, "documents")))
