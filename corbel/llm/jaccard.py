@@ -34,8 +34,8 @@ from corbel.llm.workspace import Workspace
 SKETCH = 1 << 20
 #: 5-grams that a task gathers before it counts repeats among them.
 GATHER = 4_000_000
-#: At most so many representatives (16 bytes each) are broadcast; more are joined by shuffle.
-BROADCAST_ROWS = 1_000_000
+#: At most so many rows (about 100 bytes each) are broadcast; more are joined by shuffle.
+BROADCAST_ROWS = 500_000
 #: 5-grams of a block, and members that one task compares with a block.
 BLOCK_GRAMS = 40_000
 BLOCK_MEMBERS = 5_000
@@ -226,30 +226,53 @@ class _Block:
 
 
 def _match(percent: int):
-    """Rows sorted by (group, salt, member): first a group's hubs, then its members; links as (a, b)."""
+    """Rows sorted by (group, salt, member): first a group's hubs, then its members; links as (a, b).
+
+    Hubs are compared with each other too, in the first of the salted parts of their group.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, hubs, block = None, [], None
+        found: list[tuple[int, int]] = []
+
+        def close() -> None:
+            nonlocal block
+            if hubs and block is None:
+                block = _Block(hubs)
+                if key[1] == 0 and len(hubs) > 1:
+                    for cls, root, grams in hubs:
+                        found.extend((cls, b) for b in block.links(cls, root, grams, percent))
+
+        def out() -> pa.RecordBatch:
+            a, b = zip(*found, strict=True) if found else ((), ())
+            found.clear()
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
         for batch in batches:
-            a, b = [], []
             cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("grp", "salt", "member", "cls", "root")]
             sets = batch.column("grams")
             for i, (grp, salt, member, cls, root) in enumerate(zip(*cols, strict=True)):
                 if key != (grp, salt):
+                    close()
                     key, hubs, block = (grp, salt), [], None
                 grams = _unpack(sets[i].as_py())
                 if not member:
                     hubs.append((cls, root, grams))
                 elif hubs:
-                    block = block or _Block(hubs)
-                    found = block.links(cls, root, grams, percent)
-                    a += [cls] * len(found)
-                    b += found
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                    close()
+                    found.extend((cls, b) for b in block.links(cls, root, grams, percent))
+            yield out()
+        close()
+        yield out()
 
     return run
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """A broadcast hint for what was counted and is small; else the table as it is."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def _send(width: int):
     """A text's packed set, once for each group it is sent to."""
 
@@ -273,8 +296,8 @@ def _verified(docs: DataFrame, classes: DataFrame, hubs: DataFrame, members: Dat
     """Links between ``hubs(grp, cls, root)`` and ``members(grp, cls, root)`` of the same group."""
     members = ws.save(members.select("grp", "cls", "root").distinct(), f"{name}-members")
     parts = members.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK_MEMBERS).cast("int").alias("parts"))
-    hubs = hubs.select("grp", "cls", "root").distinct().join(parts, "grp").withColumn("salt", F.explode(F.expr("sequence(0, parts - 1)")))
-    salted = members.join(parts, "grp").withColumn("salt", F.expr("cast(pmod(xxhash64(cls), parts) as int)"))
+    hubs = hubs.select("grp", "cls", "root").distinct().join(parts, "grp", "left").withColumn("salt", F.explode(F.expr("sequence(0, coalesce(parts, 1) - 1)"))).drop("parts")
+    salted = members.join(parts, "grp").withColumn("salt", F.expr("cast(pmod(xxhash64(cls), parts) as int)")).drop("parts")
     sent = hubs.withColumn("member", F.lit(False)).unionByName(salted.withColumn("member", F.lit(True)))
     by_class = sent.groupBy("cls").agg(F.collect_list(F.struct("grp", "salt", "member", "root")).alias("sent"))
     wanted = ws.save(by_class.join(classes, "cls").select("cls", "least_id", "sent"), f"{name}-wanted")
@@ -306,7 +329,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75, ws: W
 
     links = _links(spark, docs, told, classes, width, percent, ws)
     comp = connected_components(links, ws, "components")
-    ids = classes.join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    ids = classes.join(_small(comp.withColumnRenamed("node", "cls")), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = ids.groupBy("root").agg(F.min("least_id").alias("component_id"))
     by_class = ws.save(ids.join(least, "root").select("cls", "component_id"), "by-class")
     return info.join(by_class, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce(F.when(F.col("cls").isNotNull(), F.col("component_id")), "doc_id").alias("component_id"))
@@ -342,19 +365,22 @@ def _links(spark: SparkSession, docs: DataFrame, told: DataFrame, classes: DataF
     links = _verified(docs, classes, star.select(F.col("hub").alias("grp"), F.col("hub").alias("cls"), F.col("hub").alias("root")), members, width, percent, ws, "star")
 
     comp = connected_components(links, ws, "stars")
-    named = held.join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    named = held.join(_small(comp.withColumnRenamed("node", "cls")), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     spread = named.groupBy("gram").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y")
-    open_ = ws.save(named.join(spread.select("gram"), "gram", "left_semi").select("gram", "cls", "n", "pos", "root", "hub"), "open")
+    spread = ws.save(spread.select("gram"), "spread")
+    open_ = ws.save(named.join(_small(spread), "gram", "left_semi").select("gram", "cls", "n", "pos", "root", "hub"), "open")
     # a class's home: the block of its least hub that its key picks
     home = open_.groupBy("cls").agg(F.min("hub").alias("home"), F.first("n").alias("n"))
     blocks = home.groupBy("home").agg(F.ceil(F.sum("n") / BLOCK_GRAMS).alias("parts"))
     home = ws.save(home.join(blocks, "home").select("cls", F.expr("xxhash64(home, pmod(xxhash64(cls, 1), parts))").alias("grp")), "home")
-    placed = ws.save(open_.join(home, "cls"), "placed")
+    placed = ws.save(open_.join(_small(home), "cls"), "placed")
     held_by = placed.groupBy("gram", "grp").agg(F.min("n").alias("n_min"), F.max("n").alias("n_max"), F.max(F.col("n") - F.col("pos")).alias("rest"), F.min("root").alias("x"), F.max("root").alias("y"))
     one = placed.withColumnRenamed("grp", "own").join(held_by, "gram").filter("own >= grp and not (x = y and x = root)")
     # the length and positional filters, true for a member when they are for any hub of the block
     near = one.filter(f"100 * n >= {percent} * n_min and 100 * n_max >= {percent} * n and least(n - pos, rest) >= ceil({percent} * (n + greatest(n_min, n * {percent} / 100D)) / {100 + percent}D - 1e-9)")
-    members = near.select("grp", "cls", "root")
-    hubs = placed.select("grp", "cls", "root").join(members.select("grp").distinct(), "grp", "left_semi")
+    near = ws.save(near.select("own", "grp", "cls", "root").distinct(), "near")
+    # classes of one block meet there as hubs; only those of other blocks are sent besides
+    members = near.filter("own <> grp")
+    hubs = placed.select("grp", "cls", "root").distinct().join(near.select("grp").distinct(), "grp", "left_semi")
     more = _verified(docs, classes, hubs, members, width, percent, ws, "block")
     return links.unionByName(more)
