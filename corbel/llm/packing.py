@@ -279,7 +279,7 @@ def _bound(limit: int):
 def _pack(shards: DataFrame, limit: int, ws: Workspace, name: str) -> DataFrame:
     """``shards(shard, lengths)`` -> (shard, n_bins, numbers): a bin for every place of ``lengths``."""
     shards = ws.save(shards.withColumn("bound", _bound(limit)("lengths")), f"{name}-shards")
-    tasks = min(4096, ISLANDS * shards.count())  # a number given keeps small partitions apart
+    tasks = max(1, min(4096, ISLANDS * shards.count()))  # a number given keeps small partitions apart
     islands = shards.withColumn("island", F.explode(F.array(*[F.lit(i) for i in range(ISLANDS)])))
     best = None
     for epoch in range(EPOCHS):

@@ -137,6 +137,7 @@ _SLOT = _RNG.integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint6
 
 def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
     """A hash for each run of ``width`` consecutive word hashes; the width is part of it."""
+    width = int(width)
     n = len(words) - width + 1
     if n <= 0 or width < 1:
         return np.zeros(0, np.uint64)
