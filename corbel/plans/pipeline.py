@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corbel.errors import ConsistencyError, SpecError, UnsupportedStepError
 from corbel.functions.expressions import derive, evaluate
@@ -185,7 +186,7 @@ def assert_consistent(model: PipelineModel, df: DataFrame, rows: int = 200, tole
     base = sample[0]
     extra = [{**base, f: None} for f in model.features]
     sentinels = next((s.sentinels for s in model.steps if isinstance(s, CleanModel)), ())
-    schema = df.select(*model.features).schema
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in df.select(*model.features).schema])
     numeric = {f.name for f in schema if f.dataType.typeName() not in ("string",)}
     extra += [{**base, f: type(base[f])(s) if base[f] is not None else None} for f in model.features if f in numeric for s in sentinels]
     double = {f.name for f in schema if f.dataType.typeName() == "double"}

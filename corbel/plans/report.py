@@ -27,7 +27,8 @@ class SubSection:
 class ReportContext:
     """The analysis table, with ``tag`` telling datasets apart and label 0 good, 1 bad, -1 gray.
 
-    If ``model`` is given, rows are scored once, into ``score``.
+    If ``model`` is given, rows are scored once, into ``score``, and kept (in memory, or on disk where it is short);
+    ``close`` lets them go.
     """
 
     df: DataFrame
@@ -47,11 +48,14 @@ class ReportContext:
 
     def __post_init__(self) -> None:
         if self.model is not None and self.score not in self.df.columns:
-            self.df = self.model.score(self.df).withColumnRenamed(self.model.steps[-1].output, self.score)  # type: ignore[attr-defined]
+            self.df = self.model.score(self.df).withColumnRenamed(self.model.steps[-1].output, self.score).persist()  # type: ignore[attr-defined]
         if self.features is None:
             gone = {self.label, self.tag, self.score, self.baseline, self.time, *self.extra_labels, *self.sub_scores}
             self.features = [c for c in self.df.columns if c not in gone]
 
+    def close(self) -> None:
+        self.df.unpersist()
+
     @property
     def spark(self):
         return self.df.sparkSession
@@ -137,7 +141,10 @@ def var_binning(ctx: ReportContext) -> list[SubSection]:
     step = next((s for s in ctx.model.steps if isinstance(s, WoeModel) and s.bins), None) if ctx.model else None
     if step is None:
         return [SubSection("Bins", ctx.placeholder("the model has no bins"))]
-    return [SubSection("Bins", binned_counts(ctx.df, step, ctx.label))]
+    df = ctx.df
+    for before in ctx.model.steps[: ctx.model.steps.index(step)]:
+        df = before.transform(df)
+    return [SubSection("Bins", binned_counts(df, step, ctx.label))]
 
 
 def binned_counts(df: DataFrame, step: WoeModel, label: str) -> DataFrame:
