@@ -31,9 +31,9 @@ EPOCHS = 2
 POPULATION = 4
 CHILDREN = 12
 #: Word forms a worker keeps with their ids (about 40 bytes each).
-CACHE_WORDS = 1_500_000
-#: Pieces of words it keeps besides (about 150 bytes each).
-CACHE_PIECES = 400_000
+CACHE_WORDS = 800_000
+#: Pieces of words it keeps besides (about 200 bytes each).
+CACHE_PIECES = 250_000
 
 
 # --- token ids ---------------------------------------------------------------------------------------------------
@@ -62,7 +62,7 @@ class WordIds:
 
     def _clear(self) -> None:
         self.keys, self.at, self.count, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
-        self.known: dict[str, np.ndarray] = {}
+        self.known: dict[str, bytes] = {}
 
     def _split(self, word: bytes) -> list[str]:
         text = word.decode() if word.isascii() else unicodedata.normalize("NFC", word.decode())
@@ -72,7 +72,8 @@ class WordIds:
             return [text[:-1], text[-1]]
         return self.pieces.findall(text)
 
-    def _encode(self, words: list[bytes]) -> list[np.ndarray]:
+    def _encode(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word, packed in four bytes each."""
         parts = [self._split(w) for w in words]
         if len(self.known) > CACHE_PIECES:
             self.known = {}
@@ -86,8 +87,8 @@ class WordIds:
                 ids = np.split(np.array(e.ids, np.uint32), np.flatnonzero(np.diff(owner)) + 1)
             else:  # a piece that folding or composing splits further
                 ids = [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
-            known.update(zip(some, ids, strict=True))
-        return [known[w[0]] if len(w) == 1 else np.concatenate([np.zeros(0, np.uint32), *(known[p] for p in w)]) for w in parts]
+            known.update(zip(some, (x.tobytes() for x in ids), strict=True))
+        return [known[w[0]] if len(w) == 1 else b"".join(known[p] for p in w) for w in parts]
 
     def _learn(self, part: np.ndarray, starts: np.ndarray, ends: np.ndarray, new: np.ndarray, first: np.ndarray) -> None:
         """Ids for those of the distinct words ``new``, first seen at ``first``, that are not kept yet."""
@@ -102,10 +103,10 @@ class WordIds:
         if not len(new):
             return
         found = self._encode([part[starts[i] : ends[i]].tobytes() for i in first])
-        count = np.array([len(x) for x in found], np.int64)
+        count = np.array([len(x) // 4 for x in found], np.int64)
         at = len(self.flat) + np.r_[0, np.cumsum(count)[:-1]]
         self.keys, self.at, self.count = np.insert(self.keys, slot, new), np.insert(self.at, slot, at), np.insert(self.count, slot, count)
-        self.flat = np.concatenate([self.flat, *found])
+        self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(found), np.uint32)])
 
     def ids(self, part: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the words in a row, and each word's first place among them (with the end)."""

@@ -7,6 +7,7 @@ so a block of text costs a few numpy passes and no Python work per word.
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 from collections.abc import Iterator
 
@@ -14,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Texts are hashed in pieces of about so many bytes, which bounds the scratch arrays.
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 18
 #: Longer words are hashed one by one; they never straddle a piece undecided.
 LONG_WORD = 4096
 
@@ -58,6 +59,15 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+def release_memory() -> None:
+    """Give freed memory back to the system: Python workers live on between tasks and share the executor's memory."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def lowered(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of a string column with A-Z folded, and the offset of every row (nulls are empty)."""
     if isinstance(column, pa.ChunkedArray):
@@ -123,7 +133,7 @@ def hash_words(buf: np.ndarray, offsets: np.ndarray, letters: np.ndarray) -> tup
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def row_blocks(offsets: np.ndarray, size: int = 4 * PIECE_BYTES) -> Iterator[tuple[int, int]]:
+def row_blocks(offsets: np.ndarray, size: int = 1 << 21) -> Iterator[tuple[int, int]]:
     """Ranges of rows whose texts together hold about ``size`` bytes (a longer row stands alone)."""
     lo, n = 0, len(offsets) - 1
     while lo < n:
@@ -149,6 +159,7 @@ def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
 
 def words_by_block(column: pa.Array, letters: np.ndarray) -> Iterator[tuple]:
     """Blocks of rows: first row, end row, folded bytes, first word of every row and the end, starts, ends, hashes."""
+    release_memory()
     buf, offsets = lowered(column)
     for lo, hi in row_blocks(offsets):
         base = offsets[lo]
