@@ -25,6 +25,16 @@ def long_form(df: DataFrame, features: Sequence[str], keep: Sequence[str] = ())
     return df.select(*keep, cells.alias("cell")).select(*keep, "cell.feature", "cell.value")
 
 
+def _places(df: DataFrame, features: Sequence[str], keep: Sequence[str]) -> DataFrame:
+    """(keep..., place, value): as ``long_form``, with a feature's place instead of its name, for grouping many rows."""
+    cells = F.posexplode(F.array(*[number(F.col(f"`{f}`")) for f in features])).alias("place", "value")
+    return df.select(*keep, cells)
+
+
+def _named(features: Sequence[str]) -> Column:
+    return F.element_at(F.array(*[F.lit(f) for f in features]), F.col("place") + 1).alias("feature")
+
+
 def profile(df: DataFrame, features: Sequence[str], keys: Sequence[str] = (), probabilities: Sequence[float] = (0, 0.25, 0.5, 0.75, 1)) -> DataFrame:
     """Per feature: n, n_missing, missing_rate, n_distinct, distinct_ratio, mean, variance (ddof 1), quantiles."""
     cells = long_form(df, features, keys)
@@ -53,12 +63,12 @@ def woe_table(df: DataFrame, features: Sequence[str], label: str, keys: Sequence
     Totals count every row, also where the value is missing; the smoothing uses the number of the feature's values.
     """
     y = F.col(label)
-    cells = long_form(df.filter(y.isin(0, 1)), features, [*keys, label])
-    cell = cells.groupBy(*keys, "feature", "value").agg(F.sum(y).alias("n_pos"), F.sum(1 - y).alias("n_neg"))
-    each = Window.partitionBy(*keys, "feature")
-    cell = cell.withColumns({"pos": F.sum("n_pos").over(each), "neg": F.sum("n_neg").over(each), "k": F.count("value").over(each)}).filter("value is not null")
-    dp, dn = (F.col("n_pos") + eps) / (F.col("pos") + eps * F.col("k")), (F.col("n_neg") + eps) / (F.col("neg") + eps * F.col("k"))
-    return cell.select(*keys, "feature", "value", "n_pos", "n_neg", F.ln(dp / dn).alias("woe"), ((dp - dn) * F.ln(dp / dn)).alias("iv_part"))
+    cells = _places(df.filter(y.isin(0, 1)), features, [*keys, label])
+    cell = cells.groupBy(*keys, "place", "value").agg(F.sum(y).alias("n_pos"), F.count("*").alias("n"))
+    each = Window.partitionBy(*keys, "place")
+    cell = cell.withColumns({"pos": F.sum("n_pos").over(each), "all": F.sum("n").over(each), "k": F.count("value").over(each), "n_neg": F.col("n") - F.col("n_pos")}).filter("value is not null")
+    dp, dn = (F.col("n_pos") + eps) / (F.col("pos") + eps * F.col("k")), (F.col("n_neg") + eps) / (F.col("all") - F.col("pos") + eps * F.col("k"))
+    return cell.select(*keys, _named(features), "value", "n_pos", "n_neg", F.ln(dp / dn).alias("woe"), ((dp - dn) * F.ln(dp / dn)).alias("iv_part"))
 
 
 def information_value(df: DataFrame, features: Sequence[str], label: str, keys: Sequence[str] = (), eps: float = EPS) -> DataFrame:
