@@ -110,7 +110,8 @@ def _prefixes(width: int, percent: int, order):
                 out.append((grams[first].view(np.int64), np.full(len(first), key), np.full(len(first), n, np.int32), np.arange(len(first), dtype=np.int32), often[first] // HOT))
             if out:
                 gram, cls, n, pos, more = (np.concatenate(x) for x in zip(*out, strict=True))
-                salt = np.where(more > 0, (cls & np.int64(0x7FFFFFFF)) % (more + 1), 0).astype(np.int32)
+                # 0 is for 5-grams that are not salted, so that _holders can tell a salted one by any of its groups
+                salt = np.where(more > 0, (cls & np.int64(0x7FFFFFFF)) % (more + 1) + 1, 0).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(salt), pa.array(cls), pa.array(n), pa.array(pos)], names=["gram", "salt", "cls", "n", "pos"])
 
     return run
@@ -150,7 +151,7 @@ def _holders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 head[k][group > 0] = v[start][group[group > 0] - 1]
             if hub is not None:
                 head[k][group == 0] = hub[k]
-        # groups that end here with one class only are left out, but a salted gram has other groups
+        # groups that end here with one class only are left out, but a salted gram may have other groups
         size = np.bincount(group[keep], minlength=group[-1] + 1)
         many = size[group] > 1
         many[group == 0] = rank + 1 + size[0] > 1

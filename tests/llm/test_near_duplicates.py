@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from corbel.llm import jaccard
 from corbel.llm.jaccard import jaccard_components, keep_representatives
 from corbel.llm.vectors import near_vectors
 
@@ -62,6 +63,14 @@ def test_components_match_all_pairs(spark, seed, groups, size):
     assert got == brute(rows)
 
 
+def test_components_with_hot_shingles(spark, monkeypatch):
+    """Nearly every shared 5-gram is salted, so most of its groups have one class."""
+    monkeypatch.setattr(jaccard, "HOT", 1)
+    rows = corpus(4, 60, 2)
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(df).collect()} == brute(rows)
+
+
 def test_edges_of_jaccard(spark):
     """Exactly three quarters links; repeated rows, null ids, long texts, clashing columns."""
     base = [f"x{k}" for k in range(25)]  # 21 shingles
