@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from corbel.llm.wordhash import ALNUM_WORDS, words_by_block
 from corbel.llm.workspace import Workspace
 
-#: Short forms of the licences looked for.
+#: Short forms and standard notices of the licences looked for.
 TEMPLATES = (
     ("MIT", "Released under the MIT License."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
@@ -25,15 +26,32 @@ TEMPLATES = (
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
+    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0'),
+    *((name, f"This program is free software: you can redistribute it and/or modify it under the terms of the GNU {kind}General Public License as published by the Free Software Foundation, either version {version} of the License, or (at your option) any later version.")
+      for name, kind, version in (("GPL-3.0", "", "3"), ("GPL-2.0", "", "2"), ("LGPL-2.1", "Lesser ", "2.1"), ("LGPL-3.0", "Lesser ", "3"), ("AGPL-3.0", "Affero ", "3"))),
+    ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
+    ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
+    ("LGPL-2.1", "This work is licensed under the GNU Lesser General Public License, version 2.1."),
+    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
 )
+#: Whole licences, a file each; AGPL 3 is the wording of GPL 3 under its own name.
+TEXTS_DIR = Path(__file__).with_name("licence_texts")
+#: Whole licences of at most so many words also stand in the heads of other files.
+SHORT_WORDS = 600
 #: A line or file is a licence when its best cosine reaches this.
 COSINE = 0.75
-#: Whole texts of at most so many words are compared too; licence texts are longer only as files of their own name.
-FILE_WORDS = 4000
 LICENCE_NAMES = r"(?i)^(licen[cs]e|copying|notice)([.-].*)?$"
 #: At most so many directories (path and licence) are broadcast.
 BROADCAST_DIRS = 200_000
-_LINE = re.compile(r"\n")
+
+
+def licence_texts() -> tuple[tuple[str, str], ...]:
+    found = {p.stem: p.read_text() for p in sorted(TEXTS_DIR.glob("*.txt"))}
+    found["AGPL-3.0"] = re.sub(r"(?i)(\bGNU\s+)(General\s+Public\s+License)", r"\1Affero \2", found["GPL-3.0"])
+    return tuple(found.items())
 
 
 class _Index:
@@ -50,6 +68,7 @@ class _Index:
         for k, c in enumerate(self.counts):
             for term, n in c.items():
                 self.tf[k, np.searchsorted(self.terms, np.uint64(term))] = n
+        self.words = self.tf.sum(1).astype(int)
 
     def weigh(self, df: np.ndarray, n_docs: int) -> None:
         self.idf = np.log((1 + n_docs) / (1 + df)) + 1
@@ -88,44 +107,73 @@ def _term_counts(index: _Index):
     return run
 
 
+def _runs(ends: np.ndarray, weight: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Runs of lines of at most ``most`` words, and single lines of any length, that may reach the cosine.
+
+    A line without known words at either end only lowers the cosine, so runs begin and end with known ones.
+    """
+    some = np.flatnonzero(weight[ends[1:]] > weight[ends[:-1]])  # lines with known words
+    first, last = ends[some], ends[some + 1]
+    for more in range(len(some)):
+        x, y = first[: len(some) - more], last[more:]
+        short = y - x <= most
+        if more and not short.any():
+            break
+        known = weight[y] - weight[x]
+        # the cosine is at most the root of the share of known words: few known, no match
+        for i in np.flatnonzero((known >= np.maximum(2, 0.3 * (y - x))) & (short | (more == 0))):
+            yield x[i], y[i]
+
+
 def _detect(shared, least: float, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = shared.value
+        index, whole, brief = shared.value
+        most, longest = 2 * index.words.max(), 2 * brief.words.max(initial=0)
         for batch in batches:
             found, score, kind = [None] * batch.num_rows, [0.0] * batch.num_rows, [None] * batch.num_rows
             for lo, hi, part, cuts, split, starts, _, hashes in words_by_block(batch.column("text"), ALNUM_WORDS):
-                slot = index.slots(hashes)
+                slot, slot_w = index.slots(hashes), whole.slots(hashes)
                 newline = np.cumsum(part == 10) if len(part) else np.zeros(0, np.int64)
                 line = newline[starts] if len(starts) else np.zeros(0, np.int64)
-                weight = np.r_[0, np.cumsum(slot >= 0)]
+                weight, weight_w = np.r_[0, np.cumsum(slot >= 0)], np.r_[0, np.cumsum(slot_w >= 0)]
                 for r in range(hi - lo):
                     a, b = split[r], split[r + 1]
                     if a == b:
                         continue
+                    if weight_w[b] - weight_w[a] >= max(2, 0.3 * (b - a)):
+                        cos, k = whole.best(hashes[a:b], slot_w[a:b])
+                        if cos >= least:  # the file is the licence; its lines say less
+                            score[lo + r], found[lo + r], kind[lo + r] = cos, whole.names[k], "file"
+                            continue
                     ends = np.r_[a, np.flatnonzero(np.diff(line[a:b])) + a + 1, b]
-                    units = [(x, y, "header") for x, y in zip(ends[:-1], ends[1:], strict=True)]
-                    if b - a <= FILE_WORDS:
+                    units = [(x, y, "header") for x, y in _runs(ends, weight, most)]
+                    if weight[b] - weight[a] >= max(2, 0.3 * (b - a)):
                         units.append((a, b, "file"))
-                    best = (0.0, 0, None)
+                    best, at = (0.0, 0, None), a
                     for x, y, what in units:
-                        # the cosine is at most the root of the share of known words: few known, no match
-                        if weight[y] - weight[x] >= max(2, 0.3 * (y - x)):
-                            cos, k = index.best(hashes[x:y], slot[x:y])
-                            if cos > best[0]:
-                                best = (cos, k, what)
+                        cos, k = index.best(hashes[x:y], slot[x:y])
+                        if cos > best[0]:
+                            best, at = (cos, k, what), x
                     if best[0] >= least:
                         score[lo + r], found[lo + r], kind[lo + r] = best[0], index.names[best[1]], best[2]
+                        # several licences begin alike: a whole one from here on says which
+                        slot_b = brief.slots(hashes[at : min(b, at + longest)])
+                        on = [(brief.best(hashes[at:y], slot_b[: y - at]), y) for y in ends if at < y <= at + longest]
+                        if on and (top := max(on))[0][0] >= least:
+                            score[lo + r], found[lo + r], kind[lo + r] = top[0][0], brief.names[top[0][1]], best[2]
             cols = [*(batch.column(c) for c in names), pa.array(found, pa.string()), pa.array(score, pa.float64()), pa.array(kind, pa.string())]
             yield pa.RecordBatch.from_arrays(cols, names=[*names, "licence", "cosine", "via"])
 
     return run
 
 
-def scan_licences(files: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, least: float = COSINE, ws: Workspace | None = None) -> DataFrame:
+def scan_licences(files: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, least: float = COSINE, ws: Workspace | None = None, texts: tuple[tuple[str, str], ...] | None = None) -> DataFrame:
     """``files(path, text, ...)`` -> ``path``, the key columns given besides ``text``, licence, cosine, via, inherited_from.
 
-    Each line of a file, and the whole of a file of at most ``FILE_WORDS`` words, is compared with every template by
-    TF-IDF cosine: terms are runs of letters and digits (A-Z folded), a term's weight its count times
+    The whole of each file, whatever its length, is compared with ``texts`` (whole licences, by default those of
+    ``TEXTS_DIR``).  If none matches, its lines, its runs of neighbouring lines (up to twice as long as the longest
+    template) and its whole are compared with ``templates``, and what follows a match with the shorter ``texts``.  The
+    measure is the TF-IDF cosine: terms are runs of letters and digits (A-Z folded), a term's weight its count times
     ln((1 + N) / (1 + df)) + 1 with document counts over all files, 0 for words no template has.  ``via`` is header or
     file.  A file without a licence of its own inherits that of the nearest directory above it (its own first) that
     holds a licence file: one named LICENSE, COPYING or NOTICE with a match; of several, the least path.  Then ``via``
@@ -134,13 +182,16 @@ def scan_licences(files: DataFrame, templates: tuple[tuple[str, str], ...] = TEM
     """
     spark = files.sparkSession
     ws = ws or Workspace(spark, "licences")
-    index = _Index(list(templates))
-    counts = files.select("text").mapInArrow(_term_counts(index), "term int, df long").groupBy("term").agg(F.sum("df").alias("df")).collect()  # a row for each term
+    texts = licence_texts() if texts is None else texts
+    every = _Index([*templates, *texts])
+    index, whole, brief = _Index(list(templates)), _Index(list(texts)), _Index([t for t in texts if len(t[1].split()) <= SHORT_WORDS])
+    counts = files.select("text").mapInArrow(_term_counts(every), "term int, df long").groupBy("term").agg(F.sum("df").alias("df")).collect()  # a row for each term
     df = {r.term: r.df for r in counts}
-    index.weigh(np.array([df.get(k, 0) for k in range(len(index.terms))], float), df.get(-1, 0))
+    for x in (index, whole, brief):
+        x.weigh(np.array([df.get(k, 0) for k in every.slots(x.terms).tolist()], float), df.get(-1, 0))
     names = [c for c in files.columns if c not in ("text", "licence", "cosine", "via", "inherited_from")]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema if f.name in names)
-    own = files.select(*names, "text").mapInArrow(_detect(spark.sparkContext.broadcast(index), least, names), f"{fields}, licence string, cosine double, via string")
+    own = files.select(*names, "text").mapInArrow(_detect(spark.sparkContext.broadcast((index, whole, brief)), least, names), f"{fields}, licence string, cosine double, via string")
     own = ws.save(own.withColumn("__dir", F.regexp_replace("path", "/?[^/]*$", "")), "own")
 
     named = own.filter(F.col("licence").isNotNull() & F.element_at(F.split("path", "/"), -1).rlike(LICENCE_NAMES))

@@ -215,6 +215,19 @@ def test_licences_and_inheritance(spark):
     assert licences.scan_licences(df.limit(0)).collect() == []
 
 
+def test_whole_licences_and_wrapped_notices(spark):
+    text = dict(licences.licence_texts())
+    held = lambda name: text[name].replace("Copyright (c)", "Copyright (c) 1999 Jo Doe and the others,")
+    wrap = lambda t: "".join(f"# {' '.join(t.split()[k : k + 7])}\n" for k in range(0, len(t.split()), 7))
+    notice = "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 2.1 of the License, or (at your option) any later version."
+    rows = [(f"{k}/LICENSE", held(k), k) for k in text] + [
+        ("x/a.py", f"import os\n{wrap(notice)}\nreturn 1", "LGPL-2.1"), ("x/b.c", f"int x;\n{wrap(text['BSD-2-Clause'].split('reserved.')[1])}int main;", "BSD-2-Clause"),
+        ("x/c.c", f"int x;\n{wrap(text['BSD-3-Clause'].split('reserved.')[1])}int main;", "BSD-3-Clause"), ("x/d.c", wrap("Licensed under CC BY-SA 4.0.") + "int y;", "CC-BY-SA-4.0"),
+    ] + [(f"y/{k}.py", f"plain words of file {k} and the other words\nthat are of no licence to anyone", None) for k in range(30)]
+    got = {r.path: r.licence for r in licences.scan_licences(spark.createDataFrame([r[:2] for r in rows], "path string, text string")).collect()}
+    assert got == {p: k for p, _, k in rows}
+
+
 # --- secrets -------------------------------------------------------------------------------------------------------
 
 
