@@ -118,6 +118,21 @@ def test_pii_query_and_redaction(spark):
     assert pii.find_pii(df.limit(0), model).count() == 0
 
 
+def test_pii_adds_what_base_rules_miss(spark):
+    rng = random.Random(3)
+    number = lambda: f"(555) 555-{rng.randint(1000, 9999)}"
+    rows = []
+    for k in range(400):
+        rows += [f"note {k} call +1 {number()} or mail u{k}@mail.example.com", f"please call {number()} today", f"contact jo{k} at mail dot example dot org now"]
+        rows += [f"on 2024-0{k % 9 + 1}-1{k % 8} 10.15.{k % 60:02d} it ran", f"order {rng.randint(10**9, 10**12)} came", f"it was seen at site{k}.example.com again"]
+    model = pii.fit_pii(spark.createDataFrame([(t,) for t in rows], "text string"))
+    added = lambda t: [(k, t[a:b]) for k, a, b in model.spans(t)[1]]
+    assert added("you may call (555) 321-7788 in time") == [("phone", "(555) 321-7788")]
+    assert added("so contact ann at post dot example dot net soon") == [("email", "ann at post dot example dot net")]
+    for clean in ("on 2023-05-17 11.45.31 it ran", "order 4455667788 came", "it was seen at place.example.com again"):
+        assert added(clean) == [], clean
+
+
 def test_boosting_separates():
     from corbel.llm.boosting import BoostedTrees, platt, sigmoid
 
