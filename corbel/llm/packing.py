@@ -11,7 +11,6 @@ Last, the worst-filled bins of all shards are taken apart and packed once more t
 from __future__ import annotations
 
 import os
-import unicodedata
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -21,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corbel.llm.wordhash import BLANK_WORDS, words_by_block
+from corbel.llm.wordhash import hash_spans, lowered, release_memory, row_blocks
 from corbel.llm.workspace import Workspace
 
 #: Pieces of a shard, on average; the bound of what one task packs.
@@ -30,117 +29,212 @@ ISLANDS = 2
 EPOCHS = 2
 POPULATION = 4
 CHILDREN = 12
-#: Word forms a worker keeps with their ids (about 40 bytes each).
-CACHE_WORDS = 800_000
-#: Pieces of words it keeps besides (about 200 bytes each).
-CACHE_PIECES = 250_000
 
 
 # --- token ids ---------------------------------------------------------------------------------------------------
 
+_BLANK, _LETTER, _DIGIT, _MARK, _WHOLE = range(5)
 
-class WordIds:
-    """Token ids of words, each distinct one encoded once by the given tokenizer.
 
-    The vocabulary's rules drop white space and never look past it, so a text's ids are those of its words in
-    a row.  Distinct words are told apart by 64-bit hashes of their bytes with A-Z folded (the tokenizer folds
-    case itself).
+def _byte_classes() -> np.ndarray:
+    """What the tokenizer file's splitting rule does with each byte of a folded ASCII text.
+
+    Runs of letters, single digits and runs of marks are pieces.  A word with an apostrophe (it may begin a contraction), a
+    control character or a byte of another script is left whole, for the tokenizer itself to split.
+    """
+    out = np.full(256, _WHOLE, np.uint8)
+    out[0x21:0x7F] = _MARK
+    out[0x61:0x7B], out[0x30:0x3A], out[0x27] = _LETTER, _DIGIT, _WHOLE
+    out[[0x20, *range(0x09, 0x0E)]] = _BLANK
+    return out
+
+
+_CLASS = _byte_classes()
+#: Second bytes of the letters U+00C0-U+00FF, which follow 0xC3; the signs for times and divided by are none.
+_LATIN = np.zeros(256, bool)
+_LATIN[0x80:0xC0] = True
+_LATIN[[0x97, 0xB7]] = False
+
+
+def pieces(part: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and kinds of the pieces of texts that ``cuts`` delimits in the folded UTF-8 bytes ``part``."""
+    kind, n = _CLASS[part], len(part)
+    latin = np.flatnonzero((part[:-1] == 0xC3) & _LATIN[part[1:]])
+    kind[latin] = kind[latin + 1] = _LETTER
+    cut = cuts[(cuts > 0) & (cuts < n)]
+    if (kind == _WHOLE).any():
+        inside = kind != _BLANK
+        first, last = inside.copy(), inside.copy()
+        first[1:] &= ~inside[:-1]
+        last[:-1] &= ~inside[1:]
+        first[cut], last[cut - 1] = inside[cut], inside[cut - 1]
+        starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+        whole = np.add.reduceat(kind == _WHOLE, starts, dtype=np.int64) > 0
+        step = np.zeros(n + 1, np.int8)
+        step[starts[whole]] += 1
+        np.subtract.at(step, ends[whole], 1)
+        kind[np.cumsum(step[:-1], dtype=np.int8) > 0] = _WHOLE
+    some = kind != _BLANK
+    first = some.copy()
+    first[1:] &= (kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT)
+    first[cut] = some[cut]
+    last = some.copy()
+    last[:-1] &= first[1:] | ~some[1:]
+    starts = np.flatnonzero(first)
+    return starts, np.flatnonzero(last) + 1, kind[starts]
+
+
+class PieceIds:
+    """Token ids of the pieces of texts, each distinct piece encoded once by the given tokenizer.
+
+    The vocabulary's rules drop white space and never look past it, so a text's ids are those of its words in a row, and
+    a plain word's those of its pieces.  A hash table holds what is known by the 64-bit hash of the piece's folded bytes
+    (the tokenizer folds case itself), so a block of text costs a few array look-ups.
     """
 
-    #: The splitting rule that the tokenizer file states.
-    PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    #: Places of the hash table; it is cleared when it is more than two fifths full.
+    PLACES = 1 << 21
+    #: Pieces that are encoded in one string.
+    JOINED = 128
 
     def __init__(self, file: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
         self.tokenizer.encode_special_tokens = True
-        self.pieces = regex.compile(self.PIECES)
         self._clear()
 
     def _clear(self) -> None:
-        self.keys, self.at, self.count, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
-        self.known: dict[str, bytes] = {}
-
-    def _split(self, word: bytes) -> list[str]:
-        text = word.decode() if word.isascii() else unicodedata.normalize("NFC", word.decode())
-        if text.isalpha():
-            return [text]
-        if text[-1] in ".," and text[:-1].isalpha():
-            return [text[:-1], text[-1]]
-        return self.pieces.findall(text)
-
-    def _encode(self, words: list[bytes]) -> list[bytes]:
-        """The ids of each word, packed in four bytes each."""
-        parts = [self._split(w) for w in words]
-        if len(self.known) > CACHE_PIECES:
-            self.known = {}
-        known = self.known
-        names = list(dict.fromkeys(p for w in parts for p in w if p not in known))
-        for lo in range(0, len(names), 256):
-            some = names[lo : lo + 256]
-            e = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
+        self.keys, self.number = np.zeros(self.PLACES, np.uint64), np.zeros(self.PLACES, np.int32)
+        self.size = self.used = 0
+        self.at, self.count, self.flat = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32), np.zeros(1 << 18, np.uint32)
+
+    @staticmethod
+    def _room(a: np.ndarray, n: int) -> np.ndarray:
+        return a if n <= len(a) else np.concatenate([a, np.zeros(max(n, 2 * len(a)) - len(a), a.dtype)])
+
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        """The number of each piece, or -1."""
+        mask = self.PLACES - 1
+        place = (hashes & np.uint64(mask)).astype(np.int64)
+        key = self.keys[place]
+        out = np.where(key == hashes, self.number[place], -1)
+        open_ = np.flatnonzero((key != hashes) & (key != 0))
+        while len(open_):
+            place[open_] = (place[open_] + 1) & mask
+            key = self.keys[place[open_]]
+            hit = key == hashes[open_]
+            out[open_[hit]] = self.number[place[open_[hit]]]
+            open_ = open_[~hit & (key != 0)]
+        return out
+
+    def _insert(self, hashes: np.ndarray, numbers: np.ndarray) -> None:
+        mask = self.PLACES - 1
+        place = (hashes & np.uint64(mask)).astype(np.int64)
+        while len(hashes):
+            free = self.keys[place] == 0
+            taken, one = np.unique(place[free], return_index=True)
+            won = np.flatnonzero(free)[one]
+            self.keys[taken], self.number[taken] = hashes[won], numbers[won]
+            rest = np.ones(len(hashes), bool)
+            rest[won] = False
+            hashes, numbers, place = hashes[rest], numbers[rest], (place[rest] + 1) & mask
+
+    def _encode_plain(self, part: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids in a row and their number for each of some plain pieces: joined by blanks, they stay apart."""
+        size = ends - starts
+        to = np.r_[0, np.cumsum(size + 1)]
+        text = np.full(to[-1], 0x20, np.uint8)
+        text[np.repeat(to[:-1] - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())] = part[np.repeat(starts - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())]
+        ids, count = [], []
+        for lo in range(0, len(starts), self.JOINED):
+            hi = min(lo + self.JOINED, len(starts))
+            e = self.tokenizer.encode(text[to[lo] : to[hi]].tobytes().decode(), add_special_tokens=False)
             owner = np.array(e.word_ids, np.int64)
-            if len(owner) and owner[-1] == len(some) - 1 and len(np.unique(owner)) == len(some):
-                ids = np.split(np.array(e.ids, np.uint32), np.flatnonzero(np.diff(owner)) + 1)
-            else:  # a piece that folding or composing splits further
-                ids = [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
-            known.update(zip(some, (x.tobytes() for x in ids), strict=True))
-        return [known[w[0]] if len(w) == 1 else b"".join(known[p] for p in w) for w in parts]
-
-    def _learn(self, part: np.ndarray, starts: np.ndarray, ends: np.ndarray, new: np.ndarray, first: np.ndarray) -> None:
-        """Ids for those of the distinct words ``new``, first seen at ``first``, that are not kept yet."""
-        slot = np.searchsorted(self.keys, new)
-        if len(self.keys):
-            fresh = self.keys[np.minimum(slot, len(self.keys) - 1)] != new
-            if len(self.keys) + fresh.sum() > CACHE_WORDS:
-                self._clear()
-                slot = np.zeros(len(new), np.int64)
+            n = np.bincount(owner, minlength=hi - lo)
+            if len(n) != hi - lo or not n.all():
+                raise ValueError("the tokenizer splits pieces by another rule")
+            ids.append(np.array(e.ids, np.uint32))
+            count.append(n)
+        return np.concatenate(ids), np.concatenate(count)
+
+    def _learn(self, part: np.ndarray, starts: np.ndarray, ends: np.ndarray, kinds: np.ndarray, hashes: np.ndarray) -> None:
+        for whole in (False, True):
+            at = np.flatnonzero((kinds == _WHOLE) == whole)
+            if not len(at):
+                continue
+            if whole:
+                coded = self.tokenizer.encode_batch_fast([part[a:b].tobytes().decode() for a, b in zip(starts[at], ends[at], strict=True)], add_special_tokens=False)
+                found = [x.ids for x in coded]
+                count = np.array([len(x) for x in found], np.int64)
+                ids = np.array([i for x in found for i in x], np.uint32)
             else:
-                new, first, slot = new[fresh], first[fresh], slot[fresh]
-        if not len(new):
-            return
-        found = self._encode([part[starts[i] : ends[i]].tobytes() for i in first])
-        count = np.array([len(x) // 4 for x in found], np.int64)
-        at = len(self.flat) + np.r_[0, np.cumsum(count)[:-1]]
-        self.keys, self.at, self.count = np.insert(self.keys, slot, new), np.insert(self.at, slot, at), np.insert(self.count, slot, count)
-        self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(found), np.uint32)])
-
-    def ids(self, part: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the words in a row, and each word's first place among them (with the end)."""
-        new, first, which = np.unique(hashes, return_index=True, return_inverse=True)
-        self._learn(part, starts, ends, new, first)
-        slot = np.searchsorted(self.keys, new)
-        count, at = self.count[slot][which], self.at[slot][which]
-        begin = np.r_[0, np.cumsum(count)]
+                ids, count = self._encode_plain(part, starts[at], ends[at])
+            self.at, self.count, self.flat = self._room(self.at, self.size + len(at)), self._room(self.count, self.size + len(at)), self._room(self.flat, self.used + len(ids))
+            self.at[self.size : self.size + len(at)] = self.used + np.r_[0, np.cumsum(count)[:-1]]
+            self.count[self.size : self.size + len(at)] = count
+            self.flat[self.used : self.used + len(ids)] = ids
+            self._insert(hashes[at], np.arange(self.size, self.size + len(at), dtype=np.int32))
+            self.size, self.used = self.size + len(at), self.used + len(ids)
+
+    def ids(self, part: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts in a row, and each text's first place among them (with the end)."""
+        starts, ends, kinds = pieces(part, cuts)
+        hashes = np.maximum(hash_spans(part, starts, ends), np.uint64(1))
+        number = self._find(hashes)
+        if len(new := np.flatnonzero(number < 0)):
+            _, one = np.unique(hashes[new], return_index=True)
+            if self.size + len(one) > self.PLACES * 2 // 5 and self.size:
+                self._clear()
+                new = np.arange(len(hashes))
+                _, one = np.unique(hashes, return_index=True)
+            while self.size + len(one) > self.PLACES * 3 // 5:  # one very long text with more pieces than that
+                self.PLACES *= 2
+                self._clear()
+            first = new[one]
+            self._learn(part, starts[first], ends[first], kinds[first], hashes[first])
+            number = self._find(hashes)
+        count, at = self.count[number], self.at[number]
+        begin = np.r_[0, np.cumsum(count, dtype=np.int64)]
         take = np.repeat(at - begin[:-1], count) + np.arange(begin[-1])
-        return self.flat[take], begin
+        return self.flat[take], begin[np.searchsorted(starts, cuts)]
+
+
+_CODERS: dict[str, PieceIds] = {}
+
+
+def coder_of(file: str) -> PieceIds:
+    """The worker's coder of a tokenizer file; what it knows outlives a task."""
+    if file not in _CODERS:
+        _CODERS[file] = PieceIds(file)
+    return _CODERS[file]
 
 
-_WORDS: dict[str, WordIds] = {}
+def coded_blocks(column: pa.Array, coder: PieceIds) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """For blocks of rows: first row, end row, all their ids, and the place where each row's begin (with the end)."""
+    release_memory()
+    buf, offsets = lowered(column)
+    for lo, hi in row_blocks(offsets):
+        yield lo, hi, *coder.ids(buf[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
 
 
 def _pieces(file: str, limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if file not in _WORDS:
-            _WORDS[file] = WordIds(file)
-        coder = _WORDS[file]
+        coder = coder_of(file)
         for batch in batches:
             doc, piece, start, length, crc = [], [], [], [], []
             ids_of = batch.column("doc_id").to_pylist()
-            for lo, hi, part, _, split, starts, ends, hashes in words_by_block(batch.column("text"), BLANK_WORDS):
-                ids, begin = coder.ids(part, starts, ends, hashes)
+            for lo, hi, ids, begin in coded_blocks(batch.column("text"), coder):
                 for r in range(hi - lo):
-                    own = np.append(ids[begin[split[r]] : begin[split[r + 1]]], np.uint32(0)).astype("<u4")
+                    own = np.append(ids[begin[r] : begin[r + 1]], np.uint32(0)).astype("<u4")
                     for k, at in enumerate(range(0, len(own), limit)):
                         some = own[at : at + limit]
                         doc.append(ids_of[lo + r])
                         piece.append(k)
                         start.append(at)
                         length.append(len(some))
-                        crc.append(zlib.crc32(some.tobytes()))
+                        crc.append(zlib.crc32(some))
             cols = [pa.array(doc, pa.int64()), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "piece", "start", "length", "ids_crc32"])
 

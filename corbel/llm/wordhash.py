@@ -133,6 +133,29 @@ def hash_words(buf: np.ndarray, offsets: np.ndarray, letters: np.ndarray) -> tup
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
+def hash_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of spans of ``buf`` that stand in order and do not overlap, as ``hash_words`` gives them."""
+    out, lo, n = np.empty(len(starts), np.uint64), 0, len(starts)
+    long = np.flatnonzero(ends - starts > LONG_WORD)
+    while lo < n:
+        hi = int(np.searchsorted(starts, starts[lo] + PIECE_BYTES))
+        hi = min(hi, *long[np.searchsorted(long, lo) :][:1].tolist(), n)
+        if hi == lo:  # a long one
+            digest = hashlib.blake2b(buf[starts[lo] : ends[lo]].tobytes(), digest_size=8).digest()
+            out[lo] = int.from_bytes(digest, "little")
+            lo += 1
+            continue
+        base = starts[lo]
+        some = buf[base : ends[hi - 1]]
+        up, down = _powers(len(some) + 1)
+        sums = np.zeros(len(some) + 1, dtype=np.uint64)
+        np.cumsum(_BYTE[some] * up[: len(some)], out=sums[1:])
+        a, b = starts[lo:hi] - base, ends[lo:hi] - base
+        out[lo:hi] = mix((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64))
+        lo = hi
+    return out
+
+
 def row_blocks(offsets: np.ndarray, size: int = 1 << 21) -> Iterator[tuple[int, int]]:
     """Ranges of rows whose texts together hold about ``size`` bytes (a longer row stands alone)."""
     lo, n = 0, len(offsets) - 1
