@@ -27,15 +27,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corbel.llm.components import connected_components
-from corbel.llm.wordhash import BLANK_WORDS, window_hashes, words_by_row
-from corbel.llm.workspace import Workspace
+from corbel.llm.wordhash import BLANK_WORDS, mix, window_hashes, words_by_row
+from corbel.workspace import Workspace
 
 #: Counters of the order table, a power of two (4 MB when broadcast).
 SKETCH = 1 << 20
 #: 5-grams that a task gathers before it counts repeats among them.
 GATHER = 4_000_000
-#: At most so many rows (about 100 bytes each) are broadcast; more are joined by shuffle.
-BROADCAST_ROWS = 500_000
+#: At most so many rows (two or three numbers each, some 10 MB as a hash table) are broadcast; more are joined by shuffle.
+BROADCAST_ROWS = 100_000
+#: Texts are joined with the groups that want them by broadcast while those are at most so many rows (50 MB); beyond that,
+#: texts that a bitmap of wanted ids leaves are shuffled.
+WANTED_ROWS = 500_000
+#: Bits of that bitmap (8 MB whatever the input), and of a part that one task fills.
+WANTED_BITS = 1 << 26
+PART_BITS = 1 << 20
 #: 5-grams of a block, and members that one task compares with a block.
 BLOCK_GRAMS = 40_000
 BLOCK_MEMBERS = 5_000
@@ -90,6 +96,13 @@ def _describe(width: int):
     return run
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slots and hits of a batch as two byte strings."""
+    for batch in batches:
+        slot, hits = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("slot", "hits"))
+        yield pa.RecordBatch.from_arrays([pa.array([slot.astype("<i4").tobytes()]), pa.array([np.minimum(hits, 2**31 - 1).astype("<i4").tobytes()])], names=["slot", "hits"])
+
+
 def least_share(n: int, percent: int) -> int:
     """The least overlap of a set of ``n`` with any set it links to."""
     return -(-percent * n // 100)
@@ -274,6 +287,57 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def _places(ids: pa.Array) -> np.ndarray:
+    """The bit of each id; that of a missing one is 0."""
+    return (mix(ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)) & np.uint64(WANTED_BITS - 1)).astype(np.int64)
+
+
+def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        at = np.unique(_places(batch.column("id")))
+        yield pa.RecordBatch.from_arrays([pa.array((at // PART_BITS).astype(np.int32)), pa.array((at % PART_BITS).astype(np.int32))], names=["part", "bit"])
+
+
+def _filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of bits sorted by part: each part as bytes."""
+    part, bits = None, None
+
+    def out() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([np.packbits(bits).tobytes()])], names=["part", "bits"])
+
+    for batch in batches:
+        parts, at = (batch.column(c).to_numpy() for c in ("part", "bit"))
+        for p in np.unique(parts):
+            if p != part:
+                if part is not None:
+                    yield out()
+                part, bits = int(p), np.zeros(PART_BITS, bool)
+            bits[at[parts == p]] = True
+    if part is not None:
+        yield out()
+
+
+def _bitmap(ids: DataFrame):
+    """A broadcast bitmap of ``ids(id)``."""
+    parts = ids.mapInArrow(_bits, "part int, bit int").repartition("part").sortWithinPartitions("part").mapInArrow(_filled, "part int, bits binary")
+    whole = np.zeros(WANTED_BITS // 8, np.uint8)
+    for r in parts.toLocalIterator():  # WANTED_BITS / PART_BITS rows
+        whole[r.part * PART_BITS // 8 : (r.part + 1) * PART_BITS // 8] = np.frombuffer(r.bits, np.uint8)
+    return ids.sparkSession.sparkContext.broadcast(whole)
+
+
+def _among(docs: DataFrame, bitmap, inside: bool = True) -> DataFrame:
+    """Rows of ``docs`` whose ``doc_id`` may be in the bitmap (all that are, and few others), or the rest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = _places(batch.column("doc_id").cast(pa.int64()))
+            hit = (bitmap.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+            yield batch.filter(pa.array(hit == inside))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def _send(width: int):
     """A text's packed set, once for each group it is sent to."""
 
@@ -303,12 +367,15 @@ def _verified(docs: DataFrame, classes: DataFrame, hubs: DataFrame, members: Dat
     by_class = sent.groupBy("cls").agg(F.collect_list(F.struct("grp", "salt", "member", "root")).alias("sent"))
     wanted = ws.save(by_class.join(classes, "cls").select("cls", "least_id", "sent"), f"{name}-wanted")
     small = wanted.agg(F.count("*").alias("n"), F.sum(F.size("sent")).alias("m")).first()
-    few = small.n + (small.m or 0) <= BROADCAST_ROWS
+    few = small.n + (small.m or 0) <= WANTED_ROWS
+    docs = docs if few else _among(docs, _bitmap(wanted.select(F.col("least_id").alias("id"))))
     # a class all of whose doc_ids are null has a null least_id: the null-safe comparison finds its text
     texts = docs.join(F.broadcast(wanted) if few else wanted, docs["doc_id"].eqNullSafe(wanted["least_id"])).select("cls", "sent", "text")
     rows = texts.mapInArrow(_send(width), "grp long, salt int, member boolean, cls long, root long, grams binary")
     dealt = rows.repartition("grp", "salt").sortWithinPartitions("grp", "salt", "member")
-    return ws.save(dealt.mapInArrow(_match(percent), "a long, b long"), name)
+    links = ws.save(dealt.mapInArrow(_match(percent), "a long, b long"), name)
+    ws.drop(f"{name}-members", f"{name}-wanted")
+    return links
 
 
 def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75, ws: Workspace | None = None) -> DataFrame:
@@ -326,13 +393,14 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75, ws: W
     docs = docs.select("doc_id", "text")
     told = ws.save(docs.mapInArrow(_describe(width), "doc_id long, n long, cls long, slot long, hits long"), "told")
     info = told.filter("slot is null").select("doc_id", "n", "cls")
-    classes = info.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("least_id"), F.first("n").alias("n"))
+    classes = ws.save(info.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("least_id"), F.first("n").alias("n")), "classes")
 
     links = _links(spark, docs, told, classes, width, percent, ws)
     comp = connected_components(links, ws, "components")
     ids = classes.join(_small(comp.withColumnRenamed("node", "cls")), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = ids.groupBy("root").agg(F.min("least_id").alias("component_id"))
     by_class = ws.save(ids.join(least, "root").select("cls", "component_id"), "by-class")
+    ws.drop("classes", "star", "block")
     return info.join(by_class, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce(F.when(F.col("cls").isNotNull(), F.col("component_id")), "doc_id").alias("component_id"))
 
 
@@ -342,20 +410,30 @@ def keep_representatives(docs: DataFrame, width: int = 5, percent: int = 75) ->
     Of rows that repeat such an id one stays; rows without an id stay.
     """
     ws = Workspace(docs.sparkSession, "representatives")
-    found = ws.save(jaccard_components(docs, width, percent, ws).filter("doc_id = component_id").select("doc_id"), "kept")
-    n, ids = found.count(), found.distinct()
-    kept = docs.join(F.broadcast(ids) if n <= BROADCAST_ROWS else ids, "doc_id", "left_semi")
-    if ids.count() < n:
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter("doc_id is null")).select(docs.columns)
+    found = jaccard_components(docs, width, percent, ws).filter("doc_id is not null")
+    each = found.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("stays"), F.count("*").alias("n"))
+    # most documents stay, so those that do not are what is looked up, and ids that repeat
+    odd = ws.save(each.filter("not stays or n > 1").select("doc_id", "stays"), "odd")
+    n = odd.agg(F.count("*").alias("n"), F.count_if("stays").alias("repeated")).first()
+    clear, doubtful = docs.filter("doc_id is null"), docs.filter("doc_id is not null")
+    if n.n > BROADCAST_ROWS:
+        # only texts that a bitmap of those ids leaves are shuffled
+        bitmap = _bitmap(odd.select(F.col("doc_id").alias("id")))
+        clear, doubtful = clear.unionByName(_among(doubtful, bitmap, False)), _among(doubtful, bitmap)
+    ids = odd.select("doc_id")
+    kept = clear.unionByName(doubtful.join(F.broadcast(ids) if n.n <= BROADCAST_ROWS else ids, "doc_id", "left_anti"))
+    if n.repeated:
+        kept = kept.unionByName(doubtful.join(odd.filter("stays").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    return kept.select(docs.columns)
 
 
 def _links(spark: SparkSession, docs: DataFrame, told: DataFrame, classes: DataFrame, width: int, percent: int, ws: Workspace) -> DataFrame:
     """Verified pairs of classes that connect all classes that links connect."""
-    counters = np.zeros(SKETCH, np.int64)
-    sums = told.filter("slot is not null").groupBy("slot").agg(F.sum("hits").alias("hits")).toPandas()  # at most SKETCH rows
-    counters[sums["slot"].to_numpy(np.int64)] = sums["hits"].to_numpy(np.int64)
-    order = spark.sparkContext.broadcast(np.minimum(counters, 2**31 - 1).astype(np.int32))
+    counters = np.zeros(SKETCH, np.int32)
+    sums = told.filter("slot is not null").groupBy("slot").agg(F.sum("hits").alias("hits"))
+    for r in sums.mapInArrow(_packed, "slot binary, hits binary").toLocalIterator():  # at most SKETCH numbers
+        counters[np.frombuffer(r.slot, "<i4")] = np.frombuffer(r.hits, "<i4")
+    order = spark.sparkContext.broadcast(counters)
 
     postings = docs.mapInArrow(_prefixes(width, percent, order), _POSTING)
     dealt = postings.repartition("gram", "salt").sortWithinPartitions("gram", "salt", "cls")
@@ -384,4 +462,5 @@ def _links(spark: SparkSession, docs: DataFrame, told: DataFrame, classes: DataF
     members = near.filter("own <> grp")
     hubs = placed.select("grp", "cls", "root").distinct().join(near.select("grp").distinct(), "grp", "left_semi")
     more = _verified(docs, classes, hubs, members, width, percent, ws, "block")
+    ws.drop("held", "spread", "open", "home", "placed", "near")
     return links.unionByName(more)

@@ -3,7 +3,7 @@
 Unit vectors have cosine >= c exactly when their squared distance is at most 2 - 2c.  The vectors are rotated and
 split into blocks of few dimensions; a block's budget is its share of that distance, by its share of the dimensions,
 so a pair within the whole distance is within the budget of some block.  Each block is joined by range: vectors fall
-into cells as wide as the budget's root, over the block's first coordinates, and meet those of their own and the
+into cells as wide as the budget's root, over some of the block's coordinates (more where there are more vectors), and meet those of their own and the
 adjacent cells.  Cells are cut into tiles of bounded size; two tiles meet in one task, as matrices.  What passes a
 block's budget is verified by cosine in double precision, and reported by the first block whose budget it is within.
 A tile pair returns counts for vectors and a spanning set of links, never a row for each pair.
@@ -21,12 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corbel.llm.components import connected_components
-from corbel.llm.workspace import Workspace
+from corbel.workspace import Workspace
 
 #: Vectors of a tile, on average; two tiles are what a task holds at a time.
 TILE = 1024
-#: Coordinates of a block that make its cells.
-CELL_DIMS = 2
+#: Coordinates of a block that make its cells, at least and at most; each doubles or trebles the number of cells in use.
+CELL_DIMS = (2, 6)
 _SLACK = 1e-5
 
 
@@ -61,7 +61,12 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
 
 
-def _cells(dims: int, width: int, cosine: float):
+def cell_dims(n: int, width: int) -> int:
+    """As many coordinates as leave some quarter of a tile in a cell, about six places of each coordinate being in use."""
+    return min(width, max(CELL_DIMS[0], min(CELL_DIMS[1], int(np.log(max(1.0, 4 * n / TILE)) / np.log(6)))))
+
+
+def _cells(dims: int, width: int, cosine: float, places: int):
     turn, reach = rotation(dims), np.sqrt((2 - 2 * cosine) * width / dims) * (1 + _SLACK)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -71,9 +76,10 @@ def _cells(dims: int, width: int, cosine: float):
             raw = np.stack([np.frombuffer(x.as_py(), np.float64) for x in batch.column("vec")])
             x = _unit(raw) @ turn
             for k in range(0, dims, width):
-                some = x[:, k : k + width][:, :CELL_DIMS]
+                some = x[:, k : min(k + width, k + places)]
                 # the last block may be narrower: its budget, and so its reach, is smaller in proportion
                 cell = np.floor(some / min(reach, np.sqrt((2 - 2 * cosine) * (min(dims, k + width) - k) / dims) * (1 + _SLACK))).astype(np.int32)
+                cell = np.pad(cell, ((0, 0), (0, places - cell.shape[1])))  # a narrow last block
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(raw), k // width, np.int32)), pa.array(cell.tolist(), pa.list_(pa.int32())), batch.column("key"), batch.column("vec"), batch.column("copies")], names=["block", "cell", "key", "vec", "copies"])
 
     return run
@@ -182,14 +188,15 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, width: int = 8, ws: Wo
 
 
 def _linked(classes: DataFrame, dims: int, width: int, cosine: float, ws: Workspace) -> DataFrame:
-    cells = classes.mapInArrow(_cells(dims, width, cosine), "block int, cell array<int>, key binary, vec binary, copies long")
+    places = cell_dims(classes.count(), width)
+    cells = classes.mapInArrow(_cells(dims, width, cosine, places), "block int, cell array<int>, key binary, vec binary, copies long")
     cells = ws.save(cells, f"cells-{dims}")
     parts = cells.groupBy("block", "cell").agg(F.ceil(F.count("*") / TILE).alias("parts"))
     dealt = cells.join(parts, ["block", "cell"]).withColumn("part", F.expr("pmod(xxhash64(key), parts)"))
     tiles = ws.save(dealt.groupBy("block", "cell", "part").agg(F.struct(F.collect_list("key").alias("key"), F.collect_list("vec").alias("vec"), F.collect_list("copies").alias("copies")).alias("tile")), f"tiles-{dims}")
     ws.drop(f"cells-{dims}")
     # of two adjacent cells one is visited by the other: half of the steps to neighbours, and none
-    steps = [s for s in product((-1, 0, 1), repeat=min(CELL_DIMS, width)) if s >= (0,) * min(CELL_DIMS, width)]
+    steps = [s for s in product((-1, 0, 1), repeat=places) if s >= (0,) * places]
     moves = F.array(*[F.array(*[F.lit(x) for x in s]) for s in steps])
     left = tiles.withColumn("step", F.explode(moves)).select("block", F.expr("zip_with(cell, step, (c, s) -> c + s)").alias("cell"), F.col("cell").alias("from"), F.col("part").alias("part_l"), F.col("tile").alias("left"))
     met = left.join(tiles.select("block", "cell", F.col("part").alias("part_r"), F.col("tile").alias("right")), ["block", "cell"]).filter("cell <> from or part_l <= part_r")

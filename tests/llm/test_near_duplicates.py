@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corbel.llm import jaccard
+from corbel.llm import jaccard, vectors
 from corbel.llm.jaccard import jaccard_components, keep_representatives
 from corbel.llm.vectors import near_vectors
 
@@ -63,14 +63,33 @@ def test_components_match_all_pairs(spark, seed, groups, size):
     assert got == brute(rows)
 
 
-def test_components_with_hot_shingles(spark, monkeypatch):
-    """Nearly every shared 5-gram is salted, so most of its groups have one class."""
-    monkeypatch.setattr(jaccard, "HOT", 1)
+@pytest.mark.parametrize(("hot", "rows_sent", "block"), [(1, 0, 50), (3, 100_000, 40_000)])
+def test_components_with_hot_shingles(spark, monkeypatch, hot, rows_sent, block):
+    """Nearly every shared 5-gram is salted, so most of its groups have one class; without broadcasts, in small blocks."""
+    monkeypatch.setattr(jaccard, "HOT", hot)
+    monkeypatch.setattr(jaccard, "BROADCAST_ROWS", rows_sent)
+    monkeypatch.setattr(jaccard, "WANTED_ROWS", rows_sent)
+    monkeypatch.setattr(jaccard, "BLOCK_GRAMS", block)
     rows = corpus(4, 60, 2)
     df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(df).collect()} == brute(rows)
 
 
+@pytest.mark.parametrize("local", [3, 200_000])
+def test_connected_components(spark, monkeypatch, local):
+    from corbel.llm import components
+    from corbel.workspace import Workspace
+
+    monkeypatch.setattr(components, "LOCAL_EDGES", local)
+    rng = random.Random(local)
+    for kind, of in (("long", int), ("binary", lambda x: x.to_bytes(2, "big"))):
+        edges = [(k, k + 1) for k in range(0, 60)] + [(rng.randrange(100, 400), rng.randrange(100, 400)) for _ in range(150)] + [(500, x) for x in range(501, 560)] + [(7, 7)]
+        df = spark.createDataFrame([(of(a), of(b)) for a, b in edges] + [(None, of(1))], f"a {kind}, b {kind}").repartition(5)
+        got = {(int(r.node) if kind == "long" else int.from_bytes(r.node, "big")): (int(r.root) if kind == "long" else int.from_bytes(r.root, "big")) for r in components.connected_components(df, Workspace(spark, "cc")).collect()}
+        want = union_find({x for e in edges for x in e}, edges)
+        assert got == {k: v for k, v in want.items() if any(k in e for e in edges if e[0] != e[1])}
+
+
 def test_edges_of_jaccard(spark):
     """Exactly three quarters links; repeated rows, null ids, long texts, clashing columns."""
     base = [f"x{k}" for k in range(25)]  # 21 shingles
@@ -82,15 +101,20 @@ def test_edges_of_jaccard(spark):
     assert jaccard_components(df.limit(0)).collect() == []
 
 
-def test_representatives(spark):
+@pytest.mark.parametrize("sent", [0, 100_000])
+def test_representatives(spark, monkeypatch, sent):
+    monkeypatch.setattr(jaccard, "BROADCAST_ROWS", sent)
     rows = corpus(5, 10, 4)
     df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows] + [(None, "alone", "en", "s", 5), (0, rows[0][1], "en", "s", 1)], SCHEMA)
-    kept = sorted(r.doc_id for r in keep_representatives(df).collect() if r.doc_id is not None)
-    assert kept == sorted({c for _, c in brute(rows).values()})
+    got = keep_representatives(df.withColumn("stays", F.lit(1)).withColumn("component_id", F.lit(2))).collect()
+    kept = sorted(r.doc_id for r in got if r.doc_id is not None)
+    assert len(got) == len(kept) + 1 and kept == sorted({c for _, c in brute(rows).values()})
 
 
-@pytest.mark.parametrize("dims", [3, 16, 20])
-def test_vectors_match_all_pairs(spark, dims):
+@pytest.mark.parametrize(("dims", "tile"), [(1, 1024), (3, 1024), (16, 1024), (17, 4), (20, 1024), (25, 8)])
+def test_vectors_match_all_pairs(spark, dims, tile, monkeypatch):
+    """A last block of one dimension too; with small tiles the cells have more coordinates."""
+    monkeypatch.setattr(vectors, "TILE", tile)
     rng = np.random.default_rng(dims)
     base = rng.normal(size=(40, dims))
     vecs = [*(b + rng.normal(size=dims) * s for b in base for s in (0.0, 0.05, 0.15, 0.3)), base[0] * 3, base[0] * 1.0, np.zeros(dims), np.full(dims, np.nan), np.full(dims, 1e300), np.full(dims, 1e-300)]
