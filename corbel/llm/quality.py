@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from corbel.llm.boosting import sigmoid
 from corbel.llm.wordhash import BLANK_WORDS, words_by_block
-from corbel.llm.workspace import Workspace
+from corbel.workspace import Workspace
 
 #: Documents, about so many and chosen by hash, on which the linear scorer is fitted.
 TRAIN_DOCS = 2_000
@@ -102,6 +102,7 @@ def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _training(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A text's vote pattern, its slots and their shares of its words, the last two as bytes."""
     for batch in batches:
         pattern, slot, value = [], [], []
         for _, _, w in _blocks(batch):
@@ -109,9 +110,9 @@ def _training(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for r in np.flatnonzero(w.n):
                 s, c = np.unique(slots[w.split[r] : w.split[r + 1]], return_counts=True)
                 pattern.append(int(code[r]))
-                slot.append(s.astype(np.int32))
-                value.append((c / w.n[r]).astype(np.float32))
-        yield pa.RecordBatch.from_arrays([pa.array(pattern, pa.int64()), pa.array(slot, pa.list_(pa.int32())), pa.array(value, pa.list_(pa.float32()))], names=["pattern", "slot", "value"])
+                slot.append(s.astype("<i2").tobytes())
+                value.append((c / w.n[r]).astype("<f4").tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array(pattern, pa.int64()), pa.array(slot, pa.binary()), pa.array(value, pa.binary())], names=["pattern", "slot", "value"])
 
 
 def posterior(patterns: np.ndarray, counts: np.ndarray, steps: int = 100) -> tuple[np.ndarray, np.ndarray, float]:
@@ -145,8 +146,8 @@ class QualityModel:
 
 def _linear(rows: list, target: np.ndarray, steps: int = 300, l2: float = 1e-3) -> tuple[np.ndarray, float]:
     """Logistic regression on soft labels, classes weighed alike, by accelerated gradient steps."""
-    doc = np.repeat(np.arange(len(rows)), [len(r.slot) for r in rows])
-    slot, value = np.concatenate([r.slot for r in rows]).astype(np.int64), np.concatenate([r.value for r in rows]).astype(float)
+    slot, value = (np.frombuffer(b"".join(r[k] for r in rows), kind) for k, kind in (("slot", "<i2"), ("value", "<f4")))
+    doc, slot, value = np.repeat(np.arange(len(rows)), [len(r.slot) // 2 for r in rows]), slot.astype(np.int64), value.astype(float)
     balance = np.where(target > 0.5, 0.5 / max(1, (target > 0.5).sum()), 0.5 / max(1, (target <= 0.5).sum()))
     w, b, vw, vb = np.zeros(SLOTS), 0.0, np.zeros(SLOTS), 0.0
     for _ in range(steps):
@@ -159,7 +160,11 @@ def _linear(rows: list, target: np.ndarray, steps: int = 300, l2: float = 1e-3)
 
 
 def fit_quality(docs: DataFrame, train_docs: int = TRAIN_DOCS, ws: Workspace | None = None) -> QualityModel:
-    """Labeller accuracies from the votes on all of ``docs``; the scorer from about ``train_docs`` of them."""
+    """Labeller accuracies from the votes on all of ``docs``; the scorer from at most 1.3 * ``train_docs`` distinct texts.
+
+    Those are the texts whose hashes are least, each once however often it is repeated, so neither copies nor the order
+    of partitions matter.  Of a table without texts comes a model that keeps every text that has words.
+    """
     docs = docs.select("text").filter("text is not null")
     counts = docs.mapInArrow(_votes, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()  # at most 2 ** 7 rows
     if not counts:
@@ -168,8 +173,9 @@ def fit_quality(docs: DataFrame, train_docs: int = TRAIN_DOCS, ws: Workspace | N
     good, table, _ = posterior(patterns, n)
     known = dict(zip(patterns.tolist(), good.tolist(), strict=True))
     share = min(1.0, 1.3 * train_docs / n.sum())
-    picked = docs.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))
-    rows = picked.mapInArrow(_training, "pattern long, slot array<int>, value array<float>").limit(2 * train_docs).collect()
+    picked = docs.withColumn("rank", F.xxhash64("text")).filter(F.pmod("rank", F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))
+    picked = picked.groupBy("rank").agg(F.min("text").alias("text")).orderBy(F.pmod("rank", F.lit(1 << 30)), "rank").limit(int(1.3 * train_docs) + 1)
+    rows = picked.mapInArrow(_training, "pattern long, slot binary, value binary").collect()
     accuracies = {name: (float(table[0, k]), float(1 - table[1, k])) for k, name in enumerate(LABELLERS)}
     if not rows:
         return QualityModel(np.zeros(SLOTS), 1.0, accuracies, known)
@@ -203,7 +209,10 @@ def score_quality(docs: DataFrame, model: QualityModel | None = None) -> DataFra
 
 
 def keep_good(docs: DataFrame, model: QualityModel | None = None) -> DataFrame:
-    """The rows of ``docs`` that the scorer does not reject, unchanged."""
+    """The rows of ``docs`` that the scorer does not reject, unchanged.
+
+    Texts without words (null, empty, blank) go; repeated rows stay or go together; an empty table stays empty.
+    """
     shared, names = docs.sparkSession.sparkContext.broadcast(model or fit_quality(docs)), docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
