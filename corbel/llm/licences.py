@@ -11,9 +11,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corbel.llm.wordhash import ALNUM_WORDS, words_by_block
-from corbel.llm.workspace import Workspace
+from corbel.workspace import Workspace
 
 #: Short forms and standard notices of the licences looked for.
 TEMPLATES = (
@@ -75,9 +76,12 @@ class _Index:
         self.unseen = float(np.log(1 + n_docs) + 1)
         weighed = self.tf * self.idf
         self.unit = weighed / np.maximum(np.sqrt((weighed**2).sum(1, keepdims=True)), 1e-12)
+        self.power = np.r_[self.idf**2, 0.0]  # of the term in each slot, and of slot -1
 
     def slots(self, hashes: np.ndarray) -> np.ndarray:
         """The place of each word among the terms, or -1."""
+        if not len(self.terms):
+            return np.full(len(hashes), -1)
         at = np.minimum(np.searchsorted(self.terms, hashes), len(self.terms) - 1)
         return np.where(self.terms[at] == hashes, at, -1)
 
@@ -107,47 +111,63 @@ def _term_counts(index: _Index):
     return run
 
 
-def _runs(ends: np.ndarray, weight: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+class _Reach:
+    """Whether the words from x to y can reach a cosine of ``least`` with any template.
+
+    A template has nothing in the direction of unknown words.  So cos^2 <= K / (K + U), where K, the squared weight of
+    known words, is at most their number times the sum of their squared idf (n words count at most n times each), and U, of
+    unknown words, at least their number times theirs.
+    """
+
+    def __init__(self, index: _Index, slot: np.ndarray, least: float):
+        self.index, self.least = index, least
+        self.known, self.power = np.r_[0, np.cumsum(slot >= 0)], np.r_[0.0, np.cumsum(index.power[slot])]
+
+    def __call__(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        known = self.known[y] - self.known[x]
+        most, other = known * (self.power[y] - self.power[x]), (y - x - known) * self.index.unseen**2
+        return (known >= 2) & (most * (1 - self.least**2) * (1 + 1e-9) + 1e-9 >= self.least**2 * other)
+
+
+def _runs(ends: np.ndarray, reach: _Reach, most: int) -> Iterator[tuple[int, int]]:
     """Runs of lines of at most ``most`` words, and single lines of any length, that may reach the cosine.
 
     A line without known words at either end only lowers the cosine, so runs begin and end with known ones.
     """
-    some = np.flatnonzero(weight[ends[1:]] > weight[ends[:-1]])  # lines with known words
+    some = np.flatnonzero(reach.known[ends[1:]] > reach.known[ends[:-1]])  # lines with known words
     first, last = ends[some], ends[some + 1]
     for more in range(len(some)):
         x, y = first[: len(some) - more], last[more:]
         short = y - x <= most
         if more and not short.any():
             break
-        known = weight[y] - weight[x]
-        # the cosine is at most the root of the share of known words: few known, no match
-        for i in np.flatnonzero((known >= np.maximum(2, 0.3 * (y - x))) & (short | (more == 0))):
+        for i in np.flatnonzero(reach(x, y) & (short | (more == 0))):
             yield x[i], y[i]
 
 
-def _detect(shared, least: float, names: list[str]):
+def _detect(shared, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, whole, brief = shared.value
-        most, longest = 2 * index.words.max(), 2 * brief.words.max(initial=0)
+        most, longest = 2 * index.words.max(initial=0), 2 * brief.words.max(initial=0)
         for batch in batches:
             found, score, kind = [None] * batch.num_rows, [0.0] * batch.num_rows, [None] * batch.num_rows
             for lo, hi, part, cuts, split, starts, _, hashes in words_by_block(batch.column("text"), ALNUM_WORDS):
                 slot, slot_w = index.slots(hashes), whole.slots(hashes)
                 newline = np.cumsum(part == 10) if len(part) else np.zeros(0, np.int64)
                 line = newline[starts] if len(starts) else np.zeros(0, np.int64)
-                weight, weight_w = np.r_[0, np.cumsum(slot >= 0)], np.r_[0, np.cumsum(slot_w >= 0)]
+                reach, reach_w = _Reach(index, slot, least), _Reach(whole, slot_w, least)
                 for r in range(hi - lo):
                     a, b = split[r], split[r + 1]
                     if a == b:
                         continue
-                    if weight_w[b] - weight_w[a] >= max(2, 0.3 * (b - a)):
+                    if reach_w(a, b):
                         cos, k = whole.best(hashes[a:b], slot_w[a:b])
                         if cos >= least:  # the file is the licence; its lines say less
                             score[lo + r], found[lo + r], kind[lo + r] = cos, whole.names[k], "file"
                             continue
                     ends = np.r_[a, np.flatnonzero(np.diff(line[a:b])) + a + 1, b]
-                    units = [(x, y, "header") for x, y in _runs(ends, weight, most)]
-                    if weight[b] - weight[a] >= max(2, 0.3 * (b - a)):
+                    units = [(x, y, "header") for x, y in _runs(ends, reach, most)]
+                    if reach(a, b):
                         units.append((a, b, "file"))
                     best, at = (0.0, 0, None), a
                     for x, y, what in units:
@@ -161,8 +181,8 @@ def _detect(shared, least: float, names: list[str]):
                         on = [(brief.best(hashes[at:y], slot_b[: y - at]), y) for y in ends if at < y <= at + longest]
                         if on and (top := max(on))[0][0] >= least:
                             score[lo + r], found[lo + r], kind[lo + r] = top[0][0], brief.names[top[0][1]], best[2]
-            cols = [*(batch.column(c) for c in names), pa.array(found, pa.string()), pa.array(score, pa.float64()), pa.array(kind, pa.string())]
-            yield pa.RecordBatch.from_arrays(cols, names=[*names, "licence", "cosine", "via"])
+            cols = [batch.column("given"), batch.column("path"), pa.array(found, pa.string()), pa.array(score, pa.float64()), pa.array(kind, pa.string())]
+            yield pa.RecordBatch.from_arrays(cols, names=["given", "path", "licence", "cosine", "via"])
 
     return run
 
@@ -172,7 +192,8 @@ def scan_licences(files: DataFrame, templates: tuple[tuple[str, str], ...] = TEM
 
     The whole of each file, whatever its length, is compared with ``texts`` (whole licences, by default those of
     ``TEXTS_DIR``).  If none matches, its lines, its runs of neighbouring lines (up to twice as long as the longest
-    template) and its whole are compared with ``templates``, and what follows a match with the shorter ``texts``.  The
+    template) and its whole are compared with ``templates``, and what follows a match with the shorter ``texts``; fewer than
+    two words that templates know are no match, and of equal cosines the first template and place stand.  The
     measure is the TF-IDF cosine: terms are runs of letters and digits (A-Z folded), a term's weight its count times
     ln((1 + N) / (1 + df)) + 1 with document counts over all files, 0 for words no template has.  ``via`` is header or
     file.  A file without a licence of its own inherits that of the nearest directory above it (its own first) that
@@ -190,22 +211,25 @@ def scan_licences(files: DataFrame, templates: tuple[tuple[str, str], ...] = TEM
     for x in (index, whole, brief):
         x.weigh(np.array([df.get(k, 0) for k in every.slots(x.terms).tolist()], float), df.get(-1, 0))
     names = [c for c in files.columns if c not in ("text", "licence", "cosine", "via", "inherited_from")]
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema if f.name in names)
-    own = files.select(*names, "text").mapInArrow(_detect(spark.sparkContext.broadcast((index, whole, brief)), least, names), f"{fields}, licence string, cosine double, via string")
-    own = ws.save(own.withColumn("__dir", F.regexp_replace("path", "/?[^/]*$", "")), "own")
+    # the columns given travel as one, so that none clashes with those made here
+    given = files.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("given"), "path", "text")
+    shared = spark.sparkContext.broadcast((index, whole, brief))
+    schema = T.StructType([given.schema["given"], given.schema["path"], T.StructField("licence", T.StringType()), T.StructField("cosine", T.DoubleType()), T.StructField("via", T.StringType())])
+    own = given.mapInArrow(_detect(shared, least), schema)
+    own = ws.save(own.withColumn("dir", F.regexp_replace("path", "/?[^/]*$", "")), "own")
 
     named = own.filter(F.col("licence").isNotNull() & F.element_at(F.split("path", "/"), -1).rlike(LICENCE_NAMES))
-    held = ws.save(named.groupBy(F.col("__dir").alias("above")).agg(F.min_by("licence", "path").alias("given")), "held")
-    dirs = own.filter("licence is null and path is not null").select("__dir").distinct()
-    steps = F.split("__dir", "/")
-    above = dirs.select("__dir", F.explode(F.transform(F.sequence(F.lit(0), F.size(steps)), lambda k: F.array_join(F.slice(steps, 1, k), "/"))).alias("above")).distinct()
+    held = ws.save(named.groupBy(F.col("dir").alias("above")).agg(F.min_by("licence", F.struct("path", "licence")).alias("up_licence")), "held")
+    dirs = own.filter("licence is null and path is not null").select("dir").distinct()
+    steps = F.split("dir", "/")
+    above = dirs.select("dir", F.explode(F.transform(F.sequence(F.lit(0), F.size(steps)), lambda k: F.array_join(F.slice(steps, 1, k), "/"))).alias("above")).distinct()
     held_ = F.broadcast(held) if held.count() <= BROADCAST_DIRS else held
-    near = above.join(held_, "above").groupBy("__dir").agg(F.max_by(F.struct("given", "above"), F.length("above")).alias("up"))
-    near = ws.save(near.select("__dir", "up.given", "up.above"), "near")
+    near = above.join(held_, "above").groupBy("dir").agg(F.max_by(F.struct("up_licence", "above"), F.length("above")).alias("up"))
+    near = ws.save(near.select("dir", "up.up_licence", "up.above"), "near")
     near_ = F.broadcast(near) if near.count() <= BROADCAST_DIRS else near
-    out = own.join(near_, "__dir", "left")
-    heir = F.col("licence").isNull() & F.col("given").isNotNull()
+    out = own.join(near_, "dir", "left")
+    heir = F.col("licence").isNull() & F.col("up_licence").isNotNull()
     return out.select(
-        *names, F.when(heir, F.col("given")).otherwise(F.col("licence")).alias("licence"), "cosine",
+        *[F.col(f"given.`{c}`").alias(c) for c in names], F.when(heir, F.col("up_licence")).otherwise(F.col("licence")).alias("licence"), "cosine",
         F.when(heir, F.lit("inherited")).otherwise(F.col("via")).alias("via"), F.when(heir, F.col("above")).alias("inherited_from"),
     )
