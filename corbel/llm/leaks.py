@@ -13,10 +13,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corbel.llm.wordhash import ALNUM_WORDS, window_hashes, words_by_block
-from corbel.llm.workspace import Workspace
+from corbel.workspace import Workspace
 
-#: At most so many benchmark windows are broadcast (about 100 bytes each); more are joined by their hash.
-BROADCAST_WINDOWS = 500_000
+#: Benchmark windows are broadcast if they take at most so many bytes in a worker; more are joined by their hash.
+BROADCAST_BYTES = 96 << 20
+#: Bytes that a window takes besides its words and its item's name.
+WINDOW_BYTES = 300
 _FILTER = 1 << 20
 
 
@@ -67,26 +69,26 @@ def _windows(size: int):
 
 
 def _row_sets(batch: pa.RecordBatch, given: WindowSet | None) -> Iterator[tuple]:
-    """For every block of rows the words and a list of occurrences by row."""
-    own = None if given else batch.column("windows").to_pylist()
+    """For every block of rows the words and, by row, occurrences (first word, width) and the names of items."""
+    own = None if given else batch.column("found").to_pylist()
     for lo, hi, part, cuts, split, starts, ends, hashes in words_by_block(batch.column("text"), ALNUM_WORDS):
-        hits: dict[int, list] = defaultdict(list)
-        row = np.searchsorted(split, np.arange(len(starts)), side="right") - 1
+        hits: dict[int, tuple[list, set]] = defaultdict(lambda: ([], set()))
         if given:
+            row = np.searchsorted(split, np.arange(len(starts)), side="right") - 1
             for i, width, items in given.occurrences(part, row, starts, ends, hashes):
-                hits[int(row[i])].append((i, width, items))
+                at, names = hits[int(row[i])]
+                at.append((i, width))
+                names |= items
         else:
             for r in range(hi - lo):
                 if own[lo + r]:
-                    a, b = split[r], split[r + 1]
-                    rows = WindowSet([(w["width"], w["words"], w["code"], w["item"]) for w in own[lo + r]])
-                    hits[r] = [(i + a, width, items) for i, width, items in rows.occurrences(part, row[a:b], starts[a:b], ends[a:b], hashes[a:b])]
+                    hits[r] = ([(x["first"] + split[r], x["width"]) for x in own[lo + r]["at"]], set(own[lo + r]["items"]))
         yield lo, hi, cuts, split, starts, ends, hits
 
 
-def _covered(n: int, first: int, found: list) -> np.ndarray:
+def _covered(n: int, first: int, at: list) -> np.ndarray:
     hit = np.zeros(n, bool)
-    for i, width, _ in found:
+    for i, width in at:
         hit[i - first : i - first + width] = True
     return hit
 
@@ -98,25 +100,26 @@ def _report(broadcast):
             for lo, hi, _, split, _, _, hits in _row_sets(batch, broadcast and broadcast.value):
                 for r in range(hi - lo):
                     n_words.append(int(split[r + 1] - split[r]))
-                    n_hit.append(int(_covered(n_words[-1], split[r], hits.get(r, ())).sum()))
-                    items.append(sorted({x for *_, found in hits.get(r, ()) for x in found}))
+                    at, names = hits.get(r, ((), ()))
+                    n_hit.append(int(_covered(n_words[-1], split[r], at).sum()))
+                    items.append(sorted(names))
             sha = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in items]
-            cols = [batch.column("doc_id").cast(pa.int64()), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in items], pa.int64()), pa.array(sha, pa.string()), pa.array([x > 0 for x in n_hit], pa.bool_()), pa.array(items, pa.list_(pa.string()))]
+            cols = [batch.column("given").cast(pa.int64()), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in items], pa.int64()), pa.array(sha, pa.string()), pa.array([x > 0 for x in n_hit], pa.bool_()), pa.array(items, pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items"])
 
     return run
 
 
-def _cut(broadcast, action: str, share: float, names: list[str]):
+def _cut(broadcast, action: str, share: float, fields: T.StructType):
+    names = fields.names
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, keep = batch.column("text").to_pylist(), np.ones(batch.num_rows, bool)
             for lo, _, cuts, split, starts, ends, hits in _row_sets(batch, broadcast and broadcast.value):
-                for r, found in hits.items():
-                    if not found:
-                        continue
+                for r, (at, _) in hits.items():
                     a, b = split[r], split[r + 1]
-                    hit = _covered(b - a, a, found)
+                    hit = _covered(b - a, a, at)
                     if action == "document" or hit.mean() > share:
                         keep[lo + r] = False
                         continue
@@ -129,22 +132,17 @@ def _cut(broadcast, action: str, share: float, names: list[str]):
             new = {"text": pa.array(texts, pa.string())}
             if "n_chars" in names:
                 new["n_chars"] = pa.array([None if x is None else len(x) for x in texts], pa.int64())
-            out = pa.RecordBatch.from_arrays([new.get(c, batch.column(c)) for c in names], names=names)
+            given = dict(zip([n for n in names if n != "text"], batch.column("given").flatten(), strict=False))
+            out = pa.RecordBatch.from_arrays([new[c] if c in new else given[c] for c in names], names=names)
             yield out.filter(pa.array(keep))
 
     return run
 
 
-def _with_windows(docs: DataFrame, benchmark: DataFrame, size: int, limit: int, ws: Workspace) -> tuple[DataFrame, object]:
-    """``docs`` and the broadcast window set; too large a benchmark gives each text its own candidate windows instead."""
-    windows = ws.save(benchmark.select("item_id", "text").mapInArrow(_windows(size), "width int, words binary, code long, item string").distinct(), "windows")
-    if windows.count() <= limit:
-        rows = [(r.width, bytes(r.words), r.code, r.item) for r in windows.collect()]
-        return docs, docs.sparkSession.sparkContext.broadcast(WindowSet(rows))
+def _codes(widths: list[int]):
+    """Each text's key with the hashes of its windows."""
 
-    widths = [r.width for r in windows.select("width").distinct().collect()]  # at most ``size`` values
-
-    def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, _, _, _, split, _, _, hashes in words_by_block(batch.column("text"), ALNUM_WORDS):
                 row = np.searchsorted(split, np.arange(len(hashes)), side="right") - 1
@@ -153,37 +151,79 @@ def _with_windows(docs: DataFrame, benchmark: DataFrame, size: int, limit: int,
                     at = np.flatnonzero(row[: len(h)] == row[w - 1 : w - 1 + len(h)])
                     yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(row[at] + lo)), pa.array(h[at].view(np.int64))], names=["key", "code"])
 
-    key = F.md5(F.coalesce("text", F.lit("")))
-    texts = docs.select(key.alias("key"), "text").groupBy("key").agg(F.first("text").alias("text"))
-    found = texts.mapInArrow(codes, "key string, code long").distinct().join(windows, "code")
-    each = found.groupBy("key").agg(F.collect_list(F.struct("width", "words", "code", "item")).alias("windows"))
-    return docs.withColumn("__key", key).join(each.withColumnRenamed("key", "__key"), "__key", "left"), None
+    return run
 
 
-def scan_leaks(docs: DataFrame, benchmark: DataFrame, size: int = 10, limit: int = BROADCAST_WINDOWS, ws: Workspace | None = None) -> DataFrame:
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of texts with the hashes that they share with the benchmark: where those windows stand, and their words."""
+    for batch in batches:
+        out, codes = [], batch.column("codes").to_pylist()
+        keys, widths = batch.column("key").to_pylist(), batch.column("widths").to_pylist()
+        for lo, hi, part, _, split, starts, ends, hashes in words_by_block(batch.column("text"), ALNUM_WORDS):
+            for r in range(hi - lo):
+                a, b = split[r], split[r + 1]
+                wanted = np.array(sorted(codes[lo + r]), np.int64)
+                for w in widths[lo + r]:
+                    for i in np.flatnonzero(np.isin(window_hashes(hashes[a:b], w).view(np.int64), wanted)):
+                        words = b" ".join(part[x:y].tobytes() for x, y in zip(starts[a + i : a + i + w], ends[a + i : a + i + w], strict=True))
+                        out.append((keys[lo + r], int(i), w, words))
+        cols = list(zip(*out, strict=True)) or [[]] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["key", "first", "width", "words"])
+
+
+def _with_windows(docs: DataFrame, benchmark: DataFrame, size: int, limit: int, ws: Workspace) -> tuple[DataFrame, object]:
+    """``docs(given, text)`` and the broadcast window set; with too large a benchmark, ``docs`` with what was found in each text.
+
+    Then each different text sends its windows' hashes once; those that the benchmark has come back, and where they stand
+    is joined with the benchmark's windows by their words, for verification and for the items.
+    """
+    windows = ws.save(benchmark.select("item_id", "text").mapInArrow(_windows(size), "width int, words binary, code long, item string").distinct(), "windows")
+    held = windows.agg(F.sum(F.octet_length("words") + F.octet_length("item") + F.lit(WINDOW_BYTES)).alias("n")).first().n or 0
+    if held <= limit:
+        rows = [(r.width, bytes(r.words), r.code, r.item) for r in windows.toLocalIterator()]
+        return docs, docs.sparkSession.sparkContext.broadcast(WindowSet(rows))
+
+    widths = [r.width for r in windows.select("width").distinct().collect()]  # at most ``size`` values
+    key = F.md5(F.coalesce("text", F.lit("")))
+    texts = ws.save(docs.select(key.alias("key"), "text").groupBy("key").agg(F.first("text").alias("text")), "texts")
+    codes = windows.select("code", "width").distinct()
+    sent = texts.mapInArrow(_codes(widths), "key string, code long").distinct()
+    shared = ws.save(sent.join(codes, "code").groupBy("key").agg(F.collect_set("code").alias("codes"), F.collect_set("width").alias("widths")), "shared")
+    places = ws.save(texts.join(shared, "key").mapInArrow(_places, "key string, first int, width int, words binary"), "places")
+    known = windows.select("width", "words").distinct()
+    at = places.join(known, ["width", "words"], "left_semi").groupBy("key").agg(F.collect_set(F.struct("first", "width")).alias("at"))
+    items = places.select("key", "width", "words").distinct().join(windows.select("width", "words", "item"), ["width", "words"]).select("key", "item").distinct()
+    items = items.groupBy("key").agg(F.collect_list("item").alias("items"))
+    found = ws.save(at.join(items, "key").select(F.col("key").alias("found_key"), F.struct("at", "items").alias("found")), "found")
+    return docs.withColumn("key", key).join(found, F.col("key") == F.col("found_key"), "left").select("given", "text", "found"), None
+
+
+def scan_leaks(docs: DataFrame, benchmark: DataFrame, size: int = 10, limit: int = BROADCAST_BYTES, ws: Workspace | None = None) -> DataFrame:
     """``docs(doc_id, text)``, ``benchmark(item_id, text)`` -> per row doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items.
 
     Words are runs of digits, a-z (A-Z folded) and non-ASCII characters.  A benchmark item's windows are its
     runs of ``size`` words; an item with fewer, but not none, is one window.  A word inside an occurrence of any
     window is hit.  A null or empty text has no words and no hits; an empty benchmark hits nothing.  Repeated
     items count once by ``item_id``; a null ``item_id`` counts as the item named by an empty string.  Hash matches
-    are verified word for word.  Other columns are ignored.
+    are verified word for word.  Repeated rows are reported each; other columns are ignored.  Windows of more than
+    ``limit`` bytes are not broadcast but joined.
     """
     ws = ws or Workspace(docs.sparkSession, "leaks")
-    given, shared = _with_windows(docs.select("doc_id", "text"), benchmark, size, limit, ws)
+    given, shared = _with_windows(docs.select(F.col("doc_id").alias("given"), "text"), benchmark, size, limit, ws)
     return given.mapInArrow(_report(shared), "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10, action: str = "span", share: float = 0.5, limit: int = BROADCAST_WINDOWS, ws: Workspace | None = None) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10, action: str = "span", share: float = 0.5, limit: int = BROADCAST_BYTES, ws: Workspace | None = None) -> DataFrame:
     """The rows of ``docs`` without benchmark passages, same columns; ``n_chars``, if there, follows the text.
 
     ``action="span"`` cuts each run of hit words, from its first letter to its last, and drops a document of which more
     than ``share`` of the words are hit; ``action="document"`` drops every document with a hit.  Rows without hits come
-    back unchanged, null texts too.
+    back unchanged, null and empty texts too; repeated rows are treated alike; an empty table stays empty.
     """
     if action not in ("span", "document"):
         raise ValueError(f"action must be 'span' or 'document', not {action!r}")
     ws = ws or Workspace(docs.sparkSession, "leaks")
-    given, shared = _with_windows(docs, benchmark, size, limit, ws)
+    # the columns of ``docs`` travel as one, so that none clashes with those made here
+    given, shared = _with_windows(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"] or [F.lit(0)]).alias("given"), "text"), benchmark, size, limit, ws)
     schema = T.StructType([T.StructField(f.name, T.LongType() if f.name == "n_chars" else f.dataType) for f in docs.schema])
-    return given.mapInArrow(_cut(shared, action, share, docs.columns), schema)
+    return given.mapInArrow(_cut(shared, action, share, schema), schema)
