@@ -2,40 +2,84 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+import uuid
+from collections.abc import Iterator
+from urllib.parse import quote, unquote
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from corbel.llm.packing import coded_blocks, coder_of
 
 KEYS = ("source", "lang", "tokenizer")
 _SCHEMA = "source string, lang string, tokenizer string, d_docs long, d_tokens long"
 
 
 class TokenRollup:
-    """A folder with one Parquet folder of additive deltas for each committed batch.
-
-    ``apply`` reduces a batch of changes to one delta a key before anything is written, and commits by renaming the
-    written folder to the batch's name, so a batch is there whole or not at all and applying it again does nothing.
-    ``compact`` adds committed deltas up into one base, named for what it holds, then deletes them.
+    """A folder of Parquet folders with additive deltas, and one marker file for each committed batch.
+
+    ``apply`` reduces a batch of changes to one delta a key, writes it to a folder of its own name that no other writer
+    has, and then commits by creating the marker ``log/<batch>`` that names the folder.  A file can be created only once,
+    so of several writers of a batch one wins, and a folder that no marker names is never read.  ``compact`` adds the
+    committed deltas up into one folder and publishes it by creating the next manifest, ``manifest/<number>``: the folder
+    and all batches in it.  Readers take the newest manifest and the markers that it does not list; only then are old
+    folders deleted.  A writer lost at any step leaves the totals as they were, and a replay does what is missing.
     """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
         path = spark._jvm.org.apache.hadoop.fs.Path
-        self._path = lambda name: path(f"{self.root}/{name}")
-        self._fs = self._path("x").getFileSystem(spark._jsc.hadoopConfiguration())
+        self._path = lambda name: path(f"{self.root}/{name}" if name else self.root)
+        self._fs = self._path("").getFileSystem(spark._jsc.hadoopConfiguration())
 
-    def _names(self, prefix: str) -> list[str]:
-        if not self._fs.exists(self._path("")):
+    def _names(self, folder: str) -> list[str]:
+        if not self._fs.exists(self._path(folder)):
             return []
-        return sorted(n for s in self._fs.listStatus(self._path("")) if (n := s.getPath().getName()).startswith(prefix))
+        return sorted(s.getPath().getName() for s in self._fs.listStatus(self._path(folder)) if not s.getPath().getName().startswith("."))
+
+    def _read(self, name: str) -> str:
+        stream = self._fs.open(self._path(name))
+        try:
+            return bytes(stream.readAllBytes()).decode()
+        finally:
+            stream.close()
+
+    def _publish(self, name: str, text: str) -> bool:
+        """Make a file whole or not at all; false where it exists already."""
+        half = self._path(f"half/{uuid.uuid4().hex}")
+        stream = self._fs.create(half, False)
+        stream.write(bytearray(text.encode()))
+        stream.close()
+        target = self._path(name)
+        self._fs.mkdirs(target.getParent())
+        # a rename onto a file fails where it is atomic; elsewhere the check before it is what there is
+        done = not self._fs.exists(target) and self._fs.rename(half, target)
+        if not done:
+            self._fs.delete(half, False)
+        return done
+
+    def _state(self) -> tuple[int, list[str], dict[str, str]]:
+        """The newest manifest's number, its folders and batches in it, and the folder of each batch committed after."""
+        manifests = self._names("manifest")
+        number, base, had = -1, [], set()
+        if manifests:
+            kept = json.loads(self._read(f"manifest/{manifests[-1]}"))
+            number, base, had = int(manifests[-1]), kept["folders"], set(kept["batches"])
+        return number, base, {**dict.fromkeys(sorted(had), ""), **{b: self._read(f"log/{n}") for n in self._names("log") if (b := unquote(n)) not in had}}
 
     def committed(self, batch: str) -> bool:
-        return self._fs.exists(self._path(f"batch-{batch}")) or any(self._fs.exists(self._path(f"{b}/had-{batch}")) for b in self._names("base-"))
+        return batch in self._state()[2]
 
     def apply(self, batch: str, changes: DataFrame) -> bool:
         """Commit ``changes(op, source, lang, tokenizer, tokens, old_tokens)``; false if the batch was there already.
 
         ``op`` is insert (+1 document, +tokens), delete (-1, -tokens) or revise (0, tokens - old_tokens).  Any other
-        ``op`` is an error.  A null count adds nothing; null keys are a group of their own.
+        ``op`` is an error.  A null count adds nothing; null keys are a group of their own; repeated rows count each; a
+        batch without rows commits an empty delta; other columns are ignored.
         """
         if self.committed(batch):
             return False
@@ -44,60 +88,89 @@ class TokenRollup:
         docs = F.when(F.col("op") == "insert", 1).when(F.col("op") == "delete", -1).when(F.col("op") == "revise", 0).otherwise(bad.cast("int"))
         delta = F.when(F.col("op") == "insert", tokens).when(F.col("op") == "delete", -tokens).otherwise(tokens - old)
         sums = changes.groupBy(*KEYS).agg(F.sum(docs).cast("long").alias("d_docs"), F.sum(delta).cast("long").alias("d_tokens"))
-        self._commit(sums, f"batch-{batch}")
-        return True
+        folder = f"data/{uuid.uuid4().hex}"
+        sums.write.parquet(f"{self.root}/{folder}")
+        return self._publish(f"log/{quote(batch, safe='')}", folder)
 
-    def _commit(self, df: DataFrame, name: str) -> None:
-        df.write.mode("overwrite").parquet(f"{self.root}/writing-{name}")
-        if not self._fs.rename(self._path(f"writing-{name}"), self._path(name)) and not self._fs.exists(self._path(name)):
-            raise OSError(f"could not commit {name}")
+    def _deltas(self, folders: list[str]) -> DataFrame:
+        if not folders:
+            return self.spark.createDataFrame([], _SCHEMA)
+        return self.spark.read.schema(_SCHEMA).parquet(*[f"{self.root}/{n}" for n in folders])
 
     def totals(self) -> DataFrame:
         """(source, lang, tokenizer, n_docs, n_tokens) of all committed batches; keys without documents and tokens are left out."""
-        names = self._names("base-") + self._names("batch-")
-        if not names:
-            deltas = self.spark.createDataFrame([], _SCHEMA)
-        else:
-            deltas = self.spark.read.schema(_SCHEMA).parquet(*[f"{self.root}/{n}" for n in names])
-        sums = deltas.groupBy(*KEYS).agg(F.sum("d_docs").alias("n_docs"), F.sum("d_tokens").alias("n_tokens"))
+        _, base, batches = self._state()
+        sums = self._deltas(base + [f for f in batches.values() if f]).groupBy(*KEYS).agg(F.sum("d_docs").alias("n_docs"), F.sum("d_tokens").alias("n_tokens"))
         return sums.filter("n_docs <> 0 or n_tokens <> 0")
 
     def compact(self) -> None:
-        """Add up all deltas into one base.  Its marks keep old batch names known, so replays still do nothing."""
-        bases, batches = self._names("base-"), self._names("batch-")
-        if not batches:
-            return
-        had = [b.removeprefix("batch-") for b in batches] + [s.getPath().getName().removeprefix("had-") for b in bases for s in self._fs.listStatus(self._path(b)) if s.getPath().getName().startswith("had-")]
-        name = f"base-{len(had):08d}"
-        sums = self.totals().select(*KEYS, F.col("n_docs").alias("d_docs"), F.col("n_tokens").alias("d_tokens"))
-        sums.write.mode("overwrite").parquet(f"{self.root}/writing-{name}")
-        for batch in had:
-            self._fs.mkdirs(self._path(f"writing-{name}/had-{batch}"))
-        for gone in bases + batches:
-            self._fs.rename(self._path(gone), self._path(f"old-{gone}"))
-        self._fs.rename(self._path(f"writing-{name}"), self._path(name))
-        for gone in bases + batches:
-            self._fs.delete(self._path(f"old-{gone}"), True)
+        """Add up all deltas into one folder.  Its manifest keeps old batch names known, so replays still do nothing."""
+        number, base, batches = self._state()
+        folders = base + [f for f in batches.values() if f]
+        if len(folders) > len(base):
+            folder = f"data/{uuid.uuid4().hex}"
+            sums = self._deltas(folders).groupBy(*KEYS).agg(F.sum("d_docs").alias("d_docs"), F.sum("d_tokens").alias("d_tokens"))
+            sums.filter("d_docs <> 0 or d_tokens <> 0").write.parquet(f"{self.root}/{folder}")
+            if self._publish(f"manifest/{number + 1:09d}", json.dumps({"folders": [folder], "batches": sorted(batches)})):
+                self._clear()
+
+    def _clear(self) -> None:
+        """Delete what the newest manifest replaces.  Its folders and later batches' are all that is read."""
+        number, _, batches = self._state()
+        for name in self._names("log"):
+            if batches.get(unquote(name)) == "":
+                self._fs.delete(self._path(self._read(f"log/{name}")), True)
+                self._fs.delete(self._path(f"log/{name}"), False)
+        for name in self._names("manifest"):
+            if int(name) < number:
+                for folder in json.loads(self._read(f"manifest/{name}"))["folders"]:
+                    self._fs.delete(self._path(folder), True)
+                self._fs.delete(self._path(f"manifest/{name}"), False)
 
 
 #: The tokenizer versions counted by patterns.
 PATTERNS = {"blank-1": r"[^\x20\x09-\x0D]+", "blank-2": r"[^\x20\x09-\x0D]*[A-Za-z0-9\x{80}-\x{10FFFF}][^\x20\x09-\x0D]*", "runs-1": r"[A-Za-z0-9\x{80}-\x{10FFFF}]+"}
 
 
-def token_counts(docs: DataFrame, versions: tuple[str, ...]) -> DataFrame:
-    """Columns source, lang, text's hash, doc_id, and a count for each version; null text counts 0."""
+def vocabulary_counts(docs: DataFrame, key: str, files: dict[str, str]) -> DataFrame:
+    """``key`` and, for each version of ``files``, the number of tokens that its tokenizer file gives ``text``.
+
+    A file is a blank-dropping vocabulary, as ``packing`` takes them.  Each worker encodes each piece of a word once.
+    """
+    schema = T.StructType([docs.schema[key], *[T.StructField(v, T.LongType()) for v in files]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cols = [batch.column(key)]
+            for file in files.values():
+                cols.append(pa.array(np.concatenate([np.zeros(0, np.int64), *[np.diff(begin) for *_, begin in coded_blocks(batch.column("text"), coder_of(file))]])))
+            yield pa.RecordBatch.from_arrays(cols, names=[key, *files])
+
+    return docs.select(key, "text").mapInArrow(run, schema)
+
+
+def token_counts(docs: DataFrame, versions: tuple[str, ...], files: dict[str, str] | None = None) -> DataFrame:
+    """Columns source, lang, text's hash, doc_id, and a count for each version; null text counts 0.
+
+    ``versions`` are those of PATTERNS; ``files`` names further ones, each with its tokenizer file.
+    """
     text = F.coalesce("text", F.lit(""))
-    return docs.select("doc_id", "source", "lang", F.md5(text).alias("digest"), *[F.regexp_count(text, F.lit(PATTERNS[v])).cast("long").alias(v) for v in versions])
+    counts: dict[str, Column] = {v: F.regexp_count(text, F.lit(PATTERNS[v])).cast("long") for v in versions}
+    given = F.struct("doc_id", "source", "lang", F.md5(text).alias("digest"), *[c.alias(v) for v, c in counts.items()]).alias("given")
+    if not files:
+        return docs.select(given).select("given.*")
+    return vocabulary_counts(docs.select(given, "text"), "given", files).select("given.*", *[f"`{v}`" for v in files])
 
 
-def corpus_changes(docs: DataFrame) -> dict[str, DataFrame]:
+def corpus_changes(docs: DataFrame, files: dict[str, str] | None = None) -> dict[str, DataFrame]:
     """Three batches that a corpus's documents imply, over all of them.
 
-    ``load`` inserts every document's counts by blank-1 and runs-1.  ``copies`` deletes those whose text a lesser
+    ``load`` inserts every document's counts by blank-1, runs-1 and the tokenizer ``files`` (by version).  ``copies`` deletes those whose text a lesser
     ``doc_id`` also has (a null id is no lesser one; of rows with equal id and text none is deleted).  ``recount``
-    revises blank-1 of what is left to blank-2's rule: words without a letter or digit no longer count.
+    revises blank-1 of what is left to blank-2's rule: words without a letter or digit no longer count.  A null text counts
+    as empty, repeated rows count each, other columns are ignored, and an empty table gives empty batches.
     """
-    counts = token_counts(docs, ("blank-1", "blank-2", "runs-1"))
+    counts = token_counts(docs, ("blank-1", "blank-2", "runs-1"), files)
     first = counts.groupBy("digest").agg(F.min("doc_id").alias("first_id"))
     marked = counts.join(first, "digest").withColumn("copy", F.coalesce(F.col("doc_id") > F.col("first_id"), F.lit(False)))
 
@@ -105,7 +178,7 @@ def corpus_changes(docs: DataFrame) -> dict[str, DataFrame]:
         each = F.explode(F.array(*[F.struct(F.lit(v).alias("tokenizer"), new.alias("tokens"), old.alias("old_tokens")) for v, (new, old) in by_version.items()]))
         return of.select(F.lit(op).alias("op"), "source", "lang", each.alias("x")).select("op", "source", "lang", "x.*")
 
-    both = {v: (F.col(v), F.lit(None).cast("long")) for v in ("blank-1", "runs-1")}
+    both = {v: (F.col(v), F.lit(None).cast("long")) for v in ("blank-1", "runs-1", *(files or {}))}
     return {
         "load": rows("insert", counts, **both),
         "copies": rows("delete", marked.filter("copy"), **both),
