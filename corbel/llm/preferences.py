@@ -57,15 +57,18 @@ def format_preferences(turns: DataFrame, pairs: DataFrame) -> DataFrame:
 def degraded(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Turns with a worse twin of every conversation that an assistant ends well, and the pairs of both.
 
-    The twin has the number -1 - conv_id and repeats the conversation, except that its last assistant turn repeats the
-    assistant's first, or refuses where there is only one.  All conversations with an assistant's turn take part.
+    The twin of conv_id has the number -1 - conv_id, or where ids go down to a negative n, 2 n - 1 - conv_id, so none is taken.
+    It repeats the conversation, except that its last assistant turn repeats the assistant's first, or refuses where there is
+    only one.  All conversations with an assistant's turn take part; turns without an id have no twin; an empty table has none.
     """
+    lowest = min(0, turns.agg(F.min("conv_id").alias("id")).first().id or 0)
+    twin_id = F.lit(2 * lowest - 1) - F.col("conv_id")
     said = turns.filter("role = 'assistant' and conv_id is not null")
     ends = said.groupBy("conv_id").agg(F.max("turn").alias("last"), F.min_by("text", "turn").alias("first_text"), F.min("turn").alias("first"))
     twin = turns.join(ends, "conv_id")
     worse = F.when((F.col("turn") == F.col("last")) & (F.col("role") == "assistant"), F.when(F.col("first") < F.col("last"), F.col("first_text")).otherwise(F.lit("I cannot help with that."))).otherwise(F.col("text"))
-    twin = twin.select((-F.col("conv_id") - 1).alias("conv_id"), "turn", "role", worse.alias("text"))
-    pairs = ends.select(F.col("conv_id").alias("chosen_id"), (-F.col("conv_id") - 1).alias("rejected_id"))
+    twin = twin.select(twin_id.alias("conv_id"), "turn", "role", worse.alias("text"))
+    pairs = ends.select(F.col("conv_id").alias("chosen_id"), twin_id.alias("rejected_id"))
     return turns.select("conv_id", "turn", "role", "text").unionByName(twin), pairs
 
 
