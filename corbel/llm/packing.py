@@ -3,7 +3,7 @@
 Texts become token ids once; pieces are dealt to shards of bounded size.  A shard is packed by several
 islands, each a small population that Spark runs in its own task.  A solution is a list of bins.  Crossover
 injects whole well-filled bins of one parent into the other, removes the bins that hold a duplicate of an
-injected piece, and best-fits the pieces so displaced.  After an epoch an island's best solution moves to the
+injected piece, exchanges the pieces so displaced with shorter ones, and best-fits what is left.  After an epoch an island's best solution moves to the
 next island of its shard.  A shard stops as soon as its best solution meets the lower bound.
 Last, the worst-filled bins of all shards are taken apart and packed once more together.
 """
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corbel.llm.wordhash import hash_spans, lowered, release_memory, row_blocks
-from corbel.llm.workspace import Workspace
+from corbel.workspace import Workspace
 
 #: Pieces of a shard, on average; the bound of what one task packs.
 SHARD_PIECES = 6000
@@ -273,6 +273,33 @@ def best_fit(bins: list[list[int]], loose: list[int], lengths: list[int], limit:
     return bins
 
 
+def swapped(bins: list[list[int]], loose: list[int], lengths: list[int], limit: int) -> list[int]:
+    """Exchange loose pieces, longest first, with shorter ones in bins that thereby become fullest; what is loose then.
+
+    Small pieces are easier to place, and every exchange fills a bin further, so this ends.
+    """
+    items = [(i, k) for k, b in enumerate(bins) for i in b]
+    if not items or not loose:
+        return loose
+    piece, home = (np.array(x) for x in zip(*items, strict=True))
+    size = np.array(lengths)[piece]
+    room = limit - np.bincount(home, size, len(bins)).astype(np.int64)
+    out = []
+    for i in sorted(loose, key=lambda i: -lengths[i]):
+        left = np.where(size < lengths[i], size + room[home] - lengths[i], -1)
+        good = np.flatnonzero(left >= 0)
+        if not len(good) or len(fits := np.flatnonzero(room >= lengths[i])) and room[fits].min() - lengths[i] <= left[good].min():
+            out.append(i)  # best fit does as well
+            continue
+        at = good[left[good].argmin()]
+        k, gone = int(home[at]), int(piece[at])
+        bins[k][bins[k].index(gone)] = i
+        room[k] = left[at]
+        piece[at], size[at] = i, lengths[i]
+        out.append(gone)
+    return out
+
+
 def fitness(bins: list[list[int]], lengths: list[int], limit: int) -> tuple[int, float]:
     """Fewer bins first; then uneven filling, which leaves whole bins to win."""
     return -len(bins), sum((sum(lengths[i] for i in b) / limit) ** 2 for b in bins)
@@ -290,7 +317,7 @@ def crossover(a: list[list[int]], b: list[list[int]], lengths: list[int], limit:
             kept.append(list(x))
         else:
             loose += [i for i in x if i not in have]
-    return best_fit(injected + kept, loose, lengths, limit)
+    return best_fit(injected + kept, swapped(kept, loose, lengths, limit), lengths, limit)
 
 
 def mutate(a: list[list[int]], lengths: list[int], limit: int, rng: np.random.Generator) -> list[list[int]]:
@@ -302,6 +329,8 @@ def mutate(a: list[list[int]], lengths: list[int], limit: int, rng: np.random.Ge
     for i in loose:
         shaken[i] = lengths[i] * (1 + 0.2 * rng.random())
     kept = [list(x) for k, x in enumerate(a) if k not in gone]
+    loose = swapped(kept, loose, lengths, limit)
+    shaken |= {i: lengths[i] * (1 + 0.2 * rng.random()) for i in loose if i not in shaken}
     room = sorted((limit - sum(lengths[i] for i in x), k) for k, x in enumerate(kept))
     for i in sorted(loose, key=lambda i: -shaken[i]):
         at = bisect_left(room, (lengths[i], -1))
