@@ -10,7 +10,7 @@ from corbel.llm.leaks import decontaminate
 from corbel.llm.packing import pack_documents
 from corbel.llm.pii import redact_pii
 from corbel.llm.quality import keep_good
-from corbel.llm.workspace import Workspace
+from corbel.workspace import Workspace, closing
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,5 +48,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``."""
     ws, docs = Workspace(spark, "pipeline"), spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
-        docs = ws.save(stage(spark, docs, sf_dir), f"stage{k}")
+        with closing():
+            docs = ws.save(stage(spark, docs, sf_dir), f"stage{k}")
+        if k:
+            ws.drop(f"stage{k - 1}")
     return docs

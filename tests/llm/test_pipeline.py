@@ -33,3 +33,16 @@ def test_stages(spark, tmp_path):
     assert "[EMAIL]" in seen[3][501].text and seen[3][501].n_chars == len(seen[3][501].text)
     assert set(seen[4]) == clean and docs.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == docs.count()
+
+
+def test_edge_tables(spark, tmp_path):
+    """Empty documents, and few rows with repeated ones, nulls and a clashing column."""
+    fields = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(1, "plain words of a short text that says little but is whole", "en", "s", 60)] * 2 + [(2, None, None, None, None), (None, "another plain text without an id at all in it", "en", "s", 40), (3, "", "en", "s", 0)]
+    for name, some in (("empty", []), ("few", rows)):
+        root = tmp_path / name
+        docs = spark.createDataFrame(some, fields)
+        (docs.selectExpr("*", "'x' AS given") if some else docs).write.parquet(f"{root}/documents.parquet")
+        spark.createDataFrame([], "item_id long, text string").write.parquet(f"{root}/benchmark.parquet")
+        out = corpus_pipeline.run(spark, str(root)).collect()
+        assert sorted((r.doc_id or 0, r.piece) for r in out) == ([(0, 0), (1, 0)] if some else [])
