@@ -20,7 +20,7 @@ from corbel.plans import queries as scorecard
 SF = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
 HEADLINE = ("score_lift", "effect_table", "effect_monthly", "iv_table", "woe_encode", "psi_table", "corr_pairs", "profile", "clean_impute_clip", "swap_analysis", "derive_multi", "tree_score", "pipeline_score")
-LLM = ("op2_ngram_jaccard", "op6_pii", "op7_decontamination", "op9_packing", "op10_embedding_neardup")
+LLM = ("op1_licence_scan", "op2_ngram_jaccard", "op3_token_counts", "op4_quality", "op5_secret_scan", "op6_pii", "op7_decontamination", "op8_preferences", "op9_packing", "op10_embedding_neardup", "pipeline")
 
 
 def wide(spark: SparkSession, columns: int, rows: int):
@@ -40,9 +40,11 @@ def main() -> None:
     names: dict = {n: (lambda f=scorecard.QUERIES[n]: f(spark, SF)) for n in HEADLINE}
     names |= {"iv_100x50k": wide(spark, 100, 50_000), "iv_200x100k": wide(spark, 200, 100_000)}
     try:
+        import corpus_pipeline
         from corbel.llm import queries as llm
 
-        names |= {n: (lambda f=llm.QUERIES[n]: f(spark, SF)) for n in LLM}
+        of = llm.QUERIES | {"pipeline": corpus_pipeline.run}
+        names |= {n: (lambda f=of[n]: f(spark, SF)) for n in LLM}
     except ImportError as e:
         print(f"without the llm subpackage: {e}", file=sys.stderr)
     names["score_lift"]().write.format("noop").mode("overwrite").save()  # warm-up

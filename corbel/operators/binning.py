@@ -11,8 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corbel.functions.expressions import bin_index, bin_labels, lookup, number
+from corbel.operators.ranks import quantiles
 from corbel.operators.stage import Estimator, Model, require
 
+#: A string feature of more values, such as an id, is refused: its model would hold them all.
+MOST_CATEGORIES = 10_000
+
 
 def chi2_quantile(confidence: float) -> float:
     """Of one degree of freedom."""
@@ -153,12 +157,13 @@ class ChiMergeBinner(Estimator):
         values = rows.groupBy("feature", "v").agg(F.sum("y").alias("p"), F.count("*").alias("n"))
         regular = values.filter(~is_special)
         most = 3 * self.max_bins
-        spaced = F.percentile("v", F.array(*[F.lit(i / most) for i in range(most + 1)]))
         # with fewer distinct values than cuts every value is a cut
-        each = F.when(F.count("*") <= most, F.array_sort(F.collect_set(F.when(F.col("few"), F.col("v"))))).otherwise(spaced)
         sizes = regular.groupBy("feature").agg((F.count("*") <= most).alias("few"))
-        cuts = regular.join(F.broadcast(sizes), "feature").groupBy("feature").agg(each.alias("cuts")).withColumn("cuts", F.array_sort(F.array_distinct("cuts")))
-        counted = regular.join(F.broadcast(cuts), "feature").withColumn("bin", F.when(F.size("cuts") > 1, bin_index(F.col("v"), F.col("cuts"), "left")).otherwise(0))
+        sized = regular.join(sizes, "feature")
+        every = sized.filter("few").groupBy("feature").agg(F.array_sort(F.collect_set("v")).alias("cuts"))
+        spaced = quantiles(sized.filter("not few").select("feature", "v", F.lit(1).alias("n")), ["feature"], [i / most for i in range(most + 1)], "v").select("feature", F.col("q").alias("cuts"))
+        cuts = every.unionByName(spaced).withColumn("cuts", F.array_sort(F.array_distinct("cuts")))
+        counted = regular.join(cuts, "feature").withColumn("bin", F.when(F.size("cuts") > 1, bin_index(F.col("v"), F.col("cuts"), "left")).otherwise(0))
         bins = counted.groupBy("feature", "bin").agg(F.first("cuts").alias("cuts"), F.sum("p").alias("p"), F.sum("n").alias("n")).collect()  # at most ``most`` rows a feature
         near: dict[str, list] = {}
         for f in [f for f in features if special[f]]:
@@ -180,7 +185,9 @@ class ChiMergeBinner(Estimator):
 
     def _categories(self, df: DataFrame, label: str, feature: str) -> tuple[dict[str, int], list[float | None]]:
         c = F.col(f"`{feature}`").cast("string").alias("c")
-        rows = df.filter(F.col(label).isin(0, 1)).groupBy(c).agg(F.sum(label).alias("p"), F.count("*").alias("n")).filter("c is not null").collect()
+        rows = df.filter(F.col(label).isin(0, 1)).groupBy(c).agg(F.sum(label).alias("p"), F.count("*").alias("n")).filter("c is not null").limit(MOST_CATEGORIES + 1).collect()
+        if len(rows) > MOST_CATEGORIES:
+            raise ValueError(f"{feature} has more than {MOST_CATEGORIES} categories: group them first")
         order = sorted(rows, key=lambda r: (r.p / r.n, r.c))
         start = [[float(i), r.p, r.n] for i, r in enumerate(order)]
         # neighbours that no initial bin tells apart share one, as with numbers

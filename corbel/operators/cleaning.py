@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corbel.functions.expressions import SENTINELS, clip, number
+from corbel.operators.ranks import quantiles, value_counts
 from corbel.operators.stage import Estimator, Model, require
 
 
@@ -82,7 +83,8 @@ class FeatureCleaner(Estimator):
     """Drops features that are mostly missing, constant or without variance; fills the rest; bounds outliers.
 
     ``missing``: median, mean, constant, drop_row or none; strings get their mode, the least on ties.  ``outliers``:
-    none, percentile (``percentiles``) or iqr (``iqr_factor``); ``action``: clip or set_null.  One aggregation fits all.
+    none, percentile (``percentiles``) or iqr (``iqr_factor``); ``action``: clip or set_null.  One aggregation and one
+    count of distinct values fit all.
     """
 
     sentinels: Sequence[float] = SENTINELS
@@ -102,18 +104,23 @@ class FeatureCleaner(Estimator):
             raise ValueError("unknown missing, outliers or action")
         numeric = {f.name for f in df.schema if isinstance(f.dataType, T.NumericType)}
         lo, hi = self.percentiles if self.outliers == "percentile" else (0.25, 0.75)
-        aggs = []
-        for i, name in enumerate(features):
-            c = F.col(f"`{name}`")
-            if name in numeric:
-                c = number(c)
-                c = F.when(~c.isin(*self.sentinels), c) if self.sentinels else c
-                stats = {"v": F.var_samp(c), "q": F.percentile(c, F.array(F.lit(0.5), F.lit(float(lo)), F.lit(float(hi)))), "m": F.avg(c)}
-            else:
-                stats = {"m": F.mode(c, True)}
-            stats |= {"k": F.count(c), "d": F.count_distinct(c)}
-            aggs += [s.alias(f"{k}{i}") for k, s in stats.items()]
-        row = df.agg(F.count("*").alias("n"), *aggs).first()
+        cell = {}
+        for name in features:
+            c = number(F.col(f"`{name}`")) if name in numeric else F.col(f"`{name}`")
+            cell[name] = F.when(~c.isin(*self.sentinels), c) if self.sentinels and name in numeric else c
+        sums = [x for i, f in enumerate(features) for x in (F.count(cell[f]).alias(f"k{i}"), *([F.var_samp(cell[f]).alias(f"v{i}"), F.avg(cell[f]).alias(f"m{i}")] if f in numeric else []))]
+        row = df.agg(F.count("*").alias("n"), *sums).first().asDict()
+        row |= {f"d{i}": 0 for i in range(len(features))} | {f"{k}{i}": None for i in range(len(features)) for k in "vqm" if f"{k}{i}" not in row}
+        for names, value in ((numeric, "double"), (set(features) - numeric, "string")):
+            some = [(i, f) for i, f in enumerate(features) if f in names]
+            if not some:
+                continue
+            # one count of distinct values serves quantiles, modes and numbers of distinct values
+            counts = value_counts(df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("place"), cell[f].cast(value).alias("value")) for i, f in some])).alias("c")).select("c.*"), ["place"])
+            own = counts.groupBy("place").agg(F.count("*").alias("d"), F.min_by("value", F.struct(-F.col("n"), "value")).alias("mode"))
+            own = own.join(quantiles(counts, ["place"], [0.5, lo, hi]).drop("n"), "place") if value == "double" else own.withColumn("q", F.lit(None))
+            for r in own.collect():  # a row a feature
+                row |= {f"d{r.place}": r.d, f"q{r.place}": r.q} | ({f"m{r.place}": r.mode} if value == "string" else {})
         dropped, impute, bounds = {}, {}, {}
         for i, name in enumerate(features):
             n, known, distinct = row["n"], row[f"k{i}"], row[f"d{i}"]

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corbel.functions.expressions import lookup, number
-from corbel.operators.binning import BinModel, ChiMergeBinner
+from corbel.operators.binning import MOST_CATEGORIES, BinModel, ChiMergeBinner
 from corbel.operators.stage import Estimator, Model, require
 from corbel.operators.stats import EPS, woe_table
 
@@ -57,7 +57,10 @@ class WoeEncoder(Estimator):
 
     def fit(self, df: DataFrame, label: str, features: list[str], context: dict | None = None, validation: DataFrame | None = None) -> WoeModel:
         bins = self.binner.fit(df, label, features, context) if self.binner else None
-        rows = woe_table(bins.transform(df) if bins else df, features, label, eps=self.eps).collect()  # a row for each bin
+        most = MOST_CATEGORIES * max(1, len(features))
+        rows = woe_table(bins.transform(df) if bins else df, features, label, eps=self.eps).limit(most + 1).collect()  # a row for each bin
+        if len(rows) > most:
+            raise ValueError(f"more than {MOST_CATEGORIES} values a feature: bin them first")
         woe: dict[str, dict[float, float]] = {f: {} for f in features}
         iv = dict.fromkeys(features, 0.0)
         for r in sorted(rows, key=lambda r: (r.feature, r.value)):

@@ -1,7 +1,7 @@
 """Keyed model metrics over (label 0/1, score): AUC, KS, lift, lift tables, swap sets.
 
-Rows are first reduced to distinct scores, bins or counts; running sums then see only those.  AUC of very many
-distinct scores is summed in ranges of scores, so no window holds them all.
+Rows are first reduced to distinct scores, bins or counts; all measures of a table share these counts.  Running sums are
+taken in ranges of scores, so no window holds a key's scores.
 """
 
 from __future__ import annotations
@@ -12,13 +12,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corbel.functions.expressions import bin_index, number
+from corbel.operators.ranks import by_key, quantiles, ranged, running, value_counts
 
-#: Ranges of scores whose counts are summed apart before they are put in a row.
-RANGES = 1024
 
-
-def _clean(df: DataFrame, label: str, score: str, keys: Sequence[str]) -> DataFrame:
-    return df.select(*keys, F.col(label).alias("y"), number(F.col(f"`{score}`")).alias("s")).filter("y in (0, 1) and s is not null")
+def _counts(df: DataFrame, label: str, score: str, keys: Sequence[str]) -> DataFrame:
+    """(keys..., s, n, p): distinct scores with their rows and their bad ones."""
+    t = df.select(*keys, F.col(label).alias("y"), number(F.col(f"`{score}`")).alias("s")).filter("y in (0, 1)")
+    return value_counts(t, keys, "s", p=F.sum("y"))
 
 
 def _or_zero(c: Column) -> Column:
@@ -30,61 +30,63 @@ def _by(keys: Sequence[str]) -> list:
 
 
 def auc(df: DataFrame, label: str, score: str, keys: Sequence[str] = ()) -> DataFrame:
-    """Area under the ROC curve, ties counted half; 0 where a class is missing.
+    """Area under the ROC curve, ties counted half; 0 where a class is missing."""
+    return _auc(_counts(df, label, score, keys), keys)
 
-    Distinct scores fall in RANGES equal ranges of each key's scores; a window over a range adds up inside it and a
-    window over the ranges (at most RANGES rows a key) what lies before.
-    """
-    t = _clean(df, label, score, keys)
-    spans = t.groupBy(*keys).agg(F.min("s").alias("lo"), F.max("s").alias("hi"))
-    g = t.groupBy(*keys, "s").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("n"))
-    g = g.join(F.broadcast(spans), list(keys)) if keys else g.join(F.broadcast(spans))
-    g = g.withColumn("range", F.least(F.lit(RANGES - 1), F.floor(F.coalesce(F.try_divide((F.col("s") - F.col("lo")) * RANGES, F.col("hi") - F.col("lo")), F.lit(0.0)))))
+
+def _auc(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    g = ranged(counts.withColumn("m", F.col("n") - F.col("p")), keys, "s")
     inside = Window.partitionBy(*keys, "range").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    part = g.withColumn("before", F.coalesce(F.sum("n").over(inside), F.lit(0))).groupBy(*keys, "range").agg(F.sum(F.col("p") * (F.col("before") + F.col("n") / 2)).alias("area"), F.sum("p").alias("p"), F.sum("n").alias("n"))
-    over = Window.partitionBy(*_by(keys)).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    part = part.withColumn("below", F.coalesce(F.sum("n").over(over), F.lit(0)))
-    return part.groupBy(*keys).agg(_or_zero(F.try_divide(F.sum(F.col("area") + F.col("p") * F.col("below")), F.sum("p") * F.sum("n"))).alias("auc"))
+    part = g.withColumn("before", F.coalesce(F.sum("m").over(inside), F.lit(0))).groupBy(*keys, "range").agg(F.sum(F.col("p") * (F.col("before") + F.col("m") / 2)).alias("area"), F.sum("p").alias("p"), F.sum("m").alias("m"))
+    part = running(part, keys, ["m"])
+    return part.groupBy(*keys).agg(_or_zero(F.try_divide(F.sum(F.col("area") + F.col("p") * F.col("before_m")), F.sum("p") * F.sum("m"))).alias("auc"))
 
 
 def ks(df: DataFrame, label: str, score: str, keys: Sequence[str] = (), bins: int = 100) -> DataFrame:
     """Greatest distance of the classes' cumulative shares over equal bins of [0, 1], or of the range of other scores."""
-    t = _clean(df, label, score, keys)
-    spans = t.groupBy(*keys).agg(F.min("s").alias("lo"), F.max("s").alias("hi"), F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
+    return _ks(_counts(df, label, score, keys), keys, bins)
+
+
+def _ks(counts: DataFrame, keys: Sequence[str], bins: int = 100) -> DataFrame:
+    spans = counts.groupBy(*keys).agg(F.min("s").alias("lo"), F.max("s").alias("hi"), F.sum("p").alias("pos"), F.sum(F.col("n") - F.col("p")).alias("neg"))
     unit = (F.col("lo") >= 0) & (F.col("hi") <= 1)
     spans = spans.withColumns({"start": F.when(unit, 0.0).otherwise(F.col("lo")), "stop": F.when(unit, 1.0).otherwise(F.col("hi"))})
-    t = t.join(F.broadcast(spans), list(keys)) if keys else t.join(F.broadcast(spans))
+    t = by_key(counts, spans, keys)
     step = (F.col("stop") - F.col("start")) / bins
     k = F.floor(F.coalesce(F.try_divide(F.col("s") - F.col("start"), step), F.lit(0.0)))
     edge = lambda i: F.when(i >= bins, F.col("stop")).otherwise(F.col("start") + i * step)
     k = k + F.when(F.col("s") >= edge(k + 1), 1).when(F.col("s") < edge(k), -1).otherwise(0)
     k = F.greatest(F.lit(0), F.least(F.lit(bins - 1), k))
-    g = t.groupBy(*keys, k.alias("bin")).agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("n"), F.first("pos").alias("pos"), F.first("neg").alias("neg"), F.first(F.col("lo") == F.col("hi")).alias("flat"))
+    g = t.groupBy(*keys, k.alias("bin")).agg(F.sum("p").alias("p"), F.sum(F.col("n") - F.col("p")).alias("m"), F.first("pos").alias("pos"), F.first("neg").alias("neg"), F.first(F.col("lo") == F.col("hi")).alias("flat"))
     run = Window.partitionBy(*_by(keys)).orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    apart = F.abs(F.try_divide(F.sum("p").over(run), F.col("pos")) - F.try_divide(F.sum("n").over(run), F.col("neg")))
+    apart = F.abs(F.try_divide(F.sum("p").over(run), F.col("pos")) - F.try_divide(F.sum("m").over(run), F.col("neg")))
     out = g.withColumn("d", F.when(~F.col("flat"), apart))
     return out.groupBy(*keys).agg(_or_zero(F.max("d")).alias("ks"))
 
 
 def lift_at(df: DataFrame, label: str, score: str, percent: Sequence[float] = (10,), keys: Sequence[str] = (), digits: int | None = None) -> DataFrame:
     """lift_<p>: the bad rate of scores at or above the (100 - p)th percentile over the whole bad rate; 0 without bads."""
-    t = _clean(df, label, score, keys)
-    cut = lambda p: F.percentile("s", F.lit(1 - p / 100))
-    round_ = (lambda c: c) if digits is None else (lambda c: F.round(c, digits))
-    cuts = t.groupBy(*keys).agg(*[round_(cut(p)).alias(f"c{i}") for i, p in enumerate(percent)])
-    t = t.join(F.broadcast(cuts), list(keys)) if keys else t.join(F.broadcast(cuts))
-    top = [F.avg(F.when(F.col("s") >= F.col(f"c{i}"), F.col("y"))) for i in range(len(percent))]
-    return t.groupBy(*keys).agg(*[_or_zero(F.try_divide(x, F.avg("y"))).alias(f"lift_{p:g}") for p, x in zip(percent, top, strict=True)])
+    return _lift(_counts(df, label, score, keys), percent, keys, digits)
+
+
+def _lift(counts: DataFrame, percent: Sequence[float], keys: Sequence[str], digits: int | None) -> DataFrame:
+    cuts = quantiles(counts, keys, [1 - p / 100 for p in percent], "s", digits).drop("n")
+    t = by_key(counts, cuts, keys)
+    above = [F.col("s") >= F.get("q", F.lit(i)) for i in range(len(percent))]
+    rate = F.try_divide(F.sum("p"), F.sum("n"))
+    top = [F.try_divide(F.sum(F.when(x, F.col("p"))), F.sum(F.when(x, F.col("n")))) for x in above]
+    return t.groupBy(*keys).agg(*[_or_zero(F.try_divide(x, rate)).alias(f"lift_{p:g}") for p, x in zip(percent, top, strict=True)])
 
 
 def effect_table(df: DataFrame, label: str, score: str, keys: Sequence[str] = (), percent: Sequence[float] = (10, 5, 2, 1), digits: int | None = None) -> DataFrame:
-    """n, auc, ks and lifts by key; keys without rows of both labels 0 and 1 still show."""
-    t = df.filter(F.col(label).isin(0, 1))
-    n = t.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(label).alias("bads"))
-    parts = [auc(t, label, score, keys), ks(t, label, score, keys), lift_at(t, label, score, percent, keys, digits)]
-    for p in parts:
-        n = n.join(p, list(keys), "left") if keys else n.crossJoin(p)  # without keys each side is one row
-    return n
+    """n, auc, ks and lifts by key; keys without rows of both labels 0 and 1 still show.  One count of scores serves all."""
+    t = df.select(*keys, F.col(label).alias("y"), number(F.col(f"`{score}`")).alias("s")).filter("y in (0, 1)")
+    every = t.groupBy(*keys, "s").agg(F.count("*").alias("n"), F.sum("y").alias("p"))
+    out = every.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("p").alias("bads"))
+    counts = every.filter("s is not null")
+    for p in (_auc(counts, keys), _ks(counts, keys), _lift(counts, percent, keys, digits)):
+        out = by_key(out, p, keys, "left")
+    return out
 
 
 def lift_table(df: DataFrame, label: str, score: str, keys: Sequence[str] = (), n_bins: int = 10, baseline: str | None = None, digits: int | None = None) -> DataFrame:
@@ -95,19 +97,20 @@ def lift_table(df: DataFrame, label: str, score: str, keys: Sequence[str] = (),
     goods, scores ascending.  A constant score has no rows.  ``baseline`` adds base_* counts of it on the same edges.
     """
     t = df.select(*keys, F.col(label).alias("y"), number(F.col(f"`{score}`")).alias("s"), *([number(F.col(f"`{baseline}`")).alias("b")] if baseline else [])).filter("s is not null")
-    q = F.percentile("s", F.array(*[F.lit(i / n_bins) for i in range(n_bins + 1)]))
-    q = q if digits is None else F.transform(q, lambda x: F.round(x, digits))
-    cuts = t.groupBy(*keys).agg(F.array_sort(F.array_distinct(q)).alias("e"), F.count("*").alias("n_all"), F.count_if(F.col("y") == 1).alias("all_bads"), F.count_if(F.col("y") == 0).alias("all_goods"))
+    goods, bads = F.count_if(F.col("y") == 0), F.count_if(F.col("y") == 1)
+    counts = value_counts(t, keys, "s", goods=goods, bads=bads)
+    q = quantiles(counts, keys, [i / n_bins for i in range(n_bins + 1)], "s", digits).select(*keys, F.array_sort(F.array_distinct("q")).alias("e"))
+    cuts = by_key(q, counts.groupBy(*keys).agg(F.sum("n").alias("n_all"), F.sum("bads").alias("all_bads"), F.sum("goods").alias("all_goods")), keys)
     cuts = cuts.filter("size(e) > 1").withColumn("inner", F.slice("e", F.lit(2), F.size("e") - 2))
-    joined = t.join(F.broadcast(cuts.select(*keys, "inner")), list(keys)) if keys else t.join(F.broadcast(cuts.select("inner")))
+    inner = q.filter("size(e) > 1").select(*keys, F.slice("e", F.lit(2), F.size("e") - 2).alias("inner"))
 
-    def counted(col: str, prefix: str) -> DataFrame:
-        rows = joined.withColumn("bin", bin_index(F.col(col), F.col("inner"), "open")).filter("bin is not null")
-        return rows.groupBy(*keys, "bin").agg(F.count_if(F.col("y") == 0).alias(f"{prefix}goods"), F.count_if(F.col("y") == 1).alias(f"{prefix}bads"), *([F.min(F.col(col)).alias("min"), F.max(F.col(col)).alias("max")] if not prefix else []))
+    def counted(table: DataFrame, col: str, prefix: str) -> DataFrame:
+        rows = by_key(table, inner, keys).withColumn("bin", bin_index(F.col(col), F.col("inner"), "open"))
+        return rows.groupBy(*keys, "bin").agg(F.sum("goods").alias(f"{prefix}goods"), F.sum("bads").alias(f"{prefix}bads"), *([F.min(col).alias("min"), F.max(col).alias("max")] if not prefix else []))
 
     every = cuts.withColumn("bin", F.explode(F.sequence(F.lit(0), F.size("inner"))))
     on = [*keys, "bin"]
-    out = every.join(counted("s", ""), on, "left").fillna(0, ["goods", "bads"])
+    out = every.join(counted(counts, "s", ""), on, "left").fillna(0, ["goods", "bads"])
     run = Window.partitionBy(*_by(keys)).orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     total = F.col("goods") + F.col("bads")
     cum_bad, cum_total = F.sum("bads").over(run), F.sum(total).over(run)
@@ -118,7 +121,7 @@ def lift_table(df: DataFrame, label: str, score: str, keys: Sequence[str] = (),
         _or_zero(F.try_divide(F.try_divide(F.col("bads"), total), rate)).alias("lift"), _or_zero(F.try_divide(F.try_divide(cum_bad, cum_total), rate)).alias("cum_lift"),
     ]
     if baseline:
-        out = out.join(counted("b", "base_"), on, "left").fillna(0, ["base_goods", "base_bads"])
+        out = out.join(counted(value_counts(t, keys, "b", goods=goods, bads=bads), "b", "base_"), on, "left").fillna(0, ["base_goods", "base_bads"])
         cols += ["base_goods", "base_bads", _or_zero(F.try_divide(F.col("base_bads"), F.col("base_goods") + F.col("base_bads"))).alias("base_bad_rate")]
     return out.select(*cols)
 
@@ -130,10 +133,8 @@ def swap_table(df: DataFrame, label: str, new: str, old: str, percent: Sequence[
     """
     sign = 1 if higher_is_safer else -1
     t = df.select(*keys, F.col(label).alias("y"), (number(F.col(f"`{new}`")) * sign).alias("a"), (number(F.col(f"`{old}`")) * sign).alias("b")).filter("y in (0, 1) and a is not null and b is not null")
-    ps = F.array(*[F.lit(p / 100) for p in percent])
-    round_ = (lambda c: c) if digits is None else (lambda c: F.transform(c, lambda x: F.round(x, digits)))
-    cuts = t.groupBy(*keys).agg(round_(F.percentile("a", ps)).alias("ca"), round_(F.percentile("b", ps)).alias("cb"))
-    t = t.join(F.broadcast(cuts), list(keys)) if keys else t.join(F.broadcast(cuts))
+    cuts = [quantiles(value_counts(t, keys, c), keys, [p / 100 for p in percent], c, digits).select(*keys, F.col("q").alias(f"c{c}")) for c in ("a", "b")]
+    t = by_key(t, by_key(*cuts, keys), keys)
     cut = F.explode(F.arrays_zip(F.array(*[F.lit(float(p)) for p in percent]).alias("pct"), "ca", "cb"))
     t = t.select(*keys, "y", "a", "b", cut.alias("cut")).select(*keys, "y", F.col("cut.pct").alias("pct"), (F.col("a") <= F.col("cut.ca")).alias("no"), (F.col("b") <= F.col("cut.cb")).alias("old_no"))
     no, old_no, bad = F.col("no"), F.col("old_no"), F.col("y") == 1
@@ -148,15 +149,14 @@ def feature_ks(df: DataFrame, features: Sequence[str], score: str, n_bins: int =
     """(keys..., feature, ks): distance over quantile bins of rows scored at or above the median from those below."""
     from corbel.operators.stats import long_form, quantile_edges
 
-    round_ = (lambda c: c) if digits is None else (lambda c: F.round(c, digits))
     s = number(F.col(f"`{score}`"))
-    mid = df.groupBy(*keys).agg(round_(F.percentile(s, F.lit(0.5))).alias("__mid"))
-    t = df.join(F.broadcast(mid), list(keys)) if keys else df.join(F.broadcast(mid))
-    t = t.withColumn("__high", F.when(s.isNotNull(), (s >= F.col("__mid")).cast("int"))).filter("__high is not null")
+    mid = quantiles(value_counts(df.select(*keys, s.alias("s")), keys, "s"), keys, [0.5], "s", digits).select(*keys, F.get("q", F.lit(0)).alias("__mid"))
+    t = by_key(df.filter(s.isNotNull()), mid, keys).withColumn("__high", (s >= F.col("__mid")).cast("int"))
     edges = quantile_edges(df, features, n_bins, keys, digits)
-    cells = long_form(t, features, [*keys, "__high"]).filter("value is not null").join(F.broadcast(edges), [*keys, "feature"])
+    cells = long_form(t, features, [*keys, "__high"]).filter("value is not null")
+    cells = cells.groupBy(*keys, "feature", "value").agg(F.sum("__high").alias("p"), F.sum(1 - F.col("__high")).alias("n")).join(edges, [*keys, "feature"])
     cells = cells.withColumn("bin", bin_index(F.col("value"), F.slice("edges", F.lit(2), F.greatest(F.size("edges") - 2, F.lit(0))), "open"))
-    g = cells.groupBy(*keys, "feature", "bin").agg(F.sum("__high").alias("p"), F.sum(1 - F.col("__high")).alias("n"))
+    g = cells.groupBy(*keys, "feature", "bin").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
     each = Window.partitionBy(*keys, "feature")
     run = each.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     apart = F.abs(F.try_divide(F.sum("p").over(run), F.sum("p").over(each)) - F.try_divide(F.sum("n").over(run), F.sum("n").over(each)))

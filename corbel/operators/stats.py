@@ -6,14 +6,17 @@ Each takes ``keys``, the columns that tell datasets apart, so one job answers al
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from itertools import combinations
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corbel.functions.expressions import bin_index, number
+from corbel.operators.ranks import quantiles, value_counts
 
 EPS = 0.001
 PSI_EPS = 1e-4
@@ -25,10 +28,17 @@ def long_form(df: DataFrame, features: Sequence[str], keep: Sequence[str] = ())
     return df.select(*keep, cells.alias("cell")).select(*keep, "cell.feature", "cell.value")
 
 
-def _places(df: DataFrame, features: Sequence[str], keep: Sequence[str]) -> DataFrame:
+#: Columns of one scan: wider projections lose Spark's generated code (its limit is 100 fields).
+WIDTH = 64
+
+
+def places(df: DataFrame, features: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
     """(keep..., place, value): as ``long_form``, with a feature's place instead of its name, for grouping many rows."""
-    cells = F.posexplode(F.array(*[number(F.col(f"`{f}`")) for f in features])).alias("place", "value")
-    return df.select(*keep, cells)
+    parts = []
+    for lo in range(0, len(features), WIDTH):
+        cells = F.posexplode(F.array(*[number(F.col(f"`{f}`")) for f in features[lo : lo + WIDTH]])).alias("at", "value")
+        parts.append(df.select(*keep, cells).select(*keep, (F.col("at") + lo).alias("place"), "value"))
+    return reduce(DataFrame.unionAll, parts)
 
 
 def _named(features: Sequence[str]) -> Column:
@@ -36,13 +46,15 @@ def _named(features: Sequence[str]) -> Column:
 
 
 def profile(df: DataFrame, features: Sequence[str], keys: Sequence[str] = (), probabilities: Sequence[float] = (0, 0.25, 0.5, 0.75, 1)) -> DataFrame:
-    """Per feature: n, n_missing, missing_rate, n_distinct, distinct_ratio, mean, variance (ddof 1), quantiles."""
-    cells = long_form(df, features, keys)
-    n, known = F.count("*"), F.count("value")
-    q = F.percentile("value", F.array(*[F.lit(float(p)) for p in probabilities]))
-    return cells.groupBy(*keys, "feature").agg(
-        n.alias("n"), (n - known).alias("n_missing"), ((n - known) / n).alias("missing_rate"), F.count_distinct("value").alias("n_distinct"),
-        F.try_divide(F.count_distinct("value"), known).alias("distinct_ratio"), F.avg("value").alias("mean"), F.var_samp("value").alias("variance"), q.alias("quantiles"),
+    """Per feature: n, n_missing, missing_rate, n_distinct, distinct_ratio, mean, variance (ddof 1), quantiles (NULL without values)."""
+    cells, by = places(df, features, keys), [*keys, "place"]
+    counts = value_counts(cells, by)
+    sums = cells.groupBy(*by).agg(F.count("*").alias("n"), F.count("value").alias("known"), F.avg("value").alias("mean"), F.var_samp("value").alias("variance"))
+    found = quantiles(counts, by, probabilities).drop("n").join(counts.groupBy(*by).agg(F.count("*").alias("n_distinct")), by)
+    missing, distinct = F.col("n") - F.col("known"), F.coalesce("n_distinct", F.lit(0))
+    return sums.join(found, by, "left").select(
+        *keys, _named(features), "n", missing.alias("n_missing"), (missing / F.col("n")).alias("missing_rate"), distinct.alias("n_distinct"),
+        F.try_divide(distinct, F.col("known")).alias("distinct_ratio"), "mean", "variance", F.col("q").alias("quantiles"),
     )
 
 
@@ -62,11 +74,11 @@ def woe_table(df: DataFrame, features: Sequence[str], label: str, keys: Sequence
 
     Totals count every row, also where the value is missing; the smoothing uses the number of the feature's values.
     """
-    y = F.col(label)
-    cells = _places(df.filter(y.isin(0, 1)), features, [*keys, label])
-    cell = cells.groupBy(*keys, "place", "value").agg(F.sum(y).alias("n_pos"), F.count("*").alias("n"))
-    each = Window.partitionBy(*keys, "place")
-    cell = cell.withColumns({"pos": F.sum("n_pos").over(each), "all": F.sum("n").over(each), "k": F.count("value").over(each), "n_neg": F.col("n") - F.col("n_pos")}).filter("value is not null")
+    y, by = F.col(label), [*keys, "place"]
+    cells = places(df.filter(y.isin(0, 1)), features, [*keys, label])
+    cell = cells.groupBy(*by, "value").agg(F.sum(y).alias("n_pos"), F.count("*").alias("n"))
+    totals = cell.groupBy(*by).agg(F.sum("n_pos").alias("pos"), F.sum("n").alias("all"), F.count("value").alias("k"))
+    cell = cell.filter("value is not null").join(totals, by).withColumn("n_neg", F.col("n") - F.col("n_pos"))
     dp, dn = (F.col("n_pos") + eps) / (F.col("pos") + eps * F.col("k")), (F.col("n_neg") + eps) / (F.col("all") - F.col("pos") + eps * F.col("k"))
     return cell.select(*keys, _named(features), "value", "n_pos", "n_neg", F.ln(dp / dn).alias("woe"), ((dp - dn) * F.ln(dp / dn)).alias("iv_part"))
 
@@ -78,10 +90,13 @@ def information_value(df: DataFrame, features: Sequence[str], label: str, keys:
 
 def quantile_edges(df: DataFrame, features: Sequence[str], n_bins: int, keys: Sequence[str] = (), digits: int | None = None) -> DataFrame:
     """(keys..., feature, edges): distinct ascending quantiles i / n_bins of the non-null values."""
-    ps = F.array(*[F.lit(i / n_bins) for i in range(n_bins + 1)])
-    q = F.percentile("value", ps)
-    q = q if digits is None else F.transform(q, lambda x: F.round(x, digits))
-    return long_form(df, features, keys).groupBy(*keys, "feature").agg(q.alias("q")).select(*keys, "feature", F.array_sort(F.array_distinct("q")).alias("edges"))
+    by = [*keys, "place"]
+    return _edges(value_counts(places(df, features, keys), by), by, n_bins, digits).select(*keys, _named(features), "edges")
+
+
+def _edges(counts: DataFrame, by: Sequence[str], n_bins: int, digits: int | None) -> DataFrame:
+    q = quantiles(counts, by, [i / n_bins for i in range(n_bins + 1)], digits=digits)
+    return q.select(*by, F.array_sort(F.array_distinct("q")).alias("edges"))
 
 
 def psi(reference: DataFrame, other: DataFrame, features: Sequence[str], keys: Sequence[str] = (), n_bins: int = 10, eps: float = PSI_EPS, digits: int | None = None) -> DataFrame:
@@ -89,38 +104,64 @@ def psi(reference: DataFrame, other: DataFrame, features: Sequence[str], keys: S
 
     Bins are [a, b) with the last closed; values outside are left out; empty bins count by their smoothing.
     """
-    edges = quantile_edges(reference, features, n_bins, digits=digits)
-
-    def binned(df: DataFrame, by: Sequence[str]) -> DataFrame:
-        cells = long_form(df, features, by).filter("value is not null").join(F.broadcast(edges), "feature")
-        at = cells.withColumn("bin", bin_index(F.col("value"), F.col("edges"), "left")).filter("bin is not null and size(edges) > 1")
-        return at.groupBy(*by, "feature", "bin").agg(F.count("*").alias("c"))
+    known = value_counts(places(reference, features), ["place"])
+    edges = _edges(known, ["place"], n_bins, digits)
 
     def shares(counts: DataFrame, by: Sequence[str], name: str) -> DataFrame:
-        each = counts.groupBy(*by, "feature").agg(F.map_from_entries(F.collect_list(F.struct("bin", "c"))).alias("m"), F.sum("c").alias("n"))
-        wide = each.join(F.broadcast(edges), "feature").withColumn("bins", F.sequence(F.lit(0), F.size("edges") - 2))
-        share = F.transform("bins", lambda b: (F.coalesce(F.try_element_at("m", b), F.lit(0)) + eps) / (F.col("n") + eps * F.size("bins")))
-        return wide.select(*by, "feature", share.alias(name))
+        at = counts.join(edges, "place").withColumn("bin", bin_index(F.col("value"), F.col("edges"), "left")).filter("bin is not null and size(edges) > 1")
+        bins = at.groupBy(*by, "place", "bin").agg(F.sum("n").alias("c"), F.first("edges").alias("edges"))
+        each = bins.groupBy(*by, "place").agg(F.map_from_entries(F.collect_list(F.struct("bin", "c"))).alias("m"), F.sum("c").alias("n"), (F.size(F.first("edges")) - 1).alias("k"))
+        share = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda b: (F.coalesce(F.try_element_at("m", b), F.lit(0)) + eps) / (F.col("n") + eps * F.col("k")))
+        return each.select(*by, "place", share.alias(name))
 
-    p, q = shares(binned(reference, []), [], "p"), shares(binned(other, keys), keys, "q")
+    p, q = shares(known, [], "p"), shares(value_counts(places(other, features, keys), [*keys, "place"]), keys, "q")
     parts = F.zip_with("q", "p", lambda a, b: (a - b) * F.ln(a / b))
-    found = q.join(F.broadcast(p), "feature").select(*keys, "feature", F.greatest(F.lit(0.0), F.aggregate(parts, F.lit(0.0), lambda s, x: s + x)).alias("psi"))
-    every = long_form(other, features, keys).select(*keys, "feature").distinct()
-    return every.join(found, [*keys, "feature"], "left").select(*keys, "feature", F.coalesce("psi", F.lit(0.0)).alias("psi"))
+    found = q.join(p, "place").select(*keys, "place", F.greatest(F.lit(0.0), F.aggregate(parts, F.lit(0.0), lambda s, x: s + x)).alias("psi"))
+    some = other.select(*keys).distinct() if keys else other.select(F.lit(1).alias("__one")).distinct()
+    every = some.select(*keys, F.explode(F.sequence(F.lit(0), F.lit(len(features) - 1))).alias("place"))
+    return every.join(found, [*keys, "place"], "left").select(*keys, _named(features), F.coalesce("psi", F.lit(0.0)).alias("psi"))
+
+
+def _products(features: Sequence[str]):
+    """Sums of each batch: for every pair of columns over rows where both are there, n, sums and products about a shift."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        d = len(features)
+        total, shift = np.zeros((6, d, d)), None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if shift is None:
+                shift = np.array([s if s is not None else 0.0 for s in (batch.column("shift")[0].as_py())])
+            x = np.stack([batch.column(f"c{i}").to_numpy(zero_copy_only=False) for i in range(d)]).astype(float) - shift[:, None]
+            there = np.isfinite(x)
+            x, m = np.where(there, x, 0.0), there.astype(float)
+            total += np.stack([m @ m.T, x @ m.T, m @ x.T, (x * x) @ m.T, m @ (x * x).T, x @ x.T])
+        i, j = np.triu_indices(d, 1)
+        yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), *[pa.array(t[i, j]) for t in total]], names=["i", "j", "n", "x", "y", "xx", "yy", "xy"])
+
+    return run
 
 
 def correlations(df: DataFrame, features: Sequence[str], threshold: float | None = None) -> DataFrame:
-    """(f1, f2, r) of all pairs in one aggregation over all rows; pairs with a NULL are left out pairwise.
+    """(f1, f2, r) of all pairs over all rows; pairs with a NULL are left out pairwise, infinite values count as NULL.
 
-    With a threshold only |r| above it, largest first.
+    Each task adds up matrix products of its rows, about a value near the mean; only the sums are shuffled, a row a pair
+    and task.  NULL where a column has no variance.  With a threshold only |r| above it, largest first.
     """
-    wide = df.select(*[number(F.col(f"`{f}`")).alias(f"c{i}") for i, f in enumerate(features)])
-    pairs = list(combinations(range(len(features)), 2))
-    if not pairs:
+    if len(features) < 2:
         return df.sparkSession.createDataFrame([], "f1 string, f2 string, r double")
-    one = wide.agg(*[F.corr(f"c{i}", f"c{j}").alias(f"r{i}_{j}") for i, j in pairs])
-    rows = F.explode(F.array(*[F.struct(F.lit(features[i]).alias("f1"), F.lit(features[j]).alias("f2"), F.col(f"r{i}_{j}").alias("r")) for i, j in pairs]))
-    out = one.select(rows.alias("p")).select("p.*")
+    cells = [number(F.col(f"`{f}`")).alias(f"c{i}") for i, f in enumerate(features)]
+    shift = df.select(*cells).limit(1000).agg(F.array(*[F.avg(f"c{i}") for i in range(len(features))]).alias("shift"))  # any shift is right, one near the mean keeps digits
+    sums = df.select(*cells).crossJoin(F.broadcast(shift)).mapInArrow(_products(features), "i int, j int, n double, x double, y double, xx double, yy double, xy double")
+    one = sums.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "x", "y", "xx", "yy", "xy")])
+    about = lambda ab, a, b: F.col(ab) - F.try_divide(F.col(a) * F.col(b), F.col("n"))
+    vx, vy = about("xx", "x", "x"), about("yy", "y", "y")
+    # what rounding leaves of a constant column is no variance
+    flat = (vx <= F.col("xx") * 1e-14) | (vy <= F.col("yy") * 1e-14)
+    r = F.when(~flat, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.try_divide(about("xy", "x", "y"), F.sqrt(vx) * F.sqrt(vy)))))
+    name = lambda c: F.element_at(F.array(*[F.lit(f) for f in features]), F.col(c) + 1)
+    out = one.select(name("i").alias("f1"), name("j").alias("f2"), r.alias("r"))
     return out if threshold is None else out.filter(F.abs("r") > threshold).orderBy(F.desc(F.abs("r")), "f1", "f2")
 
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
 from itertools import product
+from statistics import fmean, median
 from time import perf_counter
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -54,7 +55,9 @@ class RandomSearch:
     """Seeded random search: fits on a hash split of the rows, scores the rest, refits the best on all.
 
     ``space`` maps a field of the pipeline's last step to (low, high): whole numbers if both are and the field is;
-    by the logarithm if low > 0 and high / low > 100.
+    by the logarithm if low > 0 and high / low > 100.  With ``folds`` each trial is the mean over that many parts, each
+    held out once; after ``prune_after`` trials one ends at the first fold at which its mean is below the median of
+    those that got so far (None: never).  ``metric`` is any, by default AUC.
     """
 
     space: dict[str, tuple[float, float]]
@@ -62,6 +65,8 @@ class RandomSearch:
     seed: int = 42
     held: float = 0.25
     metric: Metric = DEFAULT_METRICS[0]
+    folds: int = 1
+    prune_after: int | None = 5
 
     def suggest(self, step: Estimator, rng: random.Random) -> dict:
         out = {}
@@ -77,16 +82,22 @@ class RandomSearch:
 
     def fit(self, pipeline: Pipeline, df: DataFrame, label: str, features: Sequence[str], key: str) -> tuple[PipelineModel, dict, float]:
         rng = random.Random(self.seed)
-        part = F.pmod(F.xxhash64(key, F.lit(self.seed)), F.lit(10_000)) < int(self.held * 10_000)
-        train, rest = df.filter(~part), df.filter(part)
+        place = F.pmod(F.xxhash64(key, F.lit(self.seed)), F.lit(10_000))
+        parts = [place < int(self.held * 10_000)] if self.folds < 2 else [F.pmod(place, F.lit(self.folds)) == k for k in range(self.folds)]
         last, best = pipeline.steps[-1], None
-        for _ in range(self.trials):
-            chosen = self.suggest(last, rng)  # type: ignore[arg-type]
+        means: list[list[float]] = [[] for _ in parts]  # of earlier trials, after each fold
+        for trial in range(self.trials):
+            chosen, values = self.suggest(last, rng), []  # type: ignore[arg-type]
             tried = Pipeline([*pipeline.steps[:-1], replace(last, **chosen)])  # type: ignore[type-var]
-            model = tried.fit(train, label, features)
-            value = self.metric.compute(model.score(rest), label, model.steps[-1].output, ()).first()["value"]  # type: ignore[attr-defined]
-            if best is None or value > best[1]:
-                best = (chosen, value)
+            for k, part in enumerate(parts):
+                model = tried.fit(df.filter(~part), label, features)
+                values.append(self.metric.compute(model.score(df.filter(part)), label, model.steps[-1].output, ()).first()["value"])  # type: ignore[attr-defined]
+                mean, others = fmean(values), list(means[k])
+                means[k].append(mean)
+                if self.prune_after is not None and trial >= self.prune_after and others and mean < median(others):
+                    break
+            if len(values) == len(parts) and (best is None or mean > best[1]):
+                best = (chosen, mean)
         chosen, value = best or ({}, 0.0)
         return Pipeline([*pipeline.steps[:-1], replace(last, **chosen)]).fit(df, label, features), chosen, value  # type: ignore[type-var]
 
@@ -159,8 +170,21 @@ class ExperimentRunner:
     def best_model(self) -> PipelineModel:
         return self.models[self.best()[0]]
 
-    def importances(self, spark: SparkSession) -> DataFrame:
-        rows = [(n, f, v) for n, m in self.models.items() if isinstance(m.steps[-1], TreeModel) for f, v in importance(m.steps[-1]).items()]
+    def score(self, df: DataFrame) -> DataFrame:
+        """``df`` scored by the best model."""
+        return self.best_model().score(df)
+
+    def predict_proba(self, df: DataFrame) -> DataFrame:
+        """``df`` as the best model's steps leave it, with ``probability``."""
+        model = self.best_model()
+        return model.steps[-1].predict_proba(replace(model, steps=model.steps[:-1]).transform(df))  # type: ignore[attr-defined]
+
+    def predict(self, df: DataFrame, threshold: float = 0.5) -> DataFrame:
+        """The same with ``prediction``: 1 where the probability is at least ``threshold``."""
+        return self.predict_proba(df).withColumn("prediction", (F.col("probability") >= threshold).cast("int"))
+
+    def importances(self, spark: SparkSession, kind: str = "gain") -> DataFrame:
+        rows = [(n, f, v) for n, m in self.models.items() if isinstance(m.steps[-1], TreeModel) for f, v in importance(m.steps[-1], kind).items()]
         return spark.createDataFrame(rows, "experiment string, feature string, importance double")
 
     def to_markdown(self, spark: SparkSession, top: int = 10) -> str:

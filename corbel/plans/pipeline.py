@@ -4,20 +4,21 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields, is_dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corbel.errors import ConsistencyError, SpecError, UnsupportedStepError
-from corbel.functions.expressions import derive, evaluate
+from corbel.functions.expressions import derive, evaluate, variables
 from corbel.operators.binning import BinModel
 from corbel.operators.cleaning import CleanModel
 from corbel.operators.encoding import WoeModel
 from corbel.operators.selection import SelectModel
 from corbel.operators.stage import Estimator, Model
 from corbel.plans.trees import TreeModel
+from corbel.workspace import Workspace
 
 #: Of specifications that this library writes, and the least reader they need.
 VERSION, LEAST_READER = (1, 0, 0), (1, 0, 0)
@@ -139,6 +140,16 @@ def _read(x: object) -> object:
     return [_read(v) for v in x] if isinstance(x, list) else x
 
 
+def needs(step: Estimator) -> set[str]:
+    """Columns that a step reads besides features and label: its weight, and the variables of its expressions."""
+    return {c for c in (getattr(step, "weight", None),) if c} | {v for _, e in getattr(step, "expressions", ()) for v in variables(e)}
+
+
+def parameters(step: Estimator) -> dict[str, object]:
+    """The settings of an estimator that are plain values."""
+    return {f.name: v for f in fields(step) if isinstance(v := getattr(step, f.name), (int, float, str, bool, tuple, list, dict))} if is_dataclass(step) else {}
+
+
 @dataclass(frozen=True)
 class Pipeline:
     """Steps in turn.  What a step's model tells of itself reaches later steps; the first teller of a name wins."""
@@ -146,10 +157,23 @@ class Pipeline:
     steps: Sequence[Estimator | tuple[str, Estimator]]
 
     def fit(self, df: DataFrame, label: str, features: Sequence[str], validation: DataFrame | None = None) -> PipelineModel:
+        """Steps are fitted on what the ones before make of ``df``.
+
+        After binning or encoding the columns that are still needed are written below the checkpoint folder, so later steps
+        read them instead of projecting the whole input again; the table goes when all steps are fitted.
+        """
+        ws = Workspace(df.sparkSession, "pipeline")
+        try:
+            return self._fit(df, label, features, validation, ws)
+        finally:
+            ws.close()
+
+    def _fit(self, df: DataFrame, label: str, features: Sequence[str], validation: DataFrame | None, ws: Workspace) -> PipelineModel:
         names, context, models = list(features), {}, []
-        for item in self.steps:
-            step = item[1] if isinstance(item, tuple) else item
+        steps = [item[1] if isinstance(item, tuple) else item for item in self.steps]
+        for place, step in enumerate(steps):
             model = step.fit(df, label, names, context, validation)
+            context.setdefault("params", {})[getattr(model, "name", "") or model.kind] = parameters(step)
             for k, v in model.attributes().items():
                 context.setdefault(k, v)
             if isinstance(model, SelectModel):
@@ -159,8 +183,14 @@ class Pipeline:
             elif isinstance(model, DeriveModel):
                 names += [t for t, _ in model.expressions]
             models.append(model)
-            df = model.transform(df)
-            validation = model.transform(validation) if validation is not None else None
+            if place + 1 < len(steps):
+                df = model.transform(df)
+                validation = model.transform(validation) if validation is not None else None
+            if isinstance(model, (BinModel, WoeModel)) and place + 2 < len(steps):
+                later = {c for s in steps[place + 1 :] for c in needs(s)}
+                df = ws.save(df.select(*[c for c in df.columns if c in {*names, label, *later}]), f"train{place}")
+                if validation is not None:
+                    validation = ws.save(validation.select(*[c for c in validation.columns if c in {*names, label, *later}]), f"validation{place}")
         return PipelineModel(tuple(models), tuple(features), context | {"features": names})
 
 

@@ -23,7 +23,7 @@ from corbel.plans.experiment import average_ranks, top_features
 from corbel.plans.pipeline import FeatureDerivation, Pipeline
 from corbel.plans.report import binned_counts, compare_labels, compare_scores
 from corbel.plans.trees import BoostedClassifier, literal_trees
-from corbel.sources.loans import preprocess
+from corbel.sources.loans import preprocess, select_features, with_target
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -259,13 +259,34 @@ def corr_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(stats.correlations(transactions(spark, sf_dir), [*FEATURES, "score"]))
 
 
-@query()
+CORR = " UNION ALL ".join(f"SELECT '{a}' AS f1, '{b}' AS f2, {i} AS place, corr({a}, {b}) AS r FROM tx" for i, (a, b) in enumerate(PAIRS))
+
+
+@query(f"WITH {TX}, c AS ({CORR}) SELECT f1, f2, round(r, 6) AS r FROM c WHERE abs(r) > 0.3")
+def high_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(stats.correlations(transactions(spark, sf_dir), [*FEATURES, "score"], 0.3))
+
+
+VARIANCES = " UNION ALL ".join(f"SELECT '{f}' AS feature, var_samp({f}) AS v FROM tx" for f in [*FEATURES, "score"])
+
+
+@query(f"""WITH RECURSIVE {TX}, c AS ({CORR}), v AS ({VARIANCES}), p AS (
+    SELECT f1, f2, abs(r) AS r, a.v >= b.v AS first, row_number() OVER (ORDER BY abs(r) DESC, place) AS k FROM c JOIN v a ON a.feature = f1 JOIN v b ON b.feature = f2 WHERE abs(r) > 0.5
+), walk AS (
+    SELECT 0 AS k, CAST([] AS VARCHAR[]) AS gone
+    UNION ALL
+    SELECT p.k, CASE WHEN list_contains(gone, f1) OR list_contains(gone, f2) THEN gone WHEN first THEN list_append(gone, f2) ELSE list_append(gone, f1) END FROM walk JOIN p ON p.k = walk.k + 1
+), last AS (SELECT gone FROM walk ORDER BY k DESC LIMIT 1)
+SELECT feature, NOT list_contains(gone, feature) AS kept, round(coalesce((SELECT max(r) FROM p WHERE f1 = feature OR f2 = feature), 0), 6) AS strongest FROM v, last""")
 def corr_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = CorrelationSelector(0.5).fit(transactions(spark, sf_dir), "bad", [*FEATURES, "score"])
     return rounded(spark.createDataFrame([(f, f in model.kept, v) for f, v in model.values.items()], "feature string, kept boolean, strongest double"))
 
 
-@query()
+OUT = "tag = 'oot'"
+
+
+@query(f"WITH {TX}, {psi_sql(FEATURES, 'tag', OUT).replace('SELECT k AS tag, feature, round(greatest', 'SELECT feature, greatest(0, sum((q - p) * ln(q / p))) <= 0.001 AS kept, round(greatest')}".replace("GROUP BY 1, 2", "GROUP BY feature"))
 def psi_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = transactions(spark, sf_dir)
     model = PSISelector(0.001).fit(df.filter("tag = 'train'"), "bad", FEATURES, validation=df.filter("tag = 'oot'"))
@@ -436,6 +457,18 @@ def pipeline_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Pipeline(steps).fit(df, "bad", ["q", "p", "l_discount", "l_tax"]).score(df).select(*ID, F.round("risk_score", 6).alias("risk_score"))
 
 
+LOANS = "SELECT o_orderkey AS id, CASE o_orderstatus WHEN 'F' THEN 'Fully Paid' WHEN 'P' THEN 'Charged Off' WHEN 'O' THEN CASE WHEN o_orderkey % 3 = 0 THEN 'Current' ELSE 'Default' END END AS loan_status, o_totalprice AS loan_amnt FROM orders"
+
+
+@query(f"WITH l AS ({LOANS}) SELECT id, loan_amnt, CASE WHEN loan_status = 'Fully Paid' THEN 0 ELSE 1 END AS target FROM l WHERE loan_status <> 'Current'")
+def loan_target(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Settled loans with their target and the columns left when ids, the status and what is known only later are gone."""
+    orders, status = spark.read.parquet(f"{sf_dir}/orders.parquet"), F.col("o_orderstatus")
+    open_ = F.when(F.col("o_orderkey") % 3 == 0, "Current").otherwise("Default")
+    raw = orders.select(F.col("o_orderkey").alias("id"), F.when(status == "F", "Fully Paid").when(status == "P", "Charged Off").when(status == "O", open_).alias("loan_status"), F.col("o_totalprice").alias("loan_amnt"), F.lit(1.0).alias("hardship_amount"), F.lit("Y").alias("debt_settlement_flag"))
+    return with_target(raw).select("id", *select_features(raw.columns, "all"), "target")
+
+
 @query("""SELECT o_orderkey, CASE o_orderstatus WHEN 'O' THEN 36 WHEN 'F' THEN 60 END::DOUBLE AS term, CASE WHEN o_orderpriority LIKE '1%' THEN 0 WHEN o_orderpriority LIKE '2%' THEN 10 WHEN o_orderpriority LIKE '3%' THEN 3 END::DOUBLE AS emp_length, round(CAST(o_orderkey % 30 AS DOUBLE) + 0.5, 6) AS int_rate FROM orders""")
 def loan_preprocess(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")

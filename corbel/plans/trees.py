@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import re
-from collections.abc import Sequence
-from dataclasses import asdict, dataclass, field
+from collections.abc import Callable, Sequence
+from dataclasses import asdict, dataclass, field, replace
 from math import exp, log
 
 import numpy as np
@@ -14,12 +15,13 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corbel.errors import SpecError
 from corbel.functions.expressions import number
 from corbel.operators.scaling import LogitScale
 from corbel.operators.stage import Estimator, Model, require
 
-#: Up to so many trees are one Catalyst expression; more are scored by an Arrow function.
-EXPRESSION_TREES = 50
+#: Ensembles of up to so many nodes are one Catalyst expression; larger ones are scored by an Arrow function.
+EXPRESSION_NODES = 20_000
 
 
 @dataclass(frozen=True)
@@ -33,6 +35,8 @@ class Node:
     left: int = -1
     right: int = -1
     missing_left: bool = False
+    gain: float = 0.0  # of the split, where the trainer tells
+    cover: float = 0.0  # the weight of the rows that reach the node
 
 
 @dataclass(frozen=True)
@@ -64,10 +68,13 @@ class TreeModel(Model):
 
     def margin(self) -> Column:
         inputs = self._inputs()
-        if len(self.trees) <= EXPRESSION_TREES:
-            leaves = F.array(*[self._tree(t, inputs) for t in self.trees])
-            return F.lit(self.base) + F.aggregate(leaves, F.lit(0.0), lambda a, x: a + x)
-        return self._vectorised()(F.struct(*[c.alias(f"c{i}") for i, c in enumerate(inputs)]))
+        if sum(map(len, self.trees)) > EXPRESSION_NODES:
+            return self._vectorised()(F.struct(*[c.alias(f"c{i}") for i, c in enumerate(inputs)]))
+        # summed in pairs: generated code stays flat however many trees there are
+        parts = [F.lit(self.base), *[self._tree(t, inputs) for t in self.trees]]
+        while len(parts) > 1:
+            parts = [a + b for a, b in zip(parts[::2], parts[1::2], strict=False)] + parts[len(parts) // 2 * 2 :]
+        return parts[0]
 
     def _vectorised(self):
         arrays, base = _flat(self.trees), self.base
@@ -87,6 +94,15 @@ class TreeModel(Model):
         require(df, self.features)
         return df.withColumn(self.output, self.score())
 
+    def predict_proba(self, df: DataFrame) -> DataFrame:
+        """``df`` with ``probability``, whatever the scale of the score."""
+        require(df, self.features)
+        return df.withColumn("probability", F.lit(1.0) / (F.lit(1.0) + F.exp(-self.margin())))
+
+    def predict(self, df: DataFrame, threshold: float = 0.5) -> DataFrame:
+        """``df`` with ``probability`` and ``prediction``: 1 where it is at least ``threshold``."""
+        return self.predict_proba(df).withColumn("prediction", (F.col("probability") >= threshold).cast("int"))
+
     # --- for one row -------------------------------------------------------------------------------------------
 
     def apply_row(self, row: dict) -> dict:
@@ -159,6 +175,13 @@ def from_debug_string(text: str) -> list[Node]:
     return nodes
 
 
+def _statistics(node: object) -> list[tuple[float, float]]:
+    """Gain and weight of each node of a Spark tree, in the order in which it prints them."""
+    split = node.getClass().getSimpleName() == "InternalNode"  # type: ignore[attr-defined]
+    own = (float(node.gain()) if split else 0.0, float(node.impurityStats().count()))  # type: ignore[attr-defined]
+    return [own, *(_statistics(node.leftChild()) + _statistics(node.rightChild()) if split else [])]  # type: ignore[attr-defined]
+
+
 @dataclass(frozen=True)
 class BoostedClassifier(Estimator):
     """Spark's gradient-boosted trees, kept as ``TreeModel``; missing values are filled with ``fill`` as in training."""
@@ -185,15 +208,95 @@ class BoostedClassifier(Estimator):
         fitted = gbt.fit(rows)
         trees = []
         for tree, weight in zip(fitted.trees, fitted.treeWeights, strict=True):
+            nodes = zip(from_debug_string(tree.toDebugString), _statistics(tree._call_java("rootNode")), strict=True)
             # Spark's margin is half the log-odds; a value filled in training goes where ``fill`` would
-            trees.append([Node(2 * weight * n.leaf) if n.leaf is not None else Node(None, n.feature, n.threshold, n.mode, n.left, n.right, self.fill <= n.threshold) for n in from_debug_string(tree.toDebugString)])
+            trees.append([Node(2 * weight * n.leaf, cover=c) if n.leaf is not None else replace(n, missing_left=self.fill <= n.threshold, gain=g * weight, cover=c) for n, (g, c) in nodes])
         return TreeModel(list(features), trees, 0.0, self.scale, self.output)
 
 
-def importance(model: TreeModel) -> dict[str, float]:
-    """Share of splits by feature, 0 for unused ones."""
-    n = [sum(node.feature == i for t in model.trees for node in t if node.leaf is None) for i in range(len(model.features))]
-    return {f: (k / sum(n) if sum(n) else 0.0) for f, k in zip(model.features, n, strict=True)}
+IMPORTANCES = ("weight", "gain", "cover", "total_gain", "total_cover", "share")
+
+
+def importance(model: TreeModel, kind: str = "gain") -> dict[str, float]:
+    """By feature, 0 for unused ones: number of splits (weight), mean or total gain or cover of them, or their share."""
+    if kind not in IMPORTANCES:
+        raise ValueError(f"kind must be one of {IMPORTANCES}")
+    splits: list[list[Node]] = [[] for _ in model.features]
+    for node in (n for t in model.trees for n in t if n.leaf is None):
+        splits[node.feature].append(node)
+    every = sum(map(len, splits))
+
+    def value(nodes: list[Node]) -> float:
+        if kind in ("weight", "share"):
+            return len(nodes) / (every if kind == "share" and every else 1)
+        total = sum(n.gain if kind.endswith("gain") else n.cover for n in nodes)
+        return total if kind.startswith("total") or not nodes else total / len(nodes)
+
+    return {f: float(value(n)) for f, n in zip(model.features, splits, strict=True)}
+
+
+def _dumped(trees: Sequence[dict], read: Callable[[dict], tuple[Node, tuple[dict, dict] | None]]) -> list[list[Node]]:
+    """Flat trees from nested ones; ``read`` gives a node and its children, the one that the condition leads to first."""
+    out = []
+    for tree in trees:
+        nodes: list[Node] = []
+
+        def put(x: dict, nodes: list[Node] = nodes) -> int:
+            k = len(nodes)
+            node, children = read(x)
+            nodes.append(node)
+            if children:
+                left, right = put(children[0]), put(children[1])
+                nodes[k] = replace(node, left=left, right=right)
+            return k
+
+        put(tree)
+        out.append(nodes)
+    return out
+
+
+def single(x: float) -> float:
+    """Rounded to single precision."""
+    return float(np.float32(x))
+
+
+def from_xgboost_dump(dump: str | Sequence[str | dict], features: Sequence[str], base_score: float = 0.5, **options: object) -> TreeModel:
+    """A model from XGBoost's JSON dump (a list of trees, each parsed or not): values below a threshold go to ``yes``.
+
+    Inputs, thresholds and leaves are of single precision.  Statistics, where dumped, give gain and cover.
+    """
+    place = {f: i for i, f in enumerate(features)} | {f"f{i}": i for i in range(len(features)) if f"f{i}" not in features}
+    trees = [json.loads(t) if isinstance(t, str) else t for t in (json.loads(dump) if isinstance(dump, str) else dump)]
+
+    def read(x: dict) -> tuple[Node, tuple[dict, dict] | None]:
+        if "leaf" in x:
+            return Node(leaf=single(x["leaf"]), cover=float(x.get("cover", 0.0))), None
+        if x["split"] not in place:
+            raise SpecError(f"unknown feature {x['split']!r}")
+        by_id = {c["nodeid"]: c for c in x["children"]}
+        node = Node(None, place[x["split"]], single(x["split_condition"]), "lt", missing_left=x.get("missing", x["yes"]) == x["yes"], gain=float(x.get("gain", 0.0)), cover=float(x.get("cover", 0.0)))
+        return node, (by_id[x["yes"]], by_id[x["no"]])
+
+    return TreeModel(list(features), _dumped(trees, read), single(logit(base_score)), single=True, **options)  # type: ignore[arg-type]
+
+
+def from_lightgbm_dump(dump: str | dict, features: Sequence[str] | None = None, **options: object) -> TreeModel:
+    """A model from LightGBM's dumped JSON: numeric splits by <= or <, thresholds of single precision, leaves as they are."""
+    spec = json.loads(dump) if isinstance(dump, str) else dump
+    names = list(features if features is not None else spec["feature_names"])
+    place = {f: i for i, f in enumerate(names)}
+
+    def read(x: dict) -> tuple[Node, tuple[dict, dict] | None]:
+        if "leaf_value" in x:
+            return Node(leaf=float(x["leaf_value"]), cover=float(x.get("leaf_count", 0.0))), None
+        mode = {"<=": "le", "<": "lt"}.get(str(x.get("decision_type", "<=")).strip())
+        if mode is None:
+            raise SpecError(f"not a numeric split: {x['decision_type']!r}")
+        feature = place[x["split_feature"]] if isinstance(x["split_feature"], str) else int(x["split_feature"])
+        node = Node(None, feature, single(x["threshold"]), mode, missing_left=bool(x.get("default_left", False)), gain=float(x.get("split_gain", 0.0)), cover=float(x.get("internal_count", 0.0)))
+        return node, (x["left_child"], x["right_child"])
+
+    return TreeModel(names, _dumped([t["tree_structure"] for t in spec["tree_info"]], read), 0.0, single=True, **options)  # type: ignore[arg-type]
 
 
 def logit(p: float) -> float:

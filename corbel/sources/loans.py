@@ -15,8 +15,8 @@ PAID_STATUSES = ("Fully Paid", "Does not meet the credit policy. Status:Fully Pa
 #: Years of employment by the file's words.
 EMPLOYMENT_YEARS = {"< 1 year": 0.0, "1 year": 1.0, "2 years": 2.0, "3 years": 3.0, "4 years": 4.0, "5 years": 5.0, "6 years": 6.0, "7 years": 7.0, "8 years": 8.0, "9 years": 9.0, "10+ years": 10.0}
 #: Columns used by default, and columns known only after the outcome.
-SELECTED = ("annual_inc", "delinq_2yrs", "dti", "emp_length", "fico_range_high", "fico_range_low", "grade", "home_ownership", "installment", "int_rate", "loan_amnt", "open_acc", "purpose", "revol_bal", "revol_util", "term", "total_acc", "verification_status")
-LEAKING = ("collection_recovery_fee", "last_fico_range_high", "last_fico_range_low", "last_pymnt_amnt", "last_pymnt_d", "out_prncp", "out_prncp_inv", "recoveries", "total_pymnt", "total_pymnt_inv", "total_rec_int", "total_rec_late_fee", "total_rec_prncp")
+SELECTED = ("acc_now_delinq", "addr_state", "annual_inc", "delinq_2yrs", "dti", "earliest_cr_line", "emp_length", "fico_range_high", "fico_range_low", "grade", "home_ownership", "installment", "int_rate", "loan_amnt", "mort_acc", "num_actv_rev_tl", "num_tl_90g_dpd_24m", "open_acc", "pct_tl_nvr_dlq", "pub_rec", "pub_rec_bankruptcies", "purpose", "revol_bal", "revol_util", "sub_grade", "term", "tot_coll_amt", "tot_cur_bal", "total_acc", "total_rev_hi_lim", "verification_status")
+LEAKING = ("collection_recovery_fee", "debt_settlement_flag", "debt_settlement_flag_date", "disbursement_method", "hardship_amount", "hardship_dpd", "hardship_end_date", "hardship_flag", "hardship_last_payment_amount", "hardship_length", "hardship_loan_status", "hardship_payoff_balance", "hardship_reason", "hardship_start_date", "hardship_status", "hardship_type", "last_credit_pull_d", "last_fico_range_high", "last_fico_range_low", "last_pymnt_amnt", "last_pymnt_d", "next_pymnt_d", "orig_projected_additional_accrued_interest", "out_prncp", "out_prncp_inv", "recoveries", "settlement_amount", "settlement_date", "settlement_percentage", "settlement_status", "settlement_term", "total_pymnt", "total_pymnt_inv", "total_rec_int", "total_rec_late_fee", "total_rec_prncp")
 _IDS = ("id", "member_id", "url", "loan_status")
 
 
@@ -55,6 +55,9 @@ def load(spark: SparkSession, path: str, use: str | Sequence[str] = "selected",
 DICTIONARY = {
     "loan_amnt": "amount asked for", "term": "months to pay", "int_rate": "interest in percent", "installment": "monthly payment", "grade": "lender's grade", "emp_length": "years employed", "home_ownership": "housing", "annual_inc": "yearly income",
     "verification_status": "whether income was checked", "dti": "debt to income", "revol_bal": "revolving balance", "revol_util": "revolving use in percent", "delinq_2yrs": "delinquencies in two years", "fico_range_low": "lower bound of the score", "fico_range_high": "upper bound of the score", "open_acc": "open accounts", "total_acc": "all accounts", "purpose": "use of the loan",
+    "sub_grade": "lender's finer grade", "earliest_cr_line": "month of the first credit line", "pub_rec": "derogatory public records", "addr_state": "state of residence", "acc_now_delinq": "accounts now delinquent", "tot_cur_bal": "current balance of all accounts",
+    "tot_coll_amt": "collections ever owed", "total_rev_hi_lim": "limit of revolving credit", "mort_acc": "mortgage accounts", "num_actv_rev_tl": "active revolving accounts", "num_tl_90g_dpd_24m": "accounts 90 days late in two years",
+    "pct_tl_nvr_dlq": "percent of accounts never late", "pub_rec_bankruptcies": "bankruptcies on record",
 }
 
 

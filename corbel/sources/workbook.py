@@ -5,21 +5,53 @@ from __future__ import annotations
 import unicodedata
 import zipfile
 from collections.abc import Sequence
+from dataclasses import dataclass
 from xml.sax.saxutils import escape
 
-#: Style numbers of the workbook, in the order of its style table.
+#: Style numbers of the workbook; every kind of cell has a plain and a banded style.
 PLAIN, TITLE, HEADER, WHOLE, REAL, PERCENT, BAND = range(7)
-_STYLES = (
-    '<styleSheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><numFmts count="1"><numFmt numFmtId="164" formatCode="0.0000"/></numFmts>'
-    "<fonts count=\"2\"><font/><font><b/></font></fonts><fills count=\"4\"><fill/><fill><patternFill patternType=\"gray125\"/></fill>"
-    '<fill><patternFill patternType="solid"><fgColor rgb="FFD9E1F2"/></patternFill></fill><fill><patternFill patternType="solid"><fgColor rgb="FFF7F7F7"/></patternFill></fill></fills>'
-    '<borders count="1"><border/></borders><cellStyleXfs count="1"><xf/></cellStyleXfs><cellXfs count="7"><xf/><xf fontId="1" applyFont="1"/><xf fontId="1" fillId="2" applyFont="1" applyFill="1"/>'
-    '<xf numFmtId="3" applyNumberFormat="1"/><xf numFmtId="164" applyNumberFormat="1"/><xf numFmtId="10" applyNumberFormat="1"/><xf fillId="3" applyFill="1"/></cellXfs></styleSheet>'
-)
 
 
-def is_percent(name: str) -> bool:
-    return any(x in name.lower() for x in ("rate", "pct", "ratio", "percent"))
+@dataclass(frozen=True)
+class FormatConfig:
+    """How a workbook looks: fonts, number formats, colours (RRGGBB), gaps, and which columns are shares or get bars."""
+
+    font: str = "Calibri"
+    title_size: int = 12
+    data_size: int = 10
+    real: str = "#,##0.0000"
+    whole: str = "#,##0"
+    percent: str = "0.00%"
+    header_fill: str = "D9E1F2"
+    header_font: str = "000000"
+    bands: bool = True
+    band_fill: str = "F2F7FB"
+    gap: int = 1
+    percent_words: tuple[str, ...] = ("rate", "pct", "ratio", "percent")
+    bar_words: tuple[str, ...] = ("rate", "pct", "ratio", "percent", "lift")
+    bar_color: str = "9BC2E6"
+    frozen_rows: int = 2
+
+    def is_percent(self, name: str) -> bool:
+        return any(x in name.lower() for x in self.percent_words)
+
+    def has_bar(self, name: str) -> bool:
+        return any(x in name.lower() for x in self.bar_words)
+
+    def styles(self) -> str:
+        """The style table: first PLAIN to PERCENT, then the banded PLAIN, WHOLE, REAL and PERCENT."""
+        font = lambda size, color, bold="": f'<font>{bold}<sz val="{size}"/><color rgb="FF{color}"/><name val="{escape(self.font, {chr(34): "&quot;"})}"/></font>'
+        fill = lambda color: f'<fill><patternFill patternType="solid"><fgColor rgb="FF{color}"/></patternFill></fill>'
+        form = lambda i, text: f'<numFmt numFmtId="{i}" formatCode="{escape(text, {chr(34): "&quot;"})}"/>'
+        cell = lambda number, band: f'<xf numFmtId="{number}" fontId="0"{" fillId=" + chr(34) + "3" + chr(34) + " applyFill=" + chr(34) + "1" + chr(34) if band else ""} applyNumberFormat="1"/>'
+        cells = [cell(0, False), '<xf fontId="1" applyFont="1"/>', '<xf fontId="2" fillId="2" applyFont="1" applyFill="1"/>', *[cell(n, False) for n in (165, 164, 166)], *[cell(n, self.bands) for n in (0, 165, 164, 166)]]
+        return (
+            '<styleSheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main">'
+            f'<numFmts count="3">{form(164, self.real)}{form(165, self.whole)}{form(166, self.percent)}</numFmts>'
+            f'<fonts count="3">{font(self.data_size, "000000")}{font(self.title_size, "000000", "<b/>")}{font(self.data_size, self.header_font, "<b/>")}</fonts>'
+            f'<fills count="4"><fill><patternFill patternType="none"/></fill><fill><patternFill patternType="gray125"/></fill>{fill(self.header_fill)}{fill(self.band_fill)}</fills>'
+            f'<borders count="1"><border/></borders><cellStyleXfs count="1"><xf/></cellStyleXfs><cellXfs count="{len(cells)}">{"".join(cells)}</cellXfs></styleSheet>'
+        )
 
 
 def width(text: str) -> int:
@@ -36,22 +68,26 @@ def column_name(k: int) -> str:
 
 
 class Workbook:
-    def __init__(self) -> None:
+    def __init__(self, style: FormatConfig = FormatConfig()) -> None:  # noqa: B008 - it cannot change
+        self.style = style
         self.sheets: dict[str, list[list[tuple[object, int]]]] = {}
         self.bars: dict[str, list[str]] = {}
 
-    def unique(self, name: str) -> str:
-        """A sheet name that is not taken: name_1, name_2 and so on."""
-        base, k = name[:28], 0
+    def sheet(self, name: str) -> str:
+        """Begin a sheet; its name, with a suffix _1, _2 and so on where the name is taken."""
+        base, name, k = name[:28], name[:31], 0
         while name in self.sheets:
             k += 1
             name = f"{base}_{k}"
-        return name[:31]
+        self.sheets[name] = []
+        return name
 
     def add(self, sheet: str, title: str, header: Sequence[str], rows: Sequence[Sequence[object]], note: str = "") -> None:
-        out = self.sheets.setdefault(sheet[:31], [])
+        """Put a table below those of a sheet, which is begun if it is not there."""
+        sheet = sheet if sheet in self.sheets else self.sheet(sheet)
+        out = self.sheets[sheet]
         if out:
-            out.append([])
+            out.extend([] for _ in range(self.style.gap))
         out.append([(title, TITLE)])
         if note:
             out.append([(note, PLAIN)])
@@ -59,13 +95,15 @@ class Workbook:
         first = len(out) + 1
         for k, r in enumerate(rows):
             out.append([(v, self._style(h, v, k)) for h, v in zip(header, r, strict=True)])
-        self.bars.setdefault(sheet[:31], []).extend(f"{column_name(i)}{first}:{column_name(i)}{len(out)}" for i, h in enumerate(header) if rows and is_percent(h))
+        self.bars.setdefault(sheet, []).extend(f"{column_name(i)}{first}:{column_name(i)}{len(out)}" for i, h in enumerate(header) if rows and self.style.has_bar(h))
 
-    @staticmethod
-    def _style(name: str, value: object, row: int) -> int:
+    def _style(self, name: str, value: object, row: int) -> int:
+        kind = PLAIN
         if isinstance(value, float):
-            return PERCENT if is_percent(name) else REAL
-        return WHOLE if isinstance(value, int) and not isinstance(value, bool) else BAND if row % 2 else PLAIN
+            kind = PERCENT if self.style.is_percent(name) else REAL
+        elif isinstance(value, int) and not isinstance(value, bool):
+            kind = WHOLE
+        return BAND + (PLAIN, WHOLE, REAL, PERCENT).index(kind) if row % 2 else kind
 
     @staticmethod
     def _cell(at: str, value: object, style: int) -> str:
@@ -85,8 +123,9 @@ class Workbook:
                     widths[i] = min(60, max(widths.get(i, 8), width("" if v is None else f"{v:.4f}" if isinstance(v, float) else str(v)) + 2))
         cols = "".join(f'<col min="{i + 1}" max="{i + 1}" width="{w}" customWidth="1"/>' for i, w in sorted(widths.items()))
         body = "".join(f'<row r="{k}">' + "".join(self._cell(f"{column_name(i)}{k}", v, s) for i, (v, s) in enumerate(r)) + "</row>" for k, r in enumerate(rows, 1))
-        bars = "".join(f'<conditionalFormatting sqref="{ref}"><cfRule type="dataBar" priority="{k}"><dataBar><cfvo type="min"/><cfvo type="max"/><color rgb="FF9BC2E6"/></dataBar></cfRule></conditionalFormatting>' for k, ref in enumerate(self.bars.get(name, ()), 1))
-        pane = '<sheetViews><sheetView workbookViewId="0"><pane ySplit="2" topLeftCell="A3" activePane="bottomLeft" state="frozen"/></sheetView></sheetViews>'
+        bars = "".join(f'<conditionalFormatting sqref="{ref}"><cfRule type="dataBar" priority="{k}"><dataBar><cfvo type="min"/><cfvo type="max"/><color rgb="FF{self.style.bar_color}"/></dataBar></cfRule></conditionalFormatting>' for k, ref in enumerate(self.bars.get(name, ()), 1))
+        n = self.style.frozen_rows
+        pane = f'<sheetViews><sheetView workbookViewId="0"><pane ySplit="{n}" topLeftCell="A{n + 1}" activePane="bottomLeft" state="frozen"/></sheetView></sheetViews>' if n else ""
         return f'<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main">{pane}{f"<cols>{cols}</cols>" if cols else ""}<sheetData>{body}</sheetData>{bars}</worksheet>'
 
     def save(self, path: str) -> None:
@@ -102,7 +141,7 @@ class Workbook:
             "_rels/.rels": f'<Relationships xmlns="{package}/relationships"><Relationship Id="r1" Type="{office}/officeDocument" Target="xl/workbook.xml"/></Relationships>',
             "xl/workbook.xml": f'<workbook xmlns="{main}" xmlns:r="{office}"><sheets>' + "".join(f'<sheet name="{escape(x, {chr(34): "&quot;"})}" sheetId="{i}" r:id="r{i}"/>' for i, x in zip(n, names, strict=True)) + "</sheets></workbook>",
             "xl/_rels/workbook.xml.rels": f'<Relationships xmlns="{package}/relationships">' + "".join(f'<Relationship Id="r{i}" Type="{office}/worksheet" Target="worksheets/sheet{i}.xml"/>' for i in n) + f'<Relationship Id="rs" Type="{office}/styles" Target="styles.xml"/></Relationships>',
-            "xl/styles.xml": _STYLES,
+            "xl/styles.xml": self.style.styles(),
         }
         parts |= {f"xl/worksheets/sheet{i}.xml": self._sheet(x) for i, x in zip(n, names, strict=True)}
         with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:

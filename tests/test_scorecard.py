@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corbel.errors import ScoringError, SpecError, UnsupportedStepError
-from corbel.operators import metrics, stats
+from corbel.operators import metrics, ranks, stats
 from corbel.operators.binning import ChiMergeBinner, bin_value, chi2, chi2_quantile, merge
 from corbel.operators.cleaning import FeatureCleaner
 from corbel.operators.encoding import BinnerWoeEncoder
@@ -20,9 +20,9 @@ from corbel.operators.stage import Model
 from corbel.plans.experiment import ExperimentRunner, RandomSearch, default_pipeline, feature_grid, make_grid
 from corbel.plans.pipeline import FeatureDerivation, Pipeline, PipelineModel, add_risk_score, assert_consistent, register
 from corbel.plans.report import ModelReport, ReportContext
-from corbel.plans.trees import BoostedClassifier, literal_trees
-from corbel.sources.loans import load, select_features, synthetic
-from corbel.sources.workbook import Workbook, column_name
+from corbel.plans.trees import BoostedClassifier, from_lightgbm_dump, from_xgboost_dump, importance, literal_trees
+from corbel.sources.loans import DICTIONARY, LEAKING, SELECTED, load, select_features, synthetic
+from corbel.sources.workbook import FormatConfig, Workbook, column_name
 from corbel.streaming.scoring import binned_counts, start_scoring
 
 
@@ -237,7 +237,7 @@ def test_workbook(tmp_path):
     assert [column_name(k) for k in (0, 25, 26, 701, 702)] == ["A", "Z", "AA", "ZZ", "AAA"]
     book = Workbook()
     book.add("s", "t", ["a", "bad_rate"], [(1, 0.5), (None, float("nan")), ("<&>", 1e99)])
-    assert book.unique("s") == "s_1" and "dataBar" in book._sheet("s") and "&lt;&amp;&gt;" in book._sheet("s")
+    assert book.sheet("s") == "s_1" and "dataBar" in book._sheet("s") and "&lt;&amp;&gt;" in book._sheet("s")
 
 
 def test_sources_and_filters(spark, tmp_path):
@@ -253,6 +253,133 @@ def test_sources_and_filters(spark, tmp_path):
     assert hash_sample(n, "id", 10).collect() == hash_sample(n.repartition(7), "id", 10).collect()
 
 
+@pytest.mark.parametrize("keys", [[], ["k"]])
+def test_exact_quantiles(spark, keys, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(int(k), float(v)) for k, v in zip(rng.integers(0, 3, 3000), np.exp(rng.normal(size=3000) * 4).round(2))] + [(9, 1.0), (9, None), (8, None), (7, 1.0), (7, 2.0)]
+    monkeypatch.setattr(ranks, "RANGES", 7)
+    ps = [0, 0.1, 0.25, 0.5, 0.75, 0.999, 1]
+    counts = ranks.value_counts(spark.createDataFrame(rows, "k int, v double"), keys, "v")
+    got = {(r.k if keys else None): (r.q, r.n) for r in ranks.quantiles(counts, keys, ps, "v").collect()}
+    want = {}
+    for k in ({r[0] for r in rows} if keys else {None}):
+        v = [x for i, x in rows if x is not None and (k is None or i == k)]
+        if v:
+            want[k] = (pytest.approx(np.quantile(v, ps).tolist(), rel=1e-12), len(v))
+    assert got == want
+
+
+def test_correlations_pairwise(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(400, 3)) + 1e6
+    x[:, 1] += x[:, 0] - 1e6
+    x[::7, 2] = np.nan
+    rows = [(*map(float, r), 5.0, None) for r in x]
+    df = spark.createDataFrame(rows, "a double, b double, c double, flat double, gone double").repartition(3)
+    got = {(r.f1, r.f2): r.r for r in stats.correlations(df, ["a", "b", "c", "flat", "gone"]).collect()}
+    ok = ~np.isnan(x[:, 2])
+    assert got["a", "b"] == pytest.approx(np.corrcoef(x[:, 0], x[:, 1])[0, 1], abs=1e-9) and got["b", "c"] == pytest.approx(np.corrcoef(x[ok, 1], x[ok, 2])[0, 1], abs=1e-9)
+    assert len(got) == 10 and all(got[p] is None for p in got if {"flat", "gone"} & set(p))
+    assert stats.correlations(df.limit(0), ["a", "b"]).collect()[0].r is None if stats.correlations(df.limit(0), ["a", "b"]).count() else True
+
+
+def test_tree_dumps(spark):
+    xgb = [
+        {"nodeid": 0, "split": "a", "split_condition": 0.1, "yes": 1, "no": 2, "missing": 2, "gain": 8.0, "cover": 10.0, "children": [{"nodeid": 2, "leaf": 0.3, "cover": 4.0}, {"nodeid": 1, "split": "b", "split_condition": 5, "yes": 3, "no": 4, "missing": 3, "gain": 2.0, "cover": 6.0, "children": [{"nodeid": 3, "leaf": -0.2}, {"nodeid": 4, "leaf": 0.1}]}]},
+        {"nodeid": 0, "leaf": 0.05},
+    ]
+    m = from_xgboost_dump(json.dumps(xgb), ["a", "b"], 0.2)
+    rows = [(0.0, 4.0), (0.0, 5.0), (0.1, 0.0), (None, 0.0), (-1.0, None)]
+    base = np.log(0.2 / 0.8)
+    want = [1 / (1 + np.exp(-(base + x + 0.05))) for x in (-0.2, 0.1, 0.3, 0.3, -0.2)]
+    df = spark.createDataFrame(rows, "a double, b double").coalesce(1)
+    assert [r.risk_score for r in m.transform(df).collect()] == pytest.approx(want, abs=1e-7)
+    assert [m.apply_row({"a": a, "b": b})["risk_score"] for a, b in rows] == pytest.approx(want, abs=1e-7)
+    assert importance(m, "gain") == {"a": 8.0, "b": 2.0} and importance(m, "weight") == {"a": 1.0, "b": 1.0} and importance(m, "total_cover") == {"a": 10.0, "b": 6.0}
+    lgb = {"feature_names": ["a", "b"], "tree_info": [{"tree_structure": {"split_feature": 1, "threshold": 5.0, "decision_type": "<=", "default_left": True, "split_gain": 3.0, "internal_count": 9, "left_child": {"leaf_value": -0.4}, "right_child": {"split_feature": "a", "threshold": 0.0, "decision_type": "<=", "default_left": False, "left_child": {"leaf_value": 0.2}, "right_child": {"leaf_value": 0.6}}}}]}
+    m = from_lightgbm_dump(json.dumps(lgb))
+    want = [1 / (1 + np.exp(-x)) for x in (-0.4, -0.4, -0.4, -0.4, -0.4)]
+    assert [r.risk_score for r in m.transform(df).collect()] == pytest.approx(want)
+    assert m.apply_row({"a": None, "b": 6.0})["risk_score"] == pytest.approx(1 / (1 + np.exp(-0.6))) and m.apply_row({"a": 0.0, "b": 6.0})["risk_score"] == pytest.approx(1 / (1 + np.exp(-0.2)))
+    assert m.predict(df, 0.4).select("prediction").distinct().collect() == [(1,)]
+    assert PipelineModel.from_json(PipelineModel((m,), ("a", "b")).to_json()).steps[0] == m
+    for broken in (lambda: from_xgboost_dump(xgb, ["b"]), lambda: from_lightgbm_dump({"feature_names": ["a"], "tree_info": [{"tree_structure": {"split_feature": 0, "threshold": "1||2", "decision_type": "=="}}]})):
+        with pytest.raises(SpecError):
+            broken()
+
+
+def test_many_trees_stay_in_catalyst(spark):
+    tree = {"feature": "a", "threshold": 0.0, "left": {"feature": "b", "threshold": 1.0, "left": 0.001, "right": 0.002}, "right": 0.003}
+    m = literal_trees([tree] * 200, ["a", "b"])
+    df = spark.createDataFrame([(1.0, 0.0), (-1.0, 2.0)], "a double, b double").coalesce(1)
+    out = m.transform(df)
+    assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
+    assert [r.risk_score for r in out.collect()] == pytest.approx([1 / (1 + np.exp(-0.6)), 1 / (1 + np.exp(-0.4))])
+
+
+def test_importance_of_fitted_trees(spark, model):
+    last = model.steps[-1]
+    gain, cover = importance(last, "total_gain"), importance(last, "cover")
+    used = {f for f, n in importance(last, "weight").items() if n}
+    assert used and all((gain[f] > 0) == (f in used) and (cover[f] > 0) == (f in used) for f in last.features)
+    assert sum(importance(last, "share").values()) == pytest.approx(1)
+
+
+def test_search_with_folds(spark, data):
+    ks = next(m for m in metrics.DEFAULT_METRICS if m.name == "ks")
+    search = RandomSearch({"depth": (1, 2)}, trials=2, folds=2, metric=ks, prune_after=1)
+    fitted, chosen, value = search.fit(Pipeline([BoostedClassifier(trees=2, depth=2)]), data.withColumn("row", F.monotonically_increasing_id()), "y", ["amount", "age"], "row")
+    assert chosen["depth"] in (1, 2) and 0 < value < 1 and fitted.steps[-1].trees
+
+
+def test_report_of_a_fitted_pipeline(spark, data, model):
+    from corbel.plans.report import OPERATORS, Attributes
+
+    known = Attributes.of(model)
+    assert known.missing_threshold == 0.95 and known.iv_range == (0.0, 5.0) and known.correlation_threshold == 0.95 and known.impute and known.woe and known.labels
+    assert known.params["trees"] == 4 and known.params["depth"] == 3 and sum(known.weight.values()) > 0
+    ctx = ReportContext(data.withColumn("part", F.when(F.col("age") < 35, "first").otherwise("second")), "y", "part", model=model, features=FEATURES)
+    method = {r.setting: r.value for r in OPERATORS["model_method"](ctx)[1].table.collect()}
+    assert method["depth"] == "3" and method["rate"] == "0.1"
+    assert any(r.step == "missing values filled" and r.n for r in OPERATORS["var_cleaning"](ctx)[0].table.collect())
+    assert {r.setting for r in OPERATORS["model_assumption"](ctx)[0].table.collect()} >= {"trees", "seed"}
+    rows = {r.feature: r for r in OPERATORS["var_analysis"](ctx)[0].table.collect()}
+    assert set(rows) == set(FEATURES) and {"first", "second", "gain", "gain_pct", "weight", "psi"} <= set(rows["age"].asDict()) and rows["amount"].psi > 0
+    none = ReportContext(data.withColumn("tag", F.lit("train")), "y", "tag", score="amount", features=["age"])
+    assert [OPERATORS[n](none)[-1].table.columns for n in ("model_method", "var_cleaning")] == [["note"]] * 2
+    ctx.close()
+
+
+def test_loan_columns(spark):
+    columns = [*SELECTED, *LEAKING, "id", "loan_status", "other"]
+    assert len(SELECTED) == 31 and len(LEAKING) == 36 and set(DICTIONARY) == set(SELECTED)
+    assert select_features(columns, "all") == sorted([*SELECTED, "other"]) and not set(select_features(columns, LEAKING))
+    assert set(LEAKING) <= set(select_features(columns, "all", drop_leaking=False))
+
+
+def test_sheets_of_one_name(tmp_path):
+    book = Workbook(FormatConfig(real="0.00", gap=2))
+    for k in range(2):
+        at = book.sheet("Same")
+        book.add(at, "One", ["n", "bad_rate"], [(1, 0.5), (2, 0.25)])
+        book.add(at, "Two", ["x"], [(1.5,)])
+        assert at == ("Same", "Same_1")[k]
+    book.save(str(tmp_path / "two.xlsx"))
+    with zipfile.ZipFile(tmp_path / "two.xlsx") as z:
+        text, styles = z.read("xl/worksheets/sheet2.xml").decode(), z.read("xl/styles.xml").decode()
+    # the second row of a table is banded, numbers too; two rows lie between tables
+    assert 'r="A3" s="3"' in text and 'r="A4" s="7"' in text and 'r="B4" s="9"' in text and 'r="A7"' in text and "0.00&quot;" not in styles and 'formatCode="0.00"' in styles
+
+
+def test_features_of_too_many_categories(spark, monkeypatch):
+    from corbel.operators import binning
+
+    monkeypatch.setattr(binning, "MOST_CATEGORIES", 3)
+    df = spark.createDataFrame([(str(k), k % 2) for k in range(9)], "s string, y int")
+    with pytest.raises(ValueError, match="categories"):
+        ChiMergeBinner().fit(df, "y", ["s"])
+
+
 def test_streams(spark, data, model, tmp_path):
     src = str(tmp_path / "in")
     data.limit(100).withColumn("t", F.lit("2024-01-01 10:00:00").cast("timestamp")).write.parquet(src)
