@@ -278,6 +278,47 @@ def test_quality_separates_junk(spark):
     assert quality.score_quality(df.limit(0)).collect() == []
 
 
+def votes_brute(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    n, symbols = max(1, len(words)), set("#$%&*@^~<>=_+\\{}[]")
+    fold = ["".join(c.lower() if c.isascii() else c for c in w) for w in words]
+    again = [i > 0 and fold[i] == fold[i - 1] for i in range(len(words))]
+    count = lambda w, of: sum(c in of for c in w)
+    upper, lower = set("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), set("abcdefghijklmnopqrstuvwxyz")
+    letters = max(1, sum(count(w, upper | lower) for w in words))
+    odd = [g or count(w, symbols | {"|", "!"}) > 1 or "|" in w or (count(w, upper) > 1 and not count(w, lower)) for w, g in zip(words, again)]
+    found = {
+        "symbols": sum(count(w, symbols) >= 2 for w in words) / n, "capitals": sum(count(w, upper) for w in words) / letters, "shouts": sum("!" in w for w in words) / n,
+        "bars": sum(w == "|" for w in words) / n, "repeats": sum(again) / n, "variety": 1 - min(1, len(set(fold)) / min(n, 2.5 * n**0.5)), "prose": sum(odd) / n,
+    }
+    return [found[k] > quality.BOUNDS[k] and not (k in ("repeats", "variety") and len(words) < quality.ENOUGH_WORDS) for k in quality.LABELLERS]
+
+
+def test_votes_match_brute_force():
+    rng = random.Random(14)
+    parts = ["word", "Word", "WORD", "a$$", "x!", "|", "été", "É", "12", "b_c", "wo|rd", "!!", "the"]
+    texts = [" ".join(rng.choice(rng.sample(parts, rng.randint(1, 6))) for _ in range(rng.randint(0, 60))) for _ in range(500)] + [None, " \t"]
+    got = np.concatenate([w.votes() for *_, w in quality._blocks(pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"]))])
+    assert got.tolist() == [votes_brute(t or "") for t in texts]
+
+
+def test_posterior_is_what_em_gives():
+    """EM over single documents, not patterns, in plain Python."""
+    rng = random.Random(15)
+    votes = [[rng.random() < (0.7 if bad else 0.05) for _ in quality.LABELLERS] for bad in [rng.random() < 0.3 for _ in range(400)]]
+    codes = np.array([sum(v << k for k, v in enumerate(x)) for x in votes])
+    patterns, n = np.unique(codes, return_counts=True)
+    good, table, share = quality.posterior(patterns, n.astype(float), 30)
+    g = [0.1 if any(v) else 0.95 for v in votes]
+    for _ in range(30):
+        p = min(0.98, max(0.02, sum(g) / len(g)))
+        rate = [[(sum(w * v[k] for w, v in zip(ws, votes)) + pseudo) / (sum(ws) + 4) for k in range(7)] for ws, pseudo in (([1 - x for x in g], 1.0), (g, 0.1))]
+        like = lambda c, v: np.prod([rate[c][k] if v[k] else 1 - rate[c][k] for k in range(7)])  # noqa: E731, B023
+        g = [p * like(1, v) / (p * like(1, v) + (1 - p) * like(0, v)) for v in votes]
+    of = dict(zip(patterns.tolist(), good.tolist()))
+    assert [of[c] for c in codes.tolist()] == pytest.approx(g, abs=1e-9) and share == pytest.approx(p)
+
+
 def test_quality_sample_ignores_copies(spark):
     rows = [(f"plain words number {k} in a sentence of some length, " * 3,) for k in range(300)] + [("same text " * 30,)] * 700
     df = spark.createDataFrame(rows, "text string")
