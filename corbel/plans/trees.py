@@ -14,9 +14,11 @@ from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corbel.errors import SpecError
-from corbel.functions.expressions import number
+from corbel.functions.expressions import lookup, number
+from corbel.operators.binning import MOST_CATEGORIES
 from corbel.operators.scaling import LogitScale
 from corbel.operators.stage import Estimator, Model, require
 
@@ -50,11 +52,12 @@ class TreeModel(Model):
     scale: LogitScale | None = None
     output: str = "risk_score"
     single: bool = False  # inputs and thresholds are rounded to single precision
+    categories: dict[str, dict[str, float]] = field(default_factory=dict)  # codes of the values of string features
 
     # --- in Catalyst -------------------------------------------------------------------------------------------
 
     def _inputs(self) -> list[Column]:
-        cols = [number(F.col(f"`{f}`")) for f in self.features]
+        cols = [coded(f, self.categories.get(f)) for f in self.features]
         return [c.cast("float").cast("double") for c in cols] if self.single else cols
 
     def _tree(self, tree: list[Node], inputs: list[Column], k: int = 0) -> Column:
@@ -109,8 +112,8 @@ class TreeModel(Model):
         values = []
         for f in self.features:
             try:
-                v = float(row.get(f))  # type: ignore[arg-type]
-            except (TypeError, ValueError):
+                v = float(self.categories[f][str(row.get(f))] if f in self.categories else row.get(f))  # type: ignore[arg-type]
+            except (KeyError, TypeError, ValueError):
                 v = float("nan")
             values.append(float(np.float32(v)) if self.single else v)
         total = 0.0
@@ -125,12 +128,17 @@ class TreeModel(Model):
         return row | {self.output: self.scale.offset + self.scale.slope * m if self.scale else 1 / (1 + exp(-m)) if m > -700 else 0.0}
 
     def to_dict(self) -> dict:
-        return {"kind": self.kind, "features": self.features, "trees": [[asdict(n) for n in t] for t in self.trees], "base": self.base, "scale": self.scale and self.scale.to_dict(), "output": self.output, "single": self.single}
+        return {"kind": self.kind, "features": self.features, "trees": [[asdict(n) for n in t] for t in self.trees], "base": self.base, "scale": self.scale and self.scale.to_dict(), "output": self.output, "single": self.single, "categories": self.categories}
 
     @classmethod
     def from_dict(cls, spec: dict) -> TreeModel:
         scale = spec["scale"] and LogitScale(**{k: v for k, v in spec["scale"].items() if k != "kind"})
-        return cls(list(spec["features"]), [[Node(**n) for n in t] for t in spec["trees"]], spec["base"], scale, spec["output"], spec["single"])
+        return cls(list(spec["features"]), [[Node(**n) for n in t] for t in spec["trees"]], spec["base"], scale, spec["output"], spec["single"], dict(spec.get("categories") or {}))
+
+
+def coded(name: str, codes: dict[str, float] | None) -> Column:
+    """A feature as a number; of a string feature the code of its value, NULL for unknown ones."""
+    return lookup(F.col(f"`{name}`").cast("string"), codes) if codes is not None else number(F.col(f"`{name}`"))
 
 
 def _flat(trees: list[list[Node]]) -> list[tuple]:
@@ -182,9 +190,20 @@ def _statistics(node: object) -> list[tuple[float, float]]:
     return [own, *(_statistics(node.leftChild()) + _statistics(node.rightChild()) if split else [])]  # type: ignore[attr-defined]
 
 
+def _codes(df: DataFrame, name: str) -> dict[str, float]:
+    """Values of a string feature in alphabetical order."""
+    rows = df.select(F.col(f"`{name}`").alias("v")).filter("v is not null").distinct().limit(MOST_CATEGORIES + 1).collect()
+    if len(rows) > MOST_CATEGORIES:
+        raise ValueError(f"{name} has more than {MOST_CATEGORIES} categories: group them first")
+    return {v: float(k) for k, v in enumerate(sorted(r.v for r in rows))}
+
+
 @dataclass(frozen=True)
 class BoostedClassifier(Estimator):
-    """Spark's gradient-boosted trees, kept as ``TreeModel``; missing values are filled with ``fill`` as in training."""
+    """Spark's gradient-boosted trees, kept as ``TreeModel``; missing values are filled with ``fill`` as in training.
+
+    String features are coded by the alphabetical order of their values; values not seen in training are missing.
+    """
 
     trees: int = 20
     depth: int = 4
@@ -201,7 +220,8 @@ class BoostedClassifier(Estimator):
     def fit(self, df: DataFrame, label: str, features: list[str], context: dict | None = None, validation: DataFrame | None = None) -> TreeModel:
         if not features:
             raise ValueError("no features are left to train on")
-        cells = [F.coalesce(number(F.col(f"`{f}`")), F.lit(self.fill)).alias(f"x{i}") for i, f in enumerate(features)]
+        categories = {f: _codes(df, f) for f in features if isinstance(df.schema[f].dataType, T.StringType)}
+        cells = [F.coalesce(coded(f, categories.get(f)), F.lit(self.fill)).alias(f"x{i}") for i, f in enumerate(features)]
         rows = df.filter(F.col(label).isin(0, 1)).select(F.col(label).cast("double").alias("y"), *cells, *([F.col(self.weight).alias("w")] if self.weight else []))
         rows = VectorAssembler(inputCols=[f"x{i}" for i in range(len(features))], outputCol="x").transform(rows)
         gbt = GBTClassifier(labelCol="y", featuresCol="x", maxIter=self.trees, maxDepth=self.depth, stepSize=self.rate, subsamplingRate=self.subsample, featureSubsetStrategy=self.columns, minInstancesPerNode=self.min_rows, seed=self.seed, **({"weightCol": "w"} if self.weight else {}))
@@ -211,7 +231,7 @@ class BoostedClassifier(Estimator):
             nodes = zip(from_debug_string(tree.toDebugString), _statistics(tree._call_java("rootNode")), strict=True)
             # Spark's margin is half the log-odds; a value filled in training goes where ``fill`` would
             trees.append([Node(2 * weight * n.leaf, cover=c) if n.leaf is not None else replace(n, missing_left=self.fill <= n.threshold, gain=g * weight, cover=c) for n, (g, c) in nodes])
-        return TreeModel(list(features), trees, 0.0, self.scale, self.output)
+        return TreeModel(list(features), trees, 0.0, self.scale, self.output, categories=categories)
 
 
 IMPORTANCES = ("weight", "gain", "cover", "total_gain", "total_cover", "share")

@@ -325,6 +325,16 @@ def test_importance_of_fitted_trees(spark, model):
     assert sum(importance(last, "share").values()) == pytest.approx(1)
 
 
+def test_trees_on_strings(spark):
+    df = spark.createDataFrame([(c, x, int(c in ("b", "d"))) for c in ("a", "b", "c", "d", None) for x in (1.0, 2.0, 3.0)] * 4, "s string, x double, y int")
+    m = BoostedClassifier(trees=3, depth=3, subsample=1.0, columns="all").fit(df, "y", ["s", "x"])
+    assert m.categories == {"s": {"a": 0.0, "b": 1.0, "c": 2.0, "d": 3.0}}
+    got = {r.s: r.risk_score for r in m.transform(df).collect()}
+    assert min(got["b"], got["d"]) > 0.5 > max(got["a"], got["c"], got[None])
+    again = PipelineModel.from_json(PipelineModel((m,), ("s", "x")).to_json())
+    assert assert_consistent(again, df) < 1e-9 and again.apply_row({"s": "new", "x": 1.0})["risk_score"] == pytest.approx(got[None])
+
+
 def test_search_with_folds(spark, data):
     ks = next(m for m in metrics.DEFAULT_METRICS if m.name == "ks")
     search = RandomSearch({"depth": (1, 2)}, trials=2, folds=2, metric=ks, prune_after=1)
