@@ -11,8 +11,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corbel.functions.expressions import bin_index, number
-from corbel.operators.ranks import by_key, quantiles, ranged, running, value_counts
+from corbel.functions.expressions import number
+from corbel.operators.ranks import by_key, placed, quantiles, ranged, running, value_counts, whole
 
 
 def _counts(df: DataFrame, label: str, score: str, keys: Sequence[str]) -> DataFrame:
@@ -35,7 +35,7 @@ def auc(df: DataFrame, label: str, score: str, keys: Sequence[str] = ()) -> Data
 
 
 def _auc(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
-    g = ranged(counts.withColumn("m", F.col("n") - F.col("p")), keys, "s")
+    g = ranged(counts, keys, "s").withColumn("m", F.col("n") - F.col("p"))
     inside = Window.partitionBy(*keys, "range").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
     part = g.withColumn("before", F.coalesce(F.sum("m").over(inside), F.lit(0))).groupBy(*keys, "range").agg(F.sum(F.col("p") * (F.col("before") + F.col("m") / 2)).alias("area"), F.sum("p").alias("p"), F.sum("m").alias("m"))
     part = running(part, keys, ["m"])
@@ -81,9 +81,8 @@ def _lift(counts: DataFrame, percent: Sequence[float], keys: Sequence[str], digi
 def effect_table(df: DataFrame, label: str, score: str, keys: Sequence[str] = (), percent: Sequence[float] = (10, 5, 2, 1), digits: int | None = None) -> DataFrame:
     """n, auc, ks and lifts by key; keys without rows of both labels 0 and 1 still show.  One count of scores serves all."""
     t = df.select(*keys, F.col(label).alias("y"), number(F.col(f"`{score}`")).alias("s")).filter("y in (0, 1)")
-    every = t.groupBy(*keys, "s").agg(F.count("*").alias("n"), F.sum("y").alias("p"))
-    out = every.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("p").alias("bads"))
-    counts = every.filter("s is not null")
+    out = t.groupBy(*keys).agg(F.count("*").alias("n"), F.sum("y").alias("bads"))
+    counts = whole(value_counts(t, keys, "s", p=F.sum("y")), keys, "s")
     for p in (_auc(counts, keys), _ks(counts, keys), _lift(counts, percent, keys, digits)):
         out = by_key(out, p, keys, "left")
     return out
@@ -98,14 +97,14 @@ def lift_table(df: DataFrame, label: str, score: str, keys: Sequence[str] = (),
     """
     t = df.select(*keys, F.col(label).alias("y"), number(F.col(f"`{score}`")).alias("s"), *([number(F.col(f"`{baseline}`")).alias("b")] if baseline else [])).filter("s is not null")
     goods, bads = F.count_if(F.col("y") == 0), F.count_if(F.col("y") == 1)
-    counts = value_counts(t, keys, "s", goods=goods, bads=bads)
+    counts = whole(value_counts(t, keys, "s", goods=goods, bads=bads), keys, "s")
     q = quantiles(counts, keys, [i / n_bins for i in range(n_bins + 1)], "s", digits).select(*keys, F.array_sort(F.array_distinct("q")).alias("e"))
     cuts = by_key(q, counts.groupBy(*keys).agg(F.sum("n").alias("n_all"), F.sum("bads").alias("all_bads"), F.sum("goods").alias("all_goods")), keys)
     cuts = cuts.filter("size(e) > 1").withColumn("inner", F.slice("e", F.lit(2), F.size("e") - 2))
     inner = q.filter("size(e) > 1").select(*keys, F.slice("e", F.lit(2), F.size("e") - 2).alias("inner"))
 
     def counted(table: DataFrame, col: str, prefix: str) -> DataFrame:
-        rows = by_key(table, inner, keys).withColumn("bin", bin_index(F.col(col), F.col("inner"), "open"))
+        rows = placed(by_key(table, inner, keys), "bin", col, "inner", n_bins)
         return rows.groupBy(*keys, "bin").agg(F.sum("goods").alias(f"{prefix}goods"), F.sum("bads").alias(f"{prefix}bads"), *([F.min(col).alias("min"), F.max(col).alias("max")] if not prefix else []))
 
     every = cuts.withColumn("bin", F.explode(F.sequence(F.lit(0), F.size("inner"))))
@@ -155,7 +154,7 @@ def feature_ks(df: DataFrame, features: Sequence[str], score: str, n_bins: int =
     edges = quantile_edges(df, features, n_bins, keys, digits)
     cells = long_form(t, features, [*keys, "__high"]).filter("value is not null")
     cells = cells.groupBy(*keys, "feature", "value").agg(F.sum("__high").alias("p"), F.sum(1 - F.col("__high")).alias("n")).join(edges, [*keys, "feature"])
-    cells = cells.withColumn("bin", bin_index(F.col("value"), F.slice("edges", F.lit(2), F.greatest(F.size("edges") - 2, F.lit(0))), "open"))
+    cells = placed(cells.withColumn("inner", F.slice("edges", F.lit(2), F.greatest(F.size("edges") - 2, F.lit(0)))), "bin", "value", "inner", n_bins)
     g = cells.groupBy(*keys, "feature", "bin").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
     each = Window.partitionBy(*keys, "feature")
     run = each.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)

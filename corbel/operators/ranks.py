@@ -27,11 +27,35 @@ def value_counts(cells: DataFrame, by: Sequence[str], value: str = "value", **su
     return cells.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"), *[c.alias(k) for k, c in sums.items()])
 
 
+def whole(counts: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    """``counts`` with a condition that always holds and names all its sums.
+
+    Without it each use would be pruned to its own columns, and Spark would scan and shuffle once for every use; so all
+    uses share one shuffle.
+    """
+    sums = [c for c in counts.columns if c not in by and c != value]
+    return counts.filter(" or ".join(f"`{c}` > 0" for c in sorted(sums, key=lambda c: c != "n")))
+
+
+def placed(df: DataFrame, name: str, value: str, edges: str, most: int, strict: bool = False) -> DataFrame:
+    """``df`` with ``name``: how many of ``edges``, at most ``most`` ascending ones, are at or below (strictly below) the value.
+
+    Found by halving in plain expressions, which Spark compiles; a lambda over the array would be interpreted for every row.
+    """
+    v, step = F.col(value), 1 << max(0, most.bit_length() - 1)
+    out = df.withColumn(name, F.lit(0))
+    while step:
+        e = F.get(edges, F.col(name) + (step - 1))  # NULL beyond the last
+        out = out.withColumn(name, F.when(e < v if strict else e <= v, F.col(name) + step).otherwise(F.col(name)))
+        step //= 2
+    return out
+
+
 def ranged(counts: DataFrame, by: Sequence[str], value: str = "value") -> DataFrame:
     """``counts`` with ``range``: ascending with the value, and about as many rows in each."""
+    counts = whole(counts, by, value)
     cuts = counts.groupBy(*by).agg(F.percentile_approx(value, [k / RANGES for k in range(1, RANGES)], ACCURACY).alias("__cuts"))
-    place = F.size(F.filter("__cuts", lambda e: e < F.col(value)))
-    return by_key(counts, cuts, by).withColumn("range", place).drop("__cuts")
+    return placed(by_key(counts, cuts, by), "range", value, "__cuts", RANGES - 1, strict=True).drop("__cuts")
 
 
 def running(parts: DataFrame, by: Sequence[str], sums: Sequence[str]) -> DataFrame:

@@ -15,8 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corbel.functions.expressions import bin_index, number
-from corbel.operators.ranks import quantiles, value_counts
+from corbel.functions.expressions import number
+from corbel.operators.ranks import placed, quantiles, value_counts
 
 EPS = 0.001
 PSI_EPS = 1e-4
@@ -108,7 +108,8 @@ def psi(reference: DataFrame, other: DataFrame, features: Sequence[str], keys: S
     edges = _edges(known, ["place"], n_bins, digits)
 
     def shares(counts: DataFrame, by: Sequence[str], name: str) -> DataFrame:
-        at = counts.join(edges, "place").withColumn("bin", bin_index(F.col("value"), F.col("edges"), "left")).filter("bin is not null and size(edges) > 1")
+        at = counts.join(edges.filter("size(edges) > 1"), "place").filter("value between edges[0] and element_at(edges, -1)")
+        at = placed(at, "bin", "value", "edges", n_bins + 1).withColumn("bin", F.least(F.col("bin") - 1, F.size("edges") - 2))
         bins = at.groupBy(*by, "place", "bin").agg(F.sum("n").alias("c"), F.first("edges").alias("edges"))
         each = bins.groupBy(*by, "place").agg(F.map_from_entries(F.collect_list(F.struct("bin", "c"))).alias("m"), F.sum("c").alias("n"), (F.size(F.first("edges")) - 1).alias("k"))
         share = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda b: (F.coalesce(F.try_element_at("m", b), F.lit(0)) + eps) / (F.col("n") + eps * F.col("k")))
