@@ -76,7 +76,7 @@ def quantiles(counts: DataFrame, by: Sequence[str], probabilities: Sequence[floa
     here = F.filter(places, lambda x: (x["rank"] >= F.col("before_n")) & (x["rank"] < F.col("before_n") + F.col("n")))
     wanted = parts.withColumn("__places", here).filter(F.size("__places") > 0).select(*by, "range", "all", F.col("before_n").alias("__before"), "__places")
     order = Window.partitionBy(*by, "range").orderBy(value)
-    rows = inside.join(wanted, [*by, "range"]).withColumn("__last", F.col("__before") + F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - 1)
+    rows = inside.join(wanted.hint("shuffle_hash"), [*by, "range"]).withColumn("__last", F.col("__before") + F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - 1)
     found = F.filter("__places", lambda x: (x["rank"] <= F.col("__last")) & (x["rank"] > F.col("__last") - F.col("n")))
     hits = rows.withColumn("x", F.explode(found)).groupBy(*by, "x.i").agg(F.max("x.part").alias("part"), F.max(F.when(F.col("x.up") == 0, F.col(value))).alias("lo"), F.max(F.when(F.col("x.up") == 1, F.col(value))).alias("hi"), F.first("all").alias("n"))
     q = F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise((1 - F.col("part")) * F.col("lo") + F.col("part") * F.col("hi"))
