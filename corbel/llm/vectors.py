@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corbel.llm.components import connected_components
+from corbel.llm.wordhash import release_memory
 from corbel.workspace import Workspace
 
 #: Vectors of a tile, on average; two tiles are what a task holds at a time.
@@ -47,12 +48,22 @@ def _lists(column: pa.Array) -> list[np.ndarray | None]:
     return out
 
 
-def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        found = [(a + 0.0).tobytes() if a is not None else None for a in _lists(batch.column("embedding"))]
-        keys = [hashlib.blake2b(x, digest_size=16).digest() if x else None for x in found]
-        dims = [len(x) // 8 if x else None for x in found]
-        yield pa.RecordBatch.from_arrays([batch.column("vec_id").cast(pa.int64()), pa.array(keys, pa.binary()), pa.array(dims, pa.int32()), pa.array(found, pa.binary())], names=["vec_id", "key", "dims", "vec"])
+def _keys(kind: str):
+    """``kind`` is how a vector's numbers are kept: single precision if that is how they came, half of what is sent."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            release_memory()
+            yield _keyed(batch, kind)
+
+    return run
+
+
+def _keyed(batch: pa.RecordBatch, kind: str) -> pa.RecordBatch:
+    found = [(a + 0.0).astype(kind).tobytes() if a is not None else None for a in _lists(batch.column("embedding"))]
+    keys = [hashlib.blake2b(x, digest_size=16).digest() if x else None for x in found]
+    dims = [len(x) // np.dtype(kind).itemsize if x else None for x in found]
+    return pa.RecordBatch.from_arrays([batch.column("vec_id").cast(pa.int64()), pa.array(keys, pa.binary()), pa.array(dims, pa.int32()), pa.array(found, pa.binary())], names=["vec_id", "key", "dims", "vec"])
 
 
 def _unit(vectors: np.ndarray) -> np.ndarray:
@@ -66,14 +77,15 @@ def cell_dims(n: int, width: int) -> int:
     return min(width, max(CELL_DIMS[0], min(CELL_DIMS[1], int(np.log(max(1.0, 4 * n / TILE)) / np.log(6)))))
 
 
-def _cells(dims: int, width: int, cosine: float, places: int):
+def _cells(dims: int, width: int, cosine: float, places: int, kind: str):
     turn, reach = rotation(dims), np.sqrt((2 - 2 * cosine) * width / dims) * (1 + _SLACK)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            raw = np.stack([np.frombuffer(x.as_py(), np.float64) for x in batch.column("vec")])
+            release_memory()
+            raw = np.stack([np.frombuffer(x.as_py(), kind) for x in batch.column("vec")]).astype(np.float64)
             x = _unit(raw) @ turn
             for k in range(0, dims, width):
                 some = x[:, k : min(k + width, k + places)]
@@ -100,7 +112,7 @@ class _Forest:
         return i != j
 
 
-def _compare(dims: int, width: int, cosine: float):
+def _compare(dims: int, width: int, cosine: float, kind: str):
     """Rows (block, same, left and right tile) -> (key, n, other): counts, and links that span what is linked."""
     turn = rotation(dims)
     edges = np.arange(0, dims, width)
@@ -111,12 +123,14 @@ def _compare(dims: int, width: int, cosine: float):
         a, b = lists.offsets[r].as_py(), lists.offsets[r + 1].as_py()
         packed = lists.values.slice(a, b - a)
         start = np.frombuffer(packed.buffers()[1], np.int32)[packed.offset]
-        raw = np.frombuffer(packed.buffers()[2], np.uint8)[start : start + (b - a) * dims * 8].view(np.float64).reshape(-1, dims)
+        size = np.dtype(kind).itemsize
+        raw = np.frombuffer(packed.buffers()[2], np.uint8)[start : start + (b - a) * dims * size].copy().view(kind).reshape(-1, dims).astype(np.float64)
         unit = _unit(raw)
         return column.field("key")[r].as_py(), unit, unit @ turn, np.array(column.field("copies")[r].as_py(), np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            release_memory()
             keys, counts, others = [], [], []
             for r in range(batch.num_rows):
                 block, same = batch.column("block")[r].as_py(), batch.column("same")[r].as_py()
@@ -169,11 +183,12 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, width: int = 8, ws: Wo
     """
     spark = vectors.sparkSession
     ws = ws or Workspace(spark, "vectors")
-    rows = ws.save(vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(_keys, "vec_id long, key binary, dims int, vec binary"), "rows")
+    kind = "<f4" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "<f8"
+    rows = ws.save(vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(_keys(kind), "vec_id long, key binary, dims int, vec binary"), "rows")
     classes = ws.save(rows.filter("key is not null").groupBy("key").agg(F.min("vec_id").alias("least_id"), F.count("*").alias("copies"), F.first("dims").alias("dims"), F.first("vec").alias("vec")), "classes")
     found = None
     for d in [r.dims for r in classes.select("dims").distinct().collect()]:
-        part = _linked(classes.filter(F.col("dims") == d), d, min(width, d), cosine, ws)
+        part = _linked(classes.filter(F.col("dims") == d), d, min(width, d), cosine, kind, ws)
         found = part if found is None else found.unionByName(part)
     if found is None:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
@@ -187,9 +202,9 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, width: int = 8, ws: Wo
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
 
 
-def _linked(classes: DataFrame, dims: int, width: int, cosine: float, ws: Workspace) -> DataFrame:
+def _linked(classes: DataFrame, dims: int, width: int, cosine: float, kind: str, ws: Workspace) -> DataFrame:
     places = cell_dims(classes.count(), width)
-    cells = classes.mapInArrow(_cells(dims, width, cosine, places), "block int, cell array<int>, key binary, vec binary, copies long")
+    cells = classes.mapInArrow(_cells(dims, width, cosine, places, kind), "block int, cell array<int>, key binary, vec binary, copies long")
     cells = ws.save(cells, f"cells-{dims}")
     parts = cells.groupBy("block", "cell").agg(F.ceil(F.count("*") / TILE).alias("parts"))
     dealt = cells.join(parts, ["block", "cell"]).withColumn("part", F.expr("pmod(xxhash64(key), parts)"))
@@ -201,4 +216,4 @@ def _linked(classes: DataFrame, dims: int, width: int, cosine: float, ws: Worksp
     left = tiles.withColumn("step", F.explode(moves)).select("block", F.expr("zip_with(cell, step, (c, s) -> c + s)").alias("cell"), F.col("cell").alias("from"), F.col("part").alias("part_l"), F.col("tile").alias("left"))
     met = left.join(tiles.select("block", "cell", F.col("part").alias("part_r"), F.col("tile").alias("right")), ["block", "cell"]).filter("cell <> from or part_l <= part_r")
     met = met.select("block", F.expr("cell = from and part_l = part_r").alias("same"), "left", "right")
-    return ws.save(met.mapInArrow(_compare(dims, width, cosine), "key binary, n long, other binary"), f"found-{dims}")
+    return ws.save(met.mapInArrow(_compare(dims, width, cosine, kind), "key binary, n long, other binary"), f"found-{dims}")
