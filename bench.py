@@ -20,7 +20,7 @@ from corbel.plans import queries as scorecard
 SF = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
 HEADLINE = ("score_lift", "effect_table", "effect_monthly", "iv_table", "woe_encode", "psi_table", "corr_pairs", "profile", "clean_impute_clip", "swap_analysis", "derive_multi", "tree_score", "pipeline_score")
-LLM = ("op1_licence_scan", "op2_ngram_jaccard", "op3_token_counts", "op4_quality", "op5_secret_scan", "op6_pii", "op7_decontamination", "op8_preferences", "op9_packing", "op10_embedding_neardup", "pipeline")
+LLM = ("op1_licence_scan", "op2_ngram_jaccard", "op3_token_counts", "op4_quality", "op5_secret_scan", "op6_pii", "op7_decontamination", "op8_preferences", "op9_packing", "op10_embedding_neardup", "op11_exact_dedup", "op12_filter_audit", "op13_source_divergence", "pipeline")
 
 
 def wide(spark: SparkSession, columns: int, rows: int):
