@@ -4,15 +4,17 @@ from __future__ import annotations
 
 import json
 import re
+import time
 from collections.abc import Callable, Sequence
 from dataclasses import asdict, dataclass, field, replace
-from math import exp, log
+from math import exp, inf, log, nextafter
 
 import numpy as np
-import pandas as pd
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.regression import GBTRegressionModel
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,14 +23,21 @@ from corbel.functions.expressions import lookup, number
 from corbel.operators.binning import MOST_CATEGORIES
 from corbel.operators.scaling import LogitScale
 from corbel.operators.stage import Estimator, Model, require
+from corbel.workspace import Workspace
 
-#: Ensembles of up to so many nodes are one Catalyst expression; larger ones are scored by an Arrow function.
+#: Ensembles of up to so many nodes are one Catalyst expression; larger ones are scored by Spark's own tree model.
 EXPRESSION_NODES = 20_000
+#: Fixed value of the dump format: what is no farther from zero counts as zero.
+ZERO = float(np.float32(1e-35))
 
 
 @dataclass(frozen=True)
 class Node:
-    """``mode`` is le or lt; a missing value goes left if ``missing_left``.  Children are places in the tree."""
+    """A split or a leaf.  Children are places in the tree.
+
+    ``mode`` is le or lt (of the threshold), or in: whole parts that are among ``members`` go left.  A missing value goes left if
+    ``missing_left``; by ``missing`` that is what is null or NaN (nan), zeros as well (zero), or nothing, null being 0 (none).
+    """
 
     leaf: float | None = None
     feature: int = -1
@@ -37,6 +46,8 @@ class Node:
     left: int = -1
     right: int = -1
     missing_left: bool = False
+    missing: str = "nan"
+    members: tuple[float, ...] = ()
     gain: float = 0.0  # of the split, where the trainer tells
     cover: float = 0.0  # the weight of the rows that reach the node
 
@@ -65,42 +76,44 @@ class TreeModel(Model):
         if node.leaf is not None:
             return F.lit(float(node.leaf))
         x = inputs[node.feature]
-        goes = x < node.threshold if node.mode == "lt" else x <= node.threshold
+        if node.missing == "none":
+            x = F.coalesce(x, F.lit(0.0))
+        elif node.missing == "zero":
+            x = F.when(F.abs(x) > ZERO, x)
+        goes = x < node.threshold if node.mode == "lt" else x <= node.threshold if node.mode == "le" else _whole(x).isin([float(v) for v in node.members])
         goes = F.coalesce(goes, F.lit(node.missing_left))
         return F.when(goes, self._tree(tree, inputs, node.left)).otherwise(self._tree(tree, inputs, node.right))
 
     def margin(self) -> Column:
+        """Base and leaves in one expression, summed in pairs: generated code stays flat however many trees there are."""
         inputs = self._inputs()
-        if sum(map(len, self.trees)) > EXPRESSION_NODES:
-            return self._vectorised()(F.struct(*[c.alias(f"c{i}") for i, c in enumerate(inputs)]))
-        # summed in pairs: generated code stays flat however many trees there are
         parts = [F.lit(self.base), *[self._tree(t, inputs) for t in self.trees]]
         while len(parts) > 1:
             parts = [a + b for a, b in zip(parts[::2], parts[1::2], strict=False)] + parts[len(parts) // 2 * 2 :]
         return parts[0]
 
-    def _vectorised(self):
-        arrays, base = _flat(self.trees), self.base
-
-        @F.pandas_udf("double")
-        def run(rows: pd.DataFrame) -> pd.Series:
-            return pd.Series(base + score_arrays(arrays, rows.to_numpy(np.float64)))
-
-        return run
+    def _with_margin(self, df: DataFrame) -> DataFrame:
+        if sum(map(len, self.trees)) <= EXPRESSION_NODES:
+            return df.withColumn("__margin", self.margin())
+        forest, fills = spark_forest(df.sparkSession, self.trees)
+        inputs = self._inputs()
+        cells = F.array(*[_filled(inputs[f], kind, value) for f, kind, value in fills])
+        out = forest.setFeaturesCol("__cells").setPredictionCol("__margin").transform(df.withColumn("__cells", array_to_vector(cells))).drop("__cells")
+        return out.withColumn("__margin", F.col("__margin") + self.base)
 
-    def score(self) -> Column:
-        m = self.margin()
+    def score(self, margin: Column | None = None) -> Column:
+        m = self.margin() if margin is None else margin
         # on a logit scale the margin is the log-odds: no detour over the probability
         return self.scale.of_margin(m) if self.scale else F.lit(1.0) / (F.lit(1.0) + F.exp(-m))
 
     def transform(self, df: DataFrame) -> DataFrame:
         require(df, self.features)
-        return df.withColumn(self.output, self.score())
+        return self._with_margin(df).withColumn(self.output, self.score(F.col("__margin"))).drop("__margin")
 
     def predict_proba(self, df: DataFrame) -> DataFrame:
         """``df`` with ``probability``, whatever the scale of the score."""
         require(df, self.features)
-        return df.withColumn("probability", F.lit(1.0) / (F.lit(1.0) + F.exp(-self.margin())))
+        return self._with_margin(df).withColumn("probability", F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("__margin")))).drop("__margin")
 
     def predict(self, df: DataFrame, threshold: float = 0.5) -> DataFrame:
         """``df`` with ``probability`` and ``prediction``: 1 where it is at least ``threshold``."""
@@ -120,9 +133,7 @@ class TreeModel(Model):
         for tree in self.trees:
             node = tree[0]
             while node.leaf is None:
-                x = values[node.feature]
-                left = node.missing_left if x != x else x < node.threshold if node.mode == "lt" else x <= node.threshold
-                node = tree[node.left if left else node.right]
+                node = tree[node.left if goes_left(node, values[node.feature]) else node.right]
             total += node.leaf
         m = self.base + total
         return row | {self.output: self.scale.offset + self.scale.slope * m if self.scale else 1 / (1 + exp(-m)) if m > -700 else 0.0}
@@ -133,7 +144,7 @@ class TreeModel(Model):
     @classmethod
     def from_dict(cls, spec: dict) -> TreeModel:
         scale = spec["scale"] and LogitScale(**{k: v for k, v in spec["scale"].items() if k != "kind"})
-        return cls(list(spec["features"]), [[Node(**n) for n in t] for t in spec["trees"]], spec["base"], scale, spec["output"], spec["single"], dict(spec.get("categories") or {}))
+        return cls(list(spec["features"]), [[Node(**n | {"members": tuple(n.get("members", ()))}) for n in t] for t in spec["trees"]], spec["base"], scale, spec["output"], spec["single"], dict(spec.get("categories") or {}))
 
 
 def coded(name: str, codes: dict[str, float] | None) -> Column:
@@ -141,21 +152,79 @@ def coded(name: str, codes: dict[str, float] | None) -> Column:
     return lookup(F.col(f"`{name}`").cast("string"), codes) if codes is not None else number(F.col(f"`{name}`"))
 
 
-def _flat(trees: list[list[Node]]) -> list[tuple]:
-    return [tuple(np.array(x) for x in zip(*[(n.feature, n.threshold, n.mode == "lt", n.left, n.right, n.missing_left, n.leaf or 0.0, n.leaf is not None) for n in t], strict=True)) for t in trees]
+def goes_left(node: Node, x: float) -> bool:
+    """Where one value goes; NaN is missing."""
+    if node.missing == "none" and x != x:
+        x = 0.0
+    if x != x or (node.missing == "zero" and abs(x) <= ZERO):
+        return node.missing_left
+    return x < node.threshold if node.mode == "lt" else x <= node.threshold if node.mode == "le" else abs(x) < 2**63 and float(int(x)) in node.members
 
 
-def score_arrays(arrays: list[tuple], x: np.ndarray) -> np.ndarray:
-    """Sum of leaves for every row; all rows step down a tree together."""
-    total, rows = np.zeros(len(x)), np.arange(len(x))
-    for feature, cut, strict, left, right, missing, leaf, end in arrays:
-        at = np.zeros(len(x), np.int64)
-        while not end[at].all():
-            v = x[rows, np.maximum(feature[at], 0)]
-            go = np.where(np.isnan(v), missing[at], np.where(strict[at], v < cut[at], v <= cut[at]))
-            at = np.where(end[at], at, np.where(go, left[at], right[at]))
-        total += leaf[at]
-    return total
+def _whole(x: Column) -> Column:
+    """The whole part of a double, without a detour over longs, which may not hold it."""
+    return x - x % 1.0
+
+
+def _filled(x: Column, kind: str, value: float) -> Column:
+    """An input with what is missing replaced; whole categories for membership."""
+    if kind.startswith("in"):
+        whole = _whole(x)
+        x = F.when((whole >= 0) & (whole < value), whole).otherwise(F.when(x.isNotNull(), F.lit(value + 1)))
+        value = {"in": value + 1, "in left": value, "in zero": 0.0}[kind]
+    elif kind == "zero":
+        x = F.when(F.abs(x) > ZERO, x)
+    return F.coalesce(x, F.lit(float(value)))
+
+
+def spark_forest(spark: SparkSession, trees: Sequence[Sequence[Node]]) -> tuple[GBTRegressionModel, list[tuple[int, str, float]]]:
+    """Spark's own model of the trees, and its inputs: (feature, kind, filling) by place.  It scores in the JVM at any size.
+
+    Spark's splits have no missing values, so each way to treat them is an input of its own: what is missing is filled with an
+    infinity on the side where it belongs.  x < t is x <= the next double below t.  Nodes go as a table in the form in which
+    Spark keeps models.
+    """
+    inputs: dict[tuple[int, str, float], int] = {}
+    most = 1.0 + max((m for t in trees for n in t for m in n.members), default=0.0)  # no category is above
+    rows = []
+    for number_, tree in enumerate(trees):
+        places, todo = {}, [0]
+        while todo:  # numbered so that parents stand before their children
+            k = todo.pop()
+            places[k] = len(places)
+            if tree[k].leaf is None:
+                todo += [tree[k].right, tree[k].left]
+        for k, place in places.items():
+            n = tree[k]
+            if n.leaf is not None:
+                rows.append((number_, (place, float(n.leaf), 0.0, [0.0, 0.0, 0.0], 0, -1.0, -1, -1, (-1, [], -1))))
+                continue
+            if n.mode == "in":
+                kind = "in zero" if n.missing == "none" else "in left" if n.missing_left else "in"
+                if n.missing == "zero":
+                    raise SpecError("zeros cannot be missing in a split by members")
+                at, arity = inputs.setdefault((n.feature, kind, most), len(inputs)), int(most) + 2
+                # the set is always kept as it is, never as its complement: an arity of twice its size
+                members = sorted({*n.members, *([most] if kind == "in left" else [])})
+                split = (at, members, max(arity, 2 * len(members) + 2))
+            else:
+                fill = 0.0 if n.missing == "none" else -inf if n.missing_left else inf
+                at = inputs.setdefault((n.feature, "zero" if n.missing == "zero" else "value", fill), len(inputs))
+                split = (at, [float(n.threshold if n.mode == "le" else nextafter(n.threshold, -inf))], -1)
+            rows.append((number_, (place, 0.0, 0.0, [0.0, 0.0, 0.0], 0, 0.0, places[n.left], places[n.right], split)))
+    ws = Workspace(spark, "forest")
+    try:
+        split_ = "struct<featureIndex: int, leftCategoriesOrThreshold: array<double>, numCategories: int>"
+        node = f"struct<id: int, prediction: double, impurity: double, impurityStats: array<double>, rawCount: long, gain: double, leftChild: int, rightChild: int, split: {split_}>"
+        about = {"timestamp": int(time.time() * 1000), "sparkVersion": spark.version, "paramMap": {"impurity": "variance"}, "defaultParamMap": {}}
+        one = json.dumps(about | {"class": "org.apache.spark.ml.regression.DecisionTreeRegressionModel", "uid": "tree"})
+        whole = json.dumps(about | {"class": "org.apache.spark.ml.regression.GBTRegressionModel", "uid": "forest", "numFeatures": max(1, len(inputs)), "numTrees": len(trees)})
+        spark.createDataFrame(rows, f"treeID int, nodeData {node}").coalesce(1).write.parquet(ws.path("model/data"))
+        spark.createDataFrame([(k, one, 1.0) for k in range(len(trees))], "_1 int, _2 string, _3 double").coalesce(1).write.parquet(ws.path("model/treesMetadata"))
+        spark.createDataFrame([(whole,)], "value string").coalesce(1).write.text(ws.path("model/metadata"))
+        return GBTRegressionModel.load(ws.path("model")), list(inputs)
+    finally:
+        ws.close()
 
 
 def from_debug_string(text: str) -> list[Node]:
@@ -281,9 +350,10 @@ def single(x: float) -> float:
 
 
 def from_xgboost_dump(dump: str | Sequence[str | dict], features: Sequence[str], base_score: float = 0.5, **options: object) -> TreeModel:
-    """A model from XGBoost's JSON dump (a list of trees, each parsed or not): values below a threshold go to ``yes``.
+    """A model from XGBoost's JSON dump (a list of trees, each parsed or not).
 
-    Inputs, thresholds and leaves are of single precision.  Statistics, where dumped, give gain and cover.
+    A split leads to ``yes`` for values below its threshold, or among its list of categories; to the child that ``missing`` names
+    without a value.  Inputs, thresholds and leaves are of single precision.  Statistics, where dumped, give gain and cover.
     """
     place = {f: i for i, f in enumerate(features)} | {f"f{i}": i for i in range(len(features)) if f"f{i}" not in features}
     trees = [json.loads(t) if isinstance(t, str) else t for t in (json.loads(dump) if isinstance(dump, str) else dump)]
@@ -293,30 +363,55 @@ def from_xgboost_dump(dump: str | Sequence[str | dict], features: Sequence[str],
             return Node(leaf=single(x["leaf"]), cover=float(x.get("cover", 0.0))), None
         if x["split"] not in place:
             raise SpecError(f"unknown feature {x['split']!r}")
-        by_id = {c["nodeid"]: c for c in x["children"]}
-        node = Node(None, place[x["split"]], single(x["split_condition"]), "lt", missing_left=x.get("missing", x["yes"]) == x["yes"], gain=float(x.get("gain", 0.0)), cover=float(x.get("cover", 0.0)))
-        return node, (by_id[x["yes"]], by_id[x["no"]])
+        children = {c["nodeid"]: c for c in x["children"]}
+        cut = x["split_condition"]
+        how = {"mode": "in", "members": tuple(float(c) for c in cut)} if isinstance(cut, list) else {"mode": "lt", "threshold": single(cut)}
+        without = x.get("missing")  # a dump that names no child: as the condition that holds
+        node = Node(feature=place[x["split"]], missing_left=without is None or without == x["yes"], gain=float(x.get("gain", 0.0)), cover=float(x.get("cover", 0.0)), **how)
+        return node, (children[x["yes"]], children[x["no"]])
 
     return TreeModel(list(features), _dumped(trees, read), single(logit(base_score)), single=True, **options)  # type: ignore[arg-type]
 
 
-def from_lightgbm_dump(dump: str | dict, features: Sequence[str] | None = None, **options: object) -> TreeModel:
-    """A model from LightGBM's dumped JSON: numeric splits by <= or <, thresholds of single precision, leaves as they are."""
+#: What LightGBM's dumps call the three ways to treat missing values.
+MISSING = {"NaN": "nan", "Zero": "zero", "None": "none"}
+
+
+def from_lightgbm_dump(dump: str | dict, features: Sequence[str] | None = None, categorical: Sequence[str] = (), **options: object) -> TreeModel:
+    """A model from LightGBM's dumped JSON; all in double precision, as that library predicts.
+
+    Numeric splits send values up to the threshold left; those by category send the members of ``a||b||c`` left, all others and missing
+    ones right.  Each split says what is missing (``MISSING``; without a word NaN): for None null counts as 0, and ``default_left`` tells
+    nothing.  ``categorical`` names the features of strings, in the order in which the dump lists their values.
+    """
     spec = json.loads(dump) if isinstance(dump, str) else dump
-    names = list(features if features is not None else spec["feature_names"])
-    place = {f: i for i, f in enumerate(names)}
+    names = list(features or spec["feature_names"])
+    known = spec.get("pandas_categorical") or []
+    if len(categorical) > len(known):
+        raise SpecError(f"the dump lists the values of {len(known)} features, not of {len(categorical)}")
+    codes = {f: {str(v): float(k) for k, v in enumerate(values)} for f, values in zip(categorical, known, strict=False)}
+
+    def column(of: str | int) -> int:
+        if isinstance(of, str) and of not in names:
+            raise SpecError(f"unknown feature {of!r}")
+        return names.index(of) if isinstance(of, str) else of
 
     def read(x: dict) -> tuple[Node, tuple[dict, dict] | None]:
         if "leaf_value" in x:
             return Node(leaf=float(x["leaf_value"]), cover=float(x.get("leaf_count", 0.0))), None
-        mode = {"<=": "le", "<": "lt"}.get(str(x.get("decision_type", "<=")).strip())
-        if mode is None:
-            raise SpecError(f"not a numeric split: {x['decision_type']!r}")
-        feature = place[x["split_feature"]] if isinstance(x["split_feature"], str) else int(x["split_feature"])
-        node = Node(None, feature, single(x["threshold"]), mode, missing_left=bool(x.get("default_left", False)), gain=float(x.get("split_gain", 0.0)), cover=float(x.get("internal_count", 0.0)))
-        return node, (x["left_child"], x["right_child"])
-
-    return TreeModel(names, _dumped([t["tree_structure"] for t in spec["tree_info"]], read), 0.0, single=True, **options)  # type: ignore[arg-type]
+        node = Node(feature=column(x["split_feature"]), gain=float(x.get("split_gain", 0.0)), cover=float(x.get("internal_count", 0.0)))
+        try:
+            if x.get("decision_type") == "==":
+                node = replace(node, mode="in", members=tuple(float(c) for c in str(x["threshold"]).split("||")))
+            elif x.get("decision_type") in (None, "<="):
+                node = replace(node, threshold=float(x["threshold"]), missing=MISSING[x.get("missing_type", "NaN")], missing_left=x.get("default_left") is True)
+            else:
+                raise SpecError(f"unknown decision {x['decision_type']!r}")
+            return node, (x["left_child"], x["right_child"])
+        except (KeyError, ValueError) as e:
+            raise SpecError(f"not a split: {e}") from e
+
+    return TreeModel(names, _dumped([t["tree_structure"] for t in spec["tree_info"]], read), 0.0, **{"categories": codes, **options})  # type: ignore[arg-type]
 
 
 def logit(p: float) -> float:

@@ -149,7 +149,7 @@ def test_scales(spark):
 def test_trees(spark):
     spec = [{"feature": "x", "threshold": 1.0, "left": -1.0, "right": 1.0, "missing_left": True}]
     df = spark.createDataFrame([(1.0,), (1.5,), (None,), (float("nan"),)], "x double")
-    for m in (literal_trees(spec, ["x"]), literal_trees(spec * 60, ["x"])):  # as an expression, and vectorised
+    for m in (literal_trees(spec, ["x"]), literal_trees(spec * 60, ["x"])):
         got = [r.risk_score for r in m.transform(df).collect()]
         want = [m.apply_row(r.asDict())["risk_score"] for r in df.collect()]
         assert got == pytest.approx(want) and got[0] == got[2] == got[3] < got[1]
