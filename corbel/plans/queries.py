@@ -20,9 +20,10 @@ from corbel.operators.filters import TimeWindow, hash_sample, with_gray, with_mo
 from corbel.operators.scaling import LogitScale, pdo_scale
 from corbel.operators.selection import CorrelationSelector, IVSelector, PSISelector
 from corbel.plans.experiment import average_ranks, top_features
+from corbel.plans.growth import LeafwiseClassifier
 from corbel.plans.pipeline import FeatureDerivation, Pipeline
 from corbel.plans.report import binned_counts, compare_labels, compare_scores
-from corbel.plans.trees import BoostedClassifier, literal_trees
+from corbel.plans.trees import BoostedClassifier, from_lightgbm_dump, literal_trees
 from corbel.sources.loans import preprocess, select_features, with_target
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -450,6 +451,65 @@ def tree_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(literal_trees(TREES, ["l_quantity", "p", "l_discount", "l_tax"]).transform(holed(spark, sf_dir)).select(*ID, "risk_score"))
 
 
+#: A dump with the three kinds of missing values and a split by category.
+DUMP = {
+    "feature_names": ["l_quantity", "p", "l_discount", "l_linenumber"],
+    "tree_info": [
+        {"tree_structure": {"split_feature": 1, "threshold": 30000.0, "decision_type": "<=", "missing_type": "NaN", "default_left": False, "left_child": {"leaf_value": -0.4}, "right_child": {"split_feature": 3, "threshold": "1||3||6", "decision_type": "==", "missing_type": "NaN", "left_child": {"leaf_value": 0.35}, "right_child": {"leaf_value": 0.1}}}},
+        {"tree_structure": {"split_feature": 2, "threshold": 0.05, "decision_type": "<=", "missing_type": "Zero", "default_left": False, "left_child": {"leaf_value": -0.2}, "right_child": {"leaf_value": 0.3}}},
+        {"tree_structure": {"split_feature": 1, "threshold": 20000.0, "decision_type": "<=", "missing_type": "None", "default_left": False, "left_child": {"leaf_value": 0.15}, "right_child": {"split_feature": 0, "threshold": 24.0, "decision_type": "<=", "missing_type": "None", "left_child": {"leaf_value": -0.05}, "right_child": {"leaf_value": 0.25}}}},
+    ],
+}
+
+
+@query(f"""WITH {HOLED} SELECT l_orderkey, l_linenumber, round(1 / (1 + exp(-(
+    CASE WHEN p <= 30000 THEN -0.4 WHEN l_linenumber IN (1, 3, 6) THEN 0.35 ELSE 0.1 END
+    + CASE WHEN l_discount <= 0.05::DOUBLE AND l_discount <> 0 THEN -0.2 ELSE 0.3 END
+    + CASE WHEN coalesce(p, 0) <= 20000 THEN 0.15 WHEN l_quantity <= 24 THEN -0.05 ELSE 0.25 END))), 6) AS risk_score FROM h""")
+def dump_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of a dumped model, as its library gives them."""
+    return rounded(from_lightgbm_dump(DUMP).transform(holed(spark, sf_dir)).select(*ID, "risk_score"))
+
+
+_SOFT = lambda g, h: f"power(greatest(abs({g}) - 0.1, 0), 2) / ({h} + 1)"
+_GAIN = f"{_SOFT('lg', 'lh')} + {_SOFT('g - lg', 'h - lh')} - {_SOFT('g', 'h')}"
+
+
+@query(f"""WITH {TX}, t AS (
+    SELECT l_orderkey, l_linenumber, 0.5 - bad AS g, [CAST(l_quantity AS DOUBLE), CAST(l_discount AS DOUBLE), CAST(l_tax AS DOUBLE)] AS x FROM tx
+), c1 AS (
+    SELECT f, v, sum(n) OVER w AS ln, sum(s) OVER w AS lg, sum(n) OVER w * 0.25 AS lh, sum(n) OVER (PARTITION BY f) AS n, sum(s) OVER (PARTITION BY f) AS g, sum(n) OVER (PARTITION BY f) * 0.25 AS h
+    FROM (SELECT f, x[f] AS v, count(*) AS n, sum(g) AS s FROM t, unnest([1, 2, 3]) AS u(f) GROUP BY 1, 2) WINDOW w AS (PARTITION BY f ORDER BY v)
+), r1 AS (
+    SELECT f AS f1, v AS v1 FROM c1 WHERE ln >= 20 AND n - ln >= 20 ORDER BY {_GAIN} DESC, f, v LIMIT 1
+), t1 AS (
+    SELECT t.*, x[f1] <= v1 AS side FROM t, r1
+), c2 AS (
+    SELECT side, f, v, sum(n) OVER w AS ln, sum(s) OVER w AS lg, sum(n) OVER w * 0.25 AS lh, sum(n) OVER (PARTITION BY side, f) AS n, sum(s) OVER (PARTITION BY side, f) AS g, sum(n) OVER (PARTITION BY side, f) * 0.25 AS h
+    FROM (SELECT side, f, x[f] AS v, count(*) AS n, sum(g) AS s FROM t1, unnest([1, 2, 3]) AS u(f) GROUP BY 1, 2, 3) WINDOW w AS (PARTITION BY side, f ORDER BY v)
+), r2 AS (
+    SELECT side AS side2, f AS f2, v AS v2 FROM c2 WHERE ln >= 20 AND n - ln >= 20 ORDER BY {_GAIN} DESC, side DESC, f, v LIMIT 1
+), leaf AS (
+    SELECT l_orderkey, l_linenumber, g, CASE WHEN side <> side2 THEN 0 WHEN x[f2] <= v2 THEN 1 ELSE 2 END AS k FROM t1, r2
+), val AS (
+    SELECT k, -sign(sum(g)) * greatest(abs(sum(g)) - 0.1, 0) / (count(*) * 0.25 + 1) * 0.3 AS m FROM leaf GROUP BY k
+)
+SELECT l_orderkey, l_linenumber, round(1 / (1 + exp(-m)), 6) AS risk_score FROM leaf JOIN val USING (k)""")
+def leafwise_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first tree of a model grown by leaves: three leaves, by the two best splits."""
+    df = transactions(spark, sf_dir).select(*ID, "bad", "l_quantity", "l_discount", "l_tax")
+    model = LeafwiseClassifier(trees=1, leaves=3, rate=0.3, start=0.5, subsample=1.0, columns=1.0).fit(df, "bad", ["l_quantity", "l_discount", "l_tax"])
+    return rounded(model.transform(df).select(*ID, "risk_score"))
+
+
+@query()
+def leafwise_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model grown by leaves with early stopping: later shipments validate, all are scored."""
+    df = transactions(spark, sf_dir).select(*ID, "bad", "tag", "l_linestatus", *FEATURES)
+    model = LeafwiseClassifier(trees=8, leaves=15, rate=0.2, patience=4).fit(df.filter("tag = 'train'"), "bad", [*FEATURES, "l_linestatus"], validation=df.filter("tag = 'test'"))
+    return rounded(model.transform(df).select(*ID, "risk_score"))
+
+
 @query()
 def pipeline_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = holed(spark, sf_dir).select(*ID, "bad", "q", "p", "l_discount", "l_tax")

@@ -5,11 +5,12 @@ from __future__ import annotations
 import json
 import re
 import time
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import asdict, dataclass, field, replace
 from math import exp, inf, log, nextafter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
@@ -161,6 +162,24 @@ def goes_left(node: Node, x: float) -> bool:
     return x < node.threshold if node.mode == "lt" else x <= node.threshold if node.mode == "le" else abs(x) < 2**63 and float(int(x)) in node.members
 
 
+def leaf_values(tree: Sequence[Node], x: np.ndarray) -> np.ndarray:
+    """The leaf of every row of ``x``; node by node, each with the rows that reach it."""
+    out, todo = np.zeros(len(x)), [(0, np.arange(len(x)))]
+    while todo:
+        k, rows = todo.pop()
+        node = tree[k]
+        if node.leaf is not None:
+            out[rows] = node.leaf
+            continue
+        v = x[rows, node.feature]
+        v = np.where(np.isnan(v), 0.0, v) if node.missing == "none" else v
+        gone = np.isnan(v) | ((np.abs(v) <= ZERO) if node.missing == "zero" else False)
+        goes = v < node.threshold if node.mode == "lt" else v <= node.threshold if node.mode == "le" else np.isin(np.trunc(v), node.members)
+        goes = np.where(gone, node.missing_left, goes)
+        todo += [(node.left, rows[goes]), (node.right, rows[~goes])]
+    return out
+
+
 def _whole(x: Column) -> Column:
     """The whole part of a double, without a detour over longs, which may not hold it."""
     return x - x % 1.0
@@ -271,7 +290,8 @@ def _codes(df: DataFrame, name: str) -> dict[str, float]:
 class BoostedClassifier(Estimator):
     """Spark's gradient-boosted trees, kept as ``TreeModel``; missing values are filled with ``fill`` as in training.
 
-    String features are coded by the alphabetical order of their values; values not seen in training are missing.
+    String features are coded by the alphabetical order of their values; values not seen in training are missing.  With ``validation``
+    the number of trees is the one whose loss on it is least.
     """
 
     trees: int = 20
@@ -300,7 +320,36 @@ class BoostedClassifier(Estimator):
             nodes = zip(from_debug_string(tree.toDebugString), _statistics(tree._call_java("rootNode")), strict=True)
             # Spark's margin is half the log-odds; a value filled in training goes where ``fill`` would
             trees.append([Node(2 * weight * n.leaf, cover=c) if n.leaf is not None else replace(n, missing_left=self.fill <= n.threshold, gain=g * weight, cover=c) for n, (g, c) in nodes])
-        return TreeModel(list(features), trees, 0.0, self.scale, self.output, categories=categories)
+        model = TreeModel(list(features), trees, 0.0, self.scale, self.output, categories=categories)
+        return truncated(model, prefix_losses(model, validation, label)) if validation is not None else model
+
+
+def prefix_losses(model: TreeModel, df: DataFrame, label: str) -> list[float]:
+    """The mean logistic loss of the first 0, 1, ... all trees of ``model``, from one scan: workers add up each number's loss."""
+    arrays, inputs = model.trees, [c.alias(f"x{i}") for i, c in enumerate(model._inputs())]
+    base, d = model.base, len(model.features)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = np.zeros(len(arrays) + 1), 0
+        for batch in batches:
+            if batch.num_rows:
+                x = np.stack([batch.column(f"x{i}").to_numpy(zero_copy_only=False).astype(float) for i in range(d)], axis=1)
+                y, m = batch.column("y").to_numpy(), np.full(batch.num_rows, base)
+                n += len(y)
+                for k in range(len(arrays) + 1):
+                    m += leaf_values(arrays[k - 1], x) if k else 0.0
+                    total[k] += (np.logaddexp(0, m) - y * m).sum()
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total), pa.array(np.full(len(total), n))], names=["k", "loss", "n"])
+
+    y = F.col(f"`{label}`").cast("double")
+    rows = df.filter(y.isin(0.0, 1.0)).select(y.alias("y"), *inputs)
+    got = rows.mapInArrow(run, "k int, loss double, n long").groupBy("k").agg(F.try_divide(F.sum("loss"), F.sum("n")).alias("loss")).collect()
+    return [r.loss for r in sorted(got, key=lambda r: r.k)]
+
+
+def truncated(model: TreeModel, losses: list[float]) -> TreeModel:
+    """``model`` with the number of trees, at least one, whose loss is least; the fewest of equal ones."""
+    return replace(model, trees=model.trees[: 1 + int(np.argmin(losses[1:]))]) if losses[1:] and losses[1] is not None else model
 
 
 IMPORTANCES = ("weight", "gain", "cover", "total_gain", "total_cover", "share")

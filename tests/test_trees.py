@@ -7,9 +7,10 @@ import numpy as np
 import pytest
 
 from corbel.errors import SpecError
-from corbel.plans import trees
+from corbel.plans import growth, trees
+from corbel.plans.growth import Growth, LeafwiseClassifier
 from corbel.plans.pipeline import PipelineModel
-from corbel.plans.trees import Node, TreeModel, from_lightgbm_dump, from_xgboost_dump
+from corbel.plans.trees import BoostedClassifier, Node, TreeModel, from_lightgbm_dump, from_xgboost_dump, importance, prefix_losses
 
 
 def probability(m):
@@ -123,3 +124,115 @@ def test_a_thousand_trees_in_the_jvm(spark):
     out = m.transform(df)
     assert out.columns == ["a", "b", "c", "risk_score"] and "Python" not in out._jdf.queryExecution().executedPlan().toString()
     assert [r.risk_score for r in out.collect()] == pytest.approx([m.apply_row(r.asDict())["risk_score"] for r in df.collect()], abs=1e-12)
+
+
+# --- growth by leaves --------------------------------------------------------------------------------------------
+
+PLAIN = dict(trees=1, rate=1.0, start=0.5, subsample=1.0, columns=1.0, l1=0.0, l2=0.0, min_rows=1, min_weight=0.0)
+
+
+def shape(model, k=0, at=0):
+    n = model.trees[k][at]
+    return round(n.leaf, 6) if n.leaf is not None else (model.features[n.feature], n.members or n.threshold, n.missing_left, shape(model, k, n.left), shape(model, k, n.right))
+
+
+def test_a_tree_by_hand(spark):
+    """At a score of 0.5 each row has g = 0.5 - y and h = 0.25."""
+    df = spark.createDataFrame([(1.0, 0), (2.0, 0), (3.0, 1), (4.0, 1)], "x double, y int")
+    grow = lambda **o: LeafwiseClassifier(**PLAIN | o).fit(df, "y", ["x"])
+    m = grow()
+    assert shape(m) == ("x", 2.0, False, -2.0, 2.0)  # G = 1 and H = 0.5 on the left
+    assert m.trees[0][0].gain == pytest.approx(4.0) and m.trees[0][0].cover == 4
+    assert shape(grow(l2=1.0)) == ("x", 2.0, False, -0.666667, 0.666667)
+    assert shape(grow(l1=0.5, rate=0.1)) == ("x", 2.0, False, -0.1, 0.1)
+    assert shape(grow(pos_weight=3.0)) == ("x", 2.0, False, -2.0, 2.0)  # g and h of bad rows threefold
+    assert not grow(min_rows=3).trees and not grow(min_weight=0.6).trees and not grow(min_gain=4.0).trees
+    assert grow(start=None).base == 0.0 and grow(start=None, pos_weight=3.0).base == pytest.approx(np.log(3))
+
+
+def test_leaves_are_split_by_their_gain(spark):
+    """Both sides of the first split can be split; the second leaf that may still come goes where the gain is greater."""
+    rows = [(0.0, 0.0, 0)] * 30 + [(0.0, 1.0, 0)] * 9 + [(0.0, 1.0, 1)] * 1 + [(1.0, 0.0, 1)] * 20 + [(1.0, 1.0, 1)] * 10 + [(1.0, 1.0, 0)] * 10
+    df = spark.createDataFrame(rows, "a double, b double, y int")
+    grow = lambda **o: LeafwiseClassifier(**PLAIN | o).fit(df, "y", ["a", "b"])
+    assert shape(grow(leaves=2)) == ("a", 0.0, False, -1.9, 1.0)
+    assert shape(grow(leaves=3)) == ("a", 0.0, False, -1.9, ("b", 0.0, False, 2.0, 0.0))
+    both = ("a", 0.0, False, ("b", 0.0, False, -2.0, -1.6), ("b", 0.0, False, 2.0, 0.0))
+    assert shape(grow(leaves=4)) == shape(grow(leaves=None)) == both
+    assert shape(grow(leaves=None, depth=1)) == shape(grow(leaves=2))
+
+
+def test_missing_values_and_categories(spark):
+    df = spark.createDataFrame([(None, "u", 1), (1.0, "v", 0), (2.0, "w", 1), (None, "u", 1), (1.0, "v", 0), (2.0, None, 1)], "x double, s string, y int")
+    assert shape(LeafwiseClassifier(**PLAIN).fit(df, "y", ["x"])) == ("x", 1.0, False, -2.0, 2.0)  # missing to the bad side
+    m = LeafwiseClassifier(**PLAIN).fit(df, "y", ["s"])
+    node = m.trees[0][0]
+    assert node.mode == "in" and m.categories == {"s": {"u": 0.0, "v": 1.0, "w": 2.0}} and len(m.trees[0]) == 3
+    got = scores(spark, m, [("u", 0), ("v", 0), ("w", 0), (None, 0), ("new", 0)], "s string, y int")
+    assert [x > 0.5 for x in got] == [True, False, True, True, True]
+    assert PipelineModel.from_json(PipelineModel((m,), ("s",)).to_json()).steps[0] == m
+
+
+def brute_tree(x, y, leaves, rule):
+    """Growth by leaves over all cuts at values, row by row: {leaf rows: value}."""
+    g, h = 0.5 - y, np.full(len(y), 0.25)
+    term = lambda r: max(abs(g[r].sum()) - rule.l1, 0) ** 2 / (h[r].sum() + rule.l2)
+
+    def best(rows):
+        found = None
+        for f in range(x.shape[1]):
+            for cut in np.unique(x[rows, f])[:-1]:
+                a, b = rows[x[rows, f] <= cut], rows[x[rows, f] > cut]
+                if min(len(a), len(b)) >= rule.min_rows and min(h[a].sum(), h[b].sum()) >= rule.min_weight:
+                    gain = term(a) + term(b) - term(rows)
+                    if gain > rule.min_gain + 1e-12 and (found is None or gain > found[0] * (1 + 1e-12)):
+                        found = (gain, a, b)
+        return found
+
+    open_ = [(np.arange(len(y)), best(np.arange(len(y))))]
+    while len(open_) < leaves and any(s for _, s in open_):
+        k = max((i for i in range(len(open_)) if open_[i][1]), key=lambda i: open_[i][1][0])
+        _, (_, a, b) = open_.pop(k)
+        open_ += [(a, best(a)), (b, best(b))]
+    return {tuple(r): -np.sign(g[r].sum()) * max(abs(g[r].sum()) - rule.l1, 0) / (h[r].sum() + rule.l2) for r, _ in open_}
+
+
+@pytest.mark.parametrize(("leaves", "l1", "l2", "min_rows", "min_weight"), [(6, 0.0, 1.0, 1, 0.0), (12, 0.3, 0.5, 4, 2.0)])
+def test_growth_against_brute_force(spark, leaves, l1, l2, min_rows, min_weight):
+    rng = np.random.default_rng(leaves)
+    x = rng.integers(0, [40, 5, 200], (300, 3)).astype(float)
+    y = (rng.random(300) < 1 / (1 + np.exp(2 - x[:, 0] / 12 + (x[:, 1] == 2) - x[:, 2] / 150))).astype(float)
+    df = spark.createDataFrame([(*map(float, r), float(v)) for r, v in zip(x, y, strict=True)], "a double, b double, c double, y double").repartition(3)
+    m = LeafwiseClassifier(**PLAIN | dict(leaves=leaves, l1=l1, l2=l2, min_rows=min_rows, min_weight=min_weight)).fit(df, "y", ["a", "b", "c"])
+    want = brute_tree(x, y, leaves, Growth(l1, l2, min_rows, min_weight, 0.0))
+    assert sum(n.leaf is not None for n in m.trees[0]) == len(want) > 3
+    value = np.empty(300)
+    for rows, v in want.items():
+        value[list(rows)] = v
+    got = [m.apply_row(dict(zip("abc", r, strict=True)))["risk_score"] for r in x]
+    assert got == pytest.approx(list(probability(value)), abs=1e-7)
+
+
+def test_early_stopping_keeps_the_best_prefix(spark, monkeypatch):
+    monkeypatch.setattr(growth, "WRITE_EVERY", 3)
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(600, 2))
+    y = (rng.random(600) < probability(1.5 * x[:, 0])).astype(int)
+    df = spark.createDataFrame([(i, float(a), float(b), int(v)) for i, ((a, b), v) in enumerate(zip(x, y, strict=True))], "i int, a double, b double, y int").repartition(2)
+    train, held = df.filter("i < 300"), df.filter("i >= 300")
+    options = dict(trees=14, leaves=8, rate=0.5, min_rows=2, subsample=0.7)
+    every = LeafwiseClassifier(**options, patience=None).fit(train, "y", ["a", "b"])
+    losses = prefix_losses(every, held, "y")
+    best = int(np.argmin(losses[1:])) + 1
+    assert len(losses) == 15 and 1 <= best < 14 and losses[0] == pytest.approx(np.logaddexp(0, every.base) - every.base * y[300:].mean())
+    stopped = LeafwiseClassifier(**options, patience=4).fit(train, "y", ["a", "b"], validation=held)
+    assert stopped.trees == every.trees[:best]
+    spark_trees = BoostedClassifier(trees=10, depth=4, rate=0.5).fit(train, "y", ["a", "b"], validation=held)
+    assert 1 <= len(spark_trees.trees) < 10
+    assert sum(importance(stopped, "weight").values()) == sum(n.leaf is None for t in stopped.trees for n in t)
+
+
+def test_growth_needs_both_labels(spark):
+    df = spark.createDataFrame([(1.0, 1), (2.0, 1), (3.0, None), (4.0, -1)], "x double, y int")
+    with pytest.raises(ValueError, match="both labels"):
+        LeafwiseClassifier().fit(df, "y", ["x"])
