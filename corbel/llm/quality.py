@@ -93,12 +93,19 @@ def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[int, int, _Words]]:
         yield lo, hi, _Words(raw, split, starts, ends, hashes)
 
 
-def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Patterns of votes with their number, one row for each pattern of a batch."""
-    for batch in batches:
-        code = np.concatenate([w.patterns() for *_, w in _blocks(batch)] or [np.zeros(0, np.int64)])
-        pattern, n = np.unique(code, return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(pattern, pa.int64()), pa.array(n, pa.int64())], names=["pattern", "n"])
+def _votes(texts: int):
+    """Patterns of votes with their number, one row for each pattern of a batch; then a task's ``texts`` least hashes of texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least = np.zeros(0, np.int64)
+        for batch in batches:
+            code = np.concatenate([w.patterns() for *_, w in _blocks(batch)] or [np.zeros(0, np.int64)])
+            pattern, n = np.unique(code, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(pattern, pa.int64()), pa.array(n, pa.int64()), pa.nulls(len(n), pa.int64())], names=["pattern", "n", "rank"])
+            least = np.unique(np.concatenate([least, batch.column("rank").to_numpy()]))[:texts]
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(least), pa.int64()), pa.nulls(len(least), pa.int64()), pa.array(least)], names=["pattern", "n", "rank"])
+
+    return run
 
 
 def _training(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,21 +167,24 @@ def _linear(rows: list, target: np.ndarray, steps: int = 300, l2: float = 1e-3)
 
 
 def fit_quality(docs: DataFrame, train_docs: int = TRAIN_DOCS, ws: Workspace | None = None) -> QualityModel:
-    """Labeller accuracies from the votes on all of ``docs``; the scorer from at most 1.3 * ``train_docs`` distinct texts.
+    """Labeller accuracies from the votes on all of ``docs``; the scorer from 1.3 * ``train_docs`` distinct texts, or all if there are fewer.
 
-    Those are the texts whose hashes are least, each once however often it is repeated, so neither copies nor the order
-    of partitions matter.  Of a table without texts comes a model that keeps every text that has words.
+    Those are the texts whose hashes are least, each once however often it is repeated: copies take no place from others,
+    and the order of partitions does not matter.  Of a table without texts comes a model that keeps every text that has words.
     """
-    docs = docs.select("text").filter("text is not null")
-    counts = docs.mapInArrow(_votes, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()  # at most 2 ** 7 rows
+    own = ws or Workspace(docs.sparkSession, "quality")
+    docs = docs.select("text", F.xxhash64("text").alias("rank")).filter("text is not null")
+    texts = int(1.3 * train_docs) + 1
+    votes = own.save(docs.mapInArrow(_votes(texts), "pattern long, n long, rank long"), "votes")
+    counts = votes.filter("pattern is not null").groupBy("pattern").agg(F.sum("n").alias("n")).collect()  # at most 2 ** 7 rows
     if not counts:
         return QualityModel(np.zeros(SLOTS), 1.0, {}, {})
     patterns, n = np.array([r.pattern for r in counts]), np.array([r.n for r in counts], float)
     good, table, _ = posterior(patterns, n)
     known = dict(zip(patterns.tolist(), good.tolist(), strict=True))
-    share = min(1.0, 1.3 * train_docs / n.sum())
-    picked = docs.withColumn("rank", F.xxhash64("text")).filter(F.pmod("rank", F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))
-    picked = picked.groupBy("rank").agg(F.min("text").alias("text")).orderBy(F.pmod("rank", F.lit(1 << 30)), "rank").limit(int(1.3 * train_docs) + 1)
+    last = votes.filter("rank is not null").select("rank").distinct().orderBy("rank").limit(texts).agg(F.max("rank").alias("rank")).first().rank
+    own.drop("votes")
+    picked = docs.filter(F.col("rank") <= last).groupBy("rank").agg(F.min("text").alias("text")).orderBy("rank")
     rows = picked.mapInArrow(_training, "pattern long, slot binary, value binary").collect()
     accuracies = {name: (float(table[0, k]), float(1 - table[1, k])) for k, name in enumerate(LABELLERS)}
     if not rows:
