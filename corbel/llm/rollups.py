@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corbel.llm.packing import coded_blocks, coder_of
+from corbel.workspace import Workspace
 
 KEYS = ("source", "lang", "tokenizer")
 _SCHEMA = "source string, lang string, tokenizer string, d_docs long, d_tokens long"
@@ -25,11 +26,17 @@ class TokenRollup:
     ``apply`` reduces a batch of changes to one delta a key, writes it to a folder of its own name that no other writer
     has, and then commits by creating the marker ``log/<batch>`` that names the folder.  A file can be created only once,
     so of several writers of a batch one wins, and a folder that no marker names is never read.  ``compact`` adds the
-    committed deltas up into one folder and publishes it by creating the next manifest, ``manifest/<number>``: the folder
-    and all batches in it.  Readers take the newest manifest and the markers that it does not list; only then are old
-    folders deleted.  A writer lost at any step leaves the totals as they were, and a replay does what is missing.
+    committed deltas up into one folder and publishes it by creating the next manifest, ``manifest/<number>``: that folder,
+    a table of the names of all batches in it, and what it replaces.  Readers list markers, then read the newest manifest, and
+    begin again if another one appeared meanwhile; markers whose batches the manifest holds do not count.  Folders are deleted by
+    the compaction after the one that replaced them, so a query that began before still finds them.  A writer lost at any step
+    leaves the totals as they were, and a replay does what is missing.  ``apply`` compacts at ``MARKERS`` open markers, which
+    bounds what the driver lists and reads.
     """
 
+    #: Open markers at which a commit compacts.
+    MARKERS = 200
+
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
         path = spark._jvm.org.apache.hadoop.fs.Path
@@ -62,17 +69,36 @@ class TokenRollup:
             self._fs.delete(half, False)
         return done
 
-    def _state(self) -> tuple[int, list[str], dict[str, str]]:
-        """The newest manifest's number, its folders and batches in it, and the folder of each batch committed after."""
-        manifests = self._names("manifest")
-        number, base, had = -1, [], set()
-        if manifests:
-            kept = json.loads(self._read(f"manifest/{manifests[-1]}"))
-            number, base, had = int(manifests[-1]), kept["folders"], set(kept["batches"])
-        return number, base, {**dict.fromkeys(sorted(had), ""), **{b: self._read(f"log/{n}") for n in self._names("log") if (b := unquote(n)) not in had}}
+    def _newest(self) -> tuple[int, dict]:
+        names = self._names("manifest")
+        return (int(names[-1]), json.loads(self._read(f"manifest/{names[-1]}"))) if names else (-1, {"folders": [], "names": [], "replaced": []})
+
+    def _state(self) -> tuple[int, dict, dict[str, str], list[str]]:
+        """All of one moment: the newest manifest's number and content, the folders of later batches by marker, and markers without use."""
+        for _ in range(100):
+            try:
+                markers = self._names("log")
+                number, kept = self._newest()
+                inside = self._recorded(kept, [unquote(m) for m in markers])
+                later = {m: self._read(f"log/{m}") for m in markers if unquote(m) not in inside}
+                # of markers that another manifest took in, some may have been listed just before they were deleted
+                if self._newest()[0] == number:
+                    return number, kept, later, [m for m in markers if m not in later]
+            except Exception as e:  # noqa: BLE001 - a listed file was deleted by a compaction: look again
+                if "FileNotFound" not in str(e) and "PATH_NOT_FOUND" not in str(e):
+                    raise
+        raise RuntimeError("compactions came too fast to read a state")
+
+    def _recorded(self, kept: dict, batches: list[str]) -> set[str]:
+        """Those of a bounded number of batches that a manifest holds already."""
+        if not kept["names"] or not batches:
+            return set()
+        names = self.spark.read.schema("batch string").parquet(*[f"{self.root}/{n}" for n in kept["names"]])
+        return {r.batch for r in names.filter(F.col("batch").isin(batches)).collect()}
 
     def committed(self, batch: str) -> bool:
-        return batch in self._state()[2]
+        _, kept, later, _ = self._state()
+        return quote(batch, safe="") in later or bool(self._recorded(kept, [batch]))
 
     def apply(self, batch: str, changes: DataFrame) -> bool:
         """Commit ``changes(op, source, lang, tokenizer, tokens, old_tokens)``; false if the batch was there already.
@@ -90,7 +116,11 @@ class TokenRollup:
         sums = changes.groupBy(*KEYS).agg(F.sum(docs).cast("long").alias("d_docs"), F.sum(delta).cast("long").alias("d_tokens"))
         folder = f"data/{uuid.uuid4().hex}"
         sums.write.parquet(f"{self.root}/{folder}")
-        return self._publish(f"log/{quote(batch, safe='')}", folder)
+        # a marker made anew for a batch that a compaction took in meanwhile counts for nothing
+        done = not self.committed(batch) and self._publish(f"log/{quote(batch, safe='')}", folder)
+        if done and len(self._names("log")) >= self.MARKERS:
+            self.compact()
+        return done
 
     def _deltas(self, folders: list[str]) -> DataFrame:
         if not folders:
@@ -99,33 +129,35 @@ class TokenRollup:
 
     def totals(self) -> DataFrame:
         """(source, lang, tokenizer, n_docs, n_tokens) of all committed batches; keys without documents and tokens are left out."""
-        _, base, batches = self._state()
-        sums = self._deltas(base + [f for f in batches.values() if f]).groupBy(*KEYS).agg(F.sum("d_docs").alias("n_docs"), F.sum("d_tokens").alias("n_tokens"))
+        _, kept, later, _ = self._state()
+        sums = self._deltas([*kept["folders"], *later.values()]).groupBy(*KEYS).agg(F.sum("d_docs").alias("n_docs"), F.sum("d_tokens").alias("n_tokens"))
         return sums.filter("n_docs <> 0 or n_tokens <> 0")
 
     def compact(self) -> None:
-        """Add up all deltas into one folder.  Its manifest keeps old batch names known, so replays still do nothing."""
-        number, base, batches = self._state()
-        folders = base + [f for f in batches.values() if f]
-        if len(folders) > len(base):
-            folder = f"data/{uuid.uuid4().hex}"
-            sums = self._deltas(folders).groupBy(*KEYS).agg(F.sum("d_docs").alias("d_docs"), F.sum("d_tokens").alias("d_tokens"))
-            sums.filter("d_docs <> 0 or d_tokens <> 0").write.parquet(f"{self.root}/{folder}")
-            if self._publish(f"manifest/{number + 1:09d}", json.dumps({"folders": [folder], "batches": sorted(batches)})):
-                self._clear()
-
-    def _clear(self) -> None:
-        """Delete what the newest manifest replaces.  Its folders and later batches' are all that is read."""
-        number, _, batches = self._state()
-        for name in self._names("log"):
-            if batches.get(unquote(name)) == "":
-                self._fs.delete(self._path(self._read(f"log/{name}")), True)
-                self._fs.delete(self._path(f"log/{name}"), False)
+        """Add up all deltas into one folder, and put the names of their batches into a table, so that replays still do nothing."""
+        number, kept, later, unused = self._state()
+        if not later:
+            return
+        folders = [*kept["folders"], *later.values()]
+        data, names = f"data/{uuid.uuid4().hex}", f"names/{uuid.uuid4().hex}"
+        sums = self._deltas(folders).groupBy(*KEYS).agg(F.sum("d_docs").alias("d_docs"), F.sum("d_tokens").alias("d_tokens"))
+        sums.filter("d_docs <> 0 or d_tokens <> 0").write.parquet(f"{self.root}/{data}")
+        new = self.spark.createDataFrame([(unquote(m),) for m in sorted(later)], "batch string")
+        old = self.spark.read.schema("batch string").parquet(*[f"{self.root}/{n}" for n in kept["names"]]) if kept["names"] else new.limit(0)
+        old.unionByName(new).write.parquet(f"{self.root}/{names}")
+        made = {"folders": [data], "names": [names], "replaced": [*folders, *kept["names"]]}
+        if self._publish(f"manifest/{number + 1:09d}", json.dumps(made)):
+            self._clear(number + 1, [*later, *unused])
+
+    def _clear(self, number: int, markers: list[str]) -> None:
+        """Delete markers whose batches manifest ``number`` holds, older manifests, and what those had replaced."""
         for name in self._names("manifest"):
             if int(name) < number:
-                for folder in json.loads(self._read(f"manifest/{name}"))["folders"]:
+                for folder in json.loads(self._read(f"manifest/{name}"))["replaced"]:
                     self._fs.delete(self._path(folder), True)
                 self._fs.delete(self._path(f"manifest/{name}"), False)
+        for marker in markers:
+            self._fs.delete(self._path(f"log/{marker}"), False)
 
 
 #: The tokenizer versions counted by patterns.
@@ -170,7 +202,8 @@ def corpus_changes(docs: DataFrame, files: dict[str, str] | None = None) -> dict
     revises blank-1 of what is left to blank-2's rule: words without a letter or digit no longer count.  A null text counts
     as empty, repeated rows count each, other columns are ignored, and an empty table gives empty batches.
     """
-    counts = token_counts(docs, ("blank-1", "blank-2", "runs-1"), files)
+    # texts are read and counted once; the batches share the written counts
+    counts = Workspace(docs.sparkSession, "counts").save(token_counts(docs, ("blank-1", "blank-2", "runs-1"), files), "counts")
     first = counts.groupBy("digest").agg(F.min("doc_id").alias("first_id"))
     marked = counts.join(first, "digest").withColumn("copy", F.coalesce(F.col("doc_id") > F.col("first_id"), F.lit(False)))
 

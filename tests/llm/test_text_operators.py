@@ -499,6 +499,56 @@ def test_rollup_survives_lost_writers(spark, tmp_path, monkeypatch):
         assert total() == {(3, 16)} and not again.apply("3", rows(1))
 
 
+def test_readers_during_a_compaction(spark, tmp_path):
+    """Whatever a reader has listed or read when a compaction ends, it sees all batches, each once; so does a writer's replay."""
+    schema = "op string, source string, lang string, tokenizer string, tokens long, old_tokens long"
+    rows = lambda n: spark.createDataFrame([("insert", "a", "en", "v", n, None)], schema)
+    for step in range(14):
+        root = f"file://{tmp_path}/read{step}"
+        roll, other = rollups.TokenRollup(spark, root), rollups.TokenRollup(spark, root)
+        roll.apply("1", rows(4))
+        if step % 2:
+            roll.compact()
+        roll.apply("2", rows(6))
+        left = [step]
+
+        class Fs:
+            def __init__(self, fs):
+                self.fs = fs
+
+            def __getattr__(self, name):
+                def call(*args):
+                    if not left[0]:  # noqa: B023
+                        other.compact()  # noqa: B023
+                    left[0] -= 1  # noqa: B023
+                    return getattr(self.fs, name)(*args)
+
+                return call
+
+        roll._fs = Fs(roll._fs)
+        assert [(r.n_docs, r.n_tokens) for r in roll.totals().collect()] == [(2, 10)]
+        left[0] = step
+        assert not roll.apply("2", rows(6)) and [(r.n_docs, r.n_tokens) for r in other.totals().collect()] == [(2, 10)]
+
+
+def test_rollup_bounds_its_markers(spark, tmp_path, monkeypatch):
+    schema = "op string, source string, lang string, tokenizer string, tokens long, old_tokens long"
+    monkeypatch.setattr(rollups.TokenRollup, "MARKERS", 2)
+    roll = rollups.TokenRollup(spark, f"file://{tmp_path}/many")
+    rows = spark.createDataFrame([("insert", "a", "en", "v", 1, None)], schema)
+    before = roll.totals()
+    for k in range(5):
+        assert roll.apply(f"b{k}", rows) and len(roll._names("log")) < 2 and len(roll._names("manifest")) <= 1
+        open_ = roll.totals()
+    assert [roll.apply(f"b{k}", rows) for k in range(5)] == [False] * 5
+    assert not before.collect() and [(r.n_docs, r.n_tokens) for r in open_.collect()] == [(5, 5)]
+    # a marker that a slow writer makes for a batch long since taken in counts for nothing, and goes
+    rows.selectExpr("source", "lang", "tokenizer", "1L as d_docs", "1L as d_tokens").write.parquet(f"{roll.root}/data/late")
+    assert roll._publish("log/b0", "data/late") and [(r.n_docs, r.n_tokens) for r in roll.totals().collect()] == [(5, 5)]
+    roll.apply("b5", rows)
+    assert [(r.n_docs, r.n_tokens) for r in roll.totals().collect()] == [(6, 6)] and not roll._names("log")
+
+
 def test_corpus_changes(spark):
     df = spark.createDataFrame([(1, "a b ***", "s", "en"), (2, "a b ***", "s", "en"), (3, None, None, "en"), (None, "x", "s", "en")], "doc_id long, text string, source string, lang string").withColumns({"tokenizer": F.lit(1), "digest": F.lit(2)})
     changes = rollups.corpus_changes(df)
@@ -520,6 +570,22 @@ def test_counts_of_a_tokenizer_file(spark, tmp_path):
     assert {(r.n_docs, r.n_tokens) for r in roll.totals().filter("tokenizer = 'bpe-49k'").collect()} == {(4, want)}
 
 
+def test_training_texts_of_a_corpus_that_is_mostly_one_text(spark):
+    """30,000 copies of one page take one place of the training sample."""
+    some = spark.range(400).selectExpr("concat('text number ', id, ' has its own few words') AS text")
+    copies = spark.range(30_000).selectExpr("'the same page again and again' AS text")
+    df = some.union(copies).repartition(8)
+    seen = []
+    real = quality._linear
+    try:
+        quality._linear = lambda rows, target: (seen.append(len(rows)), real(rows, target))[1]
+        quality.fit_quality(df, 200)
+        quality.fit_quality(df, 1000)
+    finally:
+        quality._linear = real
+    assert seen == [261, 401]
+
+
 # --- preferences ---------------------------------------------------------------------------------------------------
 
 
