@@ -1,7 +1,8 @@
 """Exact ranks and quantiles of keyed values, at any number of distinct values.
 
 Values are first counted, so repeated ones are one row.  Approximate quantiles of the distinct values cut each key's
-values into ranges of about even size; sums over ranges (few rows a key) say which ranges hold the wanted ranks, and only
+values into ranges of about ``ROWS`` of them, as many as their number asks for: up to ``RANGES`` by quantiles, and beyond that each
+of those into even pieces of its span.  Sums over ranges (few rows a key) say which ranges hold the wanted ranks, and only
 those are put in order.  No task holds a key's values, and nothing is broadcast unless Spark finds it small.
 """
 
@@ -12,9 +13,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Ranges that a key's distinct values are cut into, and the accuracy of the cuts.
-RANGES = 32
-ACCURACY = 1000
+#: Distinct values of a range, the most ranges bounded by quantiles, and the accuracy of these bounds.
+ROWS = 50_000
+RANGES = 512
+ACCURACY = 5000
 
 
 def by_key(left: DataFrame, right: DataFrame, by: Sequence[str], how: str = "inner") -> DataFrame:
@@ -40,9 +42,14 @@ def whole(counts: DataFrame, by: Sequence[str], value: str) -> DataFrame:
 def placed(df: DataFrame, name: str, value: str, edges: str, most: int, strict: bool = False) -> DataFrame:
     """``df`` with ``name``: how many of ``edges``, at most ``most`` ascending ones, are at or below (strictly below) the value.
 
-    Found by halving in plain expressions, which Spark compiles; a lambda over the array would be interpreted for every row.
+    Found by halving in plain expressions, which Spark compiles, up to 32 edges.  Beyond that they would grow too large together, and a
+    lambda takes the few steps.
     """
     v, step = F.col(value), 1 << max(0, most.bit_length() - 1)
+    if most > 32:
+        steps = F.array(*[F.lit(step >> i) for i in range(step.bit_length())])
+        below = lambda at, by: F.get(edges, at + by - 1) < v if strict else F.get(edges, at + by - 1) <= v
+        return df.withColumn(name, F.aggregate(steps, F.lit(0), lambda at, by: F.when(below(at, by), at + by).otherwise(at)))
     out = df.withColumn(name, F.lit(0))
     while step:
         e = F.get(edges, F.col(name) + (step - 1))  # NULL beyond the last
@@ -52,10 +59,18 @@ def placed(df: DataFrame, name: str, value: str, edges: str, most: int, strict:
 
 
 def ranged(counts: DataFrame, by: Sequence[str], value: str = "value") -> DataFrame:
-    """``counts`` with ``range``: ascending with the value, and about as many rows in each."""
+    """``counts`` with ``range``: ascending with the value, and about ``ROWS`` rows in each."""
     counts = whole(counts, by, value)
-    cuts = counts.groupBy(*by).agg(F.percentile_approx(value, [k / RANGES for k in range(1, RANGES)], ACCURACY).alias("__cuts"))
-    return placed(by_key(counts, cuts, by), "range", value, "__cuts", RANGES - 1, strict=True).drop("__cuts")
+    about = counts.groupBy(*by).agg(F.count("*").alias("__d"), F.percentile_approx(value, [k / RANGES for k in range(RANGES + 1)], ACCURACY).alias("__all"))
+    wanted = F.least(F.lit(RANGES), F.ceil(F.col("__d") / ROWS)).cast("int")
+    cuts = F.when(wanted > 1, F.transform(F.sequence(F.lit(1), wanted - 1), lambda j: F.get("__all", F.floor(j * RANGES / wanted).cast("int")))).otherwise(F.array())
+    about = about.select(*by, cuts.alias("__cuts"), F.ceil(F.col("__d") / (ROWS * RANGES)).alias("__pieces"), F.get("__all", F.lit(0)).alias("__low"), F.get("__all", F.lit(RANGES)).alias("__high"))
+    out = placed(by_key(counts, about, by), "range", value, "__cuts", RANGES - 1, strict=True)
+    low = F.when(F.col("range") == 0, F.col("__low")).otherwise(F.get("__cuts", F.col("range") - 1))
+    high = F.coalesce(F.get("__cuts", F.col("range")), F.col("__high"))
+    part = F.floor(F.coalesce(F.try_divide(F.col(value) - low, high - low), F.lit(0.0)) * F.col("__pieces"))
+    piece = F.when(F.col("__pieces") > 1, F.greatest(F.lit(0), F.least(F.col("__pieces") - 1, part))).otherwise(0)
+    return out.withColumn("range", F.col("range") * F.col("__pieces") + piece).drop("__cuts", "__pieces", "__low", "__high")
 
 
 def running(parts: DataFrame, by: Sequence[str], sums: Sequence[str]) -> DataFrame:

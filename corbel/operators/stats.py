@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corbel.functions.expressions import number
-from corbel.operators.ranks import placed, quantiles, value_counts
+from corbel.operators.ranks import placed, quantiles
 
 EPS = 0.001
 PSI_EPS = 1e-4
@@ -41,6 +41,75 @@ def places(df: DataFrame, features: Sequence[str], keep: Sequence[str] = ()) ->
     return reduce(DataFrame.unionAll, parts)
 
 
+def _classes(columns: list[pa.Array]) -> tuple[np.ndarray, np.ndarray]:
+    """The group of each row by the values of key columns, and a row of each group."""
+    code = np.zeros(len(columns[0]), np.int64)
+    for c in columns:
+        own = c.dictionary_encode("encode")
+        code = code * (len(own.dictionary) + 1) + own.indices.to_numpy(zero_copy_only=False)
+        code = np.unique(code, return_inverse=True)[1]
+    return code, np.unique(code, return_index=True)[1]
+
+
+def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values without NaN, and the place of each value among them; whole numbers of a small span are not sorted."""
+    if len(values) and np.abs(values).max() < 1 << 40:
+        whole_ = values.astype(np.int64)
+        low, span = whole_.min(), int(np.ptp(whole_)) + 1
+        if span <= 2 * len(values) + 1024 and (whole_ == values).all():
+            there = np.zeros(span, bool)
+            there[whole_ - low] = True
+            return (np.flatnonzero(there) + low).astype(float), (np.cumsum(there) - 1)[whole_ - low]
+    return np.unique(values, return_inverse=True)
+
+
+def _counter(d: int, keys: Sequence[str], label: bool, names: Sequence[str], most: int = 1 << 18):
+    """(keys, place, value, n[, n_pos]) of each batch: one row for each distinct value of a feature and key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            code, row = _classes([batch.column(f"k{i}") for i in range(len(keys))]) if keys else (0, np.zeros(1, np.int64))
+            code = np.broadcast_to(code, batch.num_rows)
+            y = batch.column("y").to_numpy(zero_copy_only=False).astype(float) if label else None
+            out, size = [], 0
+            for i in range(d):
+                x = batch.column(f"c{i}").to_numpy(zero_copy_only=False)
+                gone = np.isnan(x)
+                some = gone.any()
+                values, at = _distinct(x[~gone] if some else x)
+                if some:
+                    place = np.full(len(x), len(values))
+                    place[~gone] = at
+                    values, at = np.append(values, np.nan), place
+                cell = code * len(values) + at
+                n = np.bincount(cell, minlength=len(row) * len(values))
+                full = np.flatnonzero(n)
+                out.append((row[full // len(values)], np.full(len(full), i, np.int32), values[full % len(values)], n[full], np.bincount(cell, y, len(n))[full] if label else n[:0]))
+                size += len(full)
+                if size > most or i + 1 == d:
+                    at_row, place, value, n, pos = (np.concatenate(c) for c in zip(*out, strict=True))
+                    cols = [*[batch.column(f"k{j}").take(pa.array(at_row)) for j in range(len(keys))], pa.array(place), pa.array(value, mask=np.isnan(value)), pa.array(n), *([pa.array(pos.astype(np.int64))] if label else [])]
+                    yield pa.RecordBatch.from_arrays(cols, names=names)
+                    out, size = [], 0
+
+    return run
+
+
+def counted(df: DataFrame, features: Sequence[str], keys: Sequence[str] = (), label: str | None = None) -> DataFrame:
+    """(keys..., place, value, n[, n_pos]) of each distinct value, NULL too; ``n_pos`` adds up a whole-numbered ``label``.
+
+    Each task counts in numpy, so a column of few values is shuffled as a few rows a batch and never as one row a cell.
+    """
+    by = [*keys, "place", "value"]
+    cols = [F.col(f"`{k}`").alias(f"k{i}") for i, k in enumerate(keys)] + [number(F.col(f"`{f}`")).alias(f"c{i}") for i, f in enumerate(features)] + ([F.col(f"`{label}`").cast("double").alias("y")] if label else [])
+    rows = df.select(*cols)
+    fields = [T.StructField(k, rows.schema[f"k{i}"].dataType) for i, k in enumerate(keys)] + [T.StructField("place", T.IntegerType()), T.StructField("value", T.DoubleType()), T.StructField("n", T.LongType())] + ([T.StructField("n_pos", T.LongType())] if label else [])
+    sums = [F.sum(c).alias(c) for c in ("n", *(["n_pos"] if label else []))]
+    return rows.mapInArrow(_counter(len(features), keys, bool(label), [f.name for f in fields]), T.StructType(fields)).groupBy(*by).agg(*sums)
+
+
 def _named(features: Sequence[str]) -> Column:
     return F.element_at(F.array(*[F.lit(f) for f in features]), F.col("place") + 1).alias("feature")
 
@@ -48,7 +117,7 @@ def _named(features: Sequence[str]) -> Column:
 def profile(df: DataFrame, features: Sequence[str], keys: Sequence[str] = (), probabilities: Sequence[float] = (0, 0.25, 0.5, 0.75, 1)) -> DataFrame:
     """Per feature: n, n_missing, missing_rate, n_distinct, distinct_ratio, mean, variance (ddof 1), quantiles (NULL without values)."""
     cells, by = places(df, features, keys), [*keys, "place"]
-    counts = value_counts(cells, by)
+    counts = counted(df, features, keys).filter("value is not null")
     sums = cells.groupBy(*by).agg(F.count("*").alias("n"), F.count("value").alias("known"), F.avg("value").alias("mean"), F.var_samp("value").alias("variance"))
     found = quantiles(counts, by, probabilities).drop("n").join(counts.groupBy(*by).agg(F.count("*").alias("n_distinct")), by)
     missing, distinct = F.col("n") - F.col("known"), F.coalesce("n_distinct", F.lit(0))
@@ -74,9 +143,8 @@ def woe_table(df: DataFrame, features: Sequence[str], label: str, keys: Sequence
 
     Totals count every row, also where the value is missing; the smoothing uses the number of the feature's values.
     """
-    y, by = F.col(label), [*keys, "place"]
-    cells = places(df.filter(y.isin(0, 1)), features, [*keys, label])
-    cell = cells.groupBy(*by, "value").agg(F.sum(y).alias("n_pos"), F.count("*").alias("n"))
+    by = [*keys, "place"]
+    cell = counted(df.filter(F.col(label).isin(0, 1)), features, keys, label)
     totals = cell.groupBy(*by).agg(F.sum("n_pos").alias("pos"), F.sum("n").alias("all"), F.count("value").alias("k"))
     cell = cell.filter("value is not null").join(totals, by).withColumn("n_neg", F.col("n") - F.col("n_pos"))
     dp, dn = (F.col("n_pos") + eps) / (F.col("pos") + eps * F.col("k")), (F.col("n_neg") + eps) / (F.col("all") - F.col("pos") + eps * F.col("k"))
@@ -91,7 +159,7 @@ def information_value(df: DataFrame, features: Sequence[str], label: str, keys:
 def quantile_edges(df: DataFrame, features: Sequence[str], n_bins: int, keys: Sequence[str] = (), digits: int | None = None) -> DataFrame:
     """(keys..., feature, edges): distinct ascending quantiles i / n_bins of the non-null values."""
     by = [*keys, "place"]
-    return _edges(value_counts(places(df, features, keys), by), by, n_bins, digits).select(*keys, _named(features), "edges")
+    return _edges(counted(df, features, keys).filter("value is not null"), by, n_bins, digits).select(*keys, _named(features), "edges")
 
 
 def _edges(counts: DataFrame, by: Sequence[str], n_bins: int, digits: int | None) -> DataFrame:
@@ -104,7 +172,7 @@ def psi(reference: DataFrame, other: DataFrame, features: Sequence[str], keys: S
 
     Bins are [a, b) with the last closed; values outside are left out; empty bins count by their smoothing.
     """
-    known = value_counts(places(reference, features), ["place"])
+    known = counted(reference, features).filter("value is not null")
     edges = _edges(known, ["place"], n_bins, digits)
 
     def shares(counts: DataFrame, by: Sequence[str], name: str) -> DataFrame:
@@ -115,7 +183,7 @@ def psi(reference: DataFrame, other: DataFrame, features: Sequence[str], keys: S
         share = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda b: (F.coalesce(F.try_element_at("m", b), F.lit(0)) + eps) / (F.col("n") + eps * F.col("k")))
         return each.select(*by, "place", share.alias(name))
 
-    p, q = shares(known, [], "p"), shares(value_counts(places(other, features, keys), [*keys, "place"]), keys, "q")
+    p, q = shares(known, [], "p"), shares(counted(other, features, keys).filter("value is not null"), keys, "q")
     parts = F.zip_with("q", "p", lambda a, b: (a - b) * F.ln(a / b))
     found = q.join(p, "place").select(*keys, "place", F.greatest(F.lit(0.0), F.aggregate(parts, F.lit(0.0), lambda s, x: s + x)).alias("psi"))
     some = other.select(*keys).distinct() if keys else other.select(F.lit(1).alias("__one")).distinct()

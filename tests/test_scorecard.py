@@ -253,11 +253,12 @@ def test_sources_and_filters(spark, tmp_path):
     assert hash_sample(n, "id", 10).collect() == hash_sample(n.repartition(7), "id", 10).collect()
 
 
-@pytest.mark.parametrize("keys", [[], ["k"]])
-def test_exact_quantiles(spark, keys, monkeypatch):
+@pytest.mark.parametrize(("keys", "most"), [([], 7), (["k"], 7), (["k"], 3), ([], 512)])  # few ranges: each has many pieces
+def test_exact_quantiles(spark, keys, most, monkeypatch):
     rng = np.random.default_rng(3)
     rows = [(int(k), float(v)) for k, v in zip(rng.integers(0, 3, 3000), np.exp(rng.normal(size=3000) * 4).round(2))] + [(9, 1.0), (9, None), (8, None), (7, 1.0), (7, 2.0)]
-    monkeypatch.setattr(ranks, "RANGES", 7)
+    monkeypatch.setattr(ranks, "RANGES", most)
+    monkeypatch.setattr(ranks, "ROWS", 40)
     ps = [0, 0.1, 0.25, 0.5, 0.75, 0.999, 1]
     counts = ranks.value_counts(spark.createDataFrame(rows, "k int, v double"), keys, "v")
     got = {(r.k if keys else None): (r.q, r.n) for r in ranks.quantiles(counts, keys, ps, "v").collect()}
@@ -269,6 +270,35 @@ def test_exact_quantiles(spark, keys, monkeypatch):
     assert got == want
 
 
+def test_ranges_by_the_number_of_values(spark, monkeypatch):
+    """Ranges ascend with the value and none holds much more than ROWS, whether quantiles or pieces bound them."""
+    monkeypatch.setattr(ranks, "ROWS", 100)
+    for most, n in ((512, 20_000), (8, 20_000), (512, 90)):
+        monkeypatch.setattr(ranks, "RANGES", most)
+        counts = ranks.value_counts(spark.range(n).selectExpr("exp(id / 3000D) AS v"), [], "v")
+        rows = sorted((r.v, r.range) for r in ranks.ranged(counts, [], "v").collect())
+        assert [r for _, r in rows] == sorted(r for _, r in rows) and len(rows) == n
+        sizes = np.unique([r for _, r in rows], return_counts=True)[1]
+        assert sizes.max() <= 250 and (n > 100) == (len(sizes) > 1)
+
+
+def test_counted_cells(spark):
+    rng = np.random.default_rng(2)
+    pick = lambda *v: v[rng.integers(len(v))]
+    rows = [(pick("a", "b", None), pick(1, 2, None), pick(0, 1), pick(0.0, -0.0, 1.0, 5e9, None, float("nan"), -3.0), pick(0.5, 1e300, float("inf"), -2.0)) for _ in range(500)]
+    df = spark.createDataFrame(rows, "k string, `odd key` int, y int, x double, z double").repartition(3)
+    for keys in ([], ["k"], ["k", "odd key"]):
+        got = {tuple(r[: len(keys) + 2]): r[len(keys) + 2 :] for r in map(tuple, stats.counted(df, ["x", "z"], keys, "y").collect())}
+        want = {}
+        for r in rows:
+            for place, v in enumerate(r[3:]):
+                cell = (*r[: len(keys)], place, None if v is None or v != v else v)
+                n, pos = want.get(cell, (0, 0))
+                want[cell] = (n + 1, pos + r[2])
+        assert got == want
+    assert not stats.counted(df.limit(0), ["x"], ["k"]).collect()
+
+
 def test_correlations_pairwise(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(400, 3)) + 1e6
