@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
 from itertools import product
-from statistics import fmean, median
+from math import ceil, log, sqrt
+from statistics import NormalDist, fmean, median
 from time import perf_counter
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -68,17 +69,27 @@ class RandomSearch:
     folds: int = 1
     prune_after: int | None = 5
 
-    def suggest(self, step: Estimator, rng: random.Random) -> dict:
-        out = {}
-        for name, (lo, hi) in self.space.items():
-            whole = isinstance(getattr(step, name), int) and isinstance(lo, int) and isinstance(hi, int)
-            if whole:
-                out[name] = rng.randint(int(lo), int(hi))
-            elif lo > 0 and hi / lo > 100:
-                out[name] = lo * (hi / lo) ** rng.random()
-            else:
-                out[name] = rng.uniform(lo, hi)
-        return out
+    def _at(self, step: Estimator | None, name: str, u: float) -> float:
+        """The value of a field at a place between 0 and 1 of its range."""
+        lo, hi = self.space[name]
+        if self._whole(step, name):
+            return min(int(hi), int(lo) + int(u * (int(hi) - int(lo) + 1)))
+        return lo * (hi / lo) ** u if lo > 0 and hi / lo > 100 else lo + u * (hi - lo)
+
+    def _place(self, step: Estimator | None, name: str, value: float) -> float:
+        """The place of a value; of a whole number the middle of its share."""
+        lo, hi = self.space[name]
+        if self._whole(step, name):
+            return (value - lo + 0.5) / (hi - lo + 1)
+        return log(value / lo) / log(hi / lo) if lo > 0 and hi / lo > 100 else (value - lo) / (hi - lo) if hi > lo else 0.5
+
+    def _whole(self, step: Estimator | None, name: str) -> bool:
+        lo, hi = self.space[name]
+        return isinstance(lo, int) and isinstance(hi, int) and (step is None or isinstance(getattr(step, name), int))
+
+    def suggest(self, step: Estimator | None, rng: random.Random, history: Sequence[tuple[dict, float]] = ()) -> dict:
+        """Values for the next trial; ``history`` holds the values and results of the earlier ones."""
+        return {name: self._at(step, name, rng.random()) for name in self.space}
 
     def fit(self, pipeline: Pipeline, df: DataFrame, label: str, features: Sequence[str], key: str) -> tuple[PipelineModel, dict, float]:
         rng = random.Random(self.seed)
@@ -86,8 +97,9 @@ class RandomSearch:
         parts = [place < int(self.held * 10_000)] if self.folds < 2 else [F.pmod(place, F.lit(self.folds)) == k for k in range(self.folds)]
         last, best = pipeline.steps[-1], None
         means: list[list[float]] = [[] for _ in parts]  # of earlier trials, after each fold
+        history: list[tuple[dict, float]] = []
         for trial in range(self.trials):
-            chosen, values = self.suggest(last, rng), []  # type: ignore[arg-type]
+            chosen, values = self.suggest(last, rng, history), []  # type: ignore[arg-type]
             tried = Pipeline([*pipeline.steps[:-1], replace(last, **chosen)])  # type: ignore[type-var]
             for k, part in enumerate(parts):
                 model = tried.fit(df.filter(~part), label, features)
@@ -96,12 +108,60 @@ class RandomSearch:
                 means[k].append(mean)
                 if self.prune_after is not None and trial >= self.prune_after and others and mean < median(others):
                     break
+            history.append((chosen, mean))  # of a trial that was cut short what it had got
             if len(values) == len(parts) and (best is None or mean > best[1]):
                 best = (chosen, mean)
         chosen, value = best or ({}, 0.0)
         return Pipeline([*pipeline.steps[:-1], replace(last, **chosen)]).fit(df, label, features), chosen, value  # type: ignore[type-var]
 
 
+@dataclass(frozen=True)
+class ParzenSearch(RandomSearch):
+    """A tree-structured Parzen estimator: after ``startup`` random trials the best ones and the others get a density each.
+
+    The best are the first ``better`` * square root of the number of trials, rounded up.  A density of a field is an even mixture of normal
+    curves cut to the range, one about each value as wide as the farther of its neighbours, and of the whole range.  Of ``candidates`` drawn
+    from the density of the best, the one with the greatest ratio to that of the others is tried; fields are independent.
+    """
+
+    startup: int = 10
+    candidates: int = 24
+    better: float = 1.0
+
+    def suggest(self, step: Estimator | None, rng: random.Random, history: Sequence[tuple[dict, float]] = ()) -> dict:
+        if len(history) < self.startup:
+            return super().suggest(step, rng, history)
+        ranked = sorted(history, key=lambda h: -h[1])
+        n = min(len(ranked) - 1, ceil(self.better * sqrt(len(ranked))))
+        out = {}
+        for name in self.space:
+            good, rest = (_mixture([self._place(step, name, h[0][name]) for h in part]) for part in (ranked[:n], ranked[n:]))
+            drawn = [_draw(good, rng) for _ in range(self.candidates)]
+            out[name] = self._at(step, name, max(drawn, key=lambda u: _density(good, u) - _density(rest, u)))  # noqa: B023
+        return out
+
+
+def _mixture(places: Sequence[float]) -> list[tuple[float, float]]:
+    """(middle, width) of each curve; the last one is the whole range."""
+    at = sorted(places)
+    least = 1 / min(100, len(at) + 1)
+    near = [0.0, *at, 1.0]
+    return [(x, min(1.0, max(least, x - near[i], near[i + 2] - x))) for i, x in enumerate(at)] + [(0.5, 1.0)]
+
+
+def _draw(mixture: Sequence[tuple[float, float]], rng: random.Random) -> float:
+    middle, width = rng.choice(mixture)
+    while not 0 <= (u := rng.gauss(middle, width)) < 1:
+        pass
+    return u
+
+
+def _density(mixture: Sequence[tuple[float, float]], u: float) -> float:
+    """The logarithm of a mixture's density."""
+    part = lambda m, w: NormalDist(m, w).pdf(u) / (NormalDist(m, w).cdf(1) - NormalDist(m, w).cdf(0))
+    return log(sum(part(m, w) for m, w in mixture) / len(mixture))
+
+
 def infer_features(df: DataFrame, without: Sequence[str]) -> list[str]:
     """All columns but the named ones and times."""
     return [f.name for f in df.schema if f.name not in without and f.dataType.typeName() not in ("timestamp", "timestamp_ntz", "date")]

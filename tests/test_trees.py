@@ -8,8 +8,9 @@ import pytest
 
 from corbel.errors import SpecError
 from corbel.plans import growth, trees
+from corbel.plans.experiment import ParzenSearch, RandomSearch
 from corbel.plans.growth import Growth, LeafwiseClassifier
-from corbel.plans.pipeline import PipelineModel
+from corbel.plans.pipeline import Pipeline, PipelineModel
 from corbel.plans.trees import BoostedClassifier, Node, TreeModel, from_lightgbm_dump, from_xgboost_dump, importance, prefix_losses
 
 
@@ -236,3 +237,34 @@ def test_growth_needs_both_labels(spark):
     df = spark.createDataFrame([(1.0, 1), (2.0, 1), (3.0, None), (4.0, -1)], "x double, y int")
     with pytest.raises(ValueError, match="both labels"):
         LeafwiseClassifier().fit(df, "y", ["x"])
+
+
+# --- search --------------------------------------------------------------------------------------------------------
+
+
+def searched(search, seed, trials=40):
+    """The best value found on a surface with one peak at rate 0.02, depth 7 and share 0.3."""
+    rng, history = random.Random(seed), []
+    for _ in range(trials):
+        x = search.suggest(None, rng, history)
+        assert 0.001 <= x["rate"] <= 1.0 and x["depth"] in range(1, 13) and 0.0 <= x["share"] <= 1.0
+        history.append((x, -((np.log10(x["rate"] / 0.02)) ** 2) - ((x["depth"] - 7) / 6) ** 2 - (x["share"] - 0.3) ** 2))
+    return max(v for _, v in history)
+
+
+def test_parzen_search_beats_random_search():
+    space = {"rate": (0.001, 1.0), "depth": (1, 12), "share": (0.0, 1.0)}
+    parzen = [searched(ParzenSearch(space), s) for s in range(20)]
+    plain = [searched(RandomSearch(space), s) for s in range(20)]
+    assert np.mean(parzen) > np.mean(plain) / 2 and np.median(parzen) > np.median(plain)  # both are below 0
+    assert sum(a > b for a, b in zip(parzen, plain, strict=True)) >= 15
+    assert parzen[:3] == [searched(ParzenSearch(space), s) for s in range(3)]
+
+
+def test_parzen_search_tunes_a_pipeline(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(300, 2))
+    df = spark.createDataFrame([(i, float(a), float(b), int(a + b + e > 0)) for i, ((a, b), e) in enumerate(zip(x, rng.normal(size=300), strict=True))], "row int, a double, b double, y int").repartition(2).cache()
+    search = ParzenSearch({"leaves": (2, 6), "rate": (0.01, 0.9)}, trials=4, startup=2)
+    model, chosen, value = search.fit(Pipeline([LeafwiseClassifier(trees=2, min_rows=5)]), df, "y", ["a", "b"], "row")
+    assert 2 <= chosen["leaves"] <= 6 and 0.5 < value <= 1 and len(model.steps[-1].trees) == 2
