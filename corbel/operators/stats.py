@@ -179,8 +179,8 @@ def psi(reference: DataFrame, other: DataFrame, features: Sequence[str], keys: S
         at = counts.join(edges.filter("size(edges) > 1"), "place").filter("value between edges[0] and element_at(edges, -1)")
         at = placed(at, "bin", "value", "edges", n_bins + 1).withColumn("bin", F.least(F.col("bin") - 1, F.size("edges") - 2))
         bins = at.groupBy(*by, "place", "bin").agg(F.sum("n").alias("c"), F.first("edges").alias("edges"))
-        each = bins.groupBy(*by, "place").agg(F.map_from_entries(F.collect_list(F.struct("bin", "c"))).alias("m"), F.sum("c").alias("n"), (F.size(F.first("edges")) - 1).alias("k"))
-        share = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda b: (F.coalesce(F.try_element_at("m", b), F.lit(0)) + eps) / (F.col("n") + eps * F.col("k")))
+        each = bins.groupBy(*by, "place").agg(F.map_from_entries(F.collect_list(F.struct("bin", "c"))).alias("__m"), F.sum("c").alias("__n"), (F.size(F.first("edges")) - 1).alias("__k"))
+        share = F.transform(F.sequence(F.lit(0), F.col("__k") - 1), lambda b: (F.coalesce(F.try_element_at("__m", b), F.lit(0)) + eps) / (F.col("__n") + eps * F.col("__k")))
         return each.select(*by, "place", share.alias(name))
 
     p, q = shares(known, [], "p"), shares(counted(other, features, keys).filter("value is not null"), keys, "q")

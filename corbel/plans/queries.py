@@ -6,13 +6,14 @@ the baseline mixes tax and quantity.  Tags follow the year of shipping.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corbel.functions.expressions import bin_index, derive, without_sentinels
-from corbel.operators import metrics, stats
+from corbel.operators import metrics, sketches, stats
 from corbel.operators.binning import BinModel, ChiMergeBinner
 from corbel.operators.cleaning import FeatureCleaner
 from corbel.operators.encoding import BinnerWoeEncoder, WoeEncoder, WoeModel
@@ -25,6 +26,8 @@ from corbel.plans.pipeline import FeatureDerivation, Pipeline
 from corbel.plans.report import binned_counts, compare_labels, compare_scores
 from corbel.plans.trees import BoostedClassifier, from_lightgbm_dump, literal_trees
 from corbel.sources.loans import preprocess, select_features, with_target
+from corbel.streaming.monitor import PsiMonitor
+from corbel.workspace import Workspace
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -243,6 +246,40 @@ def psi_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(stats.psi(df.filter("tag = 'train'"), df, [*FEATURES, "score"], ["tag"], digits=DIGITS))
 
 
+@query(f"WITH {TX}, {psi_sql(FEATURES + ['score'], 'tag', 'true')}")
+def psi_monitor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from a monitor's frozen bins, in one pass over the table."""
+    df = transactions(spark, sf_dir)
+    return rounded(PsiMonitor.fit(df.filter("tag = 'train'"), [*FEATURES, "score"], digits=DIGITS).psi(df, ["tag"]))
+
+
+DAYS = "date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE))"
+
+
+@query(f"WITH {TX}, {psi_sql(['score', 'l_tax'], 'first_day', 'true').replace('first_day AS k', DAYS + ' // 364 * 364 AS k')}")
+def psi_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of 52 weeks of a stream of line items, against bins frozen on the training years."""
+    df = transactions(spark, sf_dir)
+    monitor = PsiMonitor.fit(df.filter("tag = 'train'"), ["score", "l_tax"], digits=DIGITS)
+    rows = df.select("score", "l_tax", F.timestamp_seconds(F.unix_date(F.col("l_shipdate").cast("date")) * 86400).alias("time"))
+    ws = Workspace(spark, "stream")
+    rows.write.parquet(ws.path("in"))
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 4).parquet(ws.path("in"))
+    out = monitor.stream(stream, "time", "364 days", "40000 days").select((F.unix_seconds("window.start") / 86400).cast("long").alias("first_day"), "feature", "psi")
+    name = f"psi_{uuid.uuid4().hex}"
+    out.writeStream.format("memory").queryName(name).option("checkpointLocation", ws.path("state")).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
+    return rounded(spark.table(name))
+
+
+@query()
+def sketch_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantiles of all tags from the sketches of each, and their index against the training years, without reading rows twice."""
+    parts = Workspace(spark, "sketches").save(sketches.sketches(transactions(spark, sf_dir), [*FEATURES, "score"], ["tag"]), "parts")
+    whole = sketches.sketch_quantiles(sketches.merged(parts), [0.0, 0.25, 0.5, 0.75, 1.0]).select("feature", "n", "n_missing", F.explode(F.array(*[F.struct(F.lit(p).alias("p"), F.get("quantiles", F.lit(i)).alias("value")) for i, p in enumerate([0.0, 0.25, 0.5, 0.75, 1.0])])).alias("x")).select("feature", "n", "n_missing", "x.*")
+    index = sketches.sketch_psi(parts.filter("tag = 'train'"), parts, ["tag"])
+    return whole.join(index.groupBy("feature").agg(F.max("psi").alias("worst_psi")), "feature")
+
+
 LATER = "tag <> 'train'"
 
 
