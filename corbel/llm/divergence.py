@@ -29,7 +29,7 @@ UNIT = 1_000_000_000
 TOP = 10
 #: Bytes of text that are cut into terms at once, and counts of a block of terms.
 TEXT_BYTES = 1 << 22
-BLOCK_COUNTS = 1 << 20
+BLOCK_COUNTS = 1 << 17
 #: Sources compared in one task: those of one or two tiles.
 TILE = 256
 
