@@ -12,6 +12,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
@@ -59,9 +60,11 @@ def group_slices(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, digest=x
     """(the first slice of each group, the group of each slice): slices with the same bytes are a group."""
     if not len(starts):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    view = memoryview(np.ascontiguousarray(buf))
-    codes = np.fromiter((digest(view[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)), np.uint64, len(starts))
-    _, first, group = np.unique(codes, return_index=True, return_inverse=True)
+    raw = buf.tobytes()
+    codes = np.fromiter((digest(raw[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)), np.uint64, len(starts))
+    group, found = pd.factorize(codes)  # by hashing: nothing is sorted
+    first = np.empty(len(found), np.int64)
+    first[group[::-1]] = np.arange(len(group))[::-1]
     sizes, like = ends - starts, first[group]
     odd = sizes != sizes[like]
     check = np.flatnonzero(~odd & (like != np.arange(len(like))))
@@ -71,7 +74,7 @@ def group_slices(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, digest=x
     if odd.any():  # two texts of one hash: groups by their bytes
         others: dict[bytes, int] = {}
         for i in np.flatnonzero(odd):
-            k = others.setdefault(bytes(view[starts[i] : ends[i]]), len(first))
+            k = others.setdefault(raw[starts[i] : ends[i]], len(first))
             if k == len(first):
                 first = np.append(first, i)
             group[i] = k
@@ -123,10 +126,9 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if not len(first):
                     continue
                 row = np.searchsorted(cuts, starts, side="right") - 1
-                key, n = np.unique(group_of_row[lo + row] * len(first) + term, return_counts=True)
-                seen = np.unique(row * len(first) + term)
-                held, docs = np.unique(group_of_row[lo + seen // len(first)] * len(first) + seen % len(first), return_counts=True)
-                assert np.array_equal(key, held)
+                of_pair, pair = pd.factorize(row * len(first) + term)  # of a text and a term
+                of_key, key = pd.factorize(group_of_row[lo + pair // len(first)] * len(first) + pair % len(first))
+                n, docs = np.bincount(of_key, np.bincount(of_pair), len(key)), np.bincount(of_key, minlength=len(key))
                 group = key // len(first)
                 terms = pa.array([part[starts[i] : ends[i]].tobytes() for i in first], pa.binary()).take(pa.array(key % len(first)))
             yield pa.RecordBatch.from_arrays([langs.take(pa.array(group)), sources.take(pa.array(group)), terms.cast(pa.string()), pa.array(n.astype(np.int64)), pa.array(docs.astype(np.int64))], names=names)
