@@ -204,8 +204,9 @@ def corpus_changes(docs: DataFrame, files: dict[str, str] | None = None) -> dict
     """
     # texts are read and counted once; the batches share the written counts
     counts = Workspace(docs.sparkSession, "counts").save(token_counts(docs, ("blank-1", "blank-2", "runs-1"), files), "counts")
-    first = counts.groupBy("digest").agg(F.min("doc_id").alias("first_id"))
-    marked = counts.join(first, "digest").withColumn("copy", F.coalesce(F.col("doc_id") > F.col("first_id"), F.lit(False)))
+    # the first of each text joins by text and id, so that copies of one text do not meet in one task
+    first = counts.filter("doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("doc_id")).withColumn("first", F.lit(True))
+    marked = counts.join(first, ["digest", "doc_id"], "left").withColumn("copy", F.col("doc_id").isNotNull() & F.col("first").isNull())
 
     def rows(op: str, of: DataFrame, **by_version: tuple) -> DataFrame:
         each = F.explode(F.array(*[F.struct(F.lit(v).alias("tokenizer"), new.alias("tokens"), old.alias("old_tokens")) for v, (new, old) in by_version.items()]))
