@@ -191,12 +191,20 @@ def psi(reference: DataFrame, other: DataFrame, features: Sequence[str], keys: S
     return every.join(found, [*keys, "place"], "left").select(*keys, _named(features), F.coalesce("psi", F.lit(0.0)).alias("psi"))
 
 
-def _products(features: Sequence[str]):
-    """Sums of each batch: for every pair of columns over rows where both are there, n, sums and products about a shift."""
+#: Up to so many features their pairs are single aggregates; beyond, features are taken in tiles of ``TILE``, two at a time.
+FEW = 8
+TILE = 512
+_SUMS = ("n", "x", "y", "xx", "yy", "xy")
+
+
+def _products(first: int, second: int):
+    """Sums of a task's rows: for pairs of the first and the second columns, over rows where both are there, n, sums and products about a shift.
+
+    Without second columns the pairs are those of the first ones.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        d = len(features)
-        total, shift = np.zeros((6, d, d)), None
+        total, shift, d = np.zeros((len(_SUMS), first, second or first)), None, first + second
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -205,32 +213,52 @@ def _products(features: Sequence[str]):
             x = np.stack([batch.column(f"c{i}").to_numpy(zero_copy_only=False) for i in range(d)]).astype(float) - shift[:, None]
             there = np.isfinite(x)
             x, m = np.where(there, x, 0.0), there.astype(float)
-            total += np.stack([m @ m.T, x @ m.T, m @ x.T, (x * x) @ m.T, m @ (x * x).T, x @ x.T])
-        i, j = np.triu_indices(d, 1)
-        yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), *[pa.array(t[i, j]) for t in total]], names=["i", "j", "n", "x", "y", "xx", "yy", "xy"])
+            (a, ma), (b, mb) = (x[:first], m[:first]), ((x[first:], m[first:]) if second else (x, m))
+            for t, (left, right) in zip(total, ((ma, mb), (a, mb), (ma, b), (a * a, mb), (ma, b * b), (a, b)), strict=True):
+                t += left @ right.T
+        i, j = np.indices(total.shape[1:]).reshape(2, -1) if second else np.triu_indices(first, 1)
+        yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), *[pa.array(t[i, j]) for t in total]], names=["i", "j", *_SUMS])
 
     return run
 
 
+def _tile(df: DataFrame, features: Sequence[str], one: Sequence[int], two: Sequence[int]) -> DataFrame:
+    """Sums (i, j, ...) of the pairs of two tiles of features, or of one with itself; only their columns are read."""
+    places_ = [*one, *two]
+    cells = [number(F.col(f"`{features[p]}`")).alias(f"c{k}") for k, p in enumerate(places_)]
+    shift = df.select(*cells).limit(1000).agg(F.array(*[F.avg(f"c{k}") for k in range(len(cells))]).alias("shift"))  # any shift is right, one near the mean keeps digits
+    sums = df.select(*cells).crossJoin(F.broadcast(shift)).mapInArrow(_products(len(one), len(two)), "i int, j int, " + ", ".join(f"{c} double" for c in _SUMS))
+    return sums.groupBy((F.col("i") + one[0]).alias("i"), (F.col("j") + (two or one)[0]).alias("j")).agg(*[F.sum(c).alias(c) for c in _SUMS])
+
+
 def correlations(df: DataFrame, features: Sequence[str], threshold: float | None = None) -> DataFrame:
     """(f1, f2, r) of all pairs over all rows; pairs with a NULL are left out pairwise, infinite values count as NULL.
 
-    Each task adds up matrix products of its rows, about a value near the mean; only the sums are shuffled, a row a pair
-    and task.  NULL where a column has no variance.  With a threshold only |r| above it, largest first.
+    Few features are one aggregate each pair.  Of more, each task adds up matrix products of its rows, about a value near the mean, for two
+    tiles of features at a time, so its matrices do not grow with the features; only sums are shuffled, a row a pair and task.
+    NULL where a column has no variance.  With a threshold only |r| above it, largest first.
     """
     if len(features) < 2:
         return df.sparkSession.createDataFrame([], "f1 string, f2 string, r double")
-    cells = [number(F.col(f"`{f}`")).alias(f"c{i}") for i, f in enumerate(features)]
-    shift = df.select(*cells).limit(1000).agg(F.array(*[F.avg(f"c{i}") for i in range(len(features))]).alias("shift"))  # any shift is right, one near the mean keeps digits
-    sums = df.select(*cells).crossJoin(F.broadcast(shift)).mapInArrow(_products(features), "i int, j int, n double, x double, y double, xx double, yy double, xy double")
-    one = sums.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "x", "y", "xx", "yy", "xy")])
-    about = lambda ab, a, b: F.col(ab) - F.try_divide(F.col(a) * F.col(b), F.col("n"))
-    vx, vy = about("xx", "x", "x"), about("yy", "y", "y")
-    # what rounding leaves of a constant column is no variance
-    flat = (vx <= F.col("xx") * 1e-14) | (vy <= F.col("yy") * 1e-14)
-    r = F.when(~flat, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.try_divide(about("xy", "x", "y"), F.sqrt(vx) * F.sqrt(vy)))))
     name = lambda c: F.element_at(F.array(*[F.lit(f) for f in features]), F.col(c) + 1)
-    out = one.select(name("i").alias("f1"), name("j").alias("f2"), r.alias("r"))
+    inside = lambda r: F.when(r.isNotNull() & ~F.isnan(r), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
+    if len(features) <= FEW:
+        cells = [number(F.col(f"`{f}`")) for f in features]
+        rows = df.select(*[F.when(F.abs(c) < float("inf"), c).alias(f"c{k}") for k, c in enumerate(cells)])
+        pairs = [(i, j) for i in range(len(features)) for j in range(i + 1, len(features))]
+        spread = lambda a, b: F.sqrt(F.var_pop(F.when(F.col(f"c{b}").isNotNull(), F.col(f"c{a}"))))
+        one = rows.agg(*[F.try_divide(F.covar_pop(f"c{i}", f"c{j}"), spread(i, j) * spread(j, i)).alias(f"r{i}_{j}") for i, j in pairs])
+        each = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"r{i}_{j}").alias("r")) for i, j in pairs]))
+        out = one.select(each.alias("x")).select(name("x.i").alias("f1"), name("x.j").alias("f2"), inside(F.col("x.r")).alias("r"))
+    else:
+        tiles = [range(lo, min(lo + TILE, len(features))) for lo in range(0, len(features), TILE)]
+        one = reduce(DataFrame.unionAll, [_tile(df, features, a, b if b is not a else []) for k, a in enumerate(tiles) for b in tiles[k:]])
+        about = lambda ab, a, b: F.col(ab) - F.try_divide(F.col(a) * F.col(b), F.col("n"))
+        vx, vy = about("xx", "x", "x"), about("yy", "y", "y")
+        # what rounding leaves of a constant column is no variance
+        flat = (vx <= F.col("xx") * 1e-14) | (vy <= F.col("yy") * 1e-14)
+        r = F.when(~flat, inside(F.try_divide(about("xy", "x", "y"), F.sqrt(vx) * F.sqrt(vy))))
+        out = one.select(name("i").alias("f1"), name("j").alias("f2"), r.alias("r"))
     return out if threshold is None else out.filter(F.abs("r") > threshold).orderBy(F.desc(F.abs("r")), "f1", "f2")
 
 

@@ -270,6 +270,20 @@ def test_exact_quantiles(spark, keys, most, monkeypatch):
     assert got == want
 
 
+def test_correlations_of_many_columns(spark, monkeypatch):
+    """Tiles give what one matrix gives."""
+    monkeypatch.setattr(stats, "TILE", 40)
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(60, 90))
+    x[:, 85] = x[:, 3] + rng.normal(size=60) / 10
+    names = [f"c{i}" for i in range(90)]
+    df = spark.createDataFrame([(list(map(float, r)),) for r in x], "v array<double>").repartition(2).select(*[F.get("v", F.lit(i)).alias(n) for i, n in enumerate(names)])
+    got = {(r.f1, r.f2): r.r for r in stats.correlations(df, names, 0.6).collect()}
+    want = np.corrcoef(x.T)
+    i, j = np.nonzero(np.triu(np.abs(want) > 0.6, 1))
+    assert got == pytest.approx({(names[a], names[b]): want[a, b] for a, b in zip(i, j, strict=True)}, abs=1e-9) and ("c3", "c85") in got
+
+
 def test_ranges_by_the_number_of_values(spark, monkeypatch):
     """Ranges ascend with the value and none holds much more than ROWS, whether quantiles or pieces bound them."""
     monkeypatch.setattr(ranks, "ROWS", 100)
@@ -299,7 +313,10 @@ def test_counted_cells(spark):
     assert not stats.counted(df.limit(0), ["x"], ["k"]).collect()
 
 
-def test_correlations_pairwise(spark):
+@pytest.mark.parametrize(("few", "tile"), [(8, 512), (0, 512), (0, 2)])  # single aggregates, one tile, three tiles
+def test_correlations_pairwise(spark, few, tile, monkeypatch):
+    monkeypatch.setattr(stats, "FEW", few)
+    monkeypatch.setattr(stats, "TILE", tile)
     rng = np.random.default_rng(4)
     x = rng.normal(size=(400, 3)) + 1e6
     x[:, 1] += x[:, 0] - 1e6
