@@ -1,9 +1,10 @@
 """Exact ranks and quantiles of keyed values, at any number of distinct values.
 
 Values are first counted, so repeated ones are one row.  Approximate quantiles of the distinct values cut each key's
-values into ranges of about ``ROWS`` of them, as many as their number asks for: up to ``RANGES`` by quantiles, and beyond that each
-of those into even pieces of its span.  Sums over ranges (few rows a key) say which ranges hold the wanted ranks, and only
-those are put in order.  No task holds a key's values, and nothing is broadcast unless Spark finds it small.
+values into ``RANGES`` ranges of about even size, and where these would hold more than ``ROWS`` values each of them into pieces of
+its span, as many as the number of values asks for, on a scale that is logarithmic far from the middle.  Sums over ranges (few
+rows a key) say which ranges hold the wanted ranks, and only those are put in order.  No task holds a key's values, and
+nothing is broadcast unless Spark finds it small.
 """
 
 from __future__ import annotations
@@ -13,10 +14,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Distinct values of a range, the most ranges bounded by quantiles, and the accuracy of these bounds.
-ROWS = 50_000
-RANGES = 512
-ACCURACY = 5000
+#: Ranges that a key's distinct values are cut into, the accuracy of the cuts, and the values from which a range has pieces.
+RANGES = 32
+ACCURACY = 1000
+ROWS = 100_000
+#: Bytes that a distinct value takes at least where there are many; a smaller table has no need of pieces.
+VALUE_BYTES = 4
 
 
 def by_key(left: DataFrame, right: DataFrame, by: Sequence[str], how: str = "inner") -> DataFrame:
@@ -58,19 +61,33 @@ def placed(df: DataFrame, name: str, value: str, edges: str, most: int, strict:
     return out
 
 
+def _may_need_pieces(df: DataFrame) -> bool:
+    """Whether a key might hold more than RANGES * ROWS values, by the size that Spark knows of the table; results are the same."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) > VALUE_BYTES * RANGES * ROWS
+
+
 def ranged(counts: DataFrame, by: Sequence[str], value: str = "value") -> DataFrame:
-    """``counts`` with ``range``: ascending with the value, and about ``ROWS`` rows in each."""
+    """``counts`` with ``range``: ascending with the value, and about as many rows in each."""
     counts = whole(counts, by, value)
-    about = counts.groupBy(*by).agg(F.count("*").alias("__d"), F.percentile_approx(value, [k / RANGES for k in range(RANGES + 1)], ACCURACY).alias("__all"))
-    wanted = F.least(F.lit(RANGES), F.ceil(F.col("__d") / ROWS)).cast("int")
-    cuts = F.when(wanted > 1, F.transform(F.sequence(F.lit(1), wanted - 1), lambda j: F.get("__all", F.floor(j * RANGES / wanted).cast("int")))).otherwise(F.array())
-    about = about.select(*by, cuts.alias("__cuts"), F.ceil(F.col("__d") / (ROWS * RANGES)).alias("__pieces"), F.get("__all", F.lit(0)).alias("__low"), F.get("__all", F.lit(RANGES)).alias("__high"))
-    out = placed(by_key(counts, about, by), "range", value, "__cuts", RANGES - 1, strict=True)
-    low = F.when(F.col("range") == 0, F.col("__low")).otherwise(F.get("__cuts", F.col("range") - 1))
-    high = F.coalesce(F.get("__cuts", F.col("range")), F.col("__high"))
-    part = F.floor(F.coalesce(F.try_divide(F.col(value) - low, high - low), F.lit(0.0)) * F.col("__pieces"))
-    piece = F.when(F.col("__pieces") > 1, F.greatest(F.lit(0), F.least(F.col("__pieces") - 1, part))).otherwise(0)
-    return out.withColumn("range", F.col("range") * F.col("__pieces") + piece).drop("__cuts", "__pieces", "__low", "__high")
+    quantiles_ = F.percentile_approx(value, [k / RANGES for k in range(RANGES + 1)], ACCURACY)
+    if not _may_need_pieces(counts):
+        cuts = counts.groupBy(*by).agg(F.slice(quantiles_, 2, RANGES - 1).alias("__cuts"))
+        return placed(by_key(counts, cuts, by), "range", value, "__cuts", RANGES - 1, strict=True).drop("__cuts")
+    about = counts.groupBy(*by).agg(F.count("*").alias("__d"), quantiles_.alias("__all"))
+    at = lambda k: F.get("__all", F.lit(k))
+    unit = at(RANGES * 5 // 8) - at(RANGES * 3 // 8)
+    about = about.select(*by, F.slice("__all", 2, RANGES - 1).alias("__cuts"), "__all", F.ceil(F.col("__d") / (ROWS * RANGES)).alias("__pieces"), F.when(unit > 0, unit).otherwise(1.0).alias("__unit"))
+    out = placed(by_key(counts, about, by), "__range", value, "__cuts", RANGES - 1, strict=True)
+    scale = lambda v: F.signum(v) * F.log1p(F.abs(v) / F.col("__unit"))
+
+    def piece(r: Column) -> Column:
+        low, high = F.get("__all", r), F.get("__all", r + 1)
+        part = F.floor(F.coalesce(F.try_divide(scale(F.col(value)) - scale(low), scale(high) - scale(low)), F.lit(0.0)) * F.col("__pieces"))
+        return r * F.col("__pieces") + F.greatest(F.lit(0), F.least(F.col("__pieces") - 1, part))
+
+    # one reference to the search: it would be repeated with every other; and a column that cannot be NULL, for the same reason
+    place = F.coalesce(F.get(F.transform(F.array("__range"), piece), F.lit(0)), F.lit(0).cast("long"))
+    return out.withColumn("range", place).drop("__cuts", "__all", "__pieces", "__unit", "__range")
 
 
 def running(parts: DataFrame, by: Sequence[str], sums: Sequence[str]) -> DataFrame:

@@ -253,12 +253,13 @@ def test_sources_and_filters(spark, tmp_path):
     assert hash_sample(n, "id", 10).collect() == hash_sample(n.repartition(7), "id", 10).collect()
 
 
-@pytest.mark.parametrize(("keys", "most"), [([], 7), (["k"], 7), (["k"], 3), ([], 512)])  # few ranges: each has many pieces
-def test_exact_quantiles(spark, keys, most, monkeypatch):
+@pytest.mark.parametrize(("keys", "most", "rows_"), [([], 7, 40), (["k"], 7, 40), (["k"], 3, 100_000), ([], 32, 30)])
+def test_exact_quantiles(spark, keys, most, rows_, monkeypatch):
     rng = np.random.default_rng(3)
     rows = [(int(k), float(v)) for k, v in zip(rng.integers(0, 3, 3000), np.exp(rng.normal(size=3000) * 4).round(2))] + [(9, 1.0), (9, None), (8, None), (7, 1.0), (7, 2.0)]
     monkeypatch.setattr(ranks, "RANGES", most)
-    monkeypatch.setattr(ranks, "ROWS", 40)
+    monkeypatch.setattr(ranks, "ROWS", rows_)
+    monkeypatch.setattr(ranks, "VALUE_BYTES", 0)
     ps = [0, 0.1, 0.25, 0.5, 0.75, 0.999, 1]
     counts = ranks.value_counts(spark.createDataFrame(rows, "k int, v double"), keys, "v")
     got = {(r.k if keys else None): (r.q, r.n) for r in ranks.quantiles(counts, keys, ps, "v").collect()}
@@ -287,13 +288,14 @@ def test_correlations_of_many_columns(spark, monkeypatch):
 def test_ranges_by_the_number_of_values(spark, monkeypatch):
     """Ranges ascend with the value and none holds much more than ROWS, whether quantiles or pieces bound them."""
     monkeypatch.setattr(ranks, "ROWS", 100)
-    for most, n in ((512, 20_000), (8, 20_000), (512, 90)):
+    monkeypatch.setattr(ranks, "VALUE_BYTES", 0)
+    for most, n in ((32, 20_000), (8, 20_000), (32, 900)):
         monkeypatch.setattr(ranks, "RANGES", most)
         counts = ranks.value_counts(spark.range(n).selectExpr("exp(id / 3000D) AS v"), [], "v")
         rows = sorted((r.v, r.range) for r in ranks.ranged(counts, [], "v").collect())
         assert [r for _, r in rows] == sorted(r for _, r in rows) and len(rows) == n
         sizes = np.unique([r for _, r in rows], return_counts=True)[1]
-        assert sizes.max() <= 250 and (n > 100) == (len(sizes) > 1)
+        assert sizes.max() <= 250 and len(sizes) >= min(most, n // 100)
 
 
 def test_counted_cells(spark):
