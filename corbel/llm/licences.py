@@ -40,8 +40,10 @@ TEMPLATES = (
 )
 #: Whole licences, a file each; AGPL 3 is the wording of GPL 3 under its own name.
 TEXTS_DIR = Path(__file__).with_name("licence_texts")
-#: Whole licences of at most so many words also stand in the heads of other files.
-SHORT_WORDS = 600
+#: Passages of the length of a whole licence begin at every so manieth part of that length.
+STRIDES = 8
+#: A passage is looked at closely if its cosine is at most so far below the wanted one: it may begin up to half a stride off.
+SLACK = 0.1
 #: A line or file is a licence when its best cosine reaches this.
 COSINE = 0.75
 LICENCE_NAMES = r"(?i)^(licen[cs]e|copying|notice)([.-].*)?$"
@@ -85,6 +87,24 @@ class _Index:
         at = np.minimum(np.searchsorted(self.terms, hashes), len(self.terms) - 1)
         return np.where(self.terms[at] == hashes, at, -1)
 
+    def held(self, slots: np.ndarray) -> np.ndarray:
+        """For each template the greatest cosine that any part of these words can have with it.
+
+        A part's vector has no more terms than the whole, so by Cauchy's inequality its product with the template's unit
+        vector is at most its length times that of the unit vector on those terms.
+        """
+        there = np.zeros(len(self.terms), bool)
+        there[slots[slots >= 0]] = True
+        return np.sqrt((self.unit[:, there] ** 2).sum(1))
+
+    def cosine(self, hashes: np.ndarray, slots: np.ndarray, k: int) -> float:
+        """The cosine of words with template ``k``."""
+        known = slots >= 0
+        weighed = np.bincount(slots[known], minlength=len(self.terms)) * self.idf
+        other = np.unique(hashes[~known], return_counts=True)[1]
+        norm = np.sqrt((weighed**2).sum() + ((other * self.unseen) ** 2).sum())
+        return float(self.unit[k] @ weighed / max(norm, 1e-12))
+
     def best(self, hashes: np.ndarray, slots: np.ndarray) -> tuple[float, int]:
         """The greatest cosine and its template, for the words of one line or file."""
         known = slots >= 0
@@ -145,12 +165,45 @@ def _runs(ends: np.ndarray, reach: _Reach, most: int) -> Iterator[tuple[int, int
             yield x[i], y[i]
 
 
+def _passages(whole: _Index, hashes: np.ndarray, slots: np.ndarray, ends: np.ndarray, least: float) -> list[tuple[float, int, int, int]]:
+    """(cosine, licence, first word, end) of passages of a file that are whole licences.
+
+    For each licence that the file's words could hold, passages of its length are compared at fixed strides.  Around those that
+    come near, first and last words move to starts and ends of lines, an end at a time, as long as the cosine grows.
+    """
+    found = []
+    for k in np.flatnonzero(whole.held(slots) >= least - SLACK):
+        size = int(whole.words[k])
+        step = max(1, size // STRIDES)
+        near = []
+        for x in range(0, max(1, len(hashes) - size + step), step):
+            y = min(len(hashes), x + size)
+            cos = whole.cosine(hashes[x:y], slots[x:y], k)
+            if cos >= least - SLACK:
+                near.append((cos, x, y))
+        for cos, x, y in sorted(near, reverse=True):
+            if any(x < q and p < y for _, j, p, q in found if j == k):  # another start of the same one
+                continue
+            for _ in range(3):
+                was = (x, y)
+                for q in ends[(ends > x) & (np.abs(ends - y) <= step)]:
+                    cos, y = max((cos, y), (whole.cosine(hashes[x:q], slots[x:q], k), int(q)))
+                for p in ends[(ends < y) & (np.abs(ends - x) <= step)]:
+                    cos, x = max((cos, x), (whole.cosine(hashes[p:y], slots[p:y], k), int(p)))
+                if was == (x, y):
+                    break
+            if cos >= least:
+                found.append((cos, k, x, y))
+    return found
+
+
 def _detect(shared, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, whole, brief = shared.value
-        most, longest = 2 * index.words.max(initial=0), 2 * brief.words.max(initial=0)
+        index, whole = shared.value
+        most = 2 * index.words.max(initial=0)
         for batch in batches:
             found, score, kind = [None] * batch.num_rows, [0.0] * batch.num_rows, [None] * batch.num_rows
+            every: list[str | None] = [None] * batch.num_rows
             for lo, hi, part, cuts, split, starts, _, hashes in words_by_block(batch.column("text"), ALNUM_WORDS):
                 slot, slot_w = index.slots(hashes), whole.slots(hashes)
                 newline = np.cumsum(part == 10) if len(part) else np.zeros(0, np.int64)
@@ -160,66 +213,72 @@ def _detect(shared, least: float):
                     a, b = split[r], split[r + 1]
                     if a == b:
                         continue
+                    ends = np.r_[a, np.flatnonzero(np.diff(line[a:b])) + a + 1, b]
+                    hits = []  # whole licences: the file, and passages of it
                     if reach_w(a, b):
                         cos, k = whole.best(hashes[a:b], slot_w[a:b])
-                        if cos >= least:  # the file is the licence; its lines say less
-                            score[lo + r], found[lo + r], kind[lo + r] = cos, whole.names[k], "file"
-                            continue
-                    ends = np.r_[a, np.flatnonzero(np.diff(line[a:b])) + a + 1, b]
+                        if cos >= least:
+                            hits.append((cos, -k, a, b, "file"))
+                    hits += [(cos, -k, x + a, y + a, "passage") for cos, k, x, y in _passages(whole, hashes[a:b], slot_w[a:b], ends - a, least)]
+                    said = []  # (cosine, name, first word, end, kind): the best ones that do not overlap
+                    for cos, k, x, y, what in sorted(hits, reverse=True):
+                        if all(y <= p or q <= x for _, _, p, q, _ in said):
+                            said.append((cos, whole.names[-k], x, y, what))
                     units = [(x, y, "header") for x, y in _runs(ends, reach, most)]
                     if reach(a, b):
                         units.append((a, b, "file"))
-                    best, at = (0.0, 0, None), a
-                    for x, y, what in units:
+                    lines = []
+                    for n, (x, y, what) in enumerate(units):
                         cos, k = index.best(hashes[x:y], slot[x:y])
-                        if cos > best[0]:
-                            best, at = (cos, k, what), x
-                    if best[0] >= least:
-                        score[lo + r], found[lo + r], kind[lo + r] = best[0], index.names[best[1]], best[2]
-                        # several licences begin alike: a whole one from here on says which
-                        slot_b = brief.slots(hashes[at : min(b, at + longest)])
-                        on = [(brief.best(hashes[at:y], slot_b[: y - at]), y) for y in ends if at < y <= at + longest]
-                        if on and (top := max(on))[0][0] >= least:
-                            score[lo + r], found[lo + r], kind[lo + r] = top[0][0], brief.names[top[0][1]], best[2]
-            cols = [batch.column("given"), batch.column("path"), pa.array(found, pa.string()), pa.array(score, pa.float64()), pa.array(kind, pa.string())]
-            yield pa.RecordBatch.from_arrays(cols, names=["given", "path", "licence", "cosine", "via"])
+                        if cos >= least:
+                            lines.append((-cos, n, k, x, y, what))
+                    for cos, _, k, x, y, what in sorted(lines):  # lines inside a whole licence say less
+                        if all(y <= p or q <= x for _, _, p, q, _ in said):
+                            said.append((-cos, index.names[k], x, y, what))
+                    if said:
+                        score[lo + r], found[lo + r], _, _, kind[lo + r] = said[0]
+                        every[lo + r] = ",".join(dict.fromkeys(name for _, name, *_ in sorted(said, key=lambda s: s[2])))
+            cols = [batch.column("given"), batch.column("path"), pa.array(found, pa.string()), pa.array(every, pa.string()), pa.array(score, pa.float64()), pa.array(kind, pa.string())]
+            yield pa.RecordBatch.from_arrays(cols, names=["given", "path", "licence", "licences", "cosine", "via"])
 
     return run
 
 
 def scan_licences(files: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, least: float = COSINE, ws: Workspace | None = None, texts: tuple[tuple[str, str], ...] | None = None) -> DataFrame:
-    """``files(path, text, ...)`` -> ``path``, the key columns given besides ``text``, licence, cosine, via, inherited_from.
-
-    The whole of each file, whatever its length, is compared with ``texts`` (whole licences, by default those of
-    ``TEXTS_DIR``).  If none matches, its lines, its runs of neighbouring lines (up to twice as long as the longest
-    template) and its whole are compared with ``templates``, and what follows a match with the shorter ``texts``; fewer than
-    two words that templates know are no match, and of equal cosines the first template and place stand.  The
-    measure is the TF-IDF cosine: terms are runs of letters and digits (A-Z folded), a term's weight its count times
-    ln((1 + N) / (1 + df)) + 1 with document counts over all files, 0 for words no template has.  ``via`` is header or
-    file.  A file without a licence of its own inherits that of the nearest directory above it (its own first) that
-    holds a licence file: one named LICENSE, COPYING or NOTICE with a match; of several, the least path.  Then ``via``
-    is inherited and ``inherited_from`` that directory.  A null or empty text has no licence but may inherit; a null
-    path inherits nothing; repeated rows are answered each.
+    """``files(path, text, ...)`` -> ``path``, the key columns given besides ``text``, licence, licences, cosine, via, inherited_from.
+
+    Each file is compared with ``texts`` (whole licences, by default those of ``TEXTS_DIR``): the whole of it, whatever its
+    length, and its passages (``_passages``), so a licence is found inside a longer file.  Its lines, its runs of neighbouring
+    lines (those of up to twice the words of the longest template) and its whole are compared with ``templates``; fewer than two words
+    that templates know are no match.  The measure is the TF-IDF cosine: terms are runs of letters and digits (A-Z folded), a
+    term's weight its count times ln((1 + N) / (1 + df)) + 1 with document counts over all files, 0 for words no template has.
+
+    Of matches that overlap the one with the greatest cosine counts, whole licences before lines; of equal cosines the first
+    template, then the first place.  ``licences`` names all that are left, in the order of their places, joined by commas; ``licence``
+    is the best of them, with its cosine; ``via`` is file, passage or header.  A file without a licence of its own inherits those of
+    the nearest directory above it (its own first) that holds a licence file: one named LICENSE, COPYING or NOTICE with a match;
+    of several, the least path.  Then ``via`` is inherited and ``inherited_from`` that directory.  A null or empty text has no
+    licence but may inherit; a null path inherits nothing; repeated rows are answered each.
     """
     spark = files.sparkSession
     ws = ws or Workspace(spark, "licences")
     texts = licence_texts() if texts is None else texts
     every = _Index([*templates, *texts])
-    index, whole, brief = _Index(list(templates)), _Index(list(texts)), _Index([t for t in texts if len(t[1].split()) <= SHORT_WORDS])
+    index, whole = _Index(list(templates)), _Index(list(texts))
     counts = files.select("text").mapInArrow(_term_counts(every), "term int, df long").groupBy("term").agg(F.sum("df").alias("df")).collect()  # a row for each term
     df = {r.term: r.df for r in counts}
-    for x in (index, whole, brief):
+    for x in (index, whole):
         x.weigh(np.array([df.get(k, 0) for k in every.slots(x.terms).tolist()], float), df.get(-1, 0))
-    names = [c for c in files.columns if c not in ("text", "licence", "cosine", "via", "inherited_from")]
+    names = [c for c in files.columns if c not in ("text", "licence", "licences", "cosine", "via", "inherited_from")]
     # the columns given travel as one, so that none clashes with those made here
     given = files.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("given"), "path", "text")
-    shared = spark.sparkContext.broadcast((index, whole, brief))
-    schema = T.StructType([given.schema["given"], given.schema["path"], T.StructField("licence", T.StringType()), T.StructField("cosine", T.DoubleType()), T.StructField("via", T.StringType())])
+    shared = spark.sparkContext.broadcast((index, whole))
+    schema = T.StructType([given.schema["given"], given.schema["path"], T.StructField("licence", T.StringType()), T.StructField("licences", T.StringType()), T.StructField("cosine", T.DoubleType()), T.StructField("via", T.StringType())])
     own = given.mapInArrow(_detect(shared, least), schema)
     own = ws.save(own.withColumn("dir", F.regexp_replace("path", "/?[^/]*$", "")), "own")
 
     named = own.filter(F.col("licence").isNotNull() & F.element_at(F.split("path", "/"), -1).rlike(LICENCE_NAMES))
-    held = ws.save(named.groupBy(F.col("dir").alias("above")).agg(F.min_by("licence", F.struct("path", "licence")).alias("up_licence")), "held")
+    held = ws.save(named.groupBy(F.col("dir").alias("above")).agg(F.min_by(F.struct("licence", "licences"), F.struct("path", "licence")).alias("up_licence")), "held")
     dirs = own.filter("licence is null and path is not null").select("dir").distinct()
     steps = F.split("dir", "/")
     above = dirs.select("dir", F.explode(F.transform(F.sequence(F.lit(0), F.size(steps)), lambda k: F.array_join(F.slice(steps, 1, k), "/"))).alias("above")).distinct()
@@ -230,6 +289,6 @@ def scan_licences(files: DataFrame, templates: tuple[tuple[str, str], ...] = TEM
     out = own.join(near_, "dir", "left")
     heir = F.col("licence").isNull() & F.col("up_licence").isNotNull()
     return out.select(
-        *[F.col(f"given.`{c}`").alias(c) for c in names], F.when(heir, F.col("up_licence")).otherwise(F.col("licence")).alias("licence"), "cosine",
+        *[F.col(f"given.`{c}`").alias(c) for c in names], *[F.when(heir, F.col(f"up_licence.{c}")).otherwise(F.col(c)).alias(c) for c in ("licence", "licences")], "cosine",
         F.when(heir, F.lit("inherited")).otherwise(F.col("via")).alias("via"), F.when(heir, F.col("above")).alias("inherited_from"),
     )

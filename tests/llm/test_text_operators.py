@@ -355,6 +355,34 @@ def test_whole_licences_and_wrapped_notices(spark):
     assert got == {p: k for p, _, k in rows}
 
 
+def test_licences_inside_longer_files(spark):
+    """Each whole licence is found between 700 other lines on both sides, wrapped as it is or anew, and both of a joined file."""
+    text = dict(licences.licence_texts())
+    rng = random.Random(5)
+    words = [f"{a}{b}{c}" for a in ("ka", "lo", "mi", "ru") for b in ("ten", "bas", "dor") for c in ("a", "us", "ik")] + ["the", "of", "and", "this", "that", "is"]
+    other = lambda n: "\n".join(" ".join(rng.choices(words, k=9)) for _ in range(n))
+    wrap = lambda t: "\n".join(" ".join(t.split()[k : k + 11]) for k in range(0, len(t.split()), 11))
+    rows = [(f"in/{k}", f"{other(700)}\n{t}\n{other(700)}", k) for k, t in text.items()] + [(f"wrapped/{k}", f"{other(rng.randrange(700))}\n{wrap(t)}\n{other(700)}", k) for k, t in text.items()]
+    rows += [(f"two/{a}+{b}", f"{text[a]}\n{other(gap)}\n{text[b]}", f"{a},{b}") for a, b in (("ISC", "MIT"), ("Apache-2.0", "MIT"), ("BSD-2-Clause", "BSD-3-Clause"), ("LGPL-3.0", "GPL-3.0"), ("CC0-1.0", "CC0-1.0")) for gap in (0, 40)]
+    rows = [(p, t, ",".join(dict.fromkeys(w.split(",")))) for p, t, w in rows] + [(f"none/{k}", other(60), None) for k in range(20)]
+    rows += [("line", f"{other(30)}\nReleased under the MIT License.\n{other(200)}\n{text['ISC']}", "MIT,ISC")]
+    got = {r.path: (r.licences, r.licence) for r in licences.scan_licences(spark.createDataFrame([r[:2] for r in rows], "path string, text string").repartition(4)).collect()}
+    assert {p: x for p, (x, _) in got.items()} == {p: w for p, _, w in rows}
+    assert all((one is None) == (many is None) and (one is None or one in many.split(",")) for many, one in got.values())
+
+
+def test_passages_of_a_licence_are_pruned_by_a_proved_bound():
+    """No part of a text has a greater cosine than ``held`` says."""
+    rng = np.random.default_rng(3)
+    index = licences._Index([("A", "a b c d e f g h"), ("B", "a a a x y"), ("C", "z")])
+    index.weigh(rng.integers(0, 50, len(index.terms)).astype(float), 60)
+    for _ in range(200):
+        slots = rng.integers(-1, len(index.terms), 12)
+        hashes = rng.integers(0, 5, 12).astype(np.uint64)
+        x, y = sorted(rng.choice(13, 2, replace=False))
+        assert all(index.cosine(hashes[x:y], slots[x:y], k) <= index.held(slots)[k] + 1e-12 for k in range(3))
+
+
 def test_licence_cosines_match_brute_force(spark):
     """Every run of lines of every file against every template, without pruning."""
     rng = random.Random(13)
