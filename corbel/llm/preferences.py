@@ -59,12 +59,13 @@ def degraded(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     The twin of conv_id has the number -1 - conv_id, or where ids go down to a negative n, 2 n - 1 - conv_id, so none is taken.
     It repeats the conversation, except that its last assistant turn repeats the assistant's first, or refuses where there is
-    only one.  All conversations with an assistant's turn take part; turns without an id have no twin; an empty table has none.
+    only one.  Of turns that share a number the least text is the first, and all that have the last number are replaced; turns
+    without a number stay as they are.  All conversations with an assistant's turn take part; turns without an id have no twin; an empty table has none.
     """
     lowest = min(0, turns.agg(F.min("conv_id").alias("id")).first().id or 0)
     twin_id = F.lit(2 * lowest - 1) - F.col("conv_id")
     said = turns.filter("role = 'assistant' and conv_id is not null")
-    ends = said.groupBy("conv_id").agg(F.max("turn").alias("last"), F.min_by("text", "turn").alias("first_text"), F.min("turn").alias("first"))
+    ends = said.groupBy("conv_id").agg(F.max("turn").alias("last"), F.min_by("text", F.struct("turn", F.coalesce("text", F.lit("")))).alias("first_text"), F.min("turn").alias("first"))
     twin = turns.join(ends, "conv_id")
     worse = F.when((F.col("turn") == F.col("last")) & (F.col("role") == "assistant"), F.when(F.col("first") < F.col("last"), F.col("first_text")).otherwise(F.lit("I cannot help with that."))).otherwise(F.col("text"))
     twin = twin.select(twin_id.alias("conv_id"), "turn", "role", worse.alias("text"))
@@ -73,8 +74,13 @@ def degraded(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def siblings(turns: DataFrame) -> DataFrame:
-    """Pairs of conversations that open alike: the least of each such group is chosen over every other one."""
-    least = turns.groupBy("conv_id").agg(F.min("turn").alias("turn"))
-    opening = turns.join(least, ["conv_id", "turn"]).select("conv_id", F.md5(F.concat_ws("\n", "role", "text")).alias("opening")).distinct()
-    first = opening.groupBy("opening").agg(F.min("conv_id").alias("chosen_id"))
-    return opening.join(first, "opening").filter("conv_id > chosen_id").select("chosen_id", F.col("conv_id").alias("rejected_id")).distinct()
+    """Pairs of conversations that open alike: the least of each such group is chosen over every other one.
+
+    A conversation opens with the first of its turns by number, role and text, as ``format_preferences`` orders them: one opening,
+    however many turns share the first number.  Null numbers, roles and texts come first, and the last two count as empty.
+    """
+    empty = lambda c: F.coalesce(c, F.lit(""))
+    first = turns.groupBy("conv_id").agg(F.min(F.struct("turn", empty("role").alias("role"), empty("text").alias("text"))).alias("t"))
+    opening = first.select("conv_id", F.md5(F.concat_ws("\n", "t.role", "t.text")).alias("opening"))
+    least = opening.groupBy("opening").agg(F.min("conv_id").alias("chosen_id"))
+    return opening.join(least, "opening").filter("conv_id > chosen_id").select("chosen_id", F.col("conv_id").alias("rejected_id"))

@@ -617,6 +617,17 @@ def test_training_texts_of_a_corpus_that_is_mostly_one_text(spark):
 # --- preferences ---------------------------------------------------------------------------------------------------
 
 
+def test_turns_of_one_number(spark):
+    """Several first or last turns give one opening and one twin, whatever the order of rows."""
+    rows = [(1, 0, "user", "b"), (1, 0, "user", "a"), (1, 1, "assistant", "y"), (1, 1, "assistant", "x"), (1, 2, "assistant", "end"), (1, 2, "assistant", "last"), (2, 0, "user", "a"), (2, 1, "assistant", "z"), (3, 0, "user", "b"), (4, 0, None, None), (5, 0, "", "")]
+    for seed in range(3):
+        random.Random(seed).shuffle(rows)
+        df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+        assert sorted(map(tuple, preferences.siblings(df).collect())) == [(1, 2), (4, 5)]
+        both, _ = preferences.degraded(df)
+        assert sorted((r.turn, r.text) for r in both.filter("conv_id = -2").collect()) == [(0, "a"), (0, "b"), (1, "x"), (1, "y"), (2, "x"), (2, "x")]
+
+
 def test_preferences(spark):
     turns = [(1, 0, "user", "hi"), (1, 1, "assistant", "hello"), (1, 2, "user", "q"), (1, 3, "assistant", "good"), (2, 0, "user", "hi"), (2, 1, "assistant", "hello"), (2, 2, "user", "q"), (2, 3, "assistant", "bad é"), (2, 4, "user", None), (None, 0, "user", "x"), (3, 0, None, "hi")]
     df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumn("prompt", F.lit("clash"))
