@@ -15,14 +15,14 @@ from pyspark.sql import functions as F
 from corbel.functions.expressions import bin_index, derive, without_sentinels
 from corbel.operators import metrics, sketches, stats
 from corbel.operators.binning import BinModel, ChiMergeBinner
-from corbel.operators.cleaning import FeatureCleaner
+from corbel.operators.cleaning import CleanModel, FeatureCleaner
 from corbel.operators.encoding import BinnerWoeEncoder, WoeEncoder, WoeModel
 from corbel.operators.filters import TimeWindow, hash_sample, with_gray, with_month
 from corbel.operators.scaling import LogitScale, pdo_scale
-from corbel.operators.selection import CorrelationSelector, IVSelector, PSISelector
+from corbel.operators.selection import CorrelationSelector, IVSelector, PSISelector, SelectModel
 from corbel.plans.experiment import average_ranks, top_features
 from corbel.plans.growth import LeafwiseClassifier
-from corbel.plans.pipeline import FeatureDerivation, Pipeline
+from corbel.plans.pipeline import DeriveModel, FeatureDerivation, Pipeline, PipelineModel, add_risk_score
 from corbel.plans.report import binned_counts, compare_labels, compare_scores
 from corbel.plans.trees import BoostedClassifier, from_lightgbm_dump, literal_trees
 from corbel.sources.loans import preprocess, select_features, with_target
@@ -221,6 +221,61 @@ def iv_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(spark.createDataFrame([(f, v, f in model.kept) for f, v in model.values.items()], "feature string, iv double, kept boolean"), 9)
 
 
+MERGED = ["l_linenumber", "l_discount", "l_tax"]
+#: The statistic of the neighbours i and i + 1 of lists of upper bounds, bad rows and rows.
+_CHI = """list_transform(range(1, len(us)), lambda i: list_sum(list_transform([
+        {'o': ps[i], 'e': ns[i] * (ps[i] + ps[i + 1]) / (ns[i] + ns[i + 1])}, {'o': ns[i] - ps[i], 'e': ns[i] * (1 - (ps[i] + ps[i + 1]) / (ns[i] + ns[i + 1]))},
+        {'o': ps[i + 1], 'e': ns[i + 1] * (ps[i] + ps[i + 1]) / (ns[i] + ns[i + 1])}, {'o': ns[i + 1] - ps[i + 1], 'e': ns[i + 1] * (1 - (ps[i] + ps[i + 1]) / (ns[i] + ns[i + 1]))}
+    ], lambda x: CASE WHEN x.e > 0 THEN power(x.o - x.e, 2) / x.e ELSE 0 END)))"""
+
+
+@query(f"""WITH RECURSIVE {TX}, v AS (
+    SELECT feature, value, sum(bad) AS p, count(*)::DOUBLE AS n FROM ({unpivoted(MERGED, 'bad')}) GROUP BY 1, 2
+), o AS (
+    SELECT *, lead(value) OVER w AS up, row_number() OVER w AS k, count(*) OVER (PARTITION BY feature) AS most FROM v WINDOW w AS (PARTITION BY feature ORDER BY value)
+), b AS (  -- each value up to the next one is a bin, and the last value belongs to the last bin
+    SELECT feature, least(k, most - 1) AS k, max(coalesce(up, value)) AS u, sum(p)::DOUBLE AS p, sum(n) AS n FROM o GROUP BY 1, 2
+), m AS (
+    SELECT feature, list(u ORDER BY k) AS us, list(p ORDER BY k) AS ps, list(n ORDER BY k) AS ns FROM b GROUP BY 1
+    UNION ALL
+    SELECT feature, us[1:j - 1] || us[j + 1:], ps[1:j - 1] || [ps[j] + ps[j + 1]] || ps[j + 2:], ns[1:j - 1] || [ns[j] + ns[j + 1]] || ns[j + 2:]
+    FROM (SELECT feature, us, ps, ns, list_min(chi) AS least, list_position(chi, list_min(chi)) AS j FROM (SELECT *, {_CHI} AS chi FROM m WHERE len(us) > 2))
+    WHERE len(us) > 4 OR least < 2.705543454095404
+), last AS (
+    SELECT feature, us FROM m QUALIFY row_number() OVER (PARTITION BY feature ORDER BY len(us)) = 1
+)
+SELECT feature, CAST(i - 1 AS INTEGER) AS bin, us[i] AS upper FROM last, unnest(range(1, len(us))) AS t(i)""")
+def chimerge_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges of chi-square bins of features with few values, merged step by step."""
+    model = ChiMergeBinner(max_bins=4).fit(transactions(spark, sf_dir), "bad", MERGED)
+    return spark.createDataFrame([(f, b, float(e)) for f in MERGED for b, e in enumerate(model.edges[f][1:-1])], "feature string, bin int, upper double")
+
+
+#: A specification: derive, clean, bin and encode, drop, score on a scale.
+SPEC = PipelineModel(
+    (
+        DeriveModel((("load", "l_tax * 100 + l_linenumber"),)),
+        CleanModel((-999.0,), {"l_discount": "missing"}, {"q": 20.0}, {"p": (2000.0, 80000.0)}),
+        WoeModel({"q": {0.0: -0.3, 1.0: 0.1, 2.0: 0.45}, "p": {0.0: 0.2, 1.0: -0.15}}, {"q": 0.1, "p": 0.02}, BinModel({"q": [None, 10.0, 30.0, None], "p": [None, 40000.0, None]})),
+        SelectModel(["q", "p", "load"], {"l_tax": "low_iv"}),
+        literal_trees([{"feature": "q", "threshold": 0.1, "left": {"feature": "load", "threshold": 6.5, "left": -0.4, "right": 0.05}, "right": 0.3}, {"feature": "p", "threshold": 0.0, "left": -0.1, "right": 0.2, "missing_left": True}], ["q", "p", "load"], scale=LogitScale(offset=600.0, factor=40.0)),
+    ),
+    ("q", "p", "l_tax", "l_linenumber", "l_discount"),
+)
+
+
+@query(f"""WITH {HOLED}, c AS (
+    SELECT l_orderkey, l_linenumber, l_tax * 100 + l_linenumber AS load, CASE WHEN q = -999 THEN 20 ELSE q END AS q, CASE WHEN p IS NOT NULL THEN least(greatest(p, 2000), 80000) END AS p FROM h
+), w AS (
+    SELECT *, CASE WHEN q <= 10 THEN -0.3 WHEN q <= 30 THEN 0.1 ELSE 0.45 END AS wq, CASE WHEN p <= 40000 THEN 0.2 WHEN p IS NOT NULL THEN -0.15 END AS wp FROM c
+)
+SELECT l_orderkey, l_linenumber, round(600 - 40 * (CASE WHEN wq <= 0.1 THEN CASE WHEN load <= 6.5 THEN -0.4 ELSE 0.05 END ELSE 0.3 END + CASE WHEN coalesce(wp, -1) <= 0 THEN -0.1 ELSE 0.2 END), 6) + 0.0::DOUBLE AS risk_score FROM w""")
+def specification_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of a written specification, read back from its JSON: every kind of step."""
+    df = holed(spark, sf_dir).select(*ID, "q", "p", "l_tax", "l_discount")
+    return rounded(add_risk_score(df, SPEC.to_json()).select(*ID, "risk_score"))
+
+
 @query(f"WITH {TX}, b AS (SELECT *, CASE WHEN l_quantity <= 10 THEN 0 WHEN l_quantity <= 20 THEN 1 WHEN l_quantity <= 30 THEN 2 WHEN l_quantity <= 40 THEN 3 ELSE 4 END AS qb FROM tx), {woe_sql(['qb'], 'b')} SELECT l_orderkey, l_linenumber, round(woe, 6) + 0.0::DOUBLE AS l_quantity FROM b JOIN woe ON value = qb")
 def woe_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = transactions(spark, sf_dir).select(*ID, "bad", "l_quantity")
