@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -14,12 +15,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corbel.llm.boosting import BoostedTrees, platt, sigmoid
+from corbel.llm.pii_examples import look_alike, passages, respelt
 from corbel.llm.wordhash import release_memory
 from corbel.workspace import Workspace
 
 KINDS = ("email", "ip", "card", "phone")
 #: The classifier is fitted on about so many candidates, those with the least hashes of the whole corpus.
 TRAIN_ROWS = 20_000
+#: Written passages of each kind that it is fitted on besides.
+PASSAGES = 1_500
 #: An added span needs a calibrated probability at which held-out precision reached this, and at least FLOOR.
 PRECISION, FLOOR = 0.99, 0.9
 
@@ -78,18 +82,37 @@ def base_spans(text: str) -> list[Span]:
 
 # --- candidates and features -------------------------------------------------------------------------------------
 
-_NUMBER = re.compile(r"(?<![0-9])[+(]?[0-9](?:[\x20().-]{0,2}[0-9]){6,}")
-_QUAD = re.compile(r"(?<![0-9])[0-9]{1,3}(?:\x20?[.,]\x20?[0-9]{1,3}){3}(?![0-9])")
-_SPELT = re.compile(r"(?<![\w.%+-])[\w.%+-]++(?:\x20?[(\[]at[)\]]\x20?|\x20at\x20|\x20?@\x20?)[\w-]++(?:(?:\x20?[(\[]dot[)\]]\x20?|\x20dot\x20|\.)[\w-]++)+", re.I)
+_NUMBER = re.compile(r"(?<![0-9])[+(]?[0-9](?:[\x20()./_-]{0,3}[0-9]){6,}")
+_QUAD = re.compile(r"(?<![0-9])[0-9]{1,3}(?:(?:\x20?[.,]\x20?|\x20?[(\[{](?:\.|dot)[)\]}]\x20?|\x20dot\x20)[0-9]{1,3}){3}(?![0-9])", re.I)
+_DOT = r"(?:\x20?[(\[{<](?:dot|\.)[)\]}>]\x20?|\x20dot\x20|\x20\.\x20|\.)"
+_AT = re.compile(r"\x20?(?:[(\[{<]at[)\]}>]|@)\x20?|\x20at\x20", re.I)
+_HOST = re.compile(r"[\w-]++(?:" + _DOT + r"[\w-]++)+", re.I)
+_PART = re.compile(r"[\w.%+-]")
 #: Words that stand before personal data.
 _HINTS = {"email": ("mail", "contact", "write"), "ip": ("ip", "host", "server", "address"), "card": ("card", "visa", "credit", "pay"), "phone": ("phone", "tel", "call", "fax", "mobile", "whatsapp")}
 
 
+def _spelt(text: str) -> Iterator[tuple[int, int]]:
+    """Names, an @ in whatever spelling, and a host; also ``first dot last at``."""
+
+    def walk(at: int) -> int:
+        while at > 0 and _PART.match(text, at - 1):
+            at -= 1
+        return at
+
+    done = 0
+    for m in _AT.finditer(text):
+        if m.start() >= done and (host := _HOST.match(text, m.end())) and (start := walk(m.start())) < m.start():
+            if text[max(0, start - 5) : start].lower() == " dot ":
+                first = walk(start - 5)
+                start = first if first < start - 5 else start
+            yield start, host.end()
+            done = host.end()
+
+
 def candidates(text: str) -> list[Span]:
     """Overlapping spans of any kind that may be personal data, beyond precision."""
-    found: set[Span] = set()
-    if "@" in text or re.search(r"\bat\b", text, re.I) and re.search(r"\bdot\b", text, re.I):
-        found |= {("email", *m.span()) for m in _SPELT.finditer(text)}
+    found: set[Span] = {("email", *x) for x in _spelt(text)}
     if _DIGIT.search(text):
         found |= {("ip", *m.span()) for m in _QUAD.finditer(text)}
         for m in _NUMBER.finditer(text):
@@ -102,6 +125,12 @@ def candidates(text: str) -> list[Span]:
     return sorted(found)
 
 
+#: Common ends of host names; words or signs before a number of another sort; dates and decimals.
+_TOPS = frozenset("com org net edu gov info io eu uk de fr es it nl ch at be pl se no fi dk pt ru cn jp br in us ca au".split())
+_OTHER = re.compile(r"(?:\b(?:order|invoice|item|isbn|version|build|rev|id|no|nr|part|serial|ref|section|score|costs|about|values|between|on)\W{0,3}|[$€£#=%])$", re.I)
+_DATED = re.compile(r"(?:19|20)[0-9]{2}[./-][0-9]{1,2}[./-][0-9]{1,2}|[0-9]{1,2}[./-][0-9]{1,2}[./-](?:19|20)[0-9]{2}|[0-9]+\.[0-9]+$")
+
+
 def features(text: str, span: Span) -> list[float]:
     """Format of the span and context around it."""
     kind, a, b = span
@@ -109,83 +138,55 @@ def features(text: str, span: Span) -> list[float]:
     digits = re.sub("[^0-9]", "", s)
     groups = re.findall("[0-9]+", s)
     sizes = [len(g) for g in groups] or [0]
-    host = re.split(r"@|\bat\b", s, flags=re.I)[-1]
+    gaps = [g for g in re.split("[0-9]+", s)[1:-1] if g]
+    local, _, host = re.sub(r"[(\[{<]at[)\]}>]|@|\bat\b", "\0", s, count=1, flags=re.I).partition("\0")
+    labels = [x for x in re.split(r"[\x20.()\[\]{}<>]+|\bdot\b", host, flags=re.I) if x and x.lower() != "dot"]
+    top = labels[-1].lower() if labels else ""
     return [
         float(KINDS.index(kind)), len(s), len(digits), len(groups), max(sizes), min(sizes), float(s[:1] == "+"), float("(" in s),
         s.count("."), s.count("-"), s.count(" "), float(bool(digits) and luhn(digits)), float(all(len(g) <= 3 and int(g) <= 255 for g in groups)),
-        float("@" in s), float(len(re.split(r"\.|\bdot\b", host, flags=re.I))), sum(c.isalpha() for c in s) / max(1, len(s)),
-        float(any(h in before for h in _HINTS[kind])), float(before[-1:].isalnum()), float(after.isalnum()), float(before[-1:] in "$€£#=\"'"),
-        float(after in "%\"'" and after != ""), float(len(set(digits))),
+        float("@" in s), float(len(labels)), sum(c.isalpha() for c in s) / max(1, len(s)),
+        float(any(h in before for h in _HINTS[kind])), float(before[-1:].isalnum()), float(after.isalnum()), float(before[-1:] in "$€£#=\"'" and before != ""),
+        float(after in "%\"'" and after != ""), float(len(set(digits))), float(top in _TOPS), float(len(top)), float(bool(re.search(r"[0-9._+-]", local))),
+        float(bool(re.search(r"[(\[{<](?:at|dot|\.)[)\]}>]", s, re.I))), float(bool(re.search(r"\bdot\b", s, re.I))), float(sizes[0]), float(sizes[1] if len(sizes) > 1 else 0), float(sizes[-1]),
+        float(len(set(gaps))), s.count(","), s.count("/"), float(digits[:1] or -1), float(digits[:2] == "00"), float(bool(_DATED.match(s))), float(bool(_OTHER.search(before))),
+        float(labels[0].lower() == "www") if labels else 0.0,
     ]
 
 
-def _variants(text: str, span: Span) -> list[tuple[str, Span, int]]:
-    """Other spellings of a base span (label 1) and spoilt ones (label 0)."""
+def _respelt(text: str, span: Span) -> Iterator[tuple[str, Span, int]]:
+    """The place of a base span with other values set into it: respelt ones (label 1) and look-alikes (label 0)."""
     kind, a, b = span
-    s, left, right = text[a:b], text[max(0, a - 40) : a], text[b : b + 10]
-    good, bad = [], []
-    if kind == "email":
-        good = [s.replace("@", " at ").replace(".", " dot "), s.replace("@", " (at) ").replace(".", " (dot) ")]
-        bad = [s.replace("@", " at ")]
-    elif kind == "phone":
-        good = [s[1:], s.replace(" ", "-"), s[1:].replace(" ", ".")]
-        digits = re.sub("[^0-9]", "", s)
-        return [(f"{left}{x}{right}", (kind, len(left), len(left) + len(x)), 1) for x in good] + [(f"{lead}{digits}{right}", (kind, len(lead), len(lead) + len(digits)), 0) for lead in ("order no ", "costs $")]
-    elif kind == "ip":
-        good = [s.replace(".", " . ")]
-        bad = [s.replace(".", ", "), "9" + s]
-    else:
-        good = [".".join(re.findall("[0-9]{1,4}", re.sub("[^0-9]", "", s)))]
-        bad = [s[:-1] + str((int(s[-1]) + 5) % 10), s[:-2]]
-    return [(f"{left}{x}{right}", (kind, len(left), len(left) + len(x)), y) for y, xs in ((1, good), (0, bad)) for x in xs]
-
-
-#: Sentences with (label 1) and without (label 0) personal data, so that any corpus can train.
-SEEDS = (
-    ("Call +1 (555) 555-0100 today", 1), ("write to a.b@example.com now", 1), ("host 192.0.2.17 answered", 1), ("card 4111 1111 1111 1111 paid", 1), ("tel (555) 555-0199 please", 1),
-    ("on 2024-01-01 10.15.30 it ran", 0), ("pi is 3.1415926535 or so", 0), ("order 1234567890123 came", 0), ("between 1000 - 2000 - 3000 of them", 0), ("values 300.400.500.600 seen", 0),
-)
-
-
-#: Dates, times and decimals; and words or signs before a number of another sort.
-_DATED = re.compile(r"(?:19|20)[0-9]{2}[.-][0-9]{1,2}[.-][0-9]{1,2}|[0-9]{1,2}[.-][0-9]{1,2}[.-](?:19|20)[0-9]{2}|[0-9]+\.[0-9]+$")
-_OTHER = re.compile(r"(?:\b(?:order|invoice|item|isbn|version|build|rev|id|no|nr|part|serial|pi is)\W{0,3}|[$€£#=%])$", re.I)
-
-
-def judged(text: str, span: Span) -> int | None:
-    """1 or 0 by format and context for a candidate that no base span overlaps; None where they do not tell."""
+    left, right = text[max(0, a - 40) : a], text[b : b + 10]
+    rng = random.Random(hashlib.blake2b(f"{a}:{left}{text[a:b]}{right}".encode(errors="replace"), digest_size=8).digest())
+    for _ in range(3):
+        value = respelt(kind, rng)[0]
+        yield f"{left}{value}{right}", (kind, len(left), len(left) + len(value)), 1
+        if not any(h in left[-24:].lower() for hints in _HINTS.values() for h in hints):
+            value = look_alike(kind, rng)
+            yield f"{left}{value}{right}", (kind, len(left), len(left) + len(value)), 0
+
+
+def _planted(text: str, span: Span, label: int) -> Iterator[tuple[list[float], int]]:
+    """Candidates that overlap what was planted: of its kind they have its label (1 only if they miss at most a sign at either end), of others 0."""
     kind, a, b = span
-    s, before, after = text[a:b], text[max(0, a - 24) : a], text[b : b + 1]
-    hint = any(h in before.lower() for h in _HINTS[kind])
-    if kind == "email":
-        spelt = bool(re.search(r"[(\[]at[)\]]", s, re.I)) or bool(re.search(r"\bat\b.*\bdot\b", s, re.I))
-        return 1 if spelt and hint else 0 if not spelt and "@" not in s and not hint else None
-    if before[-1:].isalnum() or after.isalnum() or _OTHER.search(before):
-        return 0
-    digits = re.sub("[^0-9]", "", s)
-    if kind == "ip":
-        right = "," not in s and all(int(g) <= 255 for g in re.findall("[0-9]+", s))
-        return 0 if not right else 1 if hint else None
-    if _DATED.match(s) or kind == "card" and not luhn(digits):
-        return 0
-    return 1 if hint and (kind == "phone" or len(digits) >= 13) else None
+    for found in candidates(text):
+        k, x, y = found
+        if x < b and a < y:
+            yield features(text, found), int(label and k == kind and abs(x - a) <= 1 and abs(y - b) <= 1)
 
 
-def _examples(text: str, augment: bool = True) -> Iterator[tuple[list[float], int]]:
+def _examples(text: str) -> Iterator[tuple[list[float], int]]:
+    """Candidates on base spans, and what is planted in their places; other candidates have no known label and are left out."""
     base = base_spans(text)
-    taken: dict[str, list[tuple[int, int]]] = {k: [(a, b) for kk, a, b in base if kk == k] for k in KINDS}
-    anywhere = [(a, b) for _, a, b in base]
-    for span in candidates(text):
+    for span in candidates(text) if base else ():
         kind, a, b = span
-        same = any(x < b and a < y for x, y in taken[kind])
-        # where a base span of another kind stands, the candidate is of the wrong kind
-        label = 1 if same else 0 if any(x < b and a < y for x, y in anywhere) else judged(text, span)
-        if label is not None:
-            yield features(text, span), label
-    if augment:
-        for span in base:
-            for changed, at, label in _variants(text, span):
-                yield features(changed, at), label
+        over = {k for k, x, y in base if x < b and a < y}
+        if over:  # where a base span of another kind stands, the candidate is of the wrong kind
+            yield features(text, span), int(kind in over)
+    for span in base:
+        for changed, at, label in _respelt(text, span):
+            yield from _planted(changed, at, label)
 
 
 def _texts(column: pa.Array, rows: int = 256) -> Iterator[str | None]:
@@ -234,10 +235,10 @@ class PiiModel:
 
 
 def fit_pii(docs: DataFrame, rows: int = TRAIN_ROWS, ws: Workspace | None = None) -> PiiModel:
-    """Train on candidates of ``docs``: those the base rules confirm, their respellings, and those that format and context tell.
+    """Train on base spans of ``docs``, on values planted in their places, and on ``PASSAGES`` written passages of each kind.
 
-    At most ``rows`` different examples are used, those with the least hashes; examples of equal texts count once.  A
-    quarter is held out for calibration, thresholds and ``held_out``.  A table without candidates leaves ``SEEDS``.
+    At most ``rows`` different examples of ``docs`` are used, those with the least hashes; examples of equal texts count
+    once.  A quarter is held out for calibration, thresholds and ``held_out``.  A table without base spans leaves the passages.
     """
     ws = ws or Workspace(docs.sparkSession, "pii")
     found = ws.save(docs.select("text").filter("text is not null").mapInArrow(_example_rows, "rank string, x binary, y int"), "examples")
@@ -245,11 +246,11 @@ def fit_pii(docs: DataFrame, rows: int = TRAIN_ROWS, ws: Workspace | None = None
     n = found.agg(F.approx_count_distinct("rank")).first()[0]
     some = found.filter(F.col("rank") < f"{int(rows / n * (1 << 64)):016x}") if n > rows else found
     sample = some.dropDuplicates(["rank"]).orderBy("rank").limit(rows).collect()
-    own = [e for text, label in SEEDS for e in _examples(text, False) if e[1] == label] * 3
+    own = [e for kind, text, a, b, label in passages(KINDS, PASSAGES) for e in _planted(text, (kind, a, b), label)]
     x = np.concatenate([np.frombuffer(b"".join(r.x for r in sample), "<f8").reshape(len(sample), -1) if sample else np.zeros((0, len(own[0][0]))), np.array([e[0] for e in own])])
     y = np.array([r.y for r in sample] + [e[1] for e in own], float)
     held = np.arange(len(y)) % 4 == 3
-    trees = BoostedTrees().fit(x[~held], y[~held])
+    trees = BoostedTrees(trees=80, depth=4).fit(x[~held], y[~held])
     slope, shift = platt(trees.score(x[held]), y[held])
     model = PiiModel(trees, slope, shift, {}, {})
     p = model.probabilities(x[held])
