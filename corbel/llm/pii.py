@@ -117,8 +117,8 @@ def candidates(text: str) -> list[Span]:
         found |= {("ip", *m.span()) for m in _QUAD.finditer(text)}
         for m in _NUMBER.finditer(text):
             n = len(re.sub("[^0-9]", "", m[0]))
-            if n <= 15:
-                found.add(("phone", *m.span()))
+            if n <= 15:  # a bracket that nothing closes is the sentence's
+                found.add(("phone", m.start() + (m[0][0] == "(" and ")" not in m[0]), m.end()))
             if 12 <= n <= 19:
                 start = m.start() + (m[0][0] in "+(")
                 found.add(("card", start, m.end()))
