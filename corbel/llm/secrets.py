@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -13,6 +15,8 @@ from pyspark.sql import functions as F
 #: Runs that may be keys; words before and signs after which any value is a candidate; words that speak against.
 CANDIDATE = r"[A-Za-z0-9+/_=-]{16,}"
 HINTS = r"(?i)(token|secret|passw|pwd|api.?key|access.?key|private|auth|bearer|credential)"
+#: Plain parts of the words above, one of which each of them holds.
+HINT_PARTS = ("token", "secret", "passw", "pwd", "api", "access", "private", "auth", "bearer", "credential")
 AGAINST = r"(?i)(commit|sha-?[0-9]*|checksum|digest|md5|hash|uuid|build|version|revision|etag|isbn|order|page)"
 TEST_PATH = r"(?i)(test|example|sample|fixture|doc|spec)"
 #: A value in the word that names it (password=value), and a word after which the next one is a value.
@@ -43,10 +47,15 @@ def candidates(docs: DataFrame) -> DataFrame:
     is no candidate besides.  ``position`` counts blank-separated words from 0; ``before`` and ``after`` hold up to three
     words; ``word`` is the blank-separated word that the candidate stands in.
     """
-    words = docs.filter(F.col("text").rlike(CANDIDATE) | F.col("text").rlike(HINTS + r"""[\w.\]"'`-]*\s*[=:]""")).select("doc_id", "path", _words(F.col("text")).alias("words"))
+    # signs and lengths are looked at before patterns, which cost far more and can't match without them
+    signed = lambda x: F.contains(x, F.lit("=")) | F.contains(x, F.lit(":"))
+    text = F.col("text")
+    hinted = reduce(or_, [F.contains(F.lower(text), F.lit(x)) for x in HINT_PARTS])
+    words = docs.filter(text.rlike(CANDIDATE) | (signed(text) & hinted & text.rlike(HINTS + r"""[\w.\]"'`-]*\s*[=:]"""))).select("doc_id", "path", _words(text).alias("words"))
     at = lambda i: F.coalesce(F.get("words", i), F.lit(""))
-    named = lambda i: at(i - 1).rlike(NAMES) | (at(i - 1).rlike(SIGN) & at(i - 2).rlike(BEHIND))
-    found = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: at(i).rlike(CANDIDATE) | at(i).rlike(INLINE) | named(i))
+    named = lambda i: signed(at(i - 1)) & (at(i - 1).rlike(NAMES) | (at(i - 1).rlike(SIGN) & at(i - 2).rlike(BEHIND)))
+    some = lambda i: ((F.length(at(i)) >= 16) & at(i).rlike(CANDIDATE)) | (signed(at(i)) & at(i).rlike(INLINE)) | named(i)
+    found = F.filter(F.sequence(F.lit(0), F.size("words") - 1), some)
     # only the neighbours go along with a candidate, not the whole text
     near = F.transform(found, lambda i: F.struct(
         i.alias("position"), at(i).alias("word"), F.array_join(F.slice("words", F.greatest(i - NEAR + 1, F.lit(1)), F.least(i, F.lit(NEAR))), " ").alias("before"),
