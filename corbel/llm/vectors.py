@@ -1,22 +1,21 @@
-"""Embedding near-duplicates by a subspace pigeonhole join.
-
-Unit vectors have cosine >= c exactly when their squared distance is at most 2 - 2c.  The vectors are rotated and
-split into blocks of few dimensions; a block's budget is its share of that distance, by its share of the dimensions,
-so a pair within the whole distance is within the budget of some block.  Each block is joined by range: vectors fall
-into cells as wide as the budget's root, over some of the block's coordinates (more where there are more vectors), and meet those of their own and the
-adjacent cells.  Cells are cut into tiles of bounded size; two tiles meet in one task, as matrices.  What passes a
-block's budget is verified by cosine in double precision, and reported by the first block whose budget it is within.
-A tile pair returns counts for vectors and a spanning set of links, never a row for each pair.
+"""Embedding near-duplicates: tiles of vectors, every two of them compared as matrices.
+
+Distinct vectors are packed into tiles, one row each, and written once.  A Cartesian product joins the tiles with themselves: its tasks
+read partitions of tiles from where they were written, so vectors are never shuffled to the places where they are compared, and disk
+grows with the vectors and not with their pairs.  Each pair of tiles is compared once: a product in single precision, with room for its
+rounding, leaves what may reach the cosine, and double precision decides.  A tile pair returns counts for vectors and a spanning set of
+links, never a row for each pair.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from itertools import product
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,17 +23,11 @@ from corbel.llm.components import connected_components
 from corbel.llm.wordhash import release_memory
 from corbel.workspace import Workspace
 
-#: Vectors of a tile, on average; two tiles are what a task holds at a time.
-TILE = 1024
-#: Coordinates of a block that make its cells, at least and at most; each doubles or trebles the number of cells in use.
-CELL_DIMS = (2, 6)
-_SLACK = 1e-5
-
-
-def rotation(dims: int, seed: int = 11) -> np.ndarray:
-    """An orthonormal matrix."""
-    q, r = np.linalg.qr(np.random.default_rng(seed).normal(size=(dims, dims)))
-    return q * np.sign(np.diag(r))
+#: Vectors of a tile; two tiles are what a task compares at a time.
+TILE = 2048
+#: Tiles of a file at least, where there are as many: a task of the product holds those of one partition, in a bounded part of memory.
+FILE_TILES = 4
+PACKED = "dims int, key array<binary>, least array<long>, copies array<long>, vec binary"
 
 
 def _lists(column: pa.Array) -> list[np.ndarray | None]:
@@ -72,27 +65,28 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
 
 
-def cell_dims(n: int, width: int) -> int:
-    """As many coordinates as leave some quarter of a tile in a cell, about six places of each coordinate being in use."""
-    return min(width, max(CELL_DIMS[0], min(CELL_DIMS[1], int(np.log(max(1.0, 4 * n / TILE)) / np.log(6)))))
+def _pack(size: int):
+    """Rows (key, least_id, copies, dims, vec) as tiles of at most ``size`` vectors of one length."""
 
-
-def _cells(dims: int, width: int, cosine: float, places: int, kind: str):
-    turn, reach = rotation(dims), np.sqrt((2 - 2 * cosine) * width / dims) * (1 + _SLACK)
+    def tile(dims: int, parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        column = lambda name: [x for p in parts for x in p.column(name).to_pylist()]
+        lists = [pa.array([column(name)], pa.list_(kind)) for name, kind in (("key", pa.binary()), ("least_id", pa.int64()), ("copies", pa.int64()))]
+        return pa.RecordBatch.from_arrays([pa.array([dims], pa.int32()), *lists, pa.array([b"".join(column("vec"))], pa.binary())], names=["dims", "key", "least", "copies", "vec"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[pa.RecordBatch]] = {}
         for batch in batches:
-            if not batch.num_rows:
-                continue
             release_memory()
-            raw = np.stack([np.frombuffer(x.as_py(), kind) for x in batch.column("vec")]).astype(np.float64)
-            x = _unit(raw) @ turn
-            for k in range(0, dims, width):
-                some = x[:, k : min(k + width, k + places)]
-                # the last block may be narrower: its budget, and so its reach, is smaller in proportion
-                cell = np.floor(some / min(reach, np.sqrt((2 - 2 * cosine) * (min(dims, k + width) - k) / dims) * (1 + _SLACK))).astype(np.int32)
-                cell = np.pad(cell, ((0, 0), (0, places - cell.shape[1])))  # a narrow last block
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(raw), k // width, np.int32)), pa.array(cell.tolist(), pa.list_(pa.int32())), batch.column("key"), batch.column("vec"), batch.column("copies")], names=["block", "cell", "key", "vec", "copies"])
+            for dims in pc.unique(batch.column("dims")).to_pylist():
+                some = batch.filter(pc.equal(batch.column("dims"), dims))
+                while some.num_rows:
+                    parts = held.setdefault(dims, [])
+                    parts.append(some.slice(0, size - sum(p.num_rows for p in parts)))
+                    some = some.slice(parts[-1].num_rows)
+                    if sum(p.num_rows for p in parts) == size:
+                        yield tile(dims, held.pop(dims))
+        for dims, parts in held.items():
+            yield tile(dims, parts)
 
     return run
 
@@ -112,108 +106,92 @@ class _Forest:
         return i != j
 
 
-def _compare(dims: int, width: int, cosine: float, kind: str):
-    """Rows (block, same, left and right tile) -> (key, n, other): counts, and links that span what is linked."""
-    turn = rotation(dims)
-    edges = np.arange(0, dims, width)
-    budget = (2 - 2 * cosine) * (np.minimum(edges + width, dims) - edges) / dims
+def _compare(cosine: float, kind: str):
+    """Rows (dims, same, left and right tile) -> (key, n, other): counts, and links that span what is linked."""
 
-    def tile(column: pa.StructArray, r: int) -> tuple:
-        lists = column.field("vec")
-        a, b = lists.offsets[r].as_py(), lists.offsets[r + 1].as_py()
-        packed = lists.values.slice(a, b - a)
-        start = np.frombuffer(packed.buffers()[1], np.int32)[packed.offset]
-        size = np.dtype(kind).itemsize
-        raw = np.frombuffer(packed.buffers()[2], np.uint8)[start : start + (b - a) * dims * size].copy().view(kind).reshape(-1, dims).astype(np.float64)
-        unit = _unit(raw)
-        return column.field("key")[r].as_py(), unit, unit @ turn, np.array(column.field("copies")[r].as_py(), np.int64)
+    def unit(batch: pa.RecordBatch, side: str, r: int) -> tuple[np.ndarray, np.ndarray]:
+        raw = np.frombuffer(batch.column(f"{side}_vec")[r].as_buffer(), kind).reshape(-1, batch.column("dims")[r].as_py())
+        exact = _unit(raw.astype(np.float64))
+        return exact, exact.astype(np.float32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, left = None, None
         for batch in batches:
             release_memory()
             keys, counts, others = [], [], []
             for r in range(batch.num_rows):
-                block, same = batch.column("block")[r].as_py(), batch.column("same")[r].as_py()
-                left = tile(batch.column("left"), r)
-                right = left if same else tile(batch.column("right"), r)
-                lo, hi = edges[block], min(dims, edges[block] + width)
-                # |p - q|^2 <= budget as one product: p.q - |p|^2/2 - |q|^2/2 >= -budget/2
-                p, q = (x[2][:, lo:hi].astype(np.float32) for x in (left, right))
-                half_p, half_q = (p * p).sum(1, keepdims=True) / -2, (q * q).sum(1, keepdims=True) / -2
-                near = np.hstack([p, half_p, np.ones_like(half_p)]) @ np.hstack([q, np.ones_like(half_q), half_q]).T >= np.float32(-budget[block] / 2 - _SLACK)
-                i, j = np.divmod(np.flatnonzero(near), len(q))
+                same = batch.column("same")[r].as_py()
+                if batch.column("l_tile")[r].as_py() != seen:  # a left tile meets one right tile after the other
+                    seen, left = batch.column("l_tile")[r].as_py(), unit(batch, "l", r)
+                right = left if same else unit(batch, "r", r)
+                (p, p_short), (q, q_short) = left, right
+                slack = np.float32(1.2e-7 * (p.shape[1] + 16))  # more than single precision can be off
+                i, j = np.divmod(np.flatnonzero(p_short @ q_short.T >= np.float32(cosine) - slack), len(q))
                 if same:
                     i, j = i[i < j], j[i < j]
+                if not len(i):
+                    continue
+                copies = [np.array(batch.column(f"{side}_copies")[r].as_py(), np.int64) for side in "lr"]
+                names = [batch.column(f"{side}_key")[r].values for side in "lr"]
+                forest = _Forest(len(p) + len(q))
                 for at in range(0, len(i), 50_000):
                     a, b = i[at : at + 50_000], j[at : at + 50_000]
-                    # distances by block, in the order of their coordinates: every tile gets the same verdict on a pair
-                    d = np.add.reduceat((left[2][a] - right[2][b]) ** 2, edges, axis=1) <= budget + 1e-9
-                    first = d.any(1) & (d.argmax(1) == block)
-                    a, b = a[first], b[first]
-                    ok = np.einsum("ij,ij->i", left[1][a], right[1][b]) >= cosine
+                    ok = np.einsum("ij,ij->i", p[a], q[b]) >= cosine
                     a, b = a[ok], b[ok]
-                    if not len(a):
-                        continue
-                    na, nb = len(left[0]), len(right[0])
-                    for side, n, idx, weight in ((left, na, a, right[3][b]), (right, nb, b, left[3][a])):
-                        total = np.bincount(idx, weight, n).astype(np.int64)
-                        for x in np.flatnonzero(total):
-                            keys.append(side[0][x])
+                    for name, idx, weight in ((names[0], a, copies[1][b]), (names[1], b, copies[0][a])):
+                        total = np.bincount(idx, weight, len(name)).astype(np.int64)
+                        for x in np.flatnonzero(total).tolist():
+                            keys.append(name[x].as_py())
                             counts.append(int(total[x]))
                             others.append(None)
-                    forest = _Forest(na + nb)
                     for x, y in zip(a.tolist(), b.tolist(), strict=True):
-                        if forest.join(x, y + (0 if same else na)):
-                            keys.append(left[0][x])
+                        if forest.join(x, y + (0 if same else len(p))):
+                            keys.append(names[0][x].as_py())
                             counts.append(0)
-                            others.append(right[0][y])
+                            others.append(names[1][y].as_py())
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(counts, pa.int64()), pa.array(others, pa.binary())], names=["key", "n", "other"])
 
     return run
 
 
-def near_vectors(vectors: DataFrame, cosine: float = 0.9, width: int = 8, ws: Workspace | None = None) -> DataFrame:
+def near_vectors(vectors: DataFrame, cosine: float = 0.9, ws: Workspace | None = None) -> DataFrame:
     """``vectors(vec_id, embedding)`` -> per row vec_id, n_links, component_id, kept.
 
     Two rows link when the cosine of their embeddings, in double precision, is at least ``cosine``; rows with equal
     embeddings link.  ``n_links`` counts the other rows linked directly, ``component_id`` is the least ``vec_id``
     reachable, itself included, ``kept`` says that it is the row's own (false for a null id).  Embeddings that are
     null, empty, zero, or hold nulls or non-finite values link with nothing; those of different lengths neither.
-    ``width`` is a block's number of dimensions.  Other columns are ignored.
+    Other columns are ignored.
     """
     spark = vectors.sparkSession
     ws = ws or Workspace(spark, "vectors")
     kind = "<f4" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "<f8"
-    rows = ws.save(vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(_keys(kind), "vec_id long, key binary, dims int, vec binary"), "rows")
-    classes = ws.save(rows.filter("key is not null").groupBy("key").agg(F.min("vec_id").alias("least_id"), F.count("*").alias("copies"), F.first("dims").alias("dims"), F.first("vec").alias("vec")), "classes")
-    found = None
-    for d in [r.dims for r in classes.select("dims").distinct().collect()]:
-        part = _linked(classes.filter(F.col("dims") == d), d, min(width, d), cosine, kind, ws)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
+    keyed = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(_keys(kind), "vec_id long, key binary, dims int, vec binary")
+    rows = ws.save(keyed.select("vec_id", "key"), "rows")
+    classes = keyed.filter("key is not null").groupBy("key").agg(F.min("vec_id").alias("least_id"), F.count("*").alias("copies"), F.first("dims").alias("dims"), F.first("vec").alias("vec"))
+    files = max(1, ceil(rows.count() / (FILE_TILES * TILE)))
+    tiles = ws.save(classes.coalesce(files).mapInArrow(_pack(TILE), PACKED).withColumn("tile", F.monotonically_increasing_id()), "tiles")
+    found = ws.save(_pairs(tiles).mapInArrow(_compare(cosine, kind), "key binary, n long, other binary"), "found")
     comp = connected_components(found.filter("other is not null").select(F.col("key").alias("a"), F.col("other").alias("b")), ws)
     links = found.groupBy("key").agg(F.sum("n").alias("n"))
-    named = classes.select("key", "least_id", "copies").join(comp.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    named = tiles.select(F.explode(F.arrays_zip("key", "least", "copies")).alias("x")).select("x.key", F.col("x.least").alias("least_id"), "x.copies")
+    named = named.join(comp.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     least = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
     by_class = ws.save(named.join(least, "root").join(links, "key", "left").select("key", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id"), "by-class")
-    out = rows.select("vec_id", "key").join(by_class, "key", "left")
+    ws.drop("tiles", "found")
+    out = rows.join(by_class, "key", "left")
     component = F.when(F.col("key").isNotNull(), F.col("component_id")).otherwise(F.col("vec_id"))
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
 
 
-def _linked(classes: DataFrame, dims: int, width: int, cosine: float, kind: str, ws: Workspace) -> DataFrame:
-    places = cell_dims(classes.count(), width)
-    cells = classes.mapInArrow(_cells(dims, width, cosine, places, kind), "block int, cell array<int>, key binary, vec binary, copies long")
-    cells = ws.save(cells, f"cells-{dims}")
-    parts = cells.groupBy("block", "cell").agg(F.ceil(F.count("*") / TILE).alias("parts"))
-    dealt = cells.join(parts, ["block", "cell"]).withColumn("part", F.expr("pmod(xxhash64(key), parts)"))
-    tiles = ws.save(dealt.groupBy("block", "cell", "part").agg(F.struct(F.collect_list("key").alias("key"), F.collect_list("vec").alias("vec"), F.collect_list("copies").alias("copies")).alias("tile")), f"tiles-{dims}")
-    ws.drop(f"cells-{dims}")
-    # of two adjacent cells one is visited by the other: half of the steps to neighbours, and none
-    steps = [s for s in product((-1, 0, 1), repeat=places) if s >= (0,) * places]
-    moves = F.array(*[F.array(*[F.lit(x) for x in s]) for s in steps])
-    left = tiles.withColumn("step", F.explode(moves)).select("block", F.expr("zip_with(cell, step, (c, s) -> c + s)").alias("cell"), F.col("cell").alias("from"), F.col("part").alias("part_l"), F.col("tile").alias("left"))
-    met = left.join(tiles.select("block", "cell", F.col("part").alias("part_r"), F.col("tile").alias("right")), ["block", "cell"]).filter("cell <> from or part_l <= part_r")
-    met = met.select("block", F.expr("cell = from and part_l = part_r").alias("same"), "left", "right")
-    return ws.save(met.mapInArrow(_compare(dims, width, cosine, kind), "key binary, n long, other binary"), f"found-{dims}")
+def _pairs(tiles: DataFrame) -> DataFrame:
+    """Every two tiles of one length once, and each with itself.
+
+    Of two tiles now the lesser stands left and now the greater, by turns, so that all tasks of the product have alike much to do.
+    """
+    side = lambda s: tiles.select(*[F.col(c).alias(f"{s}_{c}") for c in ("tile", "dims", "key", "copies", "vec")])
+    number = lambda c: F.col(c) + F.shiftright(c, 33)
+    even = (number("l_tile") + number("r_tile")) % 2 == 0
+    once = (F.col("l_tile") == F.col("r_tile")) | (F.when(even, F.col("l_tile") < F.col("r_tile")).otherwise(F.col("l_tile") > F.col("r_tile")))
+    met = side("l").join(side("r").hint("shuffle_replicate_nl"), (F.col("l_dims") == F.col("r_dims")) & once)
+    return met.select(F.col("l_dims").alias("dims"), (F.col("l_tile") == F.col("r_tile")).alias("same"), "l_tile", "l_key", "l_copies", "l_vec", "r_key", "r_copies", "r_vec")

@@ -133,3 +133,13 @@ def test_vectors_empty_and_repeated(spark):
     df = spark.createDataFrame([(5, [1.0, 0.0]), (5, [1.0, 0.0]), (None, [1.0, 0.0])], "vec_id long, embedding array<float>")
     assert sorted((r.vec_id or 0, r.n_links, r.component_id, r.kept) for r in near_vectors(df).collect()) == [(0, 2, 5, False), (5, 2, 5, True), (5, 2, 5, True)]
     assert near_vectors(df.limit(0)).collect() == []
+
+
+def test_tiles_meet_once_without_a_shuffle(spark):
+    """Vectors are not sent to where they are compared: tasks read the tiles from where they lie."""
+    tiles = spark.range(0, 60, 1, 5).select((F.col("id") + F.shiftleft(F.spark_partition_id().cast("long"), 33)).alias("tile"), (F.col("id") % 2).cast("int").alias("dims"), F.array(F.lit(b"k")).alias("key"), F.array(F.lit(1)).alias("copies"), F.lit(b"v").alias("vec"))
+    met = vectors._pairs(tiles.withColumn("vec", F.concat(F.lit(b"v"), F.col("tile").cast("string").cast("binary"))))
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan
+    pairs = [tuple(sorted((bytes(r.l_vec), bytes(r.r_vec)))) for r in met.collect()]
+    assert len(pairs) == len(set(pairs)) == 2 * 30 * 31 // 2
