@@ -153,8 +153,8 @@ def feature_ks(df: DataFrame, features: Sequence[str], score: str, n_bins: int =
     t = by_key(df.filter(s.isNotNull()), mid, keys).withColumn("__high", (s >= F.col("__mid")).cast("int"))
     edges = quantile_edges(df, features, n_bins, keys, digits)
     cells = long_form(t, features, [*keys, "__high"]).filter("value is not null")
-    cells = cells.groupBy(*keys, "feature", "value").agg(F.sum("__high").alias("p"), F.sum(1 - F.col("__high")).alias("n")).join(edges, [*keys, "feature"])
-    cells = placed(cells.withColumn("inner", F.slice("edges", F.lit(2), F.greatest(F.size("edges") - 2, F.lit(0)))), "bin", "value", "inner", n_bins)
+    cells = cells.groupBy(*keys, "feature", "value").agg(F.sum("__high").alias("p"), F.sum(1 - F.col("__high")).alias("n"))
+    cells = placed(by_key(cells, edges, [*keys, "feature"]).withColumn("inner", F.slice("edges", F.lit(2), F.greatest(F.size("edges") - 2, F.lit(0)))), "bin", "value", "inner", n_bins)
     g = cells.groupBy(*keys, "feature", "bin").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
     each = Window.partitionBy(*keys, "feature")
     run = each.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)

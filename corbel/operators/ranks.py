@@ -3,8 +3,9 @@
 Values are first counted, so repeated ones are one row.  Approximate quantiles of the distinct values cut each key's
 values into ``RANGES`` ranges of about even size, and where these would hold more than ``ROWS`` values each of them into pieces of
 its span, as many as the number of values asks for, on a scale that is logarithmic far from the middle.  Sums over ranges (few
-rows a key) say which ranges hold the wanted ranks, and only those are put in order.  No task holds a key's values, and
-nothing is broadcast unless Spark finds it small.
+rows a key) say which ranges hold the wanted ranks, and only those are put in order.  No task holds a key's values: keys
+are few (features, datasets, months), so what is known of each of them, at most some dozens of numbers, is broadcast to the rows, which
+are never shuffled by key alone.
 """
 
 from __future__ import annotations
@@ -23,8 +24,12 @@ VALUE_BYTES = 4
 
 
 def by_key(left: DataFrame, right: DataFrame, by: Sequence[str], how: str = "inner") -> DataFrame:
-    """Join tables on their keys; without keys ``right`` is one row."""
-    return left.join(right, list(by), how) if by else left.crossJoin(right)
+    """Join what is known of each key to ``left``; without keys ``right`` is one row.
+
+    ``right`` has one row a key and is broadcast.  Spark cannot tell that an aggregate is small, and a join by shuffling would bring all
+    rows of a key to one task.
+    """
+    return left.join(F.broadcast(right), list(by), how) if by else left.crossJoin(F.broadcast(right))
 
 
 def value_counts(cells: DataFrame, by: Sequence[str], value: str = "value", **sums: Column) -> DataFrame:
@@ -108,7 +113,7 @@ def quantiles(counts: DataFrame, by: Sequence[str], probabilities: Sequence[floa
     here = F.filter(places, lambda x: (x["rank"] >= F.col("before_n")) & (x["rank"] < F.col("before_n") + F.col("n")))
     wanted = parts.withColumn("__places", here).filter(F.size("__places") > 0).select(*by, "range", "all", F.col("before_n").alias("__before"), "__places")
     order = Window.partitionBy(*by, "range").orderBy(value)
-    rows = inside.join(wanted.hint("shuffle_hash"), [*by, "range"]).withColumn("__last", F.col("__before") + F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - 1)
+    rows = inside.join(F.broadcast(wanted), [*by, "range"]).withColumn("__last", F.col("__before") + F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - 1)
     found = F.filter("__places", lambda x: (x["rank"] <= F.col("__last")) & (x["rank"] > F.col("__last") - F.col("n")))
     hits = rows.withColumn("x", F.explode(found)).groupBy(*by, "x.i").agg(F.max("x.part").alias("part"), F.max(F.when(F.col("x.up") == 0, F.col(value))).alias("lo"), F.max(F.when(F.col("x.up") == 1, F.col(value))).alias("hi"), F.first("all").alias("n"))
     q = F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise((1 - F.col("part")) * F.col("lo") + F.col("part") * F.col("hi"))

@@ -448,3 +448,19 @@ def test_streams(spark, data, model, tmp_path):
     q = binned_counts(stream, "t", "freq", [0.0, 2.0, 100.0]).writeStream.format("memory").queryName("bins").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert spark.table("bins").agg(F.sum("n")).first()[0] == 100
+
+
+def test_rows_of_a_key_do_not_meet_in_one_task(spark):
+    """What is known of a key goes to its rows, however large Spark takes it to be; only tables of keys and bins may be shuffled."""
+    df = spark.range(400).select((F.col("id") % 2).cast("int").alias("bad"), F.lit("t").alias("tag"), F.col("id").cast("double").alias("s"), (F.col("id") % 7).cast("double").alias("b"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        shuffled = lambda t: sum(t._jdf.queryExecution().executedPlan().toString().count(x) for x in ("SortMergeJoin", "ShuffledHashJoin"))
+        counts = ranks.value_counts(df.withColumnRenamed("s", "value"), ["tag"])
+        assert [shuffled(t) for t in (
+            ranks.quantiles(counts, ["tag"], [0.5]), metrics.auc(df, "bad", "s", ["tag"]), metrics.ks(df, "bad", "s", ["tag"]), metrics.lift_at(df, "bad", "s", (10,), ["tag"]),
+            metrics.effect_table(df, "bad", "s", ["tag"]), metrics.swap_table(df, "bad", "s", "b", keys=["tag"]), metrics.feature_ks(df, ["b"], "s", keys=["tag"]),
+        )] == [0] * 7
+        assert shuffled(metrics.lift_table(df, "bad", "s", ["tag"], baseline="b")) == 2 and shuffled(stats.psi(df, df, ["s", "b"], ["tag"])) == 2
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
