@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corbel.functions.expressions import number
-from corbel.operators.ranks import placed, quantiles, value_counts
+from corbel.operators.ranks import by_key, placed, quantiles, value_counts
 
 EPS = 0.001
 PSI_EPS = 1e-4
@@ -147,7 +147,7 @@ def woe_table(df: DataFrame, features: Sequence[str], label: str, keys: Sequence
     by = [*keys, "place"]
     cell = counted(df.filter(F.col(label).isin(0, 1)), features, keys, label)
     totals = cell.groupBy(*by).agg(F.sum("n_pos").alias("pos"), F.sum("n").alias("all"), F.count("value").alias("k"))
-    cell = cell.filter("value is not null").join(totals, by).withColumn("n_neg", F.col("n") - F.col("n_pos"))
+    cell = by_key(cell.filter("value is not null"), totals, by).withColumn("n_neg", F.col("n") - F.col("n_pos"))
     dp, dn = (F.col("n_pos") + eps) / (F.col("pos") + eps * F.col("k")), (F.col("n_neg") + eps) / (F.col("all") - F.col("pos") + eps * F.col("k"))
     return cell.select(*keys, _named(features), "value", "n_pos", "n_neg", F.ln(dp / dn).alias("woe"), ((dp - dn) * F.ln(dp / dn)).alias("iv_part"))
 
@@ -177,7 +177,7 @@ def psi(reference: DataFrame, other: DataFrame, features: Sequence[str], keys: S
     edges = _edges(known, ["place"], n_bins, digits)
 
     def shares(counts: DataFrame, by: Sequence[str], name: str) -> DataFrame:
-        at = counts.join(edges.filter("size(edges) > 1"), "place").filter("value between edges[0] and element_at(edges, -1)")
+        at = by_key(counts, edges.filter("size(edges) > 1"), ["place"]).filter("value between edges[0] and element_at(edges, -1)")
         at = placed(at, "bin", "value", "edges", n_bins + 1).withColumn("bin", F.least(F.col("bin") - 1, F.size("edges") - 2))
         bins = at.groupBy(*by, "place", "bin").agg(F.sum("n").alias("c"), F.first("edges").alias("edges"))
         each = bins.groupBy(*by, "place").agg(F.map_from_entries(F.collect_list(F.struct("bin", "c"))).alias("__m"), F.sum("c").alias("__n"), (F.size(F.first("edges")) - 1).alias("__k"))
