@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corbel.functions.expressions import bin_index, bin_labels, lookup, number
-from corbel.operators.ranks import placed, quantiles
+from corbel.operators.ranks import by_key, placed, quantiles
 from corbel.operators.stage import Estimator, Model, require
 
 #: A string feature of more values, such as an id, is refused: its model would hold them all.
@@ -159,11 +159,11 @@ class ChiMergeBinner(Estimator):
         most = 3 * self.max_bins
         # with fewer distinct values than cuts every value is a cut
         sizes = regular.groupBy("feature").agg((F.count("*") <= most).alias("few"))
-        sized = regular.join(sizes, "feature")
+        sized = by_key(regular, sizes, ["feature"])
         every = sized.filter("few").groupBy("feature").agg(F.array_sort(F.collect_set("v")).alias("cuts"))
         spaced = quantiles(sized.filter("not few").select("feature", "v", F.lit(1).alias("n")), ["feature"], [i / most for i in range(most + 1)], "v").select("feature", F.col("q").alias("cuts"))
         cuts = every.unionByName(spaced).withColumn("cuts", F.array_sort(F.array_distinct("cuts")))
-        counted = placed(regular.join(cuts, "feature"), "bin", "v", "cuts", most + 1).withColumn("bin", F.greatest(F.lit(0), F.least(F.col("bin") - 1, F.size("cuts") - 2)))
+        counted = placed(by_key(regular, cuts, ["feature"]), "bin", "v", "cuts", most + 1).withColumn("bin", F.greatest(F.lit(0), F.least(F.col("bin") - 1, F.size("cuts") - 2)))
         bins = counted.groupBy("feature", "bin").agg(F.first("cuts").alias("cuts"), F.sum("p").alias("p"), F.sum("n").alias("n")).collect()  # at most ``most`` rows a feature
         near: dict[str, list] = {}
         for f in [f for f in features if special[f]]:
