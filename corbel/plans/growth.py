@@ -1,6 +1,7 @@
 """Boosted trees grown by leaves: the leaf with the greatest gain is split next, with L1 and L2 terms and least weights.
 
-Features are cut into bins once, and rows are kept as one byte a feature.  Workers add up gradients by (leaf, feature, bin) over
+Features are cut into bins once, and rows are kept as one byte a feature, packed in blocks: a tree passes over all rows about ten times,
+and a row on its own costs more to hand to a worker than to count.  Workers add up gradients by (leaf, feature, bin) over
 their rows; only these sums are shuffled and reach the driver, whose queue of leaves chooses the splits.  Of two siblings the
 smaller is counted and the other is its parent less it; gradients are whole numbers of a small unit, so sums are exact in
 any order and a repeated task changes nothing.  One job counts for as many waiting leaves as may still be split, so a tree
@@ -31,12 +32,14 @@ from corbel.workspace import Workspace
 BINS = 255
 #: Gradients are whole multiples of the greatest weight over this; sums of 2^33 rows stay exact.
 UNITS = 1 << 30
-#: Trees after which margins are written anew, so that rows do not pass through all trees again, and validated.
+#: Trees after which the validation table tells whether to go on.
 WRITE_EVERY = 8
 #: Accuracy of the quantiles that bound bins.
 ACCURACY = 10_000
 
-BINNED = "row long, y double, w double, codes binary, margin double"
+#: A row is a block of rows, each column their numbers as bytes.
+BINNED = "row binary, y binary, w binary, codes binary, margin binary"
+KINDS = {"row": np.int64, "y": np.uint8, "w": np.float64, "codes": np.uint8, "margin": np.float64}
 SUMS = "slot int, feature int, bin int, n long, g long, h long"
 
 
@@ -75,17 +78,32 @@ def place(tree: tuple, codes: np.ndarray) -> np.ndarray:
     return at
 
 
-def _codes(batch: pa.RecordBatch, d: int) -> np.ndarray:
-    column = batch.column("codes")
-    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + batch.num_rows + 1]
-    return np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].reshape(batch.num_rows, d)
+@dataclass(frozen=True)
+class Block:
+    """Rows of the binned table."""
+
+    row: np.ndarray
+    y: np.ndarray
+    w: np.ndarray
+    codes: np.ndarray
+    margin: np.ndarray
+
+    def packed(self) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([np.ascontiguousarray(getattr(self, c), kind).tobytes()], pa.binary()) for c, kind in KINDS.items()], names=list(KINDS))
+
+    def after(self, trees: list[tuple]) -> np.ndarray:
+        """Margins with those of ``trees`` added."""
+        m = self.margin.copy()
+        for t in trees:
+            m += t[4][place(t, self.codes)]
+        return m
 
 
-def _margins(batch: pa.RecordBatch, codes: np.ndarray, trees: list[tuple]) -> np.ndarray:
-    m = batch.column("margin").to_numpy().copy()
-    for t in trees:
-        m += t[4][place(t, codes)]
-    return m
+def _blocks(batches: Iterator[pa.RecordBatch], d: int) -> Iterator[Block]:
+    for batch in batches:
+        for r in range(batch.num_rows):
+            block = Block(**{c: np.frombuffer(batch.column(c)[r].as_buffer(), kind) for c, kind in KINDS.items()})
+            yield replace(block, codes=block.codes.reshape(-1, d))
 
 
 def _hashed(row: np.ndarray, seed: int) -> np.ndarray:
@@ -102,18 +120,20 @@ def _bin(edges: list, d: int, base: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if not batch.num_rows:
+                continue
             codes = np.zeros((batch.num_rows, d), np.uint8)
             for i, e in enumerate(edges):
                 x = batch.column(f"x{i}").to_numpy(zero_copy_only=False).astype(float)
                 there = ~np.isnan(x)
                 codes[there, i] = x[there] if e is None else 1 + np.searchsorted(e, x[there], side="left")
-            packed = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(np.arange(0, d * (batch.num_rows + 1), d, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(codes))])
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("y"), batch.column("w"), packed, pa.array(np.full(batch.num_rows, base))], names=["row", "y", "w", "codes", "margin"])
+            column = lambda c: batch.column(c).to_numpy(zero_copy_only=False)
+            yield Block(column("row"), column("y"), column("w"), codes, np.full(batch.num_rows, base)).packed()
 
     return run
 
 
-def _sums(d: int, features: list[int], trees: list[tuple], tree: tuple, slots: dict[int, int], unit: float, sample: float, seed: int):
+def _sums(d: int, features: list[int], tree: tuple, slots: dict[int, int], unit: float, sample: float, seed: int):
     """Sums of gradients by slot (a leaf of ``tree``), feature and bin of a task's rows; only bins with rows."""
     at_slot = np.full(len(tree[0]), -1)
     for node, slot in slots.items():
@@ -122,19 +142,17 @@ def _sums(d: int, features: list[int], trees: list[tuple], tree: tuple, slots: d
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = len(slots) * (BINS + 1)
         total = np.zeros((3, len(features), size), np.int64)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            codes = _codes(batch, d)
+        for block in _blocks(batches, d):
+            codes = block.codes
             slot = at_slot[place(tree, codes)]
             here = slot >= 0
             if sample < 1:
-                here &= _hashed(batch.column("row").to_numpy(), seed) < sample
+                here &= _hashed(block.row, seed) < sample
             here = np.flatnonzero(here)
             if not len(here):
                 continue
-            p = 1 / (1 + np.exp(-_margins(batch, codes, trees)[here]))
-            y, w = batch.column("y").to_numpy()[here], batch.column("w").to_numpy()[here]
+            p = 1 / (1 + np.exp(-block.margin[here]))
+            y, w = block.y[here].astype(float), block.w[here]
             g, h = np.rint(w * (p - y) / unit), np.rint(w * p * (1 - p) / unit)
             base = slot[here] * (BINS + 1)
             for k, f in enumerate(features):
@@ -151,10 +169,8 @@ def _sums(d: int, features: list[int], trees: list[tuple], tree: tuple, slots: d
 
 def _advance(d: int, trees: list[tuple]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                cols = [batch.column(c) for c in ("row", "y", "w", "codes")]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(_margins(batch, _codes(batch, d), trees))], names=["row", "y", "w", "codes", "margin"])
+        for block in _blocks(batches, d):
+            yield replace(block, margin=block.after(trees)).packed()
 
     return run
 
@@ -164,11 +180,8 @@ def _losses(d: int, trees: list[tuple]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, weight = np.zeros(len(trees)), 0.0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            codes, m = _codes(batch, d), batch.column("margin").to_numpy().copy()
-            y, w = batch.column("y").to_numpy(), batch.column("w").to_numpy()
+        for block in _blocks(batches, d):
+            codes, m, y, w = block.codes, block.margin.copy(), block.y.astype(float), block.w
             weight += w.sum()
             for k, t in enumerate(trees):
                 m += t[4][place(t, codes)]
@@ -316,7 +329,7 @@ class LeafwiseClassifier(Estimator):
 
         done, new, losses = [], [], []
         for k in range(self.trees):
-            tree = self._tree(binned, [t.arrays() for t in new], d, unit, growth, [e is not None for e in edges], k)
+            tree = self._tree(binned, d, unit, growth, [e is not None for e in edges], k)
             stuck = len(tree.feature) == 1  # no split is allowed any more
             if not stuck:
                 new.append(tree)
@@ -332,16 +345,18 @@ class LeafwiseClassifier(Estimator):
                     break
                 if last:
                     break
-                binned = ws.save(binned.mapInArrow(_advance(d, arrays), BINNED), f"rows{turn}")
                 if held is not None:
                     held = ws.save(held.mapInArrow(_advance(d, arrays), BINNED), f"held{turn}")
             if last:
                 break
+            # margins are written anew after each tree, so that no pass over the rows goes through earlier trees
+            binned = ws.save(binned.mapInArrow(_advance(d, [tree.arrays()]), BINNED), f"rows{k + 1}")
+            ws.drop(f"rows{k}")
         if losses and losses[0] is not None:
             done = done[: int(np.argmin(losses)) + 1]
         return TreeModel(list(features), [self._nodes(t, edges) for t in done], base, self.scale, self.output, categories=categories)
 
-    def _tree(self, rows: DataFrame, before: list[tuple], d: int, unit: float, growth: Growth, ordered: list[bool], turn: int) -> Grown:
+    def _tree(self, rows: DataFrame, d: int, unit: float, growth: Growth, ordered: list[bool], turn: int) -> Grown:
         rng = random.Random(self.seed * 1_000_003 + turn)
         features = sorted(rng.sample(range(d), max(1, ceil(self.columns * d)))) if self.columns < 1 else list(range(d))
         tree = Grown()
@@ -351,7 +366,7 @@ class LeafwiseClassifier(Estimator):
         def count(nodes: list[int]) -> dict[int, np.ndarray]:
             """Sums by node, from one job; a bounded number of rows for each node."""
             slots = {n: i for i, n in enumerate(nodes)}
-            found = rows.mapInArrow(_sums(d, features, before, tree.arrays(), slots, unit, self.subsample, seed), SUMS).groupBy("slot", "feature", "bin").agg(*[F.sum(c).alias(c) for c in ("n", "g", "h")]).toArrow()
+            found = rows.mapInArrow(_sums(d, features, tree.arrays(), slots, unit, self.subsample, seed), SUMS).groupBy("slot", "feature", "bin").agg(*[F.sum(c).alias(c) for c in ("n", "g", "h")]).toArrow()
             out = np.zeros((len(nodes), 3, len(features), BINS + 1), np.int64)
             slot, feature, code = (found.column(c).to_numpy() for c in ("slot", "feature", "bin"))
             for i, c in enumerate(("n", "g", "h")):

@@ -268,3 +268,15 @@ def test_parzen_search_tunes_a_pipeline(spark):
     search = ParzenSearch({"leaves": (2, 6), "rate": (0.01, 0.9)}, trials=4, startup=2)
     model, chosen, value = search.fit(Pipeline([LeafwiseClassifier(trees=2, min_rows=5)]), df, "y", ["a", "b"], "row")
     assert 2 <= chosen["leaves"] <= 6 and 0.5 < value <= 1 and len(model.steps[-1].trees) == 2
+
+
+def test_growth_passes_over_blocks(spark, monkeypatch):
+    """Binned rows are kept as blocks of many rows, and a tree's passes do not go through earlier trees."""
+    seen = []
+    tree = LeafwiseClassifier._tree
+    monkeypatch.setattr(LeafwiseClassifier, "_tree", lambda self, rows, *rest: (seen.append([(r.codes, r.margin) for r in rows.collect()]), tree(self, rows, *rest))[1])
+    df = spark.range(4000, numPartitions=2).selectExpr("id % 50 cast", "id").selectExpr("cast(cast as double) AS x", "cast(id % 3 = 0 and cast < 30 as int) AS y")
+    m = LeafwiseClassifier(trees=2, leaves=4, rate=0.5, subsample=1.0, columns=1.0).fit(df, "y", ["x"])
+    assert [sum(len(c) for c, _ in blocks) for blocks in seen] == [4000, 4000] and all(len(blocks) == 2 for blocks in seen)
+    first, second = ([np.frombuffer(b, np.float64) for _, b in blocks] for blocks in seen)
+    assert len(m.trees) == 2 and {float(x) for b in first for x in b} == {m.base} and len({float(x) for b in second for x in b}) > 1
